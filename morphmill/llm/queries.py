@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from morphmill.llm.bpe import digests
 from morphmill.llm.exact_dedup import exact_copies
+from morphmill.llm.mixing import mix_documents
 from morphmill.llm.ngram_join import ngram_join
+from morphmill.llm.quality_rules import quality_rules
+from morphmill.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", "kept")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -22,13 +37,89 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
+        "op2_quality_rules": op2_quality_rules,
         "op5_ngram_join": op5_ngram_join,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_bpe": op8_bpe,
+        "op9_warc": op9_warc,
     }
 
 
+OP2_COUNTS_SQL = r"""
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d)
+), grams AS (
+  SELECT r, pos, word, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)
+), twice AS (
+  SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY r, word, second, third) AS n FROM grams WHERE third IS NOT NULL) WHERE n > 1
+), repeats AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, pos + k AS p FROM twice, (VALUES (0), (1), (2)) AS s(k)) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dups
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), counts AS (
+  SELECT d.r, doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+         coalesce(lines.n, 0) AS n_lines, coalesce(lines.dups, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines ON lines.r = d.r LEFT JOIN repeats ON repeats.r = d.r
+)"""
+
+OP2_SQL = (
+    "WITH "
+    + OP2_COUNTS_SQL
+    + """, checked AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+         n_words > 0 AND 3 * n_symbols > n_words AS symbols, n_words > 0 AND 2 * n_upper > word_chars AS capitals,
+         n_words > 0 AND 2 * n_dup_lines > n_lines AS repeated_lines, n_words > 0 AND (word_chars > 20 * n_words OR word_chars < 2 * n_words) AS word_length
+  FROM counts
+), fails AS (
+  SELECT source, rule, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS f FROM (
+    SELECT source, 'base' AS rule, base_failed AS failed FROM checked UNION ALL SELECT source, 'symbols', symbols FROM checked
+    UNION ALL SELECT source, 'capitals', capitals FROM checked UNION ALL SELECT source, 'lines', repeated_lines FROM checked
+    UNION ALL SELECT source, 'length', word_length FROM checked
+  ) GROUP BY source, rule
+), total AS (
+  SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(n * n) AS squares, sum(f) / sum(n) AS m, sum(f * f / n) AS q FROM fails GROUP BY rule
+), spread AS (
+  SELECT *, m * (1 - m) AS noise, (q - docs * m * m - (hosts - 1) * m * (1 - m)) / greatest(docs - squares / docs, 1.0) AS between_hosts FROM total
+), prior AS (
+  SELECT rule, m, CASE WHEN noise <= 0 OR between_hosts <= noise / 1e6 THEN 1e6 ELSE greatest(noise / between_hosts - 1, 1.0) END AS strength FROM spread
+), hosts AS (
+  SELECT source, max((f + strength * m) / (n + strength)) > 0.5 AND max(n) >= 20 AS host_bad
+  FROM fails JOIN prior ON prior.rule = fails.rule GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad,
+       NOT (base_failed OR symbols OR capitals OR repeated_lines OR word_length OR host_bad) AS kept
+FROM checked JOIN hosts ON checked.source IS NOT DISTINCT FROM hosts.source
+"""
+)
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), w AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS winner FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND winner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND winner <> page_id THEN winner END AS refers_to
+FROM w
+"""
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -41,5 +132,7 @@ FROM d
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": OP2_SQL,
         "op7_exact_dedup": OP7_SQL,
+        "op9_warc": OP9_SQL,
     }
