@@ -98,8 +98,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``table`` is 0 for the bytes between words."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -111,7 +111,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             continue
         r, inverse = _powers(max(int(hi - lo), SLICE_BYTES) + 1)
         s = starts[i:j] - lo
-        out[i:j] = np.add.reduceat(_BYTE[data[lo:hi]] * r[: hi - lo], s) * inverse[s]
+        out[i:j] = np.add.reduceat(table[data[lo:hi]] * r[: hi - lo], s) * inverse[s]
         long = np.flatnonzero(ends[i:j] - starts[i:j] > LONG_WORD)
         for k in long + i:
             out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
@@ -153,3 +153,42 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield mix(windows(hashes[a:b], b - a) + np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
+
+
+_CHAR_START = (np.arange(256) & 0xC0) != 0x80
+
+
+def char_offsets(data: np.ndarray) -> np.ndarray:
+    """The number of characters before each byte, and in all."""
+    return np.concatenate(([0], np.cumsum(_CHAR_START[data], dtype=np.int64)))
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each run of neighbouring hashes; runs are at ``first``, touch, and cover all."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    r, inverse = _powers(len(hashes) + 1)
+    return mix(np.add.reduceat(mix(hashes) * r[: len(hashes)], first) * inverse[first] + counts.astype(np.uint64))
+
+
+def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (without the newline) and text number of each ``\\n``-split line; an empty text has one empty line."""
+    cuts = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate((offsets[:-1], cuts + 1)))
+    ends = np.sort(np.concatenate((offsets[1:], cuts)))
+    # a newline at a text's end opens an empty line of that text, before the next text's start
+    first = np.searchsorted(cuts, offsets)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first) + 1)
+    return starts, ends, doc
+
+
+def line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line's bytes; all empty lines have the same."""
+    out = np.zeros(len(starts), np.uint64)
+    full = np.flatnonzero(ends > starts)
+    out[full] = word_hashes(data, starts[full], ends[full], _BYTE_OF_LINE)
+    return out
+
+
+_BYTE_OF_LINE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_OF_LINE[10] = 0
