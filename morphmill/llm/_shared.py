@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,13 +64,40 @@ class Scratch:
             delete(self.spark, path)
 
 
+#: Edges that one task contracts; its memory is bounded by them.
+LOCAL_EDGES = 300_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a task to the stars of their components: (id, smallest id)."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    stars = [(i, find(i)) for i in root]
+    stars = [x for x in stars if x[0] != x[1]]
+    for k in range(0, len(stars), 50_000):
+        part = stars[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every end of ``edges(a, b)``; the component is its smallest id.
 
-    Alternating large-star and small-star steps: each is an aggregate with
-    map-side combine and an equi-join, so a vertex with very many neighbours is
-    neither gathered in one task nor sent to the driver. One row of sums goes to
-    the driver per round, to see whether anything changed.
+    Each task first contracts a bounded number of edges to stars. If there are
+    more edges than one task's, alternating large-star and small-star steps
+    follow: each is an aggregate with map-side combine and an equi-join, so a
+    vertex with very many neighbours is neither gathered in one task nor sent to
+    the driver. One row of sums goes to the driver per round, to see whether
+    anything changed.
     """
 
     def stats(e: DataFrame):
@@ -85,10 +114,12 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         side = down.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return side.union(low.toDF("a", "b")).distinct()
 
-    now = scratch.save(small_star(edges.where("a <> b").distinct()), "links")
-    before = stats(now)
+    own = scratch.save(edges.where("a <> b"), "links")
+    tasks = -(-own.count() // LOCAL_EDGES)
+    now = scratch.save(own.repartition(max(1, tasks)).mapInArrow(_contracted, "a long, b long"), "links")
+    before = stats(now) if tasks > 1 else None
     for _ in range(max_rounds):
-        if not before[0]:
+        if before is None:
             break
         new = scratch.save(small_star(large_star(now)), "links")
         scratch.drop(now)

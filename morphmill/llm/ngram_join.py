@@ -33,7 +33,7 @@ from morphmill.llm._shared import Scratch, components
 from morphmill.llm._text import mix, shingle_sets
 
 #: Of a chunk: its sets, and their shingles together.
-CHUNK_SETS, CHUNK_SHINGLES = 1024, 2_000_000
+CHUNK_SETS, CHUNK_SHINGLES = 4096, 4_000_000
 #: Sets under one leaf, and nodes under one inner node.
 FANOUT = 8
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -143,10 +143,12 @@ def _features(k: int, percent: int):
 
 
 class _Node:
-    __slots__ = ("bits", "children", "excess", "high", "low", "sets", "whole")
+    __slots__ = ("bits", "children", "excess", "high", "low", "seen", "sets", "whole")
 
     def __init__(self, bits, low, high, excess, sets, children):
-        self.bits, self.low, self.high, self.excess, self.sets, self.children, self.whole = bits, low, high, excess, sets, children, False
+        self.bits, self.low, self.high, self.excess, self.sets, self.children = bits, low, high, excess, sets, children
+        # whether all sets are known to be connected; if not, the number of links at which that was last looked at
+        self.whole, self.seen = False, -1
 
 
 def build_tree(maps: np.ndarray, size: np.ndarray, excess: np.ndarray) -> _Node:
@@ -204,7 +206,8 @@ def tree_links(maps: np.ndarray, size: np.ndarray, root: list[int], percent: int
         return i
 
     def whole(x: _Node) -> bool:
-        if not x.whole:
+        if not x.whole and x.seen < len(links):
+            x.seen = len(links)
             if x.children:
                 x.whole = all(map(whole, x.children)) and len({find(y.sets[0]) for y in x.children}) == 1
             else:

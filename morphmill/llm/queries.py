@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from morphmill.llm.bpe import digests
 from morphmill.llm.exact_dedup import exact_copies
+from morphmill.llm.line_dedup import repeated_chunks
 from morphmill.llm.mixing import mix_documents
 from morphmill.llm.ngram_join import ngram_join
 from morphmill.llm.quality_rules import quality_rules
+from morphmill.llm.substring_dedup import repeated_spans
 from morphmill.llm.warc import archive_round_trip
 
 
@@ -33,6 +36,15 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def _span_text(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(spans)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", _span_text("spans"), "removed_units", "removed_words", "removed_chars")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(_table(spark, sf_dir, "documents"))
 
@@ -45,14 +57,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_chunks(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_chunks", _span_text("spans"), "removed_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op5_ngram_join": op5_ngram_join,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe": op8_bpe,
         "op9_warc": op9_warc,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
