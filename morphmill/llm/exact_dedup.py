@@ -110,3 +110,12 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
+
+
+def copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that ``exact_copies`` keeps, columns as they are."""
+    kept = exact_copies(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_of"))
+    marked = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+    same = marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
+    # rows that repeat id and text stand next to each other after the join, and one of them stays
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")

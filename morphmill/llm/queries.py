@@ -13,6 +13,7 @@ from morphmill.llm.exact_dedup import exact_copies
 from morphmill.llm.line_dedup import repeated_chunks
 from morphmill.llm.mixing import mix_documents
 from morphmill.llm.ngram_join import ngram_join
+from morphmill.llm.quality_classifier import classify
 from morphmill.llm.quality_rules import quality_rules
 from morphmill.llm.substring_dedup import repeated_spans
 from morphmill.llm.warc import archive_round_trip
@@ -32,6 +33,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_ngram_join": op5_ngram_join,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,
