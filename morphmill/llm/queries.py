@@ -13,6 +13,7 @@ from morphmill.llm.exact_dedup import exact_copies
 from morphmill.llm.line_dedup import repeated_chunks
 from morphmill.llm.mixing import mix_documents
 from morphmill.llm.ngram_join import ngram_join
+from morphmill.llm.pii import find_personal_data
 from morphmill.llm.quality_classifier import classify
 from morphmill.llm.quality_rules import quality_rules
 from morphmill.llm.substring_dedup import repeated_spans
@@ -33,6 +34,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", "kept")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
+        "op3_pii": op3_pii,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_ngram_join": op5_ngram_join,
         "op6_substring_dedup": op6_substring_dedup,
