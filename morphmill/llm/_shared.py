@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, or with more underscores before it, such that df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system, wherever it lies."""
     jvm = spark.sparkContext._jvm

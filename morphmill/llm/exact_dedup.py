@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphmill.llm._shared import Scratch
+from morphmill.llm._shared import Scratch, spare_name
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,8 +114,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that ``exact_copies`` keeps, columns as they are."""
-    kept = exact_copies(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_of"))
-    marked = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    same = marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
+    own, sha, of = (spare_name(docs, c) for c in ("_id", "_sha", "_of"))
+    kept = exact_copies(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(of))
+    marked = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+    same = marked[id_col].eqNullSafe(F.col(own)) & (F.col(sha) == F.col(of))
     # rows that repeat id and text stand next to each other after the join, and one of them stays
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from morphmill.llm._shared import Scratch
+from morphmill.llm._shared import Scratch, spare_name
 
 #: Patterns and sources that a mix may have.
 MOST_PATTERNS = 100_000
@@ -189,6 +189,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs as often as ``mixed`` takes them, columns as they are. Ids are unique in both."""
-    copies = mixed.select(F.col(id_col).alias("_mixed"), F.col("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mixed")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    own, times, copy = (spare_name(docs, c) for c in ("_mixed", "_copies", "_copy"))
+    copies = mixed.where("copies > 0").select(F.col(id_col).alias(own), F.col("copies").alias(times))
+    out = docs.join(copies, docs[id_col].eqNullSafe(F.col(own)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

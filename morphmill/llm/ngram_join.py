@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphmill.llm._shared import Scratch, components
+from morphmill.llm._shared import Scratch, components, spare_name
 from morphmill.llm._text import mix, shingle_sets
 
 #: Of a chunk: its sets, and their shingles together.
@@ -381,5 +381,6 @@ def near_copies_removed(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     Rows without id or without words stay.
     """
     found = ngram_join(docs, k, percent, id_col, text_col)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    own = spare_name(docs, "_gone")
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(own), "left_anti")

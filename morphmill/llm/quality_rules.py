@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphmill.llm._shared import Scratch
+from morphmill.llm._shared import Scratch, spare_name
 from morphmill.llm._text import _SPACE, slices, text_bytes, windows, word_bounds, word_hashes
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -135,5 +135,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that the rules keep, columns as they are. Ids are unique."""
     judged = quality_rules(docs, id_col=id_col, **how)
-    kept = judged.where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    own = spare_name(docs, "_kept")
+    kept = judged.where("kept").select(F.col(id_col).alias(own)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col(own)), "left_semi")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from morphmill.llm._shared import spare_name
 from morphmill.llm._text import char_offsets, lower, mix, run_hashes, slices, text_bytes, word_bounds, word_hashes
 
 _STOP = np.isin(np.arange(256), list(b".!?"))
@@ -103,11 +104,12 @@ def repeated_spans(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id
 
 def without_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without the spans that ``found`` has for their ids; ids are unique in both."""
-    spans = found.select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs[id_col] == F.col("_id"), "left")
+    own, cut = spare_name(docs, "_id"), spare_name(docs, "_spans")
+    spans = found.select(F.col(id_col).alias(own), F.col("spans").alias(cut))
+    joined = docs.join(spans, docs[id_col] == F.col(own), "left")
     # what lies between the end of one span and the start of the next
-    starts = "concat(array(0L), transform(_spans, x -> x.end))"
-    ends = f"concat(transform(_spans, x -> x.start), array(cast(char_length(`{text_col}`) as long)))"
+    starts = f"concat(array(0L), transform({cut}, x -> x.end))"
+    ends = f"concat(transform({cut}, x -> x.start), array(cast(char_length(`{text_col}`) as long)))"
     left = F.expr(f"array_join(zip_with({starts}, {ends}, (a, b) -> substring(`{text_col}`, cast(a as int) + 1, cast(b - a as int))), '')")
-    text = F.when(F.size("_spans") > 0, left).otherwise(F.col(text_col)).alias(text_col)
+    text = F.when(F.size(cut) > 0, left).otherwise(F.col(text_col)).alias(text_col)
     return joined.select(*[text if c == text_col else docs[c] for c in docs.columns])
