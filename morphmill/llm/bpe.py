@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded words kept by a worker between batches; beyond it the memory is emptied.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 200_000
 #: Texts of one trie, and their characters.
 TRIE_CHARS = 2_000_000
 
@@ -109,7 +109,7 @@ class WordBpe:
         if len(self.words) + len(new) > KEEP_WORDS:
             self.words = self._special_words()
             new = [w for w in words if w not in self.words]
-        if len(self.apart) > 4 * KEEP_WORDS:
+        if len(self.apart) > 2 * KEEP_WORDS:
             self.apart.clear()
         root: dict = {}
         for word in new:
