@@ -395,15 +395,19 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_texts: int = TRAIN_TEXTS) -> DataFrame:
     """Per row of docs: its id, ``n_<kind>`` and ``base_sha256`` of the base spans, ``spans`` (all) and ``n_added``.
 
-    The model is fitted on ``train_texts`` texts at most, those first in the
-    order of their hash, and at most 4000 characters of each; it is then run over
+    The model is fitted on ``train_texts`` different texts at most, those first
+    in the order of their hash, and at most 4000 characters of each; it is then run over
     all characters of all texts. Offsets are in code points, ends exclusive. A
     null text is empty and has no spans. Null ids and repeated rows are returned
     as they are; other columns are not. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.select(F.substring(text, 1, 4000).alias("t"), F.xxhash64(text).alias("h")).orderBy("h", "t").limit(train_texts).collect()
+    # the hashes first, so that a task sends a few numbers and not texts; equal texts are one
+    hashed = docs.select(text.alias("t"), F.xxhash64(text).alias("h"))
+    first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(train_texts).collect()]
+    drawn = hashed.where(F.col("h") <= (first[-1] if first else 0)).groupBy("h").agg(F.min(F.substring("t", 1, 4000)).alias("t"))
+    sample = sorted(drawn.collect())
     held = spark.sparkContext.broadcast(train([r["t"] for r in sample]).p)  # some thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
