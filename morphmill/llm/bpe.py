@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded words kept by a worker between batches; beyond it the memory is emptied.
+#: Encoded words kept by a worker between batches; beyond it only those of the batch stay.
 KEEP_WORDS = 200_000
 #: Texts of one trie, and their characters.
 TRIE_CHARS = 2_000_000
@@ -56,16 +56,15 @@ class WordBpe:
         self.names = {i: t for t, i in {**self.ids, **self.special}.items()}
         self.apart: dict[tuple[str, str], bool] = {}
         self.words = self._special_words()
-        #: Tokens by their last symbol, as (symbols, token), longest first: those the merges really make.
-        self.by_last: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        #: The tokens that the merges really make, as a trie read from their last symbol backwards; None leads to the token.
+        self.backward: dict = {}
         for token in self.ids:
             own = self._symbols_of(token)
             if len(own) == 1 or self._merged(own) == [token]:
-                self.by_last.setdefault(own[-1], []).append((own, token))
-        for own in self.by_last.values():
-            own.sort(key=lambda x: -len(x[0]))
-        self.endings = {last: {x: token for x, token in own} for last, own in self.by_last.items()}
-        self.longest = {last: sorted({len(x) for x, _ in own}, reverse=True) for last, own in self.by_last.items()}
+                node = self.backward
+                for symbol in reversed(own):
+                    node = node.setdefault(symbol, {})
+                node[None] = token
 
     def _special_words(self) -> dict[str, str]:
         """The special tokens: no other word of the pattern can be one of them."""
@@ -96,19 +95,22 @@ class WordBpe:
 
     def _last_token(self, path: list[str], states: list[tuple[str, int]]) -> tuple[str, int]:
         """The last token of the prefix ``path``, and its number of symbols, given its shorter prefixes' states."""
-        last, n = path[-1], len(path)
-        endings = self.endings[last]
-        for size in self.longest[last]:
-            if size <= n and (t := endings.get(tuple(path[n - size :]))) is not None and (size == n or self._stay_apart(states[n - size - 1][0], t)):
-                return t, size
-        raise ValueError(f"no token ends with {last!r}")
+        n = at = len(path)
+        node, found = self.backward, []
+        while at and (node := node.get(path[at - 1])) is not None:
+            at -= 1
+            if (token := node.get(None)) is not None:
+                found.append((token, n - at))
+        for token, size in reversed(found):
+            if size == n or self._stay_apart(states[n - size - 1][0], token):
+                return token, size
+        raise ValueError(f"no token ends with {path[-1]!r}")
 
     def learn(self, words: set[str]) -> None:
         """Encode new words, by a walk over their trie."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > KEEP_WORDS:
-            self.words = self._special_words()
-            new = [w for w in words if w not in self.words]
+            self.words = self._special_words() | {w: self.words[w] for w in words if w in self.words}
         if len(self.apart) > 2 * KEEP_WORDS:
             self.apart.clear()
         root: dict = {}
