@@ -1,45 +1,73 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines chooses where chunks end,
-so that an inserted or lost line moves the chunks around it only. Chunks of
-several lines that occur more than once are found by a hash over all documents;
+A rolling hash over the hashes of neighbouring lines chooses where chunks of two
+lines or more end, so that an inserted or lost line moves the chunks around it
+only. Chunks that occur more than once are found by a hash over all documents;
 each is then compared, byte by byte, with the occurrence that stays, and removed
 if they are equal.
+
+Where a chunk ends depends on lines outside a short repeat, so chunks alone miss
+most repeats of few lines. ``repeated_passages`` therefore also starts a chunk of
+two lines at every line: any two neighbouring lines are a chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphmill.llm._shared import Scratch
 from morphmill.llm._text import char_offsets, line_bounds, line_hashes, mix, run_hashes, slices, text_bytes
 
-#: A chunk ends after a line with the chance of one in so many.
-EVERY = 4
+#: A chunk of two lines or more ends after a line with the chance of one in so many.
+EVERY = 2
 
 
 def chunk_bounds(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The last lines of chunks: those where the hash of a line and the one before says so, and each text's last."""
+    """The last lines of chunks: those where the hash of a line and the one before says so, and each text's last.
+
+    No chunk has one line, but that of a text of one line.
+    """
     before = np.zeros(len(hashes), np.uint64)
     same = doc[1:] == doc[:-1]
     before[1:][same] = mix(hashes[:-1][same])
     ends = mix(mix(before) + hashes) % np.uint64(EVERY) == 0
-    ends[-1] = True
-    ends[:-1] |= ~same
-    return np.flatnonzero(ends)
+    # not after a text's first line; of neighbouring ends the first, third, ... stay
+    ends[0] = False
+    ends[1:] &= same
+    at = np.arange(len(ends))
+    ends &= (at - np.maximum.accumulate(np.where(ends, -1, at))) % 2 == 1
+    final = np.append(~same, True)
+    # what would be a last chunk of one line joins the one before
+    ends[:-1] &= ~final[1:]
+    return np.flatnonzero(ends | final)
+
+
+def line_pairs(hashes: np.ndarray, doc: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, last line, hash) of each line that is not empty and the next such line of its text; empty ones may lie between."""
+    at = np.flatnonzero(full)
+    at, after = at[:-1], at[1:]
+    same = doc[at] == doc[after]
+    at, after = at[same], after[same]
+    return at, after, mix(mix(mix(hashes[at]) + hashes[after]) + (after - at).astype(np.uint64))
 
 
-def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to a row per text: its lines, and its chunks of two lines or more; offsets in bytes and characters."""
-    kind = pa.struct([("start", pa.int64()), ("bytes", pa.int64()), ("char", pa.int64()), ("char_end", pa.int64()), ("lines", pa.int64()), ("h", pa.int64())])
+KIND = pa.struct([("start", pa.int64()), ("bytes", pa.int64()), ("char", pa.int64()), ("char_end", pa.int64()), ("line", pa.int64()), ("lines", pa.int64()), ("h", pa.int64())])
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Iterator[pa.RecordBatch]:
+    """(id, text) to a row per text: its lines, and its chunks of two lines or more; offsets in bytes and characters.
+
+    With ``pairs``, the chunks that are listed are those of three lines or more, two of them not empty, and all ``line_pairs``.
+    """
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        n_lines, lists, values, at = [], [0], [], 0
+        n_lines, n_chunks, lists, values, at = [], [], [0], [], 0
         for i, j in slices(offsets):
             part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, ends, doc = line_bounds(part, offs)
@@ -48,17 +76,27 @@ def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first = np.concatenate(([0], last[:-1] + 1))
             counts = last - first + 1
             chunk = run_hashes(hashes, first, counts)
-            many = np.flatnonzero(counts > 1)
-            first, last, counts, chunk = first[many], last[many], counts[many], chunk[many]
+            many = counts > 1
+            n_chunks.append(np.bincount(doc[first[many]], minlength=j - i))
+            if pairs:
+                full = ends > starts
+                many = (counts > 2) & (np.add.reduceat(full.astype(np.int64), first) > 1)
+                own = line_pairs(hashes, doc, full)
+                first, last, chunk = (np.concatenate((x[many], y)) for x, y in zip((first, last, chunk), own, strict=True))
+                order = np.argsort(first, kind="stable")
+                first, last, chunk = first[order], last[order], chunk[order]
+            else:
+                first, last, chunk = first[many], last[many], chunk[many]
             of, chars = doc[first], char_offsets(part)
             n_lines.append(np.bincount(doc, minlength=j - i))
-            values.append([starts[first] - offs[of], ends[last] - starts[first], chars[starts[first]] - chars[offs[of]], chars[ends[last]] - chars[offs[of]], counts, chunk.view(np.int64)])
+            line = first - np.searchsorted(doc, of)
+            values.append([starts[first] - offs[of], ends[last] - starts[first], chars[starts[first]] - chars[offs[of]], chars[ends[last]] - chars[offs[of]], line, last - first + 1, chunk.view(np.int64)])
             lists += (at + np.searchsorted(of, np.arange(1, j - i + 1))).tolist()
             at += len(of)
-        columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*values, strict=True)] if values else [pa.array([], pa.int64())] * 6
-        chunks = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
-        lines = pa.array(np.concatenate(n_lines) if n_lines else [], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), lines, chunks], ["id", "n_lines", "chunks"])
+        columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*values, strict=True)] if values else [pa.array([], pa.int64())] * len(KIND)
+        chunks = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(KIND)))
+        counted = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (n_lines, n_chunks)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *counted, chunks], ["id", "n_lines", "n_chunks", "chunks"])
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,23 +108,49 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is that of an unequal one stays. Other columns are neither read nor returned.
     An empty table gives an empty result.
     """
+    return _repeated(docs, id_col, text_col, pairs=False)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``repeated_chunks``, but also any two neighbouring lines that occur before are removed, wherever chunks end.
+
+    Neighbours are lines that are not empty; empty ones may lie between. A
+    chunk that overlaps the equal one that stays is not removed. Spans that
+    overlap or touch are one. Each line that is removed occurs earlier too.
+    """
+    return _repeated(docs, id_col, text_col, pairs=True)
+
+
+def _joined(gone: DataFrame) -> DataFrame:
+    """Chunks to remove, those of a text that overlap or are neighbours joined to one."""
+    w = Window.partitionBy("id").orderBy("line", "lines")
+    reach = F.max(F.col("line") + F.col("lines")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gone = gone.withColumn("opens", F.coalesce(F.col("line") > reach, F.lit(True)).cast("int"))
+    gone = gone.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = F.max(F.col("line") + F.col("lines")) - F.min("line")
+    return gone.groupBy("id", "run").agg(F.min("char").alias("char"), F.max("char_end").alias("char_end"), lines.alias("lines"))
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str, pairs: bool) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        schema = "id long, n_lines long, chunks array<struct<start: long, bytes: long, char: long, char_end: long, lines: long, h: long>>"
-        rows = scratch.save(text.mapInArrow(chunk_batches, schema), "chunks", keep=True)
+        schema = "id long, n_lines long, n_chunks long, chunks array<struct<start: long, bytes: long, char: long, char_end: long, line: long, lines: long, h: long>>"
+        rows = scratch.save(text.mapInArrow(partial(chunk_batches, pairs=pairs), schema), "chunks", keep=True)
         chunks = rows.where("id is not null").select("id", F.inline("chunks"))
         place = F.struct("id", "start")
         groups = chunks.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("latest")).where("first <> latest").select("h", "first")
-        again = scratch.save(chunks.join(groups, "h").select("*", (F.struct("id", "start") == F.col("first")).alias("stays")), "again")
-        wanted = again.groupBy("id").agg(F.collect_set(F.struct("start", "bytes", "char", "char_end", "lines", "h", "stays")).alias("wanted"))
+        again = chunks.join(groups, "h").where("id <> first.id or start = first.start or start >= first.start + bytes")
+        again = scratch.save(again.select("*", (F.struct("id", "start") == F.col("first")).alias("stays")), "again")
+        wanted = again.groupBy("id").agg(F.collect_set(F.struct("start", "bytes", "char", "char_end", "line", "lines", "h", "stays")).alias("wanted"))
         # of each text only the chunks in question go on
-        cut = text.where("id is not null").join(wanted, "id").select("id", F.encode("text", "UTF-8").alias("t"), F.explode("wanted").alias("w"))
-        cut = cut.select("id", "w.*", F.expr("substring(t, cast(w.start as int) + 1, cast(w.bytes as int))").alias("held"))
+        held = F.expr("transform(wanted, w -> struct(w.char, w.char_end, w.line, w.lines, w.h, w.stays, substring(t, cast(w.start as int) + 1, cast(w.bytes as int)) as held))")
+        cut = text.where("id is not null").join(wanted, "id").select("id", F.encode("text", "UTF-8").alias("t"), "wanted").select("id", F.inline(held))
         cut = scratch.save(cut, "held")
         kept = cut.where("stays").groupBy("h").agg(F.min("held").alias("kept"))
-        gone = cut.where("not stays").join(kept, "h").where("held = kept").select("id", "char", "char_end", "lines").distinct()
+        gone = cut.where("not stays").join(kept, "h").where("held = kept").select("id", "char", "char_end", "line", "lines").distinct()
+        gone = _joined(gone) if pairs else gone
         spans = F.transform(F.array_sort(F.collect_list(F.struct("char", "char_end"))), lambda x: F.struct(x["char"].alias("start"), x["char_end"].alias("end")))
         removed = scratch.save(gone.groupBy("id").agg(spans.alias("spans"), F.sum("lines").alias("removed_lines")), "removed", keep=True)
-    out = rows.select("id", "n_lines", F.size("chunks").cast("long").alias("n_chunks")).join(removed, "id", "left")
+    out = rows.select("id", "n_lines", "n_chunks").join(removed, "id", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>"))
     return out.select(F.col("id").alias(id_col), "n_lines", "n_chunks", spans.alias("spans"), F.coalesce("removed_lines", F.lit(0).cast("long")).alias("removed_lines"))

@@ -166,6 +166,64 @@ def test_chunks_after_an_inserted_line_stay():
     assert len(one - two) <= 3
 
 
+def test_short_passages_between_different_lines_are_removed(spark):
+    """Planted passages of two to five lines, and single lines, which stay; all against brute force."""
+    rng = random.Random(5)
+
+    def line():
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(6))
+
+    passages = [[line() for _ in range(2 + k % 4)] for k in range(40)]
+    rows, planted = [], {}
+    for i in range(120):
+        text = [line() for _ in range(rng.randrange(1, 6))]
+        passage = passages[i % 40]
+        at = len(text)
+        text += passage + [line() for _ in range(rng.randrange(1, 6))] + [passages[(i + 1) % 40][0]] + [line()]
+        planted[i] = "\n".join(passage)
+        rows.append((i, "\n".join(text)))
+        if i >= 40:
+            start = len("\n".join(text[:at])) + 1
+            planted[i] = [(start, start + len(planted[i]), len(passage))]
+        else:
+            planted[i] = []
+    got = {r["doc_id"]: r for r in line_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i: [(s["start"], s["end"]) for s in r["spans"]] for i, r in got.items()} == {i: [(a, b) for a, b, _ in x] for i, x in planted.items()}
+    assert {i: r["removed_lines"] for i, r in got.items()} == {i: sum(n for _, _, n in x) for i, x in planted.items()}
+
+
+def test_repeated_passages_as_brute_force(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    rows = {r["doc_id"]: r["text"].split("\n") for r in docs.select("doc_id", "text").collect()}
+    first, want = {}, {}
+    for i in sorted(rows):
+        lines, gone = rows[i], set()
+        for n in range(len(lines) - 1):
+            a, at = first.setdefault((lines[n], lines[n + 1]), (i, n))
+            if a != i or n > at + 1:
+                gone |= {n, n + 1}
+        want[i] = len(gone)
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.repeated_passages(docs).collect()}
+    assert got == want
+
+
+def test_overlapping_and_empty_lines(spark):
+    docs = spark.createDataFrame([(1, "a\na\na\na\na"), (2, "x\n\n\ny"), (3, "z\n\n\n\ny\n\n"), (4, "q\nx\n\n\ny\nr"), (5, "only"), (6, "only"), (None, "a\na"), (7, None)], "doc_id long, text string")
+    got = {r["doc_id"]: ([tuple(s) for s in r["spans"]], r["removed_lines"]) for r in line_dedup.repeated_passages(docs).collect()}
+    none = ([], 0)
+    assert got == {1: ([(4, 9)], 3), 2: none, 3: none, 4: ([(2, 7)], 4), 5: none, 6: none, None: none, 7: none}
+
+
+def test_no_chunk_of_one_line():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        doc = np.sort(rng.integers(0, 12, 60))
+        last = line_dedup.chunk_bounds(rng.integers(0, 1 << 63, 60, dtype=np.uint64), doc)
+        first = np.concatenate(([0], last[:-1] + 1))
+        assert (doc[first] == doc[last]).all()
+        assert all(b > a or (doc == doc[a]).sum() == 1 for a, b in zip(first, last, strict=True))
+
+
 def test_colliding_chunks_stay(spark, monkeypatch):
     """With a hash that tells nothing apart, unequal chunks are kept by the byte comparison."""
     docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, "e\nf\ng\nh")], "doc_id long, text string")
