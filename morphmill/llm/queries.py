@@ -51,7 +51,7 @@ def _span_text(spans: str) -> Column:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_spans(_table(spark, sf_dir, "documents"))
+    found = repeated_spans(_table(spark, sf_dir, "documents"), cut_long=True)
     return found.select("doc_id", _span_text("spans"), "removed_units", "removed_words", "removed_chars")
 
 

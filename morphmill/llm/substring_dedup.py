@@ -4,12 +4,15 @@ Units are lines, cut further at sentence ends. A unit's digest is that of its
 normalised words (A-Z lower-cased, white space as one). Digests are grouped over
 all documents; the occurrence with the smallest (id, unit number) stays. Of the
 others, runs of neighbouring units that have enough words together are removed,
-with their offsets in the original text.
+with their offsets in the original text. On request, long units are cut further
+at words that their neighbours choose, so that equal passages inside different
+long units have equal units too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,34 @@ from morphmill.llm._text import char_offsets, lower, mix, run_hashes, slices, te
 
 _STOP = np.isin(np.arange(256), list(b".!?"))
 _SALT = np.uint64(0xA0761D6478BD642F)
+#: Units of more words can be cut further, where a pair of words has the least hash of so many to either side.
+LONG_UNIT, REACH = 16, 3
+#: What is longer still has few different words and is cut in even parts.
+LONG_PART, PART = 32, 8
 UNITS = "id long, unit int, start long, end long, words int, h1 long, h2 long"
 
 
-def unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def inner_ends(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The last words of the parts of long units; ``last`` are those of the units."""
+    n = len(hashes)
+    counts = np.diff(last, prepend=-1)
+    if n <= LONG_UNIT:
+        return last
+    pairs = mix(mix(hashes) + np.append(hashes[1:], hashes[:1]))
+    unit = np.repeat(np.arange(len(last)), counts)
+    # all words that have a say lie in the unit
+    at = np.arange(REACH, n - REACH - 1)
+    at = at[(unit[at - REACH] == unit[at + REACH + 1]) & (counts[unit[at]] > LONG_UNIT)]
+    for d in range(1, REACH + 1):
+        at = at[(pairs[at] < pairs[at - d]) & (pairs[at] <= pairs[at + d])]
+    last = np.union1d(last, at)
+    counts = np.diff(last, prepend=-1)
+    inside = np.arange(n) - np.repeat(last - counts + 1, counts)
+    even = np.flatnonzero((np.repeat(counts, counts) > LONG_PART) & (inside % PART == PART - 1))
+    return np.union1d(last, even)
+
+
+def unit_batches(batches: Iterator[pa.RecordBatch], cut_long: bool = False) -> Iterator[pa.RecordBatch]:
     """(id, text) to units; start and end in characters."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
@@ -39,9 +66,10 @@ def unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = np.ones(len(starts), bool)
             stop[:-1] = _STOP[part[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]]) | (doc[1:] != doc[:-1])
             last = np.flatnonzero(stop)
+            hashes = word_hashes(part, starts, ends)
+            last = inner_ends(hashes, last) if cut_long else last
             first = np.concatenate(([0], last[:-1] + 1))
             counts = last - first + 1
-            hashes = word_hashes(part, starts, ends)
             chars = char_offsets(part)
             of = doc[first]
             unit = np.arange(len(first)) - np.searchsorted(of, of)
@@ -79,17 +107,19 @@ def _runs(least_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", cut_long: bool = False) -> DataFrame:
     """Per row of docs: its id, ``spans`` to remove (characters, end exclusive), ``removed_units``, ``removed_words``, ``removed_chars``.
 
     Null, empty and blank texts have no units. A row without id is ranked and
     changed by none: its units count for nobody, and it has no spans. Rows that
     repeat an id are one document: they get the same spans, which are right for
     rows that repeat the text too. Other columns are neither read nor returned.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Repeated units that have fewer than
+    ``least_words`` together with their repeated neighbours stay. With
+    ``cut_long``, units of more than LONG_UNIT words are cut further.
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    units = text.mapInArrow(unit_batches, UNITS)
+    units = text.mapInArrow(partial(unit_batches, cut_long=cut_long), UNITS)
     # one row per digest and map task leaves for the shuffle, however often a unit occurs
     groups = units.select("h1", "h2", "id", "unit").groupBy("h1", "h2").agg(F.min(F.struct("id", "unit")).alias("first"), F.max(F.struct("id", "unit")).alias("latest"))
     groups = groups.where("first <> latest").select("h1", "h2", "first")

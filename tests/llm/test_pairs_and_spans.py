@@ -134,6 +134,27 @@ def test_repeated_spans_as_brute_force(spark, medium):
         assert left[i] == text
 
 
+def test_passages_inside_long_lines_are_found(spark):
+    """Planted passages of 50 words, and of one word over and over, in the middle of lines without sentence ends."""
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+    passages = [words(50) for _ in range(100)] + [["again"] * 60]
+    rows, inside = [], {}
+    for i in range(202):
+        before, passage = " ".join(words(rng.randrange(20, 90))), " ".join(passages[i % 101])
+        rows.append((i, f"{before} {passage} {' '.join(words(rng.randrange(20, 90)))}"))
+        inside[i] = (len(before) + 1, len(before) + 1 + len(passage))
+    rows.append((202, " ".join(words(500))))
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), cut_long=True).collect()}
+    assert all(not got[i]["spans"] for i in [*range(100), 202])
+    for i in range(101, 202):
+        assert got[i]["removed_words"] >= 20
+        assert all(inside[i][0] <= s["start"] and s["end"] <= inside[i][1] for s in got[i]["spans"])
+
+
 def chunks_of(text):
     """(start, end in characters, number of lines) of the chunks of a text, its boundaries from one text at a time."""
     data = np.frombuffer((text or "").encode(), np.uint8)
