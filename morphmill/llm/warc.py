@@ -249,13 +249,17 @@ def reassembled(records: DataFrame) -> DataFrame:
 
 
 def archived_pages(records: DataFrame) -> DataFrame:
-    """Per page: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``; a revisit's payload is that of its response."""
-    responses = reassembled(records)
+    """Per page: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``fault``; a revisit's payload is that of its response.
+
+    A response with a fault has a null length and digest; a revisit without a right response has a fault and a null length.
+    """
+    right = [F.when(~F.col("fault"), F.col(c)).alias(c) for c in ("payload_bytes", "payload_digest")]
+    responses = reassembled(records).select("page_id", *right, "fault")
     revisits = records.where("type = 'revisit'").select("page_id", "digest", "refers_to")
     slim = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), "payload_bytes").distinct()
     again = revisits.join(slim, ["refers_to", "digest"], "left")
-    out = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return out.union(again.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"))
+    out = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "fault")
+    return out.union(again.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to", F.col("payload_bytes").isNull().alias("fault")))
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -264,6 +268,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     A null payload is empty. A null id is read back as null. Repeated rows have a
     record each. White space in URLs is left out; a null URL is empty. Other
     columns are neither read nor returned. An empty table gives an empty result.
+    A record that is not read back as its header says is an error.
     """
     spark = pages.sparkSession
     with Scratch(spark) as scratch:
@@ -271,4 +276,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
         scratch.paths.append(path)
         write_archives(pages, path, id_col, url_col, payload_col)
         found = scratch.save(archived_pages(read_archives(spark, path)), "pages", keep=True)
-    return found.withColumnRenamed("page_id", id_col)
+    faults = found.where("fault").count()
+    if faults:
+        raise ValueError(f"{faults} records of the archives have a fault")
+    return found.drop("fault").withColumnRenamed("page_id", id_col)

@@ -276,3 +276,14 @@ def test_stages_return_the_columns_of_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_faulty_responses_have_no_payload(spark):
+    """A response whose second segment is missing, a revisit of it, and a whole response."""
+    base = dict(uri="u", segment=None, total=None, refers_to=None)
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\nhalf", b"HTTP/1.1 200 OK\r\n\r\nwhole", b""]
+    digests = [hashlib.sha1(b).hexdigest() for b in (b"half and more", b"whole", b"half and more")]
+    own = [dict(type="response", segment=1, page_id=1), dict(type="response", page_id=2), dict(type="revisit", page_id=3, refers_to=1)]
+    rows = [base | o | dict(record_id=str(k), origin=str(k), length=len(b), digest=d, block=b) for k, (o, b, d) in enumerate(zip(own, blocks, digests, strict=True))]
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["fault"]) for r in warc.archived_pages(spark.createDataFrame(rows, warc.PARSED)).collect()}
+    assert got == {1: (None, None, True), 2: (5, digests[1], False), 3: (None, digests[2], True)}
