@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (tests, a single machine) a
-    temporary folder of the driver is used, and kept in the session's setting.
+    A session of one machine without that setting gets a temporary folder, kept
+    in its setting; a cluster without it is an error, as no machine's own folder
+    is seen by the others.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = tempfile.mkdtemp(prefix="morphmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,8 +47,32 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Per open ``written`` block, the kept tables of what runs in it.
+_kept: list[list[str]] = []
+
+
+def keep(spark: SparkSession, path: str) -> None:
+    """Leave a folder to a lazy result: it goes with the ``written`` block around it, or with the session's JVM."""
+    if _kept:
+        _kept[-1].append(path)
+        return
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+@contextmanager
+def written(spark: SparkSession):
+    """A block in which results are computed and written; the tables they were kept in go at its end."""
+    _kept.append([])
+    try:
+        yield
+    finally:
+        for path in _kept.pop():
+            delete(spark, path)
+
+
 class Scratch:
-    """Written tables that end with a ``with`` block, unless kept."""
+    """Written tables that end with a ``with`` block; kept ones stay as long as their lazy result needs them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -60,7 +88,9 @@ class Scratch:
         """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
         path = shared_dir(self.spark, name)
         df.write.parquet(path)
-        if not keep:
+        if keep:
+            _keep(self.spark, path)
+        else:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -72,6 +102,26 @@ class Scratch:
             delete(self.spark, path)
 
 
+_keep = keep
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], held: str) -> DataFrame:
+    """rows joined with the one row that groups, a saved table, has of their key; ``held`` is a key's number of rows.
+
+    Keys of over a thousandth of all counted rows are 1000 at most, however large
+    the tables are: their groups are broadcast, and their rows stay where they
+    are. All other keys go through a plain equi-join of two exchanges, which
+    Spark can split where a partition is large.
+    """
+    total = groups.agg(F.sum(held)).first()[0] or 0
+    hot = F.col(held) * 1000 > total
+    often = groups.where(hot)
+    if not often.limit(1).count():
+        return rows.join(groups, on)
+    seldom = rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(groups.where(~hot), on)
+    return rows.join(F.broadcast(often), on).unionByName(seldom)
+
+
 #: Edges that one task contracts; its memory is bounded by them.
 LOCAL_EDGES = 300_000
 

@@ -64,7 +64,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_round_trip(_table(spark, sf_dir, "pages"))
+    # segments of a few KB, so that about half of the pages have several
+    return archive_round_trip(_table(spark, sf_dir, "pages"), segment_bytes=2048, chunk_bytes=1024)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ WITH p AS (
 )
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND winner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND winner <> page_id THEN winner END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND winner <> page_id THEN winner END AS refers_to, false AS fault
 FROM w
 """
 

@@ -233,6 +233,8 @@ def test_round_trip_of_odd_pages(spark):
         again = len(html.encode()) >= 1000 and winner[html] != i
         want[i, len(html.encode()), hashlib.sha1(html.encode()).hexdigest(), "revisit" if again else "response", winner[html] if again else None] += 1
     assert got == want
+    small = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(pages, segment_bytes=50, chunk_bytes=7).where("not fault").collect())
+    assert small == want
     assert warc.archive_round_trip(pages.where("false")).collect() == []
 
 
@@ -242,7 +244,34 @@ def test_lost_segments_are_faults(spark, tmp_path):
     records = warc.read_archives(spark, f"file://{tmp_path}/w")
     assert records.where("type = 'continuation'").count() >= 3
     assert [r["fault"] for r in warc.reassembled(records).collect()] == [False]
-    assert [r["fault"] for r in warc.reassembled(records.where("coalesce(segment, 0) <> 2")).collect()] == [True]
+    for less in ("coalesce(segment, 0) <> 2", "coalesce(segment, 0) <> 1", "coalesce(segment, 0) <> 4"):
+        assert [(r["fault"], r["payload_bytes"]) for r in warc.reassembled(records.where(less)).collect()] == [(True, None)]
+    assert [r["fault"] for r in warc.reassembled(records.union(records)).collect()] == [True]
+
+
+def test_the_query_segments_many_pages(spark, medium, tmp_path):
+    pages = spark.read.parquet(f"{medium}/pages.parquet")
+    warc.write_archives(pages, f"file://{tmp_path}/w", segment_bytes=2048, chunk_bytes=1024)
+    records = warc.read_archives(spark, f"file://{tmp_path}/w")
+    assert records.where("segment = 1").count() > 80
+
+
+def test_broken_archives(spark, tmp_path):
+    """A length that is no number, a segment number that is none, a record cut off, and one without identifier; whole ones around them stay."""
+    import gzip
+
+    def record(n, length=None, more=(), body=b"HTTP/1.1 200 OK\r\n\r\nbody\nof two lines"):
+        digest = hashlib.sha1(body.partition(b"\r\n\r\n")[2]).hexdigest()
+        head = ["WARC/1.1", "WARC-Type: response", f"X-Page-ID: {n}", f"WARC-Payload-Digest: sha1:{digest}", *more, f"Content-Length: {len(body) if length is None else length}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    own = lambda n: f"WARC-Record-ID: <r{n}>"
+    files = [[record(1, None, [own(1)]), record(2, "many", [own(2)]), record(3, None, [own(3), "WARC-Segment-Number: x"]), record(4), record(5)], [record(6, None, [own(6)]), record(7, 4000, [own(7)])], [b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 8"]]
+    for k, parts in enumerate(files):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["fault"]) for r in warc.archived_pages(warc.read_archives(spark, f"file://{tmp_path}")).collect()}
+    right, wrong = (17, "response", False), (None, "response", True)
+    assert got == {1: right, 2: wrong, 3: wrong, 4: right, 5: right, 6: right, 7: wrong, 8: wrong}
 
 
 def test_chunked_framing():
@@ -280,7 +309,7 @@ def test_stages_return_the_columns_of_documents(spark, small):
 
 def test_faulty_responses_have_no_payload(spark):
     """A response whose second segment is missing, a revisit of it, and a whole response."""
-    base = dict(uri="u", segment=None, total=None, refers_to=None)
+    base = dict(uri="u", segment=None, total=None, refers_to=None, fault=False)
     blocks = [b"HTTP/1.1 200 OK\r\n\r\nhalf", b"HTTP/1.1 200 OK\r\n\r\nwhole", b""]
     digests = [hashlib.sha1(b).hexdigest() for b in (b"half and more", b"whole", b"half and more")]
     own = [dict(type="response", segment=1, page_id=1), dict(type="response", page_id=2), dict(type="revisit", page_id=3, refers_to=1)]
