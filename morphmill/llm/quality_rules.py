@@ -8,10 +8,11 @@ to all hosts, and the hosts' verdicts are joined back to the documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphmill.llm._shared import Scratch, spare_name
@@ -78,14 +79,16 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), *columns], ["id", "host", *COUNTS])
 
 
-def host_verdicts(checked: DataFrame, rules: list[str], worst: float = 0.5, least_docs: int = 20) -> DataFrame:
+def host_verdicts(checked: DataFrame, rules: list[str], factor: float = 2.0, sure: float = 2.0, least_rate: float = 0.2) -> DataFrame:
     """(host, n_docs, <rule>_rate ..., host_bad) from rows with host and a boolean per rule.
 
-    A host's rate of a rule is (fails + a) / (documents + a + b), with the beta
-    prior (a, b) of the rule fitted to all hosts by moments: the spread of the
-    hosts' rates beyond what their sizes explain. A host is bad if it has
-    ``least_docs`` documents at least and a shrunk rate above ``worst``.
-    The priors are one row, made by an aggregate of the hosts.
+    A host's rate of a rule has a beta posterior, (fails + a, passes + b), with
+    the prior (a, b) of the rule fitted to all hosts by moments: the spread of
+    the hosts' rates beyond what their sizes explain. Its mean is the shrunk rate.
+    A host is bad if, for some rule, that mean less ``sure`` of the posterior's
+    deviations is above ``factor`` times the rule's rate in the corpus, and above
+    ``least_rate``. So a sparse host is bad only if the prior's spread makes it
+    likely. The priors are one row, made by an aggregate of the hosts.
     """
     n = F.col("n_docs")
     hosts = checked.groupBy("host").agg(F.count("*").alias("n_docs"), *[F.sum(F.col(r).cast("long")).alias(f"{r}_fails") for r in rules])
@@ -96,35 +99,37 @@ def host_verdicts(checked: DataFrame, rules: list[str], worst: float = 0.5, leas
         priors += [mean.alias(f"{r}_m"), F.sum(fails * fails / n).alias(f"{r}_q")]
     total = hosts.agg(F.count("*").alias("hosts"), F.sum("n_docs").alias("docs"), F.sum(n * n).alias("squares"), *priors)
     joined = hosts.crossJoin(F.broadcast(total))  # one row
-    rates = []
+    rates, bad = [], []
     for r in rules:
-        m, between = F.col(f"{r}_m"), None
+        m = F.col(f"{r}_m")
         noise = m * (1 - m)
         # sum of n * (rate - m)^2 has the mean (hosts - 1) * noise + spread * (docs - squares / docs)
         between = (F.col(f"{r}_q") - F.col("docs") * m * m - (F.col("hosts") - 1) * noise) / F.greatest(F.col("docs") - F.col("squares") / F.col("docs"), F.lit(1.0))
         strength = F.when((noise <= 0) | (between <= noise / 1e6), F.lit(1e6)).otherwise(F.greatest(noise / between - 1, F.lit(1.0)))
-        rates.append(((F.col(f"{r}_fails") + strength * m) / (n + strength)).alias(f"{r}_rate"))
-    bad = F.greatest(*[F.col(f"{r}_rate") for r in rules]) if len(rules) > 1 else F.col(f"{rules[0]}_rate")
-    return joined.select("host", "n_docs", *rates).withColumn("host_bad", (bad > worst) & (F.col("n_docs") >= least_docs))
+        rate = (F.col(f"{r}_fails") + strength * m) / (n + strength)
+        low = rate - sure * F.sqrt(rate * (1 - rate) / (n + strength + 1))
+        rates.append(rate.alias(f"{r}_rate"))
+        bad.append(low > F.greatest(factor * m, F.lit(least_rate)))
+    return joined.select("host", "n_docs", *rates, reduce(Column.__or__, bad).alias("host_bad"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", worst: float = 0.5, least_docs: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **how) -> DataFrame:
     """Per row of docs: its id, host, counts, ``base_failed``, each rule's verdict, the host's rates and ``kept``.
 
     Kept is a row that passes the base rules and all of ``RULES`` and whose host
-    isn't bad. A null text is empty and fails the base; a null host is a host of
-    its own. Repeated rows count each. Other columns are not returned. An empty
-    table gives an empty result.
+    isn't bad (``how``: the limits of ``host_verdicts``). A null text is empty and
+    fails the base; a null host is a host of its own. Repeated rows count each.
+    Other columns are not returned. An empty table gives an empty result.
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         schema = "id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)
         counted = scratch.save(rows.mapInArrow(count_batches, schema), "counts", keep=True)
-    checked = counted.withColumn("base_failed", F.expr(BASE_FAILED))
-    for rule, failed in RULES.items():
-        checked = checked.withColumn(rule, F.expr(failed) & (F.col("n_words") > 0))
-    rules = ["base_failed", *RULES]
-    hosts = host_verdicts(checked, rules, worst, least_docs)
+        checked = counted.withColumn("base_failed", F.expr(BASE_FAILED))
+        for rule, failed in RULES.items():
+            checked = checked.withColumn(rule, F.expr(failed) & (F.col("n_words") > 0))
+        # a row per host; saved, so that Spark knows its size and broadcasts or splits by it
+        hosts = scratch.save(host_verdicts(checked, ["base_failed", *RULES], **how), "hosts", keep=True)
     joined = checked.alias("d").join(hosts.alias("h"), F.expr("d.host <=> h.host"), "left").drop(F.col("h.host"))
     failed = F.col("base_failed") | F.col("host_bad")
     for rule in RULES:

@@ -130,9 +130,10 @@ OP2_SQL = (
   SELECT *, m * (1 - m) AS noise, (q - docs * m * m - (hosts - 1) * m * (1 - m)) / greatest(docs - squares / docs, 1.0) AS between_hosts FROM total
 ), prior AS (
   SELECT rule, m, CASE WHEN noise <= 0 OR between_hosts <= noise / 1e6 THEN 1e6 ELSE greatest(noise / between_hosts - 1, 1.0) END AS strength FROM spread
+), rates AS (
+  SELECT source, n, m, strength, (f + strength * m) / (n + strength) AS rate FROM fails JOIN prior ON prior.rule = fails.rule
 ), hosts AS (
-  SELECT source, max((f + strength * m) / (n + strength)) > 0.5 AND max(n) >= 20 AS host_bad
-  FROM fails JOIN prior ON prior.rule = fails.rule GROUP BY source
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (n + strength + 1)) > greatest(2 * m, 0.2)) AS host_bad FROM rates GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad,
        NOT (base_failed OR symbols OR capitals OR repeated_lines OR word_length OR host_bad) AS kept

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from morphmill.llm import bpe, mixing, pii, quality_classifier, queries, warc
+from morphmill.llm import bpe, mixing, pii, quality_classifier, quality_rules, queries, warc
 from tests.llm.test_pairs_and_spans import components, lower
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,33 @@ def test_same_rows_as_sql(spark, duck, small, name):
     assert Counter(map(repr, map(tuple, got.select(*columns).collect()))) == Counter(repr(tuple(r[i] for i in at)) for r in found.fetchall())
 
 
+# ---- rules
+
+
+def test_bad_hosts(spark):
+    """Planted hosts: bad ones lose their clean documents too; sparse ones and the null host are shrunk to the corpus."""
+    clean = " ".join(f"word{i} and" for i in range(40))
+    junk = "# * | " * 60
+    rng = random.Random(6)
+    shares = {"good": (300, 0.02), "fair": (300, 0.12), "bad": (200, 0.6), "worse": (90, 0.95), "sparse": (2, 1.0), "one": (1, 0.0), None: (40, 0.05)}
+    shares |= {f"plain{i}": (60, 0.05) for i in range(12)}
+    rows = []
+    for host, (n, share) in shares.items():
+        failing = {*range(round(n * share))}
+        rows += [(host, junk if k in failing else clean + f" {host} {k}") for k in range(n)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    judged = quality_rules.quality_rules(docs).collect()
+    assert {r["host"] for r in judged if r["host_bad"]} == {"bad", "worse"}
+    lost = [r for r in judged if not r["kept"] and rows[r["doc_id"]][1] != junk]
+    assert len(lost) == 80 + round(90 * 0.05) and {r["host"] for r in lost} == {"bad", "worse"}
+    con = duckdb.connect()
+    planted = docs.toPandas()  # noqa: F841
+    con.execute("create table documents as select * from planted")
+    want = dict(con.execute(f"select doc_id, kept from ({queries.OP2_SQL})").fetchall())
+    assert {r["doc_id"]: r["kept"] for r in judged} == want
+
+
 # ---- mixing
 
 
