@@ -1,13 +1,16 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
 The model is trained on the driver from labelled spans: windows of a bounded
-sample of texts, with spans that the base rules find and spans of generated
-personal data put between words, in more forms than the base rules know. On the
-executors each whole text is cut into overlapping windows; the LSTM runs over
-thousands of windows at a time, the CRF decodes each window, and a text's tags
-are reconciled: each character takes the tag of the window in which it is
-farthest from an edge. Spans that the base rules find always stay; a decoded span
-is added if it touches none of them and has the form of its kind.
+sample of texts, with spans that the base rules find, spans of generated personal
+data put between words, in more forms than the base rules know, and generated
+strings that only look like it. On the executors each whole text is cut into
+overlapping windows, and the LSTM runs over thousands of windows at a time. The
+windows of a text are then reconciled globally: each character's tag scores are
+those of the window in which it is farthest from an edge, and the CRF finds the
+best tags of the whole text from all scores together, so that no span is cut
+where two windows meet. Spans that the base rules find always stay; a decoded
+span is added if it touches none of them, its score is above that of no
+span, and its digits are as many as its kind's and pass its check digit.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ WINDOW, OVERLAP = 192, 32
 #: Symbols: padding, the ASCII characters, all others as one.
 SYMBOLS = 130
 HIDDEN = 8
-#: Texts that the model is trained from, at most, and windows of them.
-TRAIN_TEXTS, TRAIN_WINDOWS = 400, 1600
+#: Texts that the model is trained from, at most, and windows of each.
+TRAIN_TEXTS, WINDOWS_PER_TEXT = 400, 5
+#: How much better, in log units, an added span must be than none in its place.
+MARGIN = 1.0
+#: Letters and digits that an added span may be widened by, to either side, and its longest length in all.
+WIDEN, LONGEST = 64, 160
 #: Windows worked on at a time.
 BATCH = 2048
 
@@ -216,30 +223,40 @@ class Tagger:
                 out[t] += w @ state
         return out
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tags (time, batch) of windows x (time, batch)."""
-        emit = self.emissions(x)
-        tags = np.zeros(x.shape, np.int8)
-        move = self.p["move"]
-        # no path that leaves tag 0 can win where each other tag loses more than two moves could bring
-        gain = 2 * max(0.0, float((move - move[0, 0]).max()))
-        live = np.flatnonzero(((emit[:, 1:].max(axis=1) - emit[:, 0]).max(axis=0) + gain) > 0)
-        if not len(live):
-            return tags
-        emit = np.ascontiguousarray(emit[:, :, live])
-        back = np.empty((len(emit), TAGS, len(live)), np.int8)
-        score = emit[0]
-        for t in range(1, len(emit)):
-            s = score[:, None] + move[:, :, None]
-            back[t] = s.argmax(axis=0)
-            score = s.max(axis=0) + emit[t]
-        best = score.argmax(axis=0)
-        own = np.empty((len(emit), len(live)), np.int8)
-        for t in range(len(emit) - 1, -1, -1):
-            own[t] = best
-            if t:
-                best = back[t][best, np.arange(len(live))]
-        tags[:, live] = own
+    def leaving_gain(self) -> np.ndarray:
+        """Per tag but 0, the most that two moves can bring over tag 0 at one character, whatever its neighbours' tags are."""
+        m = self.p["move"]
+        by_way = np.stack([m[:, c][:, None] + m[c][None, :] for c in range(1, TAGS)])
+        return (by_way - (m[:, 0][:, None] + m[0][None, :])[None]).max(axis=(1, 2))
+
+    def best_tags(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """The best tags of runs of characters, given scores (character, tag); runs are at ``first`` and of ``size``.
+
+        Before a run stands tag 0, unless it opens its text, and after it too,
+        unless it closes it. Runs of similar sizes go step by step together.
+        """
+        move, tags = self.p["move"], np.zeros(len(emit), np.int8)
+        order = np.argsort(-size, kind="stable")
+        at = 0
+        while at < len(order):
+            n = int(size[order[at]])
+            own = order[at : at + max(1, int(np.searchsorted(-size[order[at:]], -(n // 2), "left")))]
+            at += len(own)
+            starts, sizes = first[own], size[own]
+            back = np.zeros((n, TAGS, len(own)), np.int8)
+            score = emit[starts].T + np.where(opens[own], 0, move[0][:, None])
+            active = np.searchsorted(-sizes, -np.arange(n), "left")
+            for t in range(1, n):
+                k = active[t]
+                s = score[:, None, :k] + move[:, :, None]
+                back[t, :, :k] = s.argmax(axis=0)
+                score[:, :k] = s.max(axis=0) + emit[starts[:k] + t].T
+            best = (score + np.where(closes[own], 0, move[:, 0][:, None])).argmax(axis=0)
+            for t in range(n - 1, -1, -1):
+                k = active[t]
+                tags[starts[:k] + t] = best[:k]
+                if t:
+                    best[:k] = back[t][best[:k], np.arange(k)]
         return tags
 
 
@@ -251,68 +268,108 @@ def window_starts(n: int) -> list[int]:
     return list(range(0, max(n - OVERLAP, 1), WINDOW - OVERLAP))
 
 
-def tag_texts(model: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """A tag per character of each text. Windows of texts are decoded together, and don't touch one another's result."""
+def tagged_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
+    """(tag, start, end, margin) of each text's decoded spans; ``margin`` is their score over that of tag 0 in their place.
+
+    Where every other tag loses more by its score than two moves can bring, tag
+    0 is part of the best path for certain. Only the other characters' scores
+    are kept, and the path is worked out for the runs of them.
+    """
     ids = [symbols(t) for t in texts]
     places = [(k, s) for k, x in enumerate(ids) for s in window_starts(len(x))]
-    tags = [np.zeros(len(x), np.int8) for x in ids]
-    edge = OVERLAP // 2
+    gain, edge = model.leaving_gain()[None, :, None], OVERLAP // 2
+    base = np.concatenate(([0], np.cumsum([len(x) + 1 for x in ids])))  # a place between texts parts them
+    held_at, held = [], []
     for i in range(0, len(places), BATCH):
         own = places[i : i + BATCH]
         x = np.zeros((len(own), WINDOW), np.uint8)
+        lo, hi = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         for r, (k, s) in enumerate(own):
+            n = len(ids[k])
             part = ids[k][s : s + WINDOW]
             x[r, : len(part)] = part
-        found = np.ascontiguousarray(model.decode(np.ascontiguousarray(x.T)).T)
-        for r in np.flatnonzero(found.any(axis=1)).tolist():
             # of two windows, a character is farther from the edges in the one whose half of the overlap it is in
-            k, s = own[r]
-            lo = 0 if s == 0 else edge
-            hi = WINDOW if s + WINDOW >= len(ids[k]) else WINDOW - edge
-            hi = min(hi, len(ids[k]) - s)
-            tags[k][s + lo : s + hi] = found[r, lo:hi]
-    return tags
-
-
-_FORMS = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]* ?(?:@|[\[(](?:at|AT)[\])]) ?[A-Za-z0-9-]+ ?(?:(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]+ ?)+"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[ .-]{0,2}[0-9]){12,18}"),
-    "phone": re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?"),
-}
+            lo[r], hi[r] = (0 if s == 0 else edge), (n - s if s + WINDOW >= n else WINDOW - edge)
+        emit = model.emissions(np.ascontiguousarray(x.T))
+        live = (emit[:, 1:] - emit[:, :1] + gain > 0).any(axis=1)
+        time = np.arange(WINDOW)[:, None]
+        step, row = np.nonzero(live & (time >= lo) & (time < hi))
+        starts = np.array([base[k] + s for k, s in own])
+        held_at.append(starts[row] + step)
+        held.append(emit[step, :, row])
+    where = np.concatenate(held_at) if held_at else np.zeros(0, np.int64)
+    order = np.argsort(where, kind="stable")
+    where, emit = where[order], np.concatenate(held)[order] if held else np.zeros((0, TAGS), np.float32)
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    if not len(where):
+        return out
+    first = np.flatnonzero(np.diff(where, prepend=where[0] - 2) != 1)
+    size = np.diff(np.append(first, len(where)))
+    of = np.searchsorted(base, where, "right") - 1
+    opens = where[first] == base[of[first]]
+    last = first + size - 1
+    closes = where[last] == base[of[last] + 1] - 2
+    tags = model.best_tags(emit, first, size, opens, closes)
+    # of neighbouring places with the same tag the first and last
+    turn = np.flatnonzero((np.diff(tags, prepend=0) != 0) | (np.diff(where, prepend=-2) != 1))
+    ends = np.append(turn[1:], len(tags))
+    move = model.p["move"]
+    over = np.concatenate(([0.0], np.cumsum(np.take_along_axis(emit, tags[:, None].astype(np.int64), axis=1)[:, 0].astype(np.float64) - emit[:, 0])))
+    for a, b in zip(turn.tolist(), ends.tolist(), strict=True):
+        tag = int(tags[a])
+        if tag:
+            n = b - a
+            moves = (n - 1) * float(move[tag, tag] - move[0, 0]) + float(move[0, tag] + move[tag, 0] - 2 * move[0, 0])
+            k = int(of[a])
+            start = int(where[a] - base[k])
+            out[k].append((tag, start, start + n, float(over[b] - over[a]) + moves))
+    return out
 
 
-def _holds(kind: str, s: str) -> bool:
-    if not _FORMS[kind].fullmatch(s):
+def _valid(kind: str, s: str) -> bool:
+    """Whether a span's digits can be of its kind; nothing is asked of addresses of mail."""
+    if kind == "email":
+        return any(c.isalpha() for c in s)
+    if any(c.isalpha() for c in s):
         return False
     if kind == "card":
         return _card(s)
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
-    return kind == "email" or 9 <= len(_digits(s)) <= 15
+        parts = re.findall("[0-9]+", s)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 9 <= len(_digits(s)) <= 15
+
 
+def added_spans(text: str, found: list[tuple[int, int, int, float]], base: list[tuple[str, int, int]], margin: float = MARGIN) -> list[tuple[str, int, int]]:
+    """Of decoded spans those to add, from and to the ends of words without marks around them.
 
-def added_spans(text: str, tags: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Decoded spans with the form of their kind that touch no base span, whole words only."""
-    if not tags.any():
+    A word that goes on for more than ``WIDEN`` letters and digits beyond a span
+    has none, and none is longer than ``LONGEST``. The work is linear in the text
+    and the number of spans.
+    """
+    if not found:
         return []
-    cuts = np.flatnonzero(np.diff(tags)) + 1
-    out = []
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tags)], strict=True):
-        if not tags[a]:
+    taken = np.zeros(len(text), bool)
+    for _, a, b in base:
+        taken[a:b] = True
+    out: list[tuple[str, int, int]] = []
+    for tag, a, b, over in found:
+        if over < margin:
             continue
-        # to the ends of the words that the span begins and ends in, then without marks around it
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        kind = KINDS[tags[min(a + (b - a) // 2, len(tags) - 1)] - 1] if tags[min(a + (b - a) // 2, len(tags) - 1)] else None
         while a < b and not (text[a].isalnum() or text[a] == "("):
             a += 1
         while b > a and not (text[b - 1].isalnum() or text[b - 1] in "])"):
             b -= 1
-        if kind and a < b and _holds(kind, text[a:b]) and all(b <= s or e <= a for _, s, e in base) and (not out or a >= out[-1][2]):
-            out.append((kind, a, b))
+        if a == b:
+            continue
+        lo, hi = max(0, a - WIDEN), min(len(text), b + WIDEN)
+        while a > lo and text[a].isalnum() and text[a - 1].isalnum():
+            a -= 1
+        while b < hi and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+        whole = not (a == lo and a > 0 and text[a - 1].isalnum()) and not (b == hi and b < len(text) and text[b].isalnum())
+        if whole and b - a <= LONGEST and (not out or a >= out[-1][2]) and not taken[a:b].any() and _valid(KINDS[tag - 1], text[a:b]):
+            out.append((KINDS[tag - 1], a, b))
     return out
 
 
@@ -329,86 +386,124 @@ def generated(rng: np.random.Generator) -> tuple[str, str]:
 
     kind = KINDS[rng.integers(len(KINDS))]
     if kind == "email":
-        at, dot = [("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]")][rng.integers(4)]
+        at, dot = [("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", ".")][rng.integers(5)]
         return kind, f"{word()}{['.', '_', '', '+'][rng.integers(4)]}{word()}{at}{word()}{dot}{['com', 'org', 'net', 'example'][rng.integers(4)]}"
     if kind == "ip":
-        return kind, ".".join(map(str, rng.integers(0, 256, 4)))
+        return kind, [".", ".", "[.]"][rng.integers(3)].join(map(str, rng.integers(0, 256, 4)))
     if kind == "card":
-        gap = ["", " ", "-"][rng.integers(3)]
+        gap = ["", " ", "-", ".", "  "][rng.integers(5)]
         return kind, gap.join(digits(4) for _ in range(4))
     form = ["+{1} ({3}) {3}-{4}", "({3}) {3}-{4}", "{3}-{3}-{4}", "{3}.{3}.{4}", "+{2} {3} {3} {4}"][rng.integers(5)]
     return kind, re.sub(r"\{([0-9])\}", lambda m: digits(int(m[1])), form)
 
 
-def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, tags) of windows of texts, half of them with generated spans put in between words."""
+def lookalike(rng: np.random.Generator) -> str:
+    """A string that isn't personal data: hexadecimal keys, versions, dates, times, sums and other numbers, marks."""
+    def digits(n: int) -> str:
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    kind = rng.integers(8)
+    if kind < 3:
+        return ["", '"', "token = ", "key="][rng.integers(4)] + "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, rng.integers(6, 48)))
+    if kind == 3:
+        return ["v", ""][rng.integers(2)] + ".".join(digits(1) for _ in range(rng.integers(2, 4)))
+    if kind == 4:
+        return ["{4}-{2}-{2}", "{2}.{2}.{4}", "{2}/{2}/{4}", "{2}:{2}:{2}"][rng.integers(4)].replace("{4}", digits(4)).replace("{2}", digits(2))
+    if kind == 5:
+        return ["$", "", "#"][rng.integers(3)] + f"{digits(rng.integers(1, 4))}{[',', '.', ''][rng.integers(3)]}{digits(rng.integers(2, 4))}"
+    if kind == 6:
+        return "".join("#*$%&|<>@+()[]-_"[i] for i in rng.integers(0, 16, rng.integers(2, 9)))
+    return ["(at)", "[at]", "at", "dot", "@", "e.g.", "(see)", "www.page.com", "file_name.txt"][rng.integers(9)]
+
+
+def training_windows(pieces: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, tags) of pieces of texts, most of them with generated spans or lookalikes put in between words."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
-    for text in texts:
-        pieces = [text[s : s + WINDOW] for s in range(0, max(len(text) - 40, 1), WINDOW)]
-        for k in rng.permutation(len(pieces))[:6].tolist():
-            piece, tags = pieces[k], None
-            if rng.random() < 0.6:
-                kind, put = generated(rng)
-                gaps = [i for i, c in enumerate(piece) if c == " "] or [0]
-                at = gaps[rng.integers(len(gaps))]
-                piece = f"{piece[:at]} {put}{piece[at:]}"[:WINDOW]
-                tags = np.zeros(len(piece), np.int64)
-                tags[at + 1 : at + 1 + len(put)] = KINDS.index(kind) + 1
-            else:
-                tags = np.zeros(len(piece), np.int64)
-            for kind, a, b in base_spans(piece):
-                tags[a:b] = KINDS.index(kind) + 1
-            for m in re.finditer(r"(?<![0-9])[0-9]{13,19}(?![0-9])", piece):  # a card in form; whether it is one, the check digit says later
-                tags[m.start() : m.end()] = KINDS.index("card") + 1
-            x, y = np.zeros(WINDOW, np.uint8), np.zeros(WINDOW, np.int64)
-            x[: len(piece)], y[: len(piece)] = symbols(piece), tags
-            xs.append(x)
-            ys.append(y)
-    order = rng.permutation(len(xs))[:limit]
-    return np.array(xs)[order], np.array(ys)[order]
+    for piece in pieces:
+        kind, put, draw = None, "", rng.random()
+        if draw < 0.55:
+            kind, put = generated(rng)
+        elif draw < 0.85:
+            put = lookalike(rng)
+        at = 0
+        if put:
+            gaps = [i for i, c in enumerate(piece) if c == " "] or [0]
+            at = gaps[rng.integers(len(gaps))]
+            piece = f"{piece[:at]} {put}{piece[at:]}"[:WINDOW]
+        piece = piece[:WINDOW]
+        tags = np.zeros(len(piece), np.int64)
+        if kind:
+            tags[at + 1 : at + 1 + len(put)] = KINDS.index(kind) + 1
+        for other, a, b in base_spans(piece):
+            tags[a:b] = KINDS.index(other) + 1
+        for m in re.finditer(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])", piece):  # a card in form; whether it is one, the check digit says later
+            tags[m.start() : m.end()] = KINDS.index("card") + 1
+        x, y = np.zeros(WINDOW, np.uint8), np.zeros(WINDOW, np.int64)
+        x[: len(piece)], y[: len(piece)] = symbols(piece), tags
+        xs.append(x)
+        ys.append(y)
+    return np.array(xs), np.array(ys)
 
 
 #: For a corpus without any text to learn from.
 _SPARE = ["The words of a text without personal data stand here, so that there is something between the spans. " * 3]
 
 
-def train(texts: list[str], **how) -> Tagger:
-    model = Tagger()
-    model.fit(*training_windows([t for t in texts if t.strip()] or _SPARE * 200), **how)
+def train(pieces: list[str], epochs: int = 8, rounds: int = 2) -> Tagger:
+    """A model fitted on windows of texts, in rounds.
+
+    The texts' own personal data of forms that no base rule knows has no labels
+    and would be learnt as none. So after a round the windows in which the model
+    finds something that touches no base span are left out of the next.
+    """
+    given = [t for t in pieces if t.strip()] or _SPARE * 200
+    model, sure = Tagger(), given
+    for k in range(rounds):
+        model.fit(*training_windows(sure, seed=11 + k), epochs=epochs if k == rounds - 1 else epochs // 2, seed=3 + k)
+        if k < rounds - 1:
+            base = map(base_spans, given)
+            found = tagged_spans(model, given)
+            sure = [t for t, own, f in zip(given, base, found, strict=True) if all(any(x < b and a < y for _, x, y in own) for _, a, b, _ in f)] or given
     return model
 
 
 # ---- the operator -------------------------------------------------------------------------------
 
 
-def _span_texts(model: Tagger, texts: list[str]) -> Iterator[list[tuple[str, int, int]]]:
-    for text, tags in zip(texts, tag_texts(model, texts), strict=True):
+def _span_texts(model: Tagger, texts: list[str], margin: float) -> Iterator[list[tuple[str, int, int]]]:
+    for text, found in zip(texts, tagged_spans(model, texts), strict=True):
         base = base_spans(text)
-        yield base, sorted(base + added_spans(text, tags, base), key=lambda x: (KINDS.index(x[0]), x[1]))
+        yield base, sorted(base + added_spans(text, found, base, margin), key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_texts: int = TRAIN_TEXTS) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_texts: int = TRAIN_TEXTS, windows_per_text: int = WINDOWS_PER_TEXT, margin: float = MARGIN) -> DataFrame:
     """Per row of docs: its id, ``n_<kind>`` and ``base_sha256`` of the base spans, ``spans`` (all) and ``n_added``.
 
-    The model is fitted on ``train_texts`` different texts at most, those first
-    in the order of their hash, and at most 4000 characters of each; it is then run over
-    all characters of all texts. Offsets are in code points, ends exclusive. A
-    null text is empty and has no spans. Null ids and repeated rows are returned
-    as they are; other columns are not. An empty table gives an empty result.
+    The model is fitted on ``windows_per_text`` windows, at hashed places of the
+    whole text, of ``train_texts`` different texts at most, those first in the
+    order of their hash; it is then run over all characters of all texts. An
+    added span's score is ``margin`` over that of none. Offsets are in code
+    points, ends exclusive. A null text is empty and has no spans. Null ids and
+    repeated rows are returned as they are; other columns are not. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     # the hashes first, so that a task sends a few numbers and not texts; equal texts are one
     hashed = docs.select(text.alias("t"), F.xxhash64(text).alias("h"))
     first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(train_texts).collect()]
-    drawn = hashed.where(F.col("h") <= (first[-1] if first else 0)).groupBy("h").agg(F.min(F.substring("t", 1, 4000)).alias("t"))
+    place = f"cast(pmod(xxhash64(h, i), greatest(char_length(t) - {WINDOW} + 1, 1)) as int) + 1"
+    cut = F.expr(f"transform(sequence(1, {max(1, windows_per_text)}), i -> substring(t, {place}, {WINDOW}))")
+    drawn = hashed.where(F.col("h") <= (first[-1] if first else 0)).select("h", cut.alias("pieces")).groupBy("h").agg(F.min("pieces").alias("pieces"))
     sample = sorted(drawn.collect())
-    held = spark.sparkContext.broadcast(train([r["t"] for r in sample]).p)  # some thousand numbers
+    # a short text's windows are all the same one
+    pieces = [p for r in sample for p in dict.fromkeys(r["pieces"])]
+    held = spark.sparkContext.broadcast(train(pieces).p)  # some thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Tagger()
@@ -418,7 +513,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             ends = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
             for i, j in slices(ends):
                 counts, digests, spans, added = [[] for _ in KINDS], [], [], []
-                for base, every in _span_texts(model, texts[i:j]):
+                for base, every in _span_texts(model, texts[i:j], margin):
                     for k, kind in enumerate(KINDS):
                         counts[k].append(sum(s[0] == kind for s in base))
                     digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
