@@ -5,8 +5,9 @@ integer names, by sorting; then neighbouring names are named as pairs, level by
 level, until each text has one name. Two texts of one length are equal if and
 only if their last names are: names are ranks of whole values, not hashes.
 
-Sorting is spread over ``buckets``: a name is the bucket of a value's hash,
-followed by the value's dense rank in that bucket, so there is no global sort.
+Sorting is spread over buckets, as many as the bytes of the texts ask for: a
+name is the bucket of a value's hash, followed by the value's dense rank in that
+bucket, so there is no global sort.
 Blocks that a large part of the rows hold are found in a sample and named from
 a table of at most 1000 rows, so their rows need not meet in one task.
 """
@@ -16,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphmill.llm._shared import Scratch, spare_name
+from morphmill.llm._shared import Scratch, join_groups, spare_name
 
+#: Buckets of the smallest table, and bytes of text that one more is made for.
+LEAST_BUCKETS, BUCKET_BYTES = 64, 8 << 20
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,16 +55,20 @@ def _frequent(cut: DataFrame, buckets: int) -> DataFrame | None:
     return cut.sparkSession.createDataFrame([(b, buckets, i) for i, b in enumerate(blocks)], "block binary, hot_bucket long, hot_name long")
 
 
-def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048, buckets: int = 4096) -> DataFrame:
+def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048, buckets: int | None = None) -> DataFrame:
     """One row per row of docs: its id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts (A-Z lower-cased, a null is an empty text) the row with the
     largest id stays; a null id is smaller than any other. Of rows that repeat
     both id and text, one stays. Other columns of docs are neither read nor
-    returned. An empty table gives an empty result.
+    returned. An empty table gives an empty result. ``buckets``: by default one
+    per ``BUCKET_BYTES`` of text.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
+        if buckets is None:
+            size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+            buckets = LEAST_BUCKETS + size // BUCKET_BYTES
         norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
         base = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("t")).select("id", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), F.col("t").cast("binary").alias("t"))
         base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length("t").cast("long"))
@@ -102,10 +109,10 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for more in ended[1:]:
             named = named.unionByName(more)
         named = scratch.save(named, "identities", keep=True)
-    same = ["bytes", "b", "name"]
-    keep = F.max(F.struct(F.col("id"), F.col("row"))).alias("keep")
-    groups = named.groupBy(*same).agg(keep, F.count("*").alias("group_size"))
-    out = named.join(groups, same)
+        same = ["bytes", "b", "name"]
+        keep = F.max(F.struct(F.col("id"), F.col("row"))).alias("keep")
+        groups = scratch.save(named.groupBy(*same).agg(keep, F.count("*").alias("group_size")), "groups", keep=True)
+        out = join_groups(named, groups, same, "group_size")
     return out.select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"),
@@ -113,10 +120,16 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that ``exact_copies`` keeps, columns as they are."""
+    """The rows of docs that ``exact_copies`` keeps, columns as they are; ids are unique, but of rows that repeat an id one stays for each text."""
     own, sha, of = (spare_name(docs, c) for c in ("_id", "_sha", "_of"))
-    kept = exact_copies(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(of))
-    marked = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    same = marked[id_col].eqNullSafe(F.col(own)) & (F.col(sha) == F.col(of))
-    # rows that repeat id and text stand next to each other after the join, and one of them stays
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
+    copies = exact_copies(docs, id_col, text_col, **how)
+    with Scratch(docs.sparkSession) as scratch:
+        kept = scratch.save(copies.where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(of)), "kept", keep=True)
+        repeats = kept.groupBy(own).count().where("count > 1").limit(1).count() or docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+        if not repeats:
+            # an id is a row, and its name has said whether it stays
+            return docs.join(kept.select(own), docs[id_col].eqNullSafe(F.col(own)), "left_semi")
+        marked = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+        same = marked[id_col].eqNullSafe(F.col(own)) & (F.col(sha) == F.col(of))
+        # rows that repeat id and text stand next to each other after the join, and one of them stays
+        return marked.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)

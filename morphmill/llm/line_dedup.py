@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphmill.llm._shared import Scratch
+from morphmill.llm._shared import Scratch, join_groups
 from morphmill.llm._text import char_offsets, line_bounds, line_hashes, mix, run_hashes, slices, text_bytes
 
 #: A chunk of two lines or more ends after a line with the chance of one in so many.
@@ -60,7 +60,7 @@ def line_pairs(hashes: np.ndarray, doc: np.ndarray, full: np.ndarray) -> tuple[n
 KIND = pa.struct([("start", pa.int64()), ("bytes", pa.int64()), ("char", pa.int64()), ("char_end", pa.int64()), ("line", pa.int64()), ("lines", pa.int64()), ("h", pa.int64())])
 
 
-def chunk_batches(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Iterator[pa.RecordBatch]:
+def chunk_batches(batches: Iterator[pa.RecordBatch], pairs: bool = False, bits: int = 64) -> Iterator[pa.RecordBatch]:
     """(id, text) to a row per text: its lines, and its chunks of two lines or more; offsets in bytes and characters.
 
     With ``pairs``, the chunks that are listed are those of three lines or more, two of them not empty, and all ``line_pairs``.
@@ -90,7 +90,7 @@ def chunk_batches(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Ite
             of, chars = doc[first], char_offsets(part)
             n_lines.append(np.bincount(doc, minlength=j - i))
             line = first - np.searchsorted(doc, of)
-            values.append([starts[first] - offs[of], ends[last] - starts[first], chars[starts[first]] - chars[offs[of]], chars[ends[last]] - chars[offs[of]], line, last - first + 1, chunk.view(np.int64)])
+            values.append([starts[first] - offs[of], ends[last] - starts[first], chars[starts[first]] - chars[offs[of]], chars[ends[last]] - chars[offs[of]], line, last - first + 1, (chunk >> np.uint64(64 - bits)).view(np.int64)])
             lists += (at + np.searchsorted(of, np.arange(1, j - i + 1))).tolist()
             at += len(of)
         columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*values, strict=True)] if values else [pa.array([], pa.int64())] * len(KIND)
@@ -99,26 +99,27 @@ def chunk_batches(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column("id"), *counted, chunks], ["id", "n_lines", "n_chunks", "chunks"])
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """Per row of docs: its id, ``n_lines``, ``n_chunks`` (of two lines or more), ``spans`` to remove (characters, end exclusive), ``removed_lines``.
 
     Of equal chunks the one with the smallest (id, offset) stays. A null text is
     empty, which is one empty line. A row without id has no spans and none is
-    removed for it. Rows that repeat an id are one document. A chunk whose hash
-    is that of an unequal one stays. Other columns are neither read nor returned.
-    An empty table gives an empty result.
+    removed for it. Rows that repeat an id are one document. Chunks of one hash
+    that are unequal are told apart by their bytes; ``hash_bits`` is for tests of
+    that. Other columns are neither read nor returned. An empty table gives an
+    empty result.
     """
-    return _repeated(docs, id_col, text_col, pairs=False)
+    return _repeated(docs, id_col, text_col, pairs=False, bits=hash_bits)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """``repeated_chunks``, but also any two neighbouring lines that occur before are removed, wherever chunks end.
 
     Neighbours are lines that are not empty; empty ones may lie between. A
     chunk that overlaps the equal one that stays is not removed. Spans that
     overlap or touch are one. Each line that is removed occurs earlier too.
     """
-    return _repeated(docs, id_col, text_col, pairs=True)
+    return _repeated(docs, id_col, text_col, pairs=True, bits=hash_bits)
 
 
 def _joined(gone: DataFrame) -> DataFrame:
@@ -131,23 +132,38 @@ def _joined(gone: DataFrame) -> DataFrame:
     return gone.groupBy("id", "run").agg(F.min("char").alias("char"), F.max("char_end").alias("char_end"), lines.alias("lines"))
 
 
-def _repeated(docs: DataFrame, id_col: str, text_col: str, pairs: bool) -> DataFrame:
+def _repeated(docs: DataFrame, id_col: str, text_col: str, pairs: bool, bits: int) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         schema = "id long, n_lines long, n_chunks long, chunks array<struct<start: long, bytes: long, char: long, char_end: long, line: long, lines: long, h: long>>"
-        rows = scratch.save(text.mapInArrow(partial(chunk_batches, pairs=pairs), schema), "chunks", keep=True)
+        rows = scratch.save(text.mapInArrow(partial(chunk_batches, pairs=pairs, bits=bits), schema), "chunks", keep=True)
         chunks = rows.where("id is not null").select("id", F.inline("chunks"))
         place = F.struct("id", "start")
-        groups = chunks.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("latest")).where("first <> latest").select("h", "first")
-        again = chunks.join(groups, "h").where("id <> first.id or start = first.start or start >= first.start + bytes")
-        again = scratch.save(again.select("*", (F.struct("id", "start") == F.col("first")).alias("stays")), "again")
-        wanted = again.groupBy("id").agg(F.collect_set(F.struct("start", "bytes", "char", "char_end", "line", "lines", "h", "stays")).alias("wanted"))
+        # a chunk is named by its hash and length; whether it is equal to the one that stays, its bytes say
+        name = ["h", "bytes"]
+        groups = chunks.groupBy(*name).agg(F.min(place).alias("first"), F.max(place).alias("latest"), F.count("*").alias("count")).where("first <> latest")
+        groups = scratch.save(groups.select(*name, "first", "count"), "groups")
+        again = join_groups(chunks, groups, name, "count").where("id <> first.id or start = first.start or start >= first.start + bytes")
+        # a chunk of over a thousandth of all is compared in as many parts: fewer than 2000 more copies of what stays
+        total = groups.agg(F.sum("count")).first()[0] or 1
+        parts = F.ceil(F.col("count") * 1000 / total).cast("int")
+        again = scratch.save(again.select("*", (place == F.col("first")).alias("stays"), parts.alias("parts")).drop("first", "count"), "again")
+        wanted = again.groupBy("id").agg(F.collect_set(F.struct("start", "bytes", "char", "char_end", "line", "lines", "h", "stays", "parts")).alias("wanted"))
         # of each text only the chunks in question go on
-        held = F.expr("transform(wanted, w -> struct(w.char, w.char_end, w.line, w.lines, w.h, w.stays, substring(t, cast(w.start as int) + 1, cast(w.bytes as int)) as held))")
+        held = F.expr("transform(wanted, w -> struct(w.char, w.char_end, w.line, w.lines, w.h, w.bytes, w.stays, w.parts, substring(t, cast(w.start as int) + 1, cast(w.bytes as int)) as held))")
         cut = text.where("id is not null").join(wanted, "id").select("id", F.encode("text", "UTF-8").alias("t"), "wanted").select("id", F.inline(held))
         cut = scratch.save(cut, "held")
-        kept = cut.where("stays").groupBy("h").agg(F.min("held").alias("kept"))
-        gone = cut.where("not stays").join(kept, "h").where("held = kept").select("id", "char", "char_end", "line", "lines").distinct()
+        kept = cut.where("stays").groupBy(*name).agg(F.min("held").alias("kept"), F.max("parts").alias("parts"))
+        kept = scratch.save(kept.select(*name, "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "kept")
+        others = cut.where("not stays").withColumn("part", F.pmod(F.xxhash64("id", "char"), F.col("parts")).cast("int"))
+        compared = others.join(kept, [*name, "part"]).select("id", "char", "char_end", "line", "lines", "held", (F.col("held") == F.col("kept")).alias("equal"))
+        compared = scratch.save(compared.select("id", "char", "char_end", "line", "lines", F.when(~F.col("equal"), F.col("held")).alias("held")).distinct(), "compared")
+        gone = compared.where("held is null").drop("held")
+        # what only has the hash of the chunk that stays is grouped by its bytes
+        apart = compared.where("held is not null")
+        least = apart.groupBy("held").agg(F.min(F.struct("id", "char", "char_end")).alias("least"))
+        later = apart.join(least, "held").where("id <> least.id or char >= least.char_end").select(*gone.columns)
+        gone = gone.union(later)
         gone = _joined(gone) if pairs else gone
         spans = F.transform(F.array_sort(F.collect_list(F.struct("char", "char_end"))), lambda x: F.struct(x["char"].alias("start"), x["char_end"].alias("end")))
         removed = scratch.save(gone.groupBy("id").agg(spans.alias("spans"), F.sum("lines").alias("removed_lines")), "removed", keep=True)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphmill.llm._shared import spare_name
+from morphmill.llm._shared import Scratch, join_groups, spare_name
 from morphmill.llm._text import char_offsets, lower, mix, run_hashes, slices, text_bytes, word_bounds, word_hashes
 
 _STOP = np.isin(np.arange(256), list(b".!?"))
@@ -119,14 +119,16 @@ def repeated_spans(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id
     ``cut_long``, units of more than LONG_UNIT words are cut further.
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    units = text.mapInArrow(partial(unit_batches, cut_long=cut_long), UNITS)
-    # one row per digest and map task leaves for the shuffle, however often a unit occurs
-    groups = units.select("h1", "h2", "id", "unit").groupBy("h1", "h2").agg(F.min(F.struct("id", "unit")).alias("first"), F.max(F.struct("id", "unit")).alias("latest"))
-    groups = groups.where("first <> latest").select("h1", "h2", "first")
-    again = units.join(groups, ["h1", "h2"]).where("struct(id, unit) <> first")
-    of_doc = again.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words"))).alias("units"))
-    schema = "id long, spans array<struct<start: long, end: long>>, removed_units long, removed_words long, removed_chars long"
-    found = of_doc.mapInArrow(_runs(least_words), schema)
+    with Scratch(docs.sparkSession) as scratch:
+        units = scratch.save(text.mapInArrow(partial(unit_batches, cut_long=cut_long), UNITS), "units")
+        # one row per digest and map task leaves for the shuffle, however often a unit occurs
+        place = F.struct("id", "unit")
+        groups = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("latest"), F.count("*").alias("held"))
+        groups = scratch.save(groups.where("first <> latest").select("h1", "h2", "first", "held"), "groups")
+        again = join_groups(units, groups, ["h1", "h2"], "held").where("struct(id, unit) <> first")
+        of_doc = again.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words"))).alias("units"))
+        schema = "id long, spans array<struct<start: long, end: long>>, removed_units long, removed_words long, removed_chars long"
+        found = scratch.save(of_doc.mapInArrow(_runs(least_words), schema), "spans", keep=True)
     out = docs.select(F.col(id_col).cast("long").alias("id")).join(found, "id", "left")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("removed_units", "removed_words", "removed_chars")]
     return out.select(F.col("id").alias(id_col), F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"), *zero)

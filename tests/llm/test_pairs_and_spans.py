@@ -8,8 +8,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from morphmill.llm import line_dedup, ngram_join, substring_dedup
+from morphmill.llm._shared import join_groups
 from morphmill.llm._text import line_hashes, word_hashes
 
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -245,11 +247,52 @@ def test_no_chunk_of_one_line():
         assert all(b > a or (doc == doc[a]).sum() == 1 for a, b in zip(first, last, strict=True))
 
 
-def test_colliding_chunks_stay(spark, monkeypatch):
-    """With a hash that tells nothing apart, unequal chunks are kept by the byte comparison."""
-    docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, "e\nf\ng\nh")], "doc_id long, text string")
-    rows = {r["doc_id"]: r["spans"] for r in line_dedup.repeated_chunks(docs).collect()}
-    assert rows[1] == [] and rows[3] == []
+def test_colliding_chunks_are_told_apart(spark, medium):
+    """With hashes of two bits the byte comparison alone tells chunks apart, to the same spans."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet").where("doc_id < 300")
+    for find in (line_dedup.repeated_chunks, line_dedup.repeated_passages):
+        got, want = ({r["doc_id"]: r["spans"] for r in find(docs, hash_bits=bits).collect()} for bits in (2, 64))
+        assert got == want and any(want.values())
+
+
+def hot_rows(n):
+    """A line pair, a sentence run and a whole text that every third row holds, among others."""
+    common = "the same first line of very many texts here\nand its second line with some more words in it"
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        own = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(3))
+        rows.append((i, common if i % 3 == 0 else f"{own}\n{common}\n{own[::-1]}"))
+    return rows, common
+
+
+@pytest.mark.parametrize("bits", [64, 1])
+def test_one_passage_in_every_row(spark, bits):
+    rows, common = hot_rows(3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in line_dedup.repeated_passages(docs, hash_bits=bits).collect()}
+    want = {i: [] if i == 0 else [(t.index(common), t.index(common) + len(common))] for i, t in rows}
+    assert got == want
+    if bits == 64:
+        units = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in substring_dedup.repeated_spans(docs, least_words=5).collect()}
+        assert units == want
+
+
+def test_joins_of_hot_groups_stay_in_place(spark, tmp_path):
+    """A key of a third of all rows is broadcast, so that its rows are in no exchange; the join's rows are those of a plain one."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    rows.write.parquet(f"file://{tmp_path}/rows")
+    rows = spark.read.parquet(f"file://{tmp_path}/rows")
+    rows.groupBy("k").agg(F.count("*").alias("n")).write.parquet(f"file://{tmp_path}/groups")
+    groups = spark.read.parquet(f"file://{tmp_path}/groups")
+    joined = join_groups(rows, groups, ["k"], "n")
+    assert sorted(joined.collect()) == sorted(rows.join(groups, "k").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = join_groups(rows, groups, ["k"], "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [k" in plan and "LeftAnti" in plan and "SortMergeJoin" in plan
 
 
 def test_word_hashes_tell_words_apart():
