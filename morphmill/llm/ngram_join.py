@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphmill.llm._shared import Scratch, components, spare_name
+from morphmill.llm._shared import Scratch, components, join_groups, spare_name
 from morphmill.llm._text import mix, shingle_sets
 
 #: Of a chunk: its sets, and their shingles together.
@@ -54,15 +54,15 @@ def differences(n: int, m: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def _parts(c: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Of class c: the number of differences to outlive, the bounds of its parts and their salts.
+def _parts(c: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of class c the bounds of its parts and their salts.
 
-    Somewhat more parts than differences, as some of a set's parts are empty.
+    Somewhat more parts than two of its largest sets can have differences, as some of a set's parts are empty.
     """
     most = differences(class_end(c) - 1, class_end(c) - 1, percent)
     parts = (most + 1) * 9 // 8 + 3
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-    return most, cuts, mix(np.arange(parts, dtype=np.uint64) + np.uint64(c + 1 << 40))
+    return cuts, mix(np.arange(parts, dtype=np.uint64) + np.uint64(c + 1 << 40))
 
 
 def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -70,9 +70,12 @@ def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
     In each size class a linked set can be in (the larger of two sets counts), a
     key is the hash of a part that isn't empty. A set with more such parts than
-    possible differences shares one with any set it links to; the few others of
-    a class have one more key, for all of them. A small set has as keys the
-    hashes of what is left without the few tokens that a linked set can lack.
+    it can differ in from a set of the class, by its own size, shares one with
+    any set it links to. Of two linked sets that share none neither has, so both
+    have one more key, for all such sets of a class. With hashes as tokens next
+    to no set is one: parts are as many as the largest set of the class needs. A
+    small set has as keys the hashes of what is left without the few tokens that
+    a linked set can lack.
     """
     n = len(s)
     if n * 100 < percent * (n + 1):
@@ -90,11 +93,11 @@ def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
     while class_end(c) <= n:
         c += 1
     while True:
-        most, cuts, salts = _parts(c, percent)
+        cuts, salts = _parts(c, percent)
         at = np.concatenate(([0], np.searchsorted(s, cuts), [n]))
         full = at[1:] > at[:-1]
         out.append(mix((running[at[1:]] - running[at[:-1]])[full] + salts[full]))
-        if full.sum() <= most:
+        if full.sum() <= differences(n, min(top, class_end(c) - 1), percent):
             out.append(mix(np.array([(c + 1 << 40) - 1], np.uint64)))
         c += 1
         if top < class_end(c - 1):
@@ -299,9 +302,11 @@ def _joined(percent: int, k: int = 0):
 
 def _forest(blocks: DataFrame, payload: DataFrame, run, scratch: Scratch) -> DataFrame:
     """Links (a, b) within each block of (block, id, n, h1), by trees over what payload has of each id."""
-    total = blocks.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    blocks = scratch.save(blocks, "blocks")
+    total = blocks.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"), F.count("*").alias("held"))
+    total = scratch.save(total, "totals")
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("id"), F.col("chunks"))).otherwise(0)
-    sized = scratch.save(blocks.join(total, "block").withColumn("chunk", chunk), "sized")
+    sized = scratch.save(join_groups(blocks, total, ["block"], "held").drop("held").withColumn("chunk", chunk), "sized")
 
     def join(members: DataFrame) -> DataFrame:
         ready = members.join(payload, "id").repartition("group").sortWithinPartitions("group")
@@ -332,6 +337,32 @@ def _forest(blocks: DataFrame, payload: DataFrame, run, scratch: Scratch) -> Dat
     return _all(found)
 
 
+def _groups(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(block, id) of the sets that share a key with another; keys of the same sets are one block.
+
+    Keys that hold a large part of all rows are looked for in a sample, and are
+    ten thousand at most, as each has over a ten thousandth of it. Their sums
+    come from an aggregate with map-side combine and are broadcast, and their
+    rows are dealt by id. Which keys these are changes where a key's rows are
+    looked at, not what its block is.
+    """
+    held = sets.select("id", F.explode("keys").alias("key"))
+    names = [F.count("*").alias("sets"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")]
+    sample = held.where("pmod(xxhash64(id), 64) = 0").groupBy("key").count()
+    n = sample.agg(F.sum("count")).first()[0] or 0
+    hot = scratch.save(sample.where(F.col("count") > max(64, n / 10_000)).select("key"), "often")
+    if hot.limit(1).count():
+        sums = scratch.save(held.join(F.broadcast(hot), "key").groupBy("key").agg(*names), "sums")
+        held = held.join(F.broadcast(sums.withColumnsRenamed({"sets": "hot_sets", "sum": "hot_sum"})), "key", "left")
+    else:
+        held = held.withColumn("hot_sets", F.lit(None).cast("long")).withColumn("hot_sum", F.lit(None).cast("decimal(30,0)"))
+    held = held.withColumn("deal", F.when(F.col("hot_sets").isNull(), F.col("key")).otherwise(F.xxhash64("id", "key")))
+    key = Window.partitionBy("deal")
+    found = held.withColumn("sets", F.coalesce("hot_sets", F.count("*").over(key)))
+    found = found.withColumn("block", F.xxhash64(F.coalesce("hot_sum", F.sum(F.xxhash64("id").cast("decimal(20,0)")).over(key)), "sets"))
+    return found.where("sets > 1").select("block", "id").distinct()
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
@@ -353,10 +384,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         sets = usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
         sets = scratch.save(sets, "sets")
         scratch.drop(featured)
-        key = Window.partitionBy("key")
-        held = sets.select("id", F.explode("keys").alias("key"))
-        held = held.withColumn("sets", F.count("*").over(key)).withColumn("block", F.xxhash64(F.sum(F.xxhash64("id").cast("decimal(20,0)")).over(key), "sets"))
-        groups = scratch.save(held.where("sets > 1").select("block", "id").distinct(), "groups")
+        groups = scratch.save(_groups(sets, scratch), "groups")
         slim = sets.select("id", "n", "h1")
         maybe = _forest(groups.join(slim, "id"), sets.select("id", "bits"), _joined(percent), scratch)
         blocks = components(maybe, scratch).withColumnRenamed("component", "block")

@@ -96,6 +96,33 @@ def test_linked_sets_share_a_routing_key():
                     assert np.intersect1d(ngram_join.routing_keys(x, percent), ngram_join.routing_keys(y, percent)).size
 
 
+def test_no_set_needs_the_key_for_all():
+    """With hashes as tokens each set has more full parts than differences, so that no group is as large as the corpus."""
+    rng = np.random.default_rng(4)
+    for percent in (80, 90):
+        shared = {int(np.uint64(x).astype(np.int64)) for c in range(60) for x in ngram_join.mix(np.array([(c + 1 << 40) - 1], np.uint64))}
+        for n in (12, 20, 39, 87, 130, 364, 545, 818, 1228, 5000):
+            for _ in range(20):
+                keys = ngram_join.routing_keys(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)), percent)
+                assert not shared & set(keys.view(np.int64).tolist())
+
+
+def test_join_with_a_key_of_very_many_sets(spark):
+    """A third of all rows are near copies of one text, each different; they share keys, which are dealt by row."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(9000):
+        if i % 3 == 0:
+            words = list(base)
+            words[-1] = f"x{i}"
+        else:
+            words = [f"w{rng.randrange(10**6)}" for _ in range(12)]
+        rows.append((i, " ".join(words)))
+    want = {i: (len(shingles(t, 3)), 0 if i % 3 == 0 else i) for i, t in rows}
+    assert joined(spark, rows, 3, 90) == want
+
+
 def units_of(text):
     out = []
     words = list(GAP.finditer(text or ""))
