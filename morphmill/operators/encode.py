@@ -1,18 +1,24 @@
 """Encoding and decoding of text columns with a model.
 
-Normalisation, lookups and decoding are joins and built-in expressions; only the
-sequential part of segmentation runs in Arrow batches, over a broadcast model.
+Normalisation is built-in expressions; segmentation and decoding run in Arrow
+batches over a broadcast model, without a shuffle. Where no piece can span the
+start of a space mark, a text's encoding is that of its parts, and a task encodes
+each different part once.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphmill.functions.text import SPACE, normalize, piece_to_byte, restore_spaces, unicode_normalize
+from morphmill.functions.text import SPACE, normalize, restore_spaces, unicode_normalize
 from morphmill.model import BYTE, BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, SEQUENCE, UNKNOWN, Model
-from morphmill.operators.segment import Unigram, merge_chars, merge_ids
+from morphmill.operators.segment import Unigram, cut_before, merge_chars, merge_ids, unspanned
 
 ENCODED = "array<struct<piece: binary, id: int>>"
 
@@ -35,15 +41,24 @@ def piece_ids(pieces: DataFrame, vocabulary: DataFrame, unknown: int | None) ->
 
 
 class _Lookups:
-    """What one model needs in a task."""
+    """What one model needs in a task, and what it has already encoded there."""
+
+    #: Parts of texts whose encodings are kept; beyond it all are forgotten.
+    KEEP = 200_000
 
     def __init__(self, model: Model):
         self.model, self.method = model, model.spec.method
         self.ids = model.ids()
         self.unk = model.spec.unk_id
+        self.mark = " " if self.method == SEQUENCE else model.normalizer.space or SPACE
+        #: Encoded items by number, as rows of a table, and their numbers.
+        self.items: list[tuple[bytes, int]] = []
+        self.numbers: dict[tuple[bytes, int], int] = {}
+        self.known: dict[str, list[int]] = {}
         if self.method == BYTE_PAIR:
             self.ranks = merge_ranks(model)
             self.bytes = [self.ids.get(bytes([b]), self.unk) for b in range(256)]
+            spans = [model.pieces[i].piece for i in self.ranks.values()]
         elif self.method == CHAR_PAIR:
             self.scores = {}
             for p in model.pieces:
@@ -51,11 +66,17 @@ class _Lookups:
                     self.scores[p.piece.decode()] = p.score
                 except UnicodeDecodeError:
                     pass
+            spans = [p.encode() for p in self.scores]
         elif self.method == NGRAM:
             self.unigram = Unigram({p.piece: p.score for p in model.pieces if p.type not in (UNKNOWN, CONTROL, BYTE)})
+            spans = list(self.unigram.weights)
         else:
-            self.merges = [(int(i), model.pieces[i].u, model.pieces[i].v) for i in range(256, len(model.pieces))]
-            self.ranks = {(self.ids[u], self.ids[v]): i for i, u, v in self.merges}
+            # pieces without parts, such as control tokens, are made by no merge
+            merges = [(i, p.u, p.v) for i, p in enumerate(model.pieces) if i >= 256 and p.u and p.v]
+            self.ranks = {(self.ids[u], self.ids[v]): i for i, u, v in merges if u in self.ids and v in self.ids}
+            spans = [model.pieces[i].piece for i in self.ranks.values()]
+        #: Whether a text's encoding is that of its parts between marks: no piece spans the start of a mark.
+        self.cuts = unspanned(spans, self.mark.encode())
 
     def _or_bytes(self, piece: bytes) -> list[tuple[bytes, int]]:
         i = self.ids.get(piece, self.unk)
@@ -67,18 +88,47 @@ class _Lookups:
             out.append((name, self.ids.get(name, self.unk)))
         return out
 
-    def tokenize(self, text: str) -> list[bytes]:
-        if self.method == NGRAM:
-            return self.unigram.cut(text.encode())
-        return [p for p, _ in self.encode(text)]
-
-    def encode(self, text: str) -> list[tuple[bytes, int]]:
+    def _whole(self, text: str, pieces: bool) -> tuple[list[tuple[bytes, int]], bool]:
+        """A text's items without regard to its parts, and whether another cut was nearly as good."""
         if self.method == CHAR_PAIR:
-            return [x for p in merge_chars(text, self.scores) for x in self._or_bytes(p.encode())]
+            return [x for p in merge_chars(text, self.scores) for x in self._or_bytes(p.encode())], False
         if self.method == NGRAM:
-            return [x for p in self.unigram.cut(text.encode()) for x in self._or_bytes(p)]
+            own, tie = self.unigram.cut_and_tie(text.encode())
+            return [(p, -1) for p in own] if pieces else [x for p in own for x in self._or_bytes(p)], tie
         start = [self.bytes[b] for b in text.encode()] if self.method == BYTE_PAIR else list(text.encode())
-        return [(self.model.pieces[i].piece, i) for i in merge_ids(start, self.ranks)]
+        return [(self.model.pieces[i].piece, i) for i in merge_ids(start, self.ranks)], False
+
+    def _numbered(self, items: list[tuple[bytes, int]]) -> list[int]:
+        out = []
+        for x in items:
+            k = self.numbers.get(x)
+            if k is None:
+                k = self.numbers[x] = len(self.items)
+                self.items.append(x)
+            out.append(k)
+        return out
+
+    def encode(self, text: str, pieces: bool = False) -> list[int]:
+        """Numbers of a text's items; with ``pieces`` those before the fall-back to bytes.
+
+        A part is encoded once. A sum of weights over a whole text is rounded
+        otherwise than over a part, so texts with parts of nearly equal cuts
+        are encoded as a whole.
+        """
+        if not self.cuts:
+            return self._numbered(self._whole(text, pieces)[0])
+        out: list[int] = []
+        for part in cut_before(text, self.mark):
+            own = self.known.get(part, self)
+            if own is self:
+                items, tie = self._whole(part, pieces)
+                if len(self.known) >= self.KEEP:
+                    self.known.clear()
+                own = self.known[part] = None if tie else self._numbered(items)
+            if own is None:
+                return self._numbered(self._whole(text, pieces)[0])
+            out += own
+        return out
 
 
 def normalized(text: Column, model: Model) -> Column:
@@ -89,8 +139,8 @@ def normalized(text: Column, model: Model) -> Column:
     return normalize(unicode_normalize(text, n.name), n.reconstruct, n.space or SPACE)
 
 
-def _per_part(model: Model, kind: str, one, build):
-    """An Arrow UDF over rows of parts: one(lookups, part) gives a part's items, build(items) their array. A task builds the lookups once."""
+def _per_part(model: Model, kind: str, pieces: bool):
+    """An Arrow UDF over rows of parts to their items. A task builds the lookups once."""
     held = SparkSession.getActiveSession().sparkContext.broadcast(model)
     built: list[_Lookups] = []
 
@@ -98,25 +148,26 @@ def _per_part(model: Model, kind: str, one, build):
     def run(rows: pa.Array) -> pa.Array:
         if not built:
             built.append(_Lookups(held.value))
-        items, ends = [], [0]
+        own, numbers, ends = built[0], [], [0]
         for parts in rows.to_pylist():
             for t in parts or ():
                 if t is not None:
-                    items += one(built[0], t)
-            ends.append(len(items))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), build(items))
+                    numbers += own.encode(t, pieces)
+            ends.append(len(numbers))
+        # items are looked up by number, a table of the different ones
+        at = pa.array(numbers, pa.int32())
+        names = pa.array([p for p, _ in own.items], pa.binary()).take(at)
+        if pieces:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names)
+        ids = pa.array([i for _, i in own.items], pa.int32()).take(at)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, ids], ["piece", "id"]))
 
     return run
 
 
-def _pairs(items: list[tuple[bytes, int]]) -> pa.Array:
-    pieces, ids = pa.array([p for p, _ in items], pa.binary()), pa.array([i for _, i in items], pa.int32())
-    return pa.StructArray.from_arrays([pieces, ids], ["piece", "id"])
-
-
 def encode(text: Column, model: Model, tokens: Column | None = None) -> Column:
     """``array<struct<piece, id>>`` of a text, or of given ``tokens`` of it, which merges don't cross. A null stays null."""
-    run = _per_part(model, ENCODED, lambda own, t: own.encode(t), _pairs)
+    run = _per_part(model, ENCODED, False)
     return F.when(text.isNotNull(), run(F.array(normalized(text, model)) if tokens is None else tokens))
 
 
@@ -124,33 +175,48 @@ def tokenize(text: Column, model: Model, tokens: Column | None = None) -> Column
     """Pieces of a text; for the n-gram method those before the fall-back to bytes."""
     if model.spec.method != NGRAM:
         return F.transform(encode(text, model, tokens), lambda x: x["piece"])
-    run = _per_part(model, "array<binary>", lambda own, t: own.tokenize(t), lambda items: pa.array(items, pa.binary()))
+    run = _per_part(model, "array<binary>", True)
     return F.when(text.isNotNull(), run(F.array(normalized(text, model)) if tokens is None else tokens))
 
 
-def decoded_bytes(vocabulary: DataFrame, method: str) -> DataFrame:
-    """(id, hex): what each id decodes to."""
-    piece = F.hex("piece")
-    if method == SEQUENCE:
-        return vocabulary.select("id", piece.alias("hex"))
-    byte = piece_to_byte(F.col("piece").cast("string"))
-    own = F.when((F.col("type") == BYTE) & (byte >= 0), F.lpad(F.hex(byte.cast("long")), 2, "0")).when(F.col("type").isin(UNKNOWN, CONTROL), F.lit("")).otherwise(piece)
-    return vocabulary.select("id", own.alias("hex"))
+def decoded_pieces(model: Model) -> list[bytes]:
+    """What each id decodes to, and at the end what an id decodes to that the model doesn't have."""
+    if model.spec.method == SEQUENCE:
+        return [p.piece for p in model.pieces] + [b""]
+    out = []
+    for p in model.pieces:
+        byte = re.fullmatch(rb"<0x([0-9A-F]{2})>", p.piece) if p.type == BYTE else None
+        out.append(bytes([int(byte[1], 16)]) if byte else b"" if p.type in (UNKNOWN, CONTROL) else p.piece)
+    return out + [model.pieces[model.spec.unk_id].piece if 0 <= model.spec.unk_id < len(model.pieces) else b""]
 
 
-def decode(encoded: DataFrame, model: Model, *keys: str, ids: str = "ids") -> DataFrame:
-    """keys and ``text`` of each row of (keys, ids); the keys tell rows apart.
+def decoded(ids: Column, model: Model) -> Column:
+    """The text of an array of ids, without a shuffle: a lookup in the broadcast model.
 
     Ids that the model doesn't have decode to its unknown piece, or to nothing
-    for the sequence method. Bytes that aren't UTF-8 become U+FFFD. The vocabulary
-    is the small side of an equi-join.
+    for the sequence method; null ids to nothing. Bytes that aren't UTF-8 become
+    U+FFFD. A null array is an empty text.
     """
-    table = F.broadcast(decoded_bytes(model.vocabulary(encoded.sparkSession), model.spec.method))
-    missing = "" if model.spec.method == SEQUENCE or model.spec.unk_id < 0 else model.pieces[model.spec.unk_id].piece.hex().upper()
-    one = encoded.select(*keys, F.posexplode_outer(ids).alias("pos", "id")).join(table, "id", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("hex", F.lit(missing))).otherwise("")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("hex")))), lambda x: x["hex"]), "")
-    text = F.make_valid_utf8(F.unhex(joined).cast("string"))
-    if model.spec.method != SEQUENCE:
-        text = restore_spaces(text, model.normalizer.space or SPACE)
-    return one.groupBy(*keys).agg(text.alias("text"))
+    held = SparkSession.getActiveSession().sparkContext.broadcast(decoded_pieces(model))
+    built: list[pa.Array] = []
+
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        if not built:
+            built.append(pa.array([*held.value, b""], pa.binary()))
+        table, rows = built[0], rows.cast(pa.list_(pa.int64()))
+        n = len(table) - 2
+        flat = rows.flatten()
+        at = flat.fill_null(n + 1).to_numpy(zero_copy_only=False)
+        known = (at >= 0) & (at < n) | (flat.is_null().to_numpy(zero_copy_only=False))
+        pieces = table.take(pa.array(np.where(known, at, n)))
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces), b"")
+
+    text = F.make_valid_utf8(run(ids.cast("array<bigint>")).cast("string"))
+    return text if model.spec.method == SEQUENCE else restore_spaces(text, model.normalizer.space or SPACE)
+
+
+def decode(encoded: DataFrame, model: Model, *keys: str, ids: str = "ids") -> DataFrame:
+    """keys and ``text`` of each row of (keys, ids), as ``decoded``; rows with the same keys stay rows."""
+    return encoded.select(*keys, decoded(F.col(ids), model).alias("text"))

@@ -35,13 +35,18 @@ def _cut_runs(tokens: Column, dictionary: dict[bytes, float]) -> Column:
     fallback = math.log(1 / total) if total > 0 else -10.0
     han = f"^[{H}]"
 
+    built: list[Unigram] = []
+
     @F.pandas_udf("array<array<string>>")
     def run(batch: pd.Series) -> pd.Series:
-        model = Unigram(held.value, fallback)
+        if not built:
+            built.append(Unigram(held.value, fallback))
+        model = built[0]
         return batch.map(lambda ts: None if ts is None else [[w.decode() for w in model.cut(t.encode())] for t in ts])
 
     return run(F.filter(tokens, lambda t: t.rlike(han)))
 
+
 def _put_back(tokens: Column, cuts: Column) -> Column:
     """Tokens with the n-th Han token replaced by the n-th of ``cuts``."""
     start = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("out"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable
 
 LOWEST = -math.inf
 
@@ -13,17 +14,47 @@ def char_starts(text: bytes) -> list[bool]:
     return [b & 0xC0 != 0x80 for b in text]
 
 
+def unspanned(pieces: Iterable[bytes], mark: bytes) -> bool:
+    """Whether no piece can go on over the start of a ``mark``: none has it, or a first part of it at its end, after its own start."""
+    for p in pieces:
+        for j in range(1, len(p)):
+            if p[j : j + len(mark)] == mark[: len(p) - j]:
+                return False
+    return True
+
+
+def cut_before(text: str, mark: str) -> list[str]:
+    """A text cut before each ``mark``; the parts joined are the text."""
+    first, *rest = text.split(mark)
+    return ([first] if first else []) + [mark + x for x in rest]
+
+
 class Unigram:
-    """Most probable cut into dictionary entries; a character alone is possible at a fixed low weight."""
+    """Most probable cut into dictionary entries; a character alone is possible at a fixed low weight.
+
+    Entries are a prefix tree: a walk from a place goes on only as long as some entry does.
+    """
+
+    #: Scores nearer to each other than this may be told apart otherwise in a longer text, by rounding.
+    NEAR = 1e-6
 
     def __init__(self, scores: dict[bytes, float], fallback: float = -10.0):
         total = sum(scores.values())
         self.weights = {k: math.log(v) - math.log(total) for k, v in scores.items() if k and v > 0}
-        self.longest = max(map(len, self.weights), default=0)
         self.fallback = fallback
+        self.tree: dict = {}
+        for piece, w in self.weights.items():
+            node = self.tree
+            for b in piece:
+                node = node.setdefault(b, {})
+            node[-1] = w
 
     def cut(self, text: bytes) -> list[bytes]:
-        n = len(text)
+        return self.cut_and_tie(text)[0]
+
+    def cut_and_tie(self, text: bytes) -> tuple[list[bytes], bool]:
+        """The best cut, and whether it was nearly or exactly as good as another in some place."""
+        n, tie = len(text), False
         best, came = [LOWEST] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         starts = [i for i, s in enumerate(char_starts(text)) if s or i == 0]
@@ -31,17 +62,23 @@ class Unigram:
             here = best[i]
             char_end = starts[k + 1] if k + 1 < len(starts) else n
             # the single character first, then entries by length: a later one must be better
-            if here + self.fallback > best[char_end]:
-                best[char_end], came[char_end] = here + self.fallback, i
-            for end in range(i + 1, min(n, i + self.longest) + 1):
-                w = self.weights.get(text[i:end])
-                if w is not None and here + w > best[end]:
-                    best[end], came[end] = here + w, i
+            now = here + self.fallback
+            tie = tie or abs(now - best[char_end]) < self.NEAR
+            if now > best[char_end]:
+                best[char_end], came[char_end] = now, i
+            node, end = self.tree, i
+            while end < n and (node := node.get(text[end])) is not None:
+                end += 1
+                if (w := node.get(-1)) is not None:
+                    now = here + w
+                    tie = tie or abs(now - best[end]) < self.NEAR
+                    if now > best[end]:
+                        best[end], came[end] = now, i
         out, end = [], n
         while end:
             out.append(text[came[end] : end])
             end = came[end]
-        return out[::-1]
+        return out[::-1], tie
 
 
 def ngram_cuts(text: bytes, table: dict[bytes, float], most: int = 6) -> list[bytes]:

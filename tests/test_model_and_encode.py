@@ -11,7 +11,7 @@ from morphmill.api import Tokenizer
 from morphmill.model import BYTE_PAIR, CHAR_PAIR, NGRAM, SEQUENCE, Model, NormalizerSpec, Piece, TrainSpec, byte_pieces, layout
 from morphmill.operators import encode
 from morphmill.operators.han import dictionary_of, fingerprint, split_lines
-from morphmill.operators.segment import Unigram, merge_chars, merge_ids, ngram_cuts
+from morphmill.operators.segment import Unigram, merge_chars, merge_ids, ngram_cuts, unspanned
 from morphmill.plans.catalog import byte_pair_model, char_pair_model, ngram_model, sequence_model
 from morphmill.sources import text as src
 
@@ -190,3 +190,42 @@ def test_han_dictionary(spark):
     rows = spark.createDataFrame([(0, "Tom▁他是英国人Bat"), (1, ""), (2, "ab")], "i int, line string")
     got = {r["i"]: r["tokens"] for r in split_lines(rows, dictionary_of(words)).collect()}
     assert got == {0: ["Tom", "▁", "他", "是", "英国", "人", "Bat"], 1: [], 2: ["ab"]}
+
+
+@pytest.mark.parametrize("make", MODELS.values(), ids=MODELS)
+def test_parts_encode_as_whole_texts(make):
+    """Encoding part by part, with what is known, against the whole text at once."""
+    rng = random.Random(6)
+    own = encode._Lookups(make())
+    for _ in range(600):
+        text = "".join(rng.choice(["the", "in", "g", "an", "d", "l", "ll", "e", "▁", " ", "é", "汉", "Z"]) for _ in range(rng.randrange(15)))
+        assert [own.items[k] for k in own.encode(text)] == own._whole(text, False)[0]
+
+
+def test_pieces_over_marks_forbid_parts():
+    assert unspanned([b"ab", "▁ab".encode(), "▁".encode()], "▁".encode())
+    assert not unspanned(["a▁".encode()], "▁".encode())
+    assert not unspanned([b"a\xe2\x96"], "▁".encode()) and not unspanned(["▁▁".encode()], "▁".encode())
+    learned = [Piece(bytes([b]), 0.0, 6) for b in range(256)] + [Piece(b"e ", -1.0, 1, b"e", b" "), Piece(b"e t", -2.0, 1, b"e ", b"t")]
+    own = encode._Lookups(Model(TrainSpec(SEQUENCE, len(learned)), NormalizerSpec(space=""), tuple(learned)))
+    assert not own.cuts and [own.items[k][1] for k in own.encode("the the")] == [116, 104, 257, 104, 101]
+
+
+@pytest.mark.parametrize("make", MODELS.values(), ids=MODELS)
+def test_models_with_control_tokens(spark, make):
+    """Added control tokens are never made by encoding, and decode to nothing but in the sequence method, where all pieces are text."""
+    model = make().with_control_tokens(["<user>", "<system>"])
+    rows = texts(spark, ["the thing"])
+    ids = rows.select("i", F.transform(encode.encode(F.col("text"), model), lambda x: x["id"]).alias("ids"))
+    plain = rows.select("i", F.transform(encode.encode(F.col("text"), make()), lambda x: x["id"]).alias("ids"))
+    assert ids.collect() == plain.collect()
+    more = ids.select("i", F.concat("ids", F.array(F.lit(len(model.pieces) - 1))).alias("ids"))
+    assert encode.decode(more, model, "i").first()["text"] == "the thing" + ("<system>" if model.spec.method == SEQUENCE else "")
+
+
+def test_decoding_keeps_rows_and_needs_no_shuffle(spark):
+    model = byte_pair_model()
+    rows = spark.createDataFrame([(1, [68]), (1, [69]), (1, [None, 70])], "i int, ids array<int>")
+    out = encode.decode(rows, model, "i")
+    assert [r["text"] for r in out.collect()] == ["A", "B", "C"]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
