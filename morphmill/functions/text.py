@@ -1,7 +1,7 @@
 """Text functions over Columns: normalisation, pre-tokenization, character classes, escapes.
 
 All are built-in expressions that stay in generated code, but for the named
-Unicode normalisers and escapes of bytes that aren't UTF-8.
+Unicode normalisers, offsets, and repairs and escapes of bytes that aren't UTF-8.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,6 +126,67 @@ def is_word_char(char: Column) -> Column:
     return char.rlike(f"^[{L}{H}{D}]\\z")
 
 
+#: White space and control characters, which are neither word characters nor punctuation.
+BLANK_RANGES = "00-20 7F-A0 1680 2000-200A 2028 2029 202F 205F 3000"
+SPACE_RANGES = "09-0D 20 85 A0 1680 2000-200A 2028 2029 202F 205F 3000"
+
+
+def is_white_space(char: Column) -> Column:
+    return char.rlike(f"^[{_class(SPACE_RANGES)}]\\z")
+
+
+def is_punctuation(char: Column) -> Column:
+    """One character that is no word character, white space or control character; such a character separates words."""
+    return char.rlike(f"^[^{L}{H}{D}{_class(BLANK_RANGES)}]\\z")
+
+
+is_separator = is_punctuation
+
+
+def repair_utf8(data: Column) -> Column:
+    """Bytes as text, with U+FFFD for each byte that isn't part of valid UTF-8."""
+
+    @F.arrow_udf("string")
+    def repair(rows: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else re.sub("[\udc80-\udcff]", "\ufffd", b.decode("utf-8", "surrogateescape")) for b in rows.to_pylist()], pa.string())
+
+    return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(repair(data))
+
+
+def _offsets(text: str, reconstruct: bool, space: str) -> tuple[str, list[int]]:
+    """A normalised text and, for each of its bytes and its end, the byte of the given text that it comes from."""
+    size, at, out, marks = len(space.encode()), 0, [], []
+    for c in text:
+        if c != " ":
+            out.append(c)
+            marks += [at] * len(c.encode())
+        elif reconstruct or (out and out[-1] != " "):
+            out.append(" ")
+            marks += [at] * size
+        at += len(c.encode())
+    # sentinels at the end go, those of the given text too
+    end = at
+    while not reconstruct and out and out[-1] in (" ", space):
+        out.pop()
+        del marks[len(marks) - size + 1 :]
+        end = marks.pop()
+    return "".join(space if c == " " else c for c in out), [*marks, end] if out or (reconstruct and text) else []
+
+
+def normalize_with_offsets(text: Column, reconstruct: bool = False, space: str = SPACE) -> Column:
+    """``struct<text, offsets>``: the normalised text, and for each of its bytes, and its end, the byte it comes from.
+
+    The sentinel is one character. A text of spaces alone, or an empty one, has no offsets.
+    """
+
+    @F.arrow_udf("struct<text: string, offsets: array<int>>")
+    def run(rows: pa.Array) -> pa.Array:
+        found = [None if t is None else _offsets(t, reconstruct, space) for t in rows.to_pylist()]
+        return pa.array([None if f is None else {"text": f[0], "offsets": f[1]} for f in found], pa.struct([("text", pa.string()), ("offsets", pa.list_(pa.int32()))]))
+
+    return F.when(text.isNotNull(), run(text))
+
+
 def byte_to_piece(byte: Column) -> Column:
     """0..255 to ``<0xHH>``."""
     return F.concat(F.lit("<0x"), F.lpad(F.hex(byte.cast("long")), 2, "0"), F.lit(">"))
@@ -155,5 +217,35 @@ def escape_bytes(piece: bytes) -> str:
     return "".join(out)
 
 
+def escape_array(pieces: Column) -> Column:
+    """An array of pieces of any bytes as one line, each escaped, a space between."""
+
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if ps is None else " ".join(escape_bytes(p) for p in ps if p is not None) for ps in rows.to_pylist()], pa.string())
+
+    return run(pieces)
+
+
+def unescape(text: Column) -> Column:
+    """The bytes that an escaped text stands for."""
+
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unescape_bytes(t) for t in rows.to_pylist()], pa.binary())
+
+    return F.when(F.instr(text, "\\x") > 0, run(text)).otherwise(F.encode(text, "UTF-8"))
+
+
+def escape_binary(data: Column) -> Column:
+    """As ``escape``, for any bytes: those that aren't UTF-8 are escaped too."""
+
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else escape_bytes(b) for b in rows.to_pylist()], pa.string())
+
+    return F.when(F.is_valid_utf8(data.cast("string")), escape(data.cast("string"))).otherwise(run(data))
+
+
 def unescape_bytes(text: str) -> bytes:
     return re.sub(rb"\\x([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), text.encode("utf-8", "surrogateescape"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphmill.functions.text import SPACE, normalize, restore_spaces, unicode_normalize
-from morphmill.model import BYTE, BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, SEQUENCE, UNKNOWN, Model
+from morphmill.model import BYTE, BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, NORMAL, SEQUENCE, UNKNOWN, Model
 from morphmill.operators.segment import Unigram, cut_before, merge_chars, merge_ids, unspanned
 
 ENCODED = "array<struct<piece: binary, id: int>>"
@@ -68,7 +68,7 @@ class _Lookups:
                     pass
             spans = [p.encode() for p in self.scores]
         elif self.method == NGRAM:
-            self.unigram = Unigram({p.piece: p.score for p in model.pieces if p.type not in (UNKNOWN, CONTROL, BYTE)})
+            self.unigram = Unigram({p.piece: p.score for p in model.pieces if p.type == NORMAL})
             spans = list(self.unigram.weights)
         else:
             # pieces without parts, such as control tokens, are made by no merge

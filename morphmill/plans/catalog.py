@@ -1,4 +1,4 @@
-"""Queries of the core operators over the standard tables, and their SQL oracles."""
+"""Queries of the core operators over the standard tables; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from morphmill.functions import text as T
 from morphmill.model import BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, NORMAL, SEQUENCE, Model, NormalizerSpec, Piece, TrainSpec, byte_pieces, layout
 from morphmill.operators import corpus, encode, han, stats, train
+from morphmill.plans.examples import HAN_LINES, SPACE_LINES, byte_pair_model, char_pair_model, ngram_model, sequence_model
+from morphmill.plans.oracles import oracle_sql  # noqa: F401
 from morphmill.sources import text as src
 
 
@@ -25,51 +27,10 @@ def _counts(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return stats.word_counts(stats.words_of(_lines(spark, sf_dir)), **how)
 
 
-# ---- small models and literals --------------------------------------------------------------------
-
-MERGES = [("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), ("a", "n"), ("o", "n"), ("in", "g"), ("an", "d"), ("e", "n"), ("l", "l"), ("t", "i"), ("o", "u"), ("e", "s"), ("a", "t"), ("r", "e"), ("l", "e")]
-
-
-def byte_pair_model() -> Model:
-    """A small byte-level model: all bytes, and a few merges."""
-    learned = [Piece(bytes([b]), -float(b)) for b in range(256)]
-    learned += [Piece((u + v).encode(), -float(256 + i), NORMAL, u.encode(), v.encode()) for i, (u, v) in enumerate(MERGES)]
-    spec = TrainSpec(BYTE_PAIR, 3 + len(learned))
-    return Model(spec, NormalizerSpec(), layout(spec.meta(), learned, spec.vocab_size))
-
-
-def char_pair_model() -> Model:
-    spec = TrainSpec(CHAR_PAIR, 3 + 256 + len(MERGES) + 26)
-    meta = spec.meta() | {3 + i: p for i, p in enumerate(byte_pieces())}
-    names = [u + v for u, v in MERGES] + [chr(97 + i) for i in range(26)]
-    return Model(spec, NormalizerSpec(), layout(meta, [Piece(n.encode(), -float(i)) for i, n in enumerate(names)], spec.vocab_size))
-
-
-def ngram_model() -> Model:
-    meta = TrainSpec(NGRAM).meta() | {3 + i: p for i, p in enumerate(byte_pieces())}
-    names = [u + v for u, v in MERGES] + [chr(97 + i) for i in range(26)] + ["▁", "▁the", "▁and"]
-    learned = [Piece(n.encode(), float(1000 - 7 * i)) for i, n in enumerate(names)]
-    own = layout(meta, learned, len(meta) + len(learned))
-    return Model(TrainSpec(NGRAM, len(own)), NormalizerSpec(), own)
-
-
-def sequence_model() -> Model:
-    learned = [Piece(bytes([b]), 0.0, 6) for b in range(256)] + [Piece((u + v).encode(), -float(i), NORMAL, u.encode(), v.encode()) for i, (u, v) in enumerate(MERGES)]
-    return Model(TrainSpec(SEQUENCE, len(learned)), NormalizerSpec(space=""), tuple(learned))
-
-
-HAN_LINES = ["Tom▁他是英国人Bat", "他是英国人", "汉字とかな", "a▁汉b字", "々〇漢字１２", ""]
-SPACE_LINES = ["  a  b ", "a\tb", " ", "", "▁a▁ ", "x   y z", "　w  "]
-
-
 def _literal(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
 
 
-def _values(lines: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(lines)) + ") AS v(n, line)"
-
-
 # ---- queries --------------------------------------------------------------------------------------
 
 
@@ -134,11 +95,11 @@ def best_pair(spark, sf_dir):
 
 
 def byte_ngrams(spark, sf_dir):
-    return stats.byte_ngrams(_counts(spark, sf_dir), 4)
+    return stats.byte_ngrams(_counts(spark, sf_dir))
 
 
 def ngram_logprob(spark, sf_dir):
-    probs = stats.ngram_logprobs(stats.byte_ngrams(_counts(spark, sf_dir), 3), 32)
+    probs = stats.ngram_logprobs(stats.byte_ngrams(_counts(spark, sf_dir)), 32)
     return probs.select("n", "gram", "cnt", F.round("logp", 9).alias("logp"))
 
 
@@ -166,7 +127,7 @@ def byte_piece_table(spark, sf_dir):
 
 
 def _shown(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.select("id", F.hex("piece").alias("piece"), "score", "type", F.hex("u").alias("u"), F.hex("v").alias("v"))
+    return vocabulary.select("id", F.hex("piece").alias("piece"), (F.col("score") + 0.0).alias("score"), "type", F.hex("u").alias("u"), F.hex("v").alias("v"))
 
 
 def vocab_layout(spark, sf_dir):
@@ -197,16 +158,37 @@ def _encoded(model: Callable[[], Model]):
     return query
 
 
-def decode_round_trip(spark, sf_dir):
-    model = byte_pair_model()
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(encode.encode(F.col("text"), model), lambda x: x["id"]).alias("ids"))
-    return encode.decode(rows, model, "conv_id", "turn")
+def _decoded(make: Callable[[], Model]):
+    def query(spark, sf_dir):
+        model = make()
+        rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(encode.encode(F.col("text"), model), lambda x: x["id"]).alias("ids"))
+        return encode.decode(rows, model, "conv_id", "turn")
+
+    return query
 
 
 def char_classes(spark, sf_dir):
     char = F.when(F.col("id") < 65536, F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")).otherwise(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
-    chars = spark.range(1, 0x11000).where("id not between 55296 and 57343").select("id", char.alias("c"))
-    return chars.select("id", T.is_han(F.col("c")).alias("han"), T.is_word_char(F.col("c")).alias("word"), T.is_digit(F.col("c")).alias("digit"))
+    chars = spark.range(1, 0x110000).where("id not between 55296 and 57343").select("id", char.alias("c"))
+    classes = [f(F.col("c")).alias(n) for n, f in (("han", T.is_han), ("word", T.is_word_char), ("digit", T.is_digit), ("punctuation", T.is_punctuation))]
+    # every code point, as numbers and sums by block and class
+    return chars.select("id", F.expr("id div 256").alias("block"), *classes).groupBy("block", "han", "word", "digit", "punctuation").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def unescape(spark, sf_dir):
+    return escaped(spark, sf_dir).select("doc_id", T.unescape(F.col("text")).cast("string").alias("text"))
+
+
+def repair_utf8(spark, sf_dir):
+    given = [b"ab", b"\xc3\xa9", b"a\xffb", b"\xe4\xbd\xed", b"\xc0\x80x", b"\xed\xa0\x80", b""]
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(given)], "n int, data binary")
+    return rows.select("n", T.repair_utf8(F.col("data")).alias("text"))
+
+
+def offset_map(spark, sf_dir):
+    rows = _literal(spark, ["a b", "  a  b", "é x ", "   ", ""])
+    found = rows.select("n", T.normalize_with_offsets(F.col("line")).alias("f"))
+    return found.select("n", "f.text", F.array_join(F.col("f.offsets").cast("array<string>"), ",").alias("offsets"))
 
 
 def escaped(spark, sf_dir):
@@ -251,8 +233,10 @@ def train_byte_pair(spark, sf_dir):
 
 
 def train_char_pair(spark, sf_dir):
-    spec = _spec(CHAR_PAIR, 120, min_count=2)
-    return _shown(train.train_char_pair(train.training_words(_lines(spark, sf_dir), spec), spec).vocabulary(spark))
+    words = train.training_words(_lines(spark, sf_dir), TrainSpec(CHAR_PAIR, min_count=2))
+    # 24 merges beside the characters that must have a piece
+    required = stats.covered_chars(stats.char_counts(words)).count()
+    return _shown(train.train_char_pair(words, _spec(CHAR_PAIR, required + 24, min_count=2)).vocabulary(spark))
 
 
 def train_ngram(spark, sf_dir):
@@ -271,88 +255,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "byte_ngrams": byte_ngrams, "ngram_logprob": ngram_logprob, "sentences": sentences, "clean_text": clean_text, "strip_headings": strip_headings, "ascii_words": ascii_words,
         "byte_pieces": byte_piece_table, "vocab_layout": vocab_layout, "extra_tokens": extra_tokens, "piece_to_id": piece_to_id, "char_classes": char_classes, "escape": escaped,
         "encode_byte_pair": _encoded(byte_pair_model), "encode_char_pair": _encoded(char_pair_model), "encode_ngram": _encoded(ngram_model), "encode_sequence": _encoded(sequence_model),
-        "decode_round_trip": decode_round_trip, "han_split": han_split, "han_dictionary": han_dictionary, "han_dictionary_split": han_dictionary_split, "unicode_normalize": unicode_normalize,
+        "decode_round_trip": _decoded(byte_pair_model), "decode_char_pair": _decoded(char_pair_model), "decode_ngram": _decoded(ngram_model), "decode_sequence": _decoded(sequence_model),
+        "unescape": unescape, "repair_utf8": repair_utf8, "offset_map": offset_map, "han_split": han_split, "han_dictionary": han_dictionary, "han_dictionary_split": han_dictionary_split, "unicode_normalize": unicode_normalize,
         "frequency_lines": frequency_lines, "model_round_trip": model_round_trip, "train_byte_pair": train_byte_pair, "train_char_pair": train_char_pair, "train_ngram": train_ngram,
         "train_sequence": train_sequence,
     }
-
-
-# ---- oracles --------------------------------------------------------------------------------------
-
-LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
-
-
-def _norm(col: str) -> str:
-    return f"rtrim(regexp_replace(ltrim({col}, ' '), ' +', '▁', 'g'), '▁')"
-
-
-def _split(col: str, cut: int = 0) -> str:
-    return f"regexp_extract_all({col}, '{T.pretokenizer_pattern(cut)}')"
-
-
-COUNTS = f"{LINES}, words AS (SELECT unnest({_split(_norm('line'))}) AS word FROM lines), counts AS (SELECT word, count(*) AS freq FROM words GROUP BY word)"
-CHARS = "chars AS (SELECT c AS char, CAST(sum(freq) AS BIGINT) AS cnt FROM (SELECT unnest(string_split(word, '')) AS c, freq FROM {source}) GROUP BY c)"
-COVERED = "ordered AS (SELECT char, cnt, coalesce(sum(cnt) OVER (ORDER BY cnt DESC, char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(cnt) OVER () AS total FROM chars), covered AS (SELECT char, cnt FROM ordered WHERE before / total < {coverage})"
-PAIRS = """tokens AS (SELECT regexp_extract_all(hex(word), '..') AS t, freq FROM counts),
-positions AS (SELECT t, freq, unnest(range(1, len(t))) AS i FROM tokens),
-pairs AS (SELECT t[i] AS l, t[i + 1] AS r, CAST(sum(freq) AS BIGINT) AS cnt FROM positions GROUP BY 1, 2)"""
-
-
-def _grams(most: int) -> str:
-    return f"""h AS (SELECT hex(word) AS h, freq FROM counts), starts AS (SELECT h, freq, unnest(range(0, len(h) // 2)) AS i FROM h),
-grams AS (SELECT CAST(k AS INTEGER) AS n, substr(h, 2 * i + 1, 2 * k) AS gram, CAST(sum(freq) AS BIGINT) AS cnt FROM starts, range(1, {most + 1}) AS s(k) WHERE i + k <= len(h) // 2 GROUP BY 1, 2)"""
-
-
-def _merged_sql(start: str) -> str:
-    for u, v in MERGES:
-        u, v = u.encode().hex().upper(), v.encode().hex().upper()
-        start = f"replace({start}, '<{u}><{v}>', '<{u}{v}>')"
-    return start
-
-
-def oracle_sql() -> dict[str, str]:
-    tokens = "SELECT doc_id, line_no, array_to_string({split}, ' ') AS tokens FROM lines"
-    wrapped = "regexp_replace(hex({x}), '(..)', '<\\1>', 'g')"
-    heading = "regexp_replace(text, '(?m)^#+\\s+[^\\n]*$', '', 'g')"
-    spaced = "concat('  ', replace(line, ' ', '   '), '▁ ')"
-    digits = "regexp_matches(c, '^[" + T.D + "]$')"
-    return {
-        "raw_count": f"WITH {COUNTS} SELECT word, freq FROM counts",
-        "raw_count_maxbytes": f"WITH {COUNTS} SELECT word, freq FROM counts WHERE strlen(word) <= 12",
-        "pretokenize_cut0": f"WITH {LINES} " + tokens.format(split=_split(_norm("line"))),
-        "pretokenize_cut1": f"WITH {LINES} " + tokens.format(split=_split(_norm("line"), 1)),
-        "pretokenize_reconstruct": f"WITH {LINES} " + tokens.format(split=_split("replace(line, ' ', '▁')")),
-        "normalize": f"WITH {LINES} SELECT doc_id, line_no, {_norm(spaced)} AS line FROM lines",
-        "restore_spaces": f"SELECT conv_id, turn, replace({_norm('text')}, '▁', ' ') AS text FROM conversations",
-        "space_runs": f"SELECT n, {_norm('line')} AS merged, replace(line, ' ', '▁') AS kept, array_to_string({_split(_norm('line'))}, ' ') AS tokens FROM {_values(SPACE_LINES)}",
-        "word_min_count": f"WITH {COUNTS} SELECT word, freq FROM counts WHERE freq >= 32",
-        "first_n_lines": f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE line <> '' ORDER BY doc_id, line_no LIMIT 100",
-        "char_freq": f"WITH {COUNTS}, {CHARS.format(source='counts')} SELECT char, cnt FROM chars",
-        "char_coverage": f"WITH {COUNTS}, {CHARS.format(source='counts')}, {COVERED.format(coverage=0.9995)} SELECT char, cnt FROM covered",
-        "words_with_unk": f"WITH {COUNTS}, kept AS (SELECT row_number() OVER () AS k, word, freq FROM counts WHERE freq >= 2), {CHARS.format(source='kept')}, {COVERED.format(coverage=0.99)}, parts AS (SELECT k, word, freq, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS i FROM kept) SELECT string_agg(CASE WHEN covered.char IS NULL THEN '▅' ELSE c END, '' ORDER BY i) AS word, freq FROM parts LEFT JOIN covered ON covered.char = parts.c GROUP BY k, freq",
-        "pair_counts": f"WITH {COUNTS}, {PAIRS} SELECT l, r, cnt FROM pairs",
-        "best_pair": f"WITH {COUNTS}, {PAIRS} SELECT l, r, cnt FROM pairs ORDER BY cnt DESC, greatest(l, r), l, r LIMIT 1",
-        "byte_ngrams": f"WITH {COUNTS}, {_grams(4)} SELECT n, gram, cnt FROM grams",
-        "ngram_logprob": f"""WITH {COUNTS}, {_grams(3)}, ones AS (SELECT 1 AS n, every.gram, coalesce(grams.cnt, 1) AS cnt FROM (SELECT printf('%02X', i) AS gram FROM range(256) AS t(i)) every LEFT JOIN grams ON grams.n = 1 AND grams.gram = every.gram),
-kept AS (SELECT * FROM ones UNION ALL SELECT n, gram, cnt FROM grams WHERE n > 1 AND cnt >= 32)
-SELECT a.n, a.gram, a.cnt, round(ln(a.cnt) - ln(CASE WHEN a.n = 1 THEN (SELECT sum(cnt) FROM ones) ELSE b.cnt END), 9) AS logp FROM kept a LEFT JOIN kept b ON b.n = a.n - 1 AND b.gram = substr(a.gram, 1, 2 * (a.n - 1))""",
-        "sentences": """WITH marked AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([。！？])', '\\1' || chr(1), 'g'), '([.!?])(\\s|$)', '\\1' || chr(1) || '\\2', 'g') AS t FROM documents),
-parts AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM marked)
-SELECT doc_id, generate_subscripts(p, 1) - 1 AS n, unnest(p) AS sentence FROM parts""",
-        "clean_text": f"""WITH d AS (SELECT doc_id, '## title' || chr(10) || replace(text, '. ', '.' || chr(10) || '# a b' || chr(10) || ' ' || chr(9)) AS text FROM documents),
-c AS (SELECT doc_id, trim(regexp_replace({heading}, '\\s+', ' ', 'g')) AS text FROM d) SELECT doc_id, text FROM c WHERE text <> ''""",
-        "strip_headings": f"WITH d AS (SELECT doc_id, '#' || chr(10) || 'first' || chr(10) || text || chr(10) || '### last' AS text FROM documents) SELECT doc_id, {heading} AS text FROM d",
-        "ascii_words": f"WITH {COUNTS} SELECT word, freq FROM counts WHERE regexp_matches(word, '^[A-Za-z][A-Za-z]+$')",
-        "byte_pieces": "SELECT i AS byte, '<0x' || printf('%02X', i) || '>' AS piece, i AS back FROM range(256) AS t(i)",
-        "vocab_layout": "SELECT 0 AS id, '<unk>' AS piece, 2 AS type UNION ALL SELECT 1, '<s>', 3 UNION ALL SELECT 2, '</s>', 3 UNION ALL SELECT CAST(i + 3 AS INTEGER), '<0x' || printf('%02X', i) || '>', 6 FROM range(256) AS t(i)",
-        "extra_tokens": f"SELECT id, piece, {3 + 256 + len(MERGES) + 3} AS vocab_size, {3 + 256 + len(MERGES)} AS pad_id FROM (VALUES (1, '<s>'), (2, '</s>'), ({3 + 256 + len(MERGES)}, '<pad>'), ({4 + 256 + len(MERGES)}, '<user>'), ({5 + 256 + len(MERGES)}, '<system>')) AS v(id, piece)",
-        "piece_to_id": f"WITH {COUNTS}, vocabulary AS (SELECT CAST(i + 3 AS INTEGER) AS id, printf('%02X', i) AS piece FROM range(256) AS t(i) UNION ALL SELECT id, piece FROM (VALUES " + ", ".join(f"({259 + i}, '{(u + v).encode().hex().upper()}')" for i, (u, v) in enumerate(MERGES)) + ") AS v(id, piece)), best AS (SELECT piece, max(id) AS id FROM vocabulary GROUP BY piece) SELECT hex(word) AS piece, freq, coalesce(id, 0) AS id FROM counts LEFT JOIN best ON best.piece = hex(word)",
-        "char_classes": f"SELECT id, regexp_matches(c, '^[{T.H}]$') AS han, regexp_matches(c, '^[{T.L}{T.H}{T.D}]$') AS word, {digits} AS digit FROM (SELECT i AS id, chr(CAST(i AS INTEGER)) AS c FROM range(1, 69632) AS t(i) WHERE i NOT BETWEEN 55296 AND 57343)",
-        "escape": "SELECT doc_id, replace(replace(replace(replace(text || '\\' || chr(9) || chr(13), '\\', '\\x5C'), chr(9), '\\x09'), chr(10), '\\x0A'), chr(13), '\\x0D') AS text FROM documents",
-        "encode_byte_pair": f"WITH {LINES} SELECT doc_id, line_no, " + _merged_sql(wrapped.format(x=_norm("line"))) + " AS pieces FROM lines",
-        "encode_sequence": f"WITH {LINES} SELECT doc_id, line_no, " + _merged_sql(wrapped.format(x="line")) + " AS pieces FROM lines",
-        "decode_round_trip": f"SELECT conv_id, turn, replace({_norm('text')}, '▁', ' ') AS text FROM conversations",
-        "han_split": f"SELECT n, array_to_string(list_filter(regexp_extract_all(array_to_string({_split('line')}, ' '), '[{T.H}]| |[^ {T.H}]+'), lambda x: x <> ' '), ' ') AS tokens FROM {_values(HAN_LINES)}",
-        "han_dictionary": "SELECT word, freq FROM (VALUES ('英国', 5.0::DOUBLE), ('国人', 2.5::DOUBLE), ('是', 10.0::DOUBLE)) AS v(word, freq)",
-        "frequency_lines": f"WITH {COUNTS} SELECT word || chr(9) || freq AS value FROM counts WHERE freq >= 2",
-    }

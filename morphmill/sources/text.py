@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphmill.functions.text import escape
+from morphmill.functions.text import escape, escape_array
 from morphmill.model import Model
 
 
@@ -67,6 +67,11 @@ def token_line(tokens: Column, escaped: bool = False) -> Column:
     return F.array_join(F.transform(tokens, escape) if escaped else tokens, " ")
 
 
+def piece_lines(rows: DataFrame, *keys: str, pieces: str = "pieces") -> DataFrame:
+    """keys and ``value``: each row's pieces, of any bytes, escaped and joined by a space."""
+    return rows.select(*keys, escape_array(F.col(pieces)).alias("value"))
+
+
 def encoded_lines(encoded: DataFrame, *keys: str) -> DataFrame:
     """``piece\\tid`` lines of each row of ``encoded`` (keys, pieces, ids), and an empty line after each."""
     pairs = F.transform(F.arrays_zip("pieces", "ids"), lambda x: F.concat_ws("\t", x["pieces"].cast("string"), x["ids"].cast("string")))
