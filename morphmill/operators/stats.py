@@ -74,9 +74,16 @@ def best_pairs(pairs: DataFrame, n: int = 1) -> DataFrame:
 def byte_ngrams(counts: DataFrame, most: int = 6) -> DataFrame:
     """(n, gram in hexadecimal, cnt) of the byte n-grams of words, n = 1..most; windows stay in a word."""
     rows = counts.select(F.hex(F.encode("word", "UTF-8")).alias("h"), "freq").where("h <> ''")
-    grams = rows.select(F.posexplode(F.expr(f"transform(sequence(1, {most}), n -> transform(sequence(1, greatest(length(h) div 2 - n + 1, 1)), i -> substring(h, 2 * i - 1, 2 * n)))")).alias("n", "grams"), "freq")
-    grams = grams.select((F.col("n") + 1).alias("n"), F.explode("grams").alias("gram"), "freq").where("length(gram) = 2 * n")
-    return grams.groupBy("n", "gram").agg(F.sum("freq").alias("cnt"))
+    grams = f"flatten(transform(sequence(1, length(h) div 2), i -> transform(sequence(1, least({most}, length(h) div 2 - i + 1)), n -> substring(h, 2 * i - 1, 2 * n))))"
+    counted = rows.select(F.explode(F.expr(grams)).alias("gram"), "freq").groupBy("gram").agg(F.sum("freq").alias("cnt"))
+    return counted.select(F.expr("cast(length(gram) div 2 as int)").alias("n"), "gram", "cnt")
+
+
+def byte_pair_counts(counts: DataFrame) -> DataFrame:
+    """(l, r, cnt) of neighbouring bytes, in hexadecimal: pairs are cut out of the words' bytes as they are grouped."""
+    rows = counts.select(F.hex(F.encode("word", "UTF-8")).alias("h"), "freq").where("length(h) > 2")
+    pairs = rows.select(F.explode(F.expr("transform(sequence(1, length(h) div 2 - 1), i -> substring(h, 2 * i - 1, 4))")).alias("p"), "freq")
+    return pairs.groupBy("p").agg(F.sum("freq").alias("cnt")).select(F.substring("p", 1, 2).alias("l"), F.substring("p", 3, 2).alias("r"), "cnt")
 
 
 def ngram_logprobs(grams: DataFrame, min_count: int = 1) -> DataFrame:

@@ -13,7 +13,9 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # tests, a single machine
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
             base = tempfile.mkdtemp(prefix="morphmill-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root, self.last = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", None

@@ -10,16 +10,17 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphmill.model import BYTE, CHAR_PAIR, NORMAL, SEQUENCE, Model, NormalizerSpec, Piece, TrainSpec, byte_pieces, layout
 from morphmill.operators.segment import Unigram, ngram_cuts
-from morphmill.operators.stats import bytes_of, byte_ngrams, char_counts, characters, covered_chars, ngram_logprobs, pair_counts, with_unknown, word_counts, words_of
+from morphmill.operators.stats import bytes_of, byte_ngrams, char_counts, covered_chars, ngram_logprobs, word_counts, words_of
 from morphmill.operators.storage import Rounds
+from morphmill.sources.text import first_lines
 
 #: Candidate pairs that come to the driver per round.
-CANDIDATES = 64
+CANDIDATES = 1000
 #: A whole-corpus sequence is one array in one task; larger corpora are refused.
 SEQUENCE_BYTES = 16 << 20
 #: n-grams whose table is sent to the executors.
@@ -33,37 +34,122 @@ def stored_size(method: str, n: int, spec: TrainSpec | None = None) -> int:
     return n if method == SEQUENCE else n + metas + (256 if method in (CHAR_PAIR, "bytepiece") else 0)
 
 
-def training_words(lines: DataFrame, spec: TrainSpec, normalizer: NormalizerSpec = NormalizerSpec(), han: str | None = None) -> DataFrame:
-    """(word, freq) of lines, those of ``min_count`` and more."""
-    return word_counts(words_of(lines.where("line <> ''"), normalizer.cut, normalizer.reconstruct, han), min_count=spec.min_count)
+def training_words(lines: DataFrame, spec: TrainSpec, normalizer: NormalizerSpec = NormalizerSpec(), han: str | None = None, max_sentences: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+    """(word, freq) of lines, those of ``min_count`` and more; of the first ``max_sentences`` lines that aren't empty, in an order of keys."""
+    if max_sentences and not order:
+        raise ValueError("the first lines of what order")
+    return word_counts(words_of(first_lines(lines, max_sentences, *order), normalizer.cut, normalizer.reconstruct, han), min_count=spec.min_count)
+
+
+def _flat(column: pa.ListArray) -> np.ndarray:
+    """The symbols of all words of a batch, a -1 after each word."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
+    return np.insert(values, ends[1:] - ends[0], -1)
+
+
+def _merged(flat: np.ndarray, keys: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Symbols with pairs replaced, left to right; ``keys`` are sorted, and no symbol is left in one and right in another but for a single pair of one symbol."""
+    if len(flat) < 2:
+        return flat
+    own = (flat[:-1] << 32) + flat[1:]
+    own[(flat[:-1] < 0) | (flat[1:] < 0)] = -1
+    at = np.searchsorted(keys, own)
+    at[at == len(keys)] = 0
+    hit = np.flatnonzero(keys[at] == own)
+    if not len(hit):
+        return flat
+    if keys[0] >> 32 == keys[0] & 0xFFFFFFFF:  # of a run of one symbol every second pair
+        opens = np.diff(hit, prepend=-2) > 1
+        first = hit[np.maximum.accumulate(np.where(opens, np.arange(len(hit)), 0))]
+        hit = hit[(hit - first) % 2 == 0]
+    flat = flat.copy()
+    flat[hit] = new[at[hit]]
+    return np.delete(flat, hit + 1)
+
+
+def _weighed(flat: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of neighbours, as numbers, and the sums of their words' freq."""
+    word = np.cumsum(flat < 0)
+    inside = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+    keys = (flat[inside] << 32) + flat[inside + 1]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(freq[word[inside][order]], first) if len(first) else np.zeros(0, np.int64)
+
+
+class _Words:
+    """Words as arrays of symbols, with the merges that their written table doesn't have yet.
+
+    A round's merges are a few numbers that go with the job; a task applies them
+    to whole batches of words and counts the pairs of each batch before they are
+    added up. Every ``SAVE`` rounds the words are written anew, which bounds both
+    what a task repeats and the lineage.
+    """
+
+    SAVE = 24
+
+    def __init__(self, words: DataFrame, rounds: Rounds):
+        self.rounds, self.pending = rounds, []
+        self.table = rounds.save(words.where("size(t) > 1"))
+
+    def _batches(self, then, schema: str) -> DataFrame:
+        pending = list(self.pending)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat = _flat(batch.column("t"))
+                for keys, new in pending:
+                    flat = _merged(flat, keys, new)
+                yield then(flat, batch.column("freq").to_numpy(zero_copy_only=False))
+
+        return self.table.mapInArrow(run, schema)
+
+    def pairs(self) -> DataFrame:
+        """(l, r, cnt) of neighbouring symbols, overlaps counted, weighted by freq."""
 
+        def count(flat: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
+            keys, sums = _weighed(flat, freq)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums, pa.int64())], ["key", "cnt"])
 
-def merged(tokens: Column, pairs: dict[tuple[int, int], int]) -> Column:
-    """Tokens with the pairs replaced by new ones, left to right; no symbol is in two pairs."""
-    table = F.create_map(*[F.lit(x) for (left, right), new in pairs.items() for x in ((left << 32) + right, new)])
+        sums = self._batches(count, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
+        return sums.select(F.shiftright("key", 32).cast("int").alias("l"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int").alias("r"), "cnt")
 
-    def step(done: Column, now: Column) -> Column:
-        new = F.element_at(table, F.shiftleft(F.element_at(done, -1).cast("long"), 32) + now)
-        return F.when(new.isNotNull(), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(new))).otherwise(F.concat(done, F.array(now)))
+    def merge(self, pairs: dict[tuple[int, int], int]) -> None:
+        keys = np.array([(left << 32) + right for left, right in pairs], np.int64)
+        order = np.argsort(keys)
+        self.pending.append((keys[order], np.array(list(pairs.values()), np.int64)[order]))
+        if len(self.pending) < self.SAVE:
+            return
 
-    # a symbol that is in no pair stands before the first, so the last one done always exists
-    folded = F.aggregate(tokens, F.array(F.lit(-1)), step)
-    return F.slice(folded, F.lit(2), F.greatest(F.size(folded) - 1, F.lit(0)))
+        def symbols(flat: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
+            ends = np.flatnonzero(flat < 0)
+            sizes = np.diff(ends, prepend=-1) - 1
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat[flat >= 0], pa.int32()))
+            return pa.RecordBatch.from_arrays([lists, pa.array(freq)], ["t", "freq"])
+
+        self.table = self.rounds.save(self._batches(symbols, "t array<int>, freq long").where("size(t) > 1"))
+        self.pending = []
 
 
 def _batch(candidates: list, strict: bool) -> list:
     """The longest run of best candidates that can be merged at once with the result of merging one by one.
 
-    Their symbols are disjoint and none is a pair of one symbol, unless it is
-    alone. A pair that a merge makes is no more frequent than some pair left
-    outside; strict: so none inside may be as frequent as the first outside.
+    No symbol is left in one pair and right in another, so no merge takes an
+    occurrence of another pair; a pair of one symbol is alone. A pair that a merge
+    makes is no more frequent than some pair left outside: that of the symbol
+    before it and its left one, say. Of equal counts older symbols come first,
+    unless strict; then none inside may be as frequent as the first outside.
     """
-    used: set[int] = set()
+    left: set[int] = set()
+    right: set[int] = set()
     out = []
     for c in candidates:
-        if c["l"] == c["r"] or c["l"] in used or c["r"] in used:
+        if c["l"] == c["r"] or c["l"] in right or c["r"] in left:
             break
-        used |= {c["l"], c["r"]}
+        left.add(c["l"])
+        right.add(c["r"])
         out.append(c)
     if strict and len(out) < len(candidates):
         while out and out[-1]["cnt"] == candidates[len(out)]["cnt"]:
@@ -89,11 +175,10 @@ def train_byte_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpe
     parts: list[tuple[bytes, bytes]] = [(b"", b"")] * 256
     with Rounds(words.sparkSession, "byte-pairs") as rounds:
         ids = F.transform(bytes_of(F.col("word")), lambda h: F.conv(h, 16, 10).cast("int"))
-        state = rounds.save(words.select(ids.alias("t"), "freq").where("size(t) > 1"))
+        state = _Words(words.select(ids.alias("t"), F.col("freq").cast("long").alias("freq")), rounds)
         while len(symbols) < want:
-            sizes = F.lit([len(s) for s in symbols])
-            fits = F.element_at(sizes, F.col("l") + 1) + F.element_at(sizes, F.col("r") + 1) <= spec.max_piece_size
-            best = pair_counts(state, F.col("t")).where(fits).orderBy(F.desc("cnt"), F.greatest("l", "r"), "l", "r").limit(CANDIDATES).collect()
+            fitting = _fitting(state.pairs(), [len(s) for s in symbols], spec.max_piece_size)
+            best = fitting.orderBy(F.desc("cnt"), F.greatest("l", "r"), "l", "r").limit(CANDIDATES).collect()
             if not best:
                 break
             pairs = {}
@@ -101,11 +186,43 @@ def train_byte_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpe
                 pairs[c["l"], c["r"]] = len(symbols)
                 parts.append((symbols[c["l"]], symbols[c["r"]]))
                 symbols.append(symbols[c["l"]] + symbols[c["r"]])
-            state = rounds.save(state.select(merged(F.col("t"), pairs).alias("t"), "freq").where("size(t) > 1"))
+            state.merge(pairs)
     learned = [Piece(s, -float(i), NORMAL, *parts[i]) for i, s in enumerate(symbols)]
     return Model(spec, normalizer, layout(meta, learned, spec.vocab_size, spec.extra_tokens, strict))
 
 
+def _fitting(pairs: DataFrame, sizes: list[int], most: int) -> DataFrame:
+    """Pairs of at most ``most`` bytes together; the sizes, a number for each symbol, are broadcast."""
+    held = pairs.sparkSession.sparkContext.broadcast(np.array(sizes, np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("l", "r"))
+            yield batch.filter(pa.array(held.value[own] + held.value[right] <= most))
+
+    return pairs.mapInArrow(run, "l int, r int, cnt long")
+
+
+def _named(pairs: DataFrame, names: list[str], unknown: str, refused: set[tuple[int, int]], most: int) -> DataFrame:
+    """Pairs with the ``piece`` that they make, but for refused ones, those with the unknown symbol and those of more than ``most`` bytes.
+
+    The symbols' names, a string for each piece of the vocabulary, are broadcast.
+    """
+    held = pairs.sparkSession.sparkContext.broadcast((names, refused))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, dropped = held.value
+            rows = []
+            for left, right, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own[left] != unknown and own[right] != unknown and (left, right) not in dropped and len((piece := own[left] + own[right]).encode()) <= most:
+                    rows.append((left, right, n, piece))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["l", "r", "cnt", "piece"])
+
+    return pairs.mapInArrow(run, "l int, r int, cnt long, piece string")
+
+
 def train_char_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpec = NormalizerSpec()) -> Model:
     """Character-level pair merging over (word, freq), with byte pieces for what isn't covered.
 
@@ -122,19 +239,13 @@ def train_char_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpe
     required = [r["char"] for r in covered_chars(char_counts(words), spec.character_coverage).orderBy(F.desc("cnt"), "char").collect()]
     budget = spec.vocab_size - len(meta) - len(required)
     chars = sorted({*required, unknown})
-    strings, emitted, refused, pieces = list(chars), set(), [], []
-    kept = spark.createDataFrame([(c,) for c in required], "char string")
+    strings, emitted, refused, pieces = list(chars), set(), set(), []
     with Rounds(spark, "char-pairs") as rounds:
-        at = F.create_map(*[F.lit(x) for i, c in enumerate(chars) for x in (c, i)])
-        usable = with_unknown(words.where(F.octet_length("word") <= LONGEST_WORD), kept, unknown)
-        state = rounds.save(usable.select(F.transform(characters(F.col("word")), lambda c: F.element_at(at, c)).alias("t"), "freq").where("size(t) > 1"))
+        own = _char_ids(words.where(F.octet_length("word") <= LONGEST_WORD), {c: i for i, c in enumerate(chars)}, chars.index(unknown))
+        state = _Words(own, rounds)
         while len(pieces) < budget:
-            names = F.broadcast(spark.createDataFrame(list(enumerate(strings)), "id int, name string").where(F.col("name") != unknown))
-            pairs = pair_counts(state, F.col("t"))
-            if refused:
-                pairs = pairs.join(F.broadcast(spark.createDataFrame(refused, "l int, r int")), ["l", "r"], "left_anti")
-            named = pairs.join(names.toDF("l", "left"), "l").join(names.toDF("r", "right"), "r").withColumn("piece", F.concat("left", "right"))
-            best = named.where(F.octet_length("piece") <= spec.max_piece_size).orderBy(F.desc("cnt"), F.char_length("piece"), "piece", "l", "r").limit(CANDIDATES).collect()
+            named = _named(state.pairs(), strings, unknown, refused, spec.max_piece_size)
+            best = named.orderBy(F.desc("cnt"), F.char_length("piece"), "piece", "l", "r").limit(CANDIDATES).collect()
             if not best:
                 break
             new = {}
@@ -142,18 +253,31 @@ def train_char_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpe
                 if len(pieces) >= budget:
                     break
                 if c["piece"] in emitted:
-                    refused.append((c["l"], c["r"]))
+                    refused.add((c["l"], c["r"]))
                     continue
                 emitted.add(c["piece"])
                 pieces.append(c["piece"])
                 new[c["l"], c["r"]] = len(strings)
                 strings.append(c["piece"])
             if new:
-                state = rounds.save(state.select(merged(F.col("t"), new).alias("t"), "freq").where("size(t) > 1"))
+                state.merge(new)
     learned = [Piece(s.encode(), -float(i)) for i, s in enumerate([*pieces, *required])]
     return Model(spec, normalizer, layout(meta, learned, spec.vocab_size, spec.extra_tokens))
 
 
+def _char_ids(words: DataFrame, ids: dict[str, int], unknown: int) -> DataFrame:
+    """(t, freq): words as numbers of their characters; the alphabet is broadcast."""
+    held = words.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = held.value
+            own = [[table.get(c, unknown) for c in w] for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column("freq")], ["t", "freq"])
+
+    return words.select("word", F.col("freq").cast("long").alias("freq")).mapInArrow(run, "t array<int>, freq long")
+
+
 def _cut_words(table: dict[bytes, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -87,7 +87,7 @@ def words_with_unk(spark, sf_dir):
 
 
 def pair_counts(spark, sf_dir):
-    return stats.pair_counts(_counts(spark, sf_dir), stats.bytes_of(F.col("word")))
+    return stats.byte_pair_counts(_counts(spark, sf_dir))
 
 
 def best_pair(spark, sf_dir):
