@@ -7,14 +7,15 @@ words repeat only where quotas ask for it and the cheapest first. Documents of a
 pattern are then taken in a seeded order up to the words the flow asks for.
 
 The flow's network has a node per pattern and source and is solved on the
-driver; both counts are bounded by a parameter and checked before. Documents
-never leave the executors.
+driver; the number of patterns is bounded by a parameter and checked before.
+Documents never leave the executors. Tables of one source a row have trivial
+networks, an arc for each source.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,8 @@ from pyspark.sql.window import Window
 
 from morphmill.llm._shared import Scratch, spare_name
 
-#: Patterns and sources that a mix may have.
-MOST_PATTERNS = 100_000
-#: Parts of the seeded order; all but one per pattern are taken or left whole.
-ORDER_PARTS = 1024
+#: Parts of the seeded order, at least, and rows that one part more is made for; all but one per pattern are taken or left whole.
+LEAST_PARTS, PART_ROWS = 1024, 50_000
 
 _WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -58,68 +57,108 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3
     return target
 
 
-@dataclass
-class _Arc:
-    to: int
-    room: int
-    cost: int
-    back: int
-
-
 def min_cost_flow(capacity: list[int], members: list[list[int]], quotas: list[int], repeats: int) -> list[list[int]]:
     """Words routed from each pattern to each of its sources: the most in all, and of those the cheapest.
 
-    A pattern's words can be used ``repeats`` times, at cost 0, 1, 2, ...
-    Augmenting paths by shortest reduced cost, with potentials.
+    A pattern's words can be used ``repeats`` times, at cost 0, 1, 2, ... Each
+    phase finds the distances by cost and then sends all that fits along paths of
+    the least cost at once, by blocking flows. The cost of a path only rises and
+    is a small number, so there are few phases, whatever the number of patterns.
     """
     n, m = len(capacity), len(quotas)
     start, end = 0, n + m + 1
-    graph: list[list[_Arc]] = [[] for _ in range(n + m + 2)]
-
-    def arc(u: int, v: int, room: int, cost: int) -> None:
-        graph[u].append(_Arc(v, room, cost, len(graph[v])))
-        graph[v].append(_Arc(u, 0, -cost, len(graph[u]) - 1))
+    to: list[int] = []
+    room: list[int] = []
+    cost: list[int] = []
+    arcs: list[list[int]] = [[] for _ in range(n + m + 2)]
+
+    def arc(u: int, v: int, most: int, price: int) -> None:
+        # an arc and the one that takes its flow back are neighbours
+        for x, y, r, c in ((u, v, most, price), (v, u, 0, -price)):
+            arcs[x].append(len(to))
+            to.append(y)
+            room.append(r)
+            cost.append(c)
 
     for p in range(n):
         for r in range(repeats):
             arc(start, 1 + p, capacity[p], r)
+    routes = len(to)
+    for p in range(n):
         for s in members[p]:
             arc(1 + p, 1 + n + s, sum(quotas), 0)
     for s in range(m):
         arc(1 + n + s, end, quotas[s], 0)
-    potential = [0] * len(graph)
+    potential = [0] * len(arcs)
     while True:
-        far: list[int | None] = [None] * len(graph)
-        came: list[tuple[int, int] | None] = [None] * len(graph)
+        far: list[float] = [math.inf] * len(arcs)
         far[start], heap = 0, [(0, start)]
         while heap:
             d, u = heapq.heappop(heap)
             if d > far[u]:
                 continue
-            for i, a in enumerate(graph[u]):
-                if a.room and (far[a.to] is None or d + a.cost + potential[u] - potential[a.to] < far[a.to]):
-                    far[a.to] = d + a.cost + potential[u] - potential[a.to]
-                    came[a.to] = (u, i)
-                    heapq.heappush(heap, (far[a.to], a.to))
-        if far[end] is None:
+            for e in arcs[u]:
+                if room[e] and (now := d + cost[e] + potential[u] - potential[to[e]]) < far[to[e]]:
+                    far[to[e]] = now
+                    heapq.heappush(heap, (now, to[e]))
+        if far[end] == math.inf:
             break
-        potential = [p + (f if f is not None else far[end]) for p, f in zip(potential, far, strict=True)]
-        path, v = [], end
-        while v != start:
-            u, i = came[v]
-            path.append(graph[u][i])
-            v = u
-        room = min(a.room for a in path)
-        for a in path:
-            a.room -= room
-            graph[a.to][a.back].room += room
-    routed = []
-    for p in range(n):
-        own = [a for a in graph[1 + p] if a.to > n]
-        routed.append([graph[a.to][a.back].room for a in own])
+        potential = [int(p + min(f, far[end])) for p, f in zip(potential, far, strict=True)]
+        while _blocking_flow(arcs, to, room, cost, potential, start, end):
+            pass
+    routed, e = [], routes
+    for own in members:
+        routed.append([room[e + 2 * k + 1] for k in range(len(own))])
+        e += 2 * len(own)
     return routed
 
 
+def _blocking_flow(arcs: list[list[int]], to: list[int], room: list[int], cost: list[int], potential: list[int], start: int, end: int) -> bool:
+    """Send flow along arcs of no reduced cost, by the number of arcs from the start, until none of those paths has room; whether there was one."""
+    level = {start: 0}
+    layer = [start]
+    while layer and end not in level:
+        after = []
+        for u in layer:
+            for e in arcs[u]:
+                v = to[e]
+                if room[e] and v not in level and cost[e] + potential[u] == potential[v]:
+                    level[v] = level[u] + 1
+                    after.append(v)
+        layer = after
+    if end not in level:
+        return False
+    next_arc = dict.fromkeys(level, 0)
+    path: list[int] = []
+    u = start
+    while True:
+        if u == end:
+            sent = min(room[e] for e in path)
+            for e in path:
+                room[e] -= sent
+                room[e ^ 1] += sent
+            # back to before the first arc that is full
+            full = next(i for i, e in enumerate(path) if not room[e])
+            u = to[path[full] ^ 1]
+            del path[full:]
+            continue
+        own = arcs[u]
+        while next_arc[u] < len(own):
+            e = own[next_arc[u]]
+            if room[e] and level.get(to[e], -1) == level[u] + 1 and cost[e] + potential[u] == potential[to[e]]:
+                break
+            next_arc[u] += 1
+        if next_arc[u] < len(own):
+            path.append(own[next_arc[u]])
+            u = to[path[-1]]
+        elif path:
+            e = path.pop()
+            u = to[e ^ 1]
+            next_arc[u] += 1
+        else:
+            return True
+
+
 def mix(
     docs: DataFrame,
     sources: Column,
@@ -129,6 +168,7 @@ def mix(
     repeats: int = 2,
     seed: int = 20240501,
     id_col: str = "doc_id",
+    most_patterns: int = 100_000,
 ) -> DataFrame:
     """Per row of docs: its id, ``sources``, ``size``, ``copies`` and ``taken`` = copies * size; plus the inputs of its first source.
 
@@ -139,20 +179,24 @@ def mix(
     ``repeats`` times. The order within a pattern is that of a hash of seed and
     id, then id: reruns agree, and equal rows are interchangeable. Rows without
     words are taken as often as their neighbours in that order, at no words. An
-    empty table gives an empty result. Other columns are not returned.
+    empty table gives an empty result. Other columns are not returned. More than
+    ``most_patterns`` sets of sources are an error: the flow between them is
+    solved on the driver, in about a minute for the 100,000 of the default.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         names = F.coalesce(sources, F.array(F.lit(None).cast("string")))
         names = F.array_sort(F.array_distinct(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(None).cast("string")))))
         rows = docs.select(F.col(id_col).alias("id"), names.alias("pattern"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-        order = F.xxhash64(F.lit(seed), F.col("id"))
-        rows = scratch.save(rows.withColumn("order", order).withColumn("part", F.shiftrightunsigned("order", 64 - ORDER_PARTS.bit_length() + 1).cast("int")), "sizes", keep=True)
-        # one row per pattern and part of the order: bounded by patterns * ORDER_PARTS, whatever the number of rows
+        rows = scratch.save(rows.withColumn("order", F.xxhash64(F.lit(seed), F.col("id"))), "sizes", keep=True)
+        # a power of two of parts, so that a part has some ten thousand rows however many there are
+        bits = (max(LEAST_PARTS, rows.count() // PART_ROWS) - 1).bit_length()
+        rows = rows.withColumn("part", F.shiftrightunsigned("order", 64 - bits).cast("int"))
+        # one row per pattern and part of the order
         held = scratch.save(rows.groupBy("pattern", "part").agg(F.sum("size").alias("words")), "held")
         by_pattern = held.groupBy("pattern").agg(F.sum("words").alias("words"))
-        if by_pattern.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
-            raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+        if by_pattern.limit(most_patterns + 1).count() > most_patterns:
+            raise ValueError(f"more than {most_patterns} membership patterns")
         patterns = sorted(((tuple(r["pattern"]), r["words"]) for r in by_pattern.collect()), key=lambda x: [(s is None, s or "") for s in x[0]])
         sizes: dict[str | None, int] = {}
         for own, words in patterns:

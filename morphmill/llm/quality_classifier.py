@@ -1,10 +1,13 @@
 """Quality classification by hierarchical empirical Bayes.
 
 A logistic classifier, trained here in numpy on a bounded sample of labelled
-rows, gives each document's evidence. Its probabilities are aggregated by path
-and host; a host's posterior is shrunk to the global prior and a path's to its
-host's, by strengths fitted to the spread among hosts and paths. A document's
-odds are its own evidence with the global prior odds replaced by its path's.
+rows, gives each document's evidence: from rates of its characters, words and
+lines, and from the hashed frequencies of its words and pairs of words. Its
+probabilities are aggregated by path and host; a host's posterior is shrunk to
+the global prior and a path's to its host's, by strengths fitted to the spread
+among hosts and paths. A document's odds are its own evidence with the global
+prior odds replaced by its path's. Documents have no URL here, so that by default
+their source is the host and their language the path.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from morphmill.llm._text import _SPACE, line_bounds, line_hashes, slices, text_b
 #: Labelled rows that the classifier is fitted on, at most: those first in the order of a hash of their id.
 TRAIN_ROWS = 20_000
 _CLASSES = [np.isin(np.arange(256), list(x)) for x in (b"#*$%&<>", b"|", b"!", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:")]
-FEATURES = ["log_words", "word_length", "marks", "bars", "bangs", "digits", "capitals", "stops", "distinct", "repeats", "same_lines", "line_words"]
+#: Buckets of hashed words and pairs of words.
+GRAMS = 1024
+RATES = ["log_words", "word_length", "marks", "bars", "bangs", "digits", "capitals", "stops", "distinct", "repeats", "same_lines", "line_words"]
 
 
 def _rates(part: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A row of FEATURES per text."""
+    """Per text a row of RATES, and the roots of its GRAMS buckets' frequencies."""
     n = len(offs) - 1
     starts, ends, doc = word_bounds(part, offs)
     hashes = word_hashes(part, starts, ends)
@@ -52,40 +57,59 @@ def _rates(part: np.ndarray, offs: np.ndarray) -> np.ndarray:
         own = lines[l_first[d] : l_first[d + 1]]
         same[d] = 1 - len(np.unique(own)) / len(own)
     columns = [np.log1p(words), chars / some, kinds[0] / some, kinds[1] / some, kinds[2] / some, kinds[3] / chars, kinds[4] / chars, kinds[5] / some, distinct, repeats, same, np.log1p(words / np.diff(l_first))]
-    return np.stack(columns, axis=1)
+    held = (doc * GRAMS + (hashes % np.uint64(GRAMS)).astype(np.int64), doc[:-1][doc[1:] == doc[:-1]] * GRAMS + (grams[doc[1:] == doc[:-1]] % np.uint64(GRAMS)).astype(np.int64) if len(doc) > 1 else doc[:0])
+    counts = np.bincount(np.concatenate(held), minlength=n * GRAMS).reshape(n, GRAMS)
+    shares = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    return np.stack(columns, axis=1), shares
+
+
+def _per_slice(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, offsets = text_bytes(column)
+    for i, j in slices(offsets):
+        yield i, j, *_rates(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, host, path, text) to (id, host, path, x)."""
+    """(id, y, text) to (y, rates, shares), as bytes of single floats."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        rows = [_rates(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
-        flat = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
-        x = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32()), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), x], ["id", "host", "path", "x"])
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """(weights, intercept, centre, scale) by Newton's method; squares of the scaled features are features too."""
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = expand(x, centre, scale)
-    a = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    w = np.zeros(a.shape[1])
-    penalty = np.full(a.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(penalty), a.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w[:-1], float(w[-1]), centre, scale
-
-
-def expand(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Scaled features, cut at four deviations, and their squares."""
-    z = np.clip((x - centre) / scale, -4, 4)
-    return np.concatenate([z, z * z], axis=1)
+        for i, j, rates, shares in _per_slice(batch.column("text")):
+            columns = [pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()) for x in (rates, shares)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("y").slice(i, j - i), *columns], ["id", "y", "rates", "shares"])
+
+
+class Evidence:
+    """Log odds of quality: a ridge logistic regression over scaled rates, their squares, and shares of hashed words."""
+
+    def __init__(self) -> None:
+        self.centre, self.scale = np.zeros(len(RATES)), np.ones(len(RATES))
+        self.w, self.b = np.zeros(2 * len(RATES) + GRAMS), 0.0
+
+    def _inputs(self, rates: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        z = np.clip((rates - self.centre) / self.scale, -4, 4)
+        return np.concatenate([z, z * z, shares * 4], axis=1).astype(np.float32)
+
+    def fit(self, rates: np.ndarray, shares: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int = 300) -> None:
+        """Gradient steps with momentum, at the step size that the curvature's bound allows."""
+        self.centre, self.scale = rates.mean(axis=0), rates.std(axis=0) + 1e-9
+        x = np.concatenate([self._inputs(rates, shares), np.ones((len(y), 1), np.float32)], axis=1)
+        ridges = np.full(x.shape[1], ridge)
+        ridges[-1] = 1e-6
+        # the largest curvature, by the power method
+        v = np.ones(x.shape[1])
+        for _ in range(20):
+            v = x.T @ (x @ v)
+            v /= np.linalg.norm(v) + 1e-12
+        rate = 1 / (0.25 * float(np.linalg.norm(x.T @ (x @ v))) + ridge)
+        w = ahead = np.zeros(x.shape[1])
+        for k in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
+            new = ahead - rate * (x.T @ (p - y) + ridges * ahead)
+            ahead = new + k / (k + 3) * (new - w)
+            w = new
+        self.w, self.b = w[:-1], float(w[-1])
+
+    def score(self, rates: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        return self._inputs(rates, shares) @ self.w + self.b
 
 
 def posteriors(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,33 +138,39 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paths.select("host", "path", "n", "host_rate", "path_rate", "mean"), total
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Per row of docs: its id, ``evidence`` (log odds of the classifier), ``host_rate``, ``path_rate``, ``score`` and ``kept`` (score >= least).
 
-    labels: (id, 0 or 1); other labels and null ids count as none. Without rows
+    labels: (id, 0 or 1); other labels and null ids count as none; the classifier
+    is fitted on ``train_rows`` of them at most. Without rows
     of both labels the evidence is 0. Null or empty texts are classified as what
     they are; null hosts and paths are groups of their own. Repeated rows count
     each. Other columns are not returned. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    # train_rows numbers at most; a document's features are some KB
+    drawn = F.broadcast(known.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows))
+    sample = sorted(rows.select("id", "text").join(drawn, "id").select("id", "y", "text").mapInArrow(feature_batches, "id long, y int, rates binary, shares binary").collect())
+    y = np.array([r["y"] for r in sample], float)
+    model = Evidence()
+    if len(set(y)) == 2:
+        model.fit(*(np.stack([np.frombuffer(r[c], np.float32) for r in sample]) for c in ("rates", "shares")), y)
+    held = spark.sparkContext.broadcast(model)  # some thousand numbers
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, rates, shares in _per_slice(batch.column("text")):
+                own = pa.array(held.value.score(rates, shares), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("id", "host", "path")), own], ["id", "host", "path", "evidence"])
+
     with Scratch(spark) as scratch:
-        rows = docs.select(
-            F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        )
-        seen = scratch.save(rows.mapInArrow(feature_batches, "id long, host string, path string, x array<double>"), "features", keep=True)
-        known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-        sample = seen.select("id", "x").join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(TRAIN_ROWS).collect()
-        x, y = np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in sample], float)
-        model = fit_logistic(x, y) if len(set(y)) == 2 else (np.zeros(2 * len(FEATURES)), 0.0, np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, b, centre, scale = model
-            for batch in batches:
-                at = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), pa.array(expand(at, centre, scale) @ w + b)], ["id", "host", "path", "evidence"])
-
-        scored = seen.mapInArrow(score, "id long, host string, path string, evidence double").withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
-    paths, _ = posteriors(scored)
+        scored = scratch.save(rows.mapInArrow(score, "id long, host string, path string, evidence double").withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "scores", keep=True)
+        # a row per host and path; saved, so that Spark knows its size and broadcasts or splits by it
+        paths = scratch.save(posteriors(scored)[0], "paths", keep=True)
     joined = scored.alias("d").join(paths.alias("p"), F.expr("d.host <=> p.host and d.path <=> p.path"), "left")
     edge = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda c: F.log(edge(c) / (1 - edge(c)))

@@ -90,7 +90,13 @@ def test_mix_comes_near_its_targets(spark, medium):
     sizes = Counter()
     for i, n in size.items():
         sizes[source[i]] += n
-    assert target == pytest.approx(mixing.source_targets(dict(sizes)))
+    # 20 sources in the order of their names weigh 3, 1, 2, ..., and share one and a half of all words, none more than twice its own
+    weight = {s: [3, 1, 2][i % 3] for i, s in enumerate(sorted(sizes))}
+    low, high = 0.0, 10.0 * sum(sizes.values())
+    for _ in range(200):
+        unit = (low + high) / 2
+        low, high = (unit, high) if sum(min(unit * weight[s], 2 * sizes[s]) for s in sizes) < 1.5 * sum(sizes.values()) else (low, unit)
+    assert target == pytest.approx({s: min(low * weight[s], 2 * sizes[s]) for s in sizes})
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
     assert sorted(rows) == sorted(mixing.mix_documents(docs.repartition(5)).collect())
 
@@ -130,6 +136,38 @@ def test_flow_is_the_cheapest():
         assert (total, -cost) == cheapest(capacity, members, quotas, 2)
 
 
+def test_flow_of_many_overlapping_patterns():
+    """Two thousand patterns over 20 sources, in seconds, and as cheap as a linear bound says: no quota is left that words could fill."""
+    import time
+
+    rng = random.Random(3)
+    members = list({tuple(sorted(rng.sample(range(20), rng.randrange(2, 6)))) for _ in range(2600)})[:2000]
+    capacity = [rng.randrange(1, 1000) for _ in members]
+    quotas = [rng.randrange(20_000, 140_000) for _ in range(20)]
+    began = time.perf_counter()
+    routed = mixing.min_cost_flow(capacity, [list(x) for x in members], quotas, 2)
+    assert time.perf_counter() - began < 20
+    given = [0] * 20
+    for own, words, c in zip(members, routed, capacity, strict=True):
+        assert sum(words) <= 2 * c and min(words) >= 0
+        for s, w in zip(own, words, strict=True):
+            given[s] += w
+    assert all(g <= q for g, q in zip(given, quotas, strict=True))
+    # of an optimal routing no arc leads from words left over to a quota left open, nor from unused words to one that repeats others'
+    reach = {s for s in range(20) if given[s] < quotas[s]}
+    for source_words in ("free", "any"):
+        own = set(reach)
+        seen = True
+        while seen:
+            seen = False
+            for ms, words, c in zip(members, routed, capacity, strict=True):
+                if own & set(ms):
+                    assert sum(words) >= (c if source_words == "free" else 2 * c) or not reach
+                    more = {s for s, w in zip(ms, words, strict=True) if w} - own
+                    own |= more
+                    seen |= bool(more)
+
+
 def test_overlapping_sources(spark):
     rows = [(i, ["a"] if i < 60 else ["a", "b"] if i < 80 else ["b"], 10) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, s array<string>, n long")
@@ -305,6 +343,49 @@ def test_sparse_sites_are_shrunk(spark):
     assert abs(rate["big", "a"] - 0.9) < 0.01 and rate["big", "b"] > 0.2 and rate["small", "a"] > 0.1 and len(rate) == 4
 
 
+def test_posteriors_as_brute_force(spark):
+    """Rates of hosts and paths, strengths by moments, from plain sums."""
+    rng = random.Random(9)
+    rows = []
+    for h in [*range(12), None]:
+        base = rng.random()
+        for p in range(rng.randrange(1, 4)):
+            own = min(1, max(0, base + rng.uniform(-0.2, 0.2)))
+            rows += [(None if h is None else f"h{h}", f"p{p}", min(1.0, max(0.0, rng.gauss(own, 0.3)))) for _ in range(rng.choice([1, 2, 5, 40, 200]))]
+
+    def strength(groups, mean):
+        noise, n = mean * (1 - mean), sum(k for k, _ in groups)
+        spread = (sum(s * s / k for k, s in groups) - n * mean * mean - (len(groups) - 1) * noise) / max(n - sum(k * k for k, _ in groups) / n, 1)
+        return 1e4 if spread <= noise / 1e4 else max(noise / spread - 1, 1)
+
+    by_path, by_host = defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
+    for h, p, x in rows:
+        for group in (by_path[h, p], by_host[h]):
+            group[0] += 1
+            group[1] += x
+    mean = sum(x for _, _, x in rows) / len(rows)
+    of_host, of_path = strength(list(by_host.values()), mean), strength(list(by_path.values()), mean)
+    host = {h: (s + of_host * mean) / (n + of_host) for h, (n, s) in by_host.items()}
+    want = {(h, p): (host[h], (s + of_path * host[h]) / (n + of_path)) for (h, p), (n, s) in by_path.items()}
+    paths, _ = quality_classifier.posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    got = {(r["host"], r["path"]): (r["host_rate"], r["path_rate"]) for r in paths.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
+def test_words_are_evidence(spark):
+    """Labels that only words tell apart, among texts of the same lengths and marks."""
+    rng = random.Random(10)
+    words = [[f"{c}{''.join(rng.choice('aeiourst') for _ in range(5))}" for _ in range(40)] for c in "gb"]
+    rows = [(i, " ".join(rng.choice(words[i % 2] if rng.random() < 0.6 else words[1 - i % 2]) for _ in range(60)), "en", "web") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(600)], "doc_id long, quality int")
+    got = [r["kept"] == (r["doc_id"] % 2 == 0) for r in quality_classifier.classify(docs, labels).collect() if r["doc_id"] >= 600]
+    # against the rule that knows the two lists of words
+    good = set(words[0])
+    ideal = [(sum(w in good for w in text.split()) > 30) == (i % 2 == 0) for i, text, _, _ in rows if i >= 600]
+    assert np.mean(got) > np.mean(ideal) - 0.06
+
+
 # ---- BPE
 
 
