@@ -54,6 +54,7 @@ class WordBpe:
         self.symbols = byte_symbols()
         self.byte_of = {c: b for b, c in enumerate(self.symbols)}
         self.names = {i: t for t, i in {**self.ids, **self.special}.items()}
+        self.decimals = {str(i): t for i, t in self.names.items()}
         self.apart: dict[tuple[str, str], bool] = {}
         self.words = self._special_words()
         #: The tokens that the merges really make, as a trie read from their last symbol backwards; None leads to the token.
@@ -224,22 +225,27 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "id long, ids string").withColumnRenamed("id", id_col)
 
 
+def _text(ids: str | None, names: dict[str, str]) -> str:
+    """The text of ids, as decimals joined by spaces; unknown ids are left out."""
+    return " ".join([names[i] for i in (ids or "").split() if i in names])
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: its id and ``text``, the decoded ids; null or empty ids decode to an empty text."""
     name = shipped(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {str(i): t for i, t in load(SparkFiles.get(name)).names.items()}
+        names = load(SparkFiles.get(name)).decimals
         for batch in batches:
-            texts = [" ".join([names[i] for i in (ids or "").split() if i in names]) for ids in batch.column(1).to_pylist()]
+            texts = [_text(ids, names) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("string").alias("ids"))
     return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: its id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: its id, ``ids`` as in ``encode``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
     Texts are encoded and what comes out is decoded again, in one pass over the
     batch; nulls and empty texts as in ``encode``.
@@ -248,20 +254,22 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(SparkFiles.get(name))
-        names = {str(i): t for i, t in bpe.names.items()}
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             at = 0
             for part in _chunks(texts):
-                counts, of_ids, of_text = [], [], []
-                for ids in bpe.encode(part):
-                    tokens = ids.split()
-                    counts.append(len(tokens))
-                    of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                    of_text.append(hashlib.sha256(" ".join([names[i] for i in tokens]).encode()).hexdigest())
-                arrays = [batch.column(0).slice(at, len(part)), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                own = bpe.encode(part)
+                counts = [ids.count(" ") + 1 if ids else 0 for ids in own]
+                of_ids = [hashlib.sha256(ids.encode()).hexdigest() for ids in own]
+                of_text = [hashlib.sha256(_text(ids, bpe.decimals).encode()).hexdigest() for ids in own]
+                arrays = [batch.column(0).slice(at, len(part)), pa.array(own, pa.string()), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(part)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, ids string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+
+
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode_and_decode`` without the ids themselves."""
+    return encode_and_decode(docs, path, id_col, text_col).drop("ids")
