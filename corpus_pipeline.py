@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
+
+A null text is an empty one and fails the quality rules, as does one without
+words; a null source is a source of its own. Ids are unique; rows without id stay
+apart from one another. An empty table gives an empty result. Whatever columns
+the documents have more go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,8 +15,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from morphmill.llm._shared import shared_dir
-from morphmill.llm.bpe import encode
+from morphmill.llm._shared import delete, keep, shared_dir, written
+from morphmill.llm.bpe import encode_and_decode
 from morphmill.llm.exact_dedup import copies_removed
 from morphmill.llm.mixing import mix_documents, repeated
 from morphmill.llm.ngram_join import near_copies_removed
@@ -39,8 +44,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of each text of the mix."""
-    return encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """doc_id, the ids of each text of the mix, and the digests of ids and of the text they decode to."""
+    return encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near copies", near), ("mixture", mixture), ("tokens", tokens)]
@@ -50,13 +55,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents of sf_dir; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    """All stages in turn over the documents of sf_dir; each stage's result is written to the shared folder and read again.
+
+    A stage's tables go when its result is written, and that when the next one's is.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         path = shared_dir(spark, f"stage{k}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+        with written(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
+    keep(spark, last)
+    return STAGES[-1][1](spark, docs, sf_dir)
