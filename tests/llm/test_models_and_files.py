@@ -492,8 +492,34 @@ def test_pipeline_as_brute_force(spark, duck, small):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix_documents(docs).collect()}
     library = Tokenizer.from_file(VOCABULARY)
     library.no_truncation()
-    want = Counter({(i, " ".join(map(str, library.encode(rows[i]["text"], add_special_tokens=False).ids))): n for i, n in copies.items() if n})
-    assert Counter(map(tuple, corpus_pipeline.run(spark, small).collect())) == want and len(left) < len(rows)
+    want = Counter()
+    for i, n in copies.items():
+        ids = library.encode(rows[i]["text"], add_special_tokens=False).ids
+        digest = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        want[i, " ".join(map(str, ids)), len(ids), digest] += n
+    got = corpus_pipeline.run(spark, small).select("doc_id", "ids", "n_tokens", "decoded_sha256")
+    assert Counter(map(tuple, got.collect())) == +want and len(left) < len(rows)
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeats and another column; and an empty table."""
+    text = " ".join(f"word{i} of a text" for i in range(30))
+    rows = [(1, text, "en", "a", 1, "x"), (2, text.upper(), "en", "a", 1, "x"), (3, None, None, None, None, None), (4, "", "en", "a", 0, "x"), (5, text + " more", "de", None, 1, "x"), (None, text + " and other words that are not the same at all " * 9, None, None, 1, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, own string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()} <= {2, 5, None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_tables_of_stages_go(spark, small):
+    """What stages keep for their lazy results goes when these are written."""
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    corpus_pipeline.run(spark, small)
+    assert len(set(os.listdir(base)) - before) == 1
 
 
 def test_stages_return_the_columns_of_documents(spark, small):
