@@ -18,15 +18,19 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded words kept by a worker between batches; beyond it only those of the batch stay.
+from morphmill.llm._text import slices
+
+#: Encoded words kept by a worker, in two halves: when the newer one is full the older one is forgotten.
 KEEP_WORDS = 200_000
-#: Texts of one trie, and their characters.
+#: Characters of the texts of one trie, and bytes that are taken out of a batch at a time.
 TRIE_CHARS = 2_000_000
 
 
@@ -56,7 +60,7 @@ class WordBpe:
         self.names = {i: t for t, i in {**self.ids, **self.special}.items()}
         self.decimals = {str(i): t for i, t in self.names.items()}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.words = self._special_words()
+        self.words, self.old_words = self._special_words(), {}
         #: The tokens that the merges really make, as a trie read from their last symbol backwards; None leads to the token.
         self.backward: dict = {}
         for token in self.ids:
@@ -109,9 +113,16 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode new words, by a walk over their trie."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > KEEP_WORDS:
-            self.words = self._special_words() | {w: self.words[w] for w in words if w in self.words}
+        old, new = self.old_words, []
+        if len(self.words) > KEEP_WORDS // 2:
+            self.old_words = old = self.words
+            self.words = self._special_words()
+        for w in words:
+            if w not in self.words:
+                if w in old:
+                    self.words[w] = old[w]
+                else:
+                    new.append(w)
         if len(self.apart) > 2 * KEEP_WORDS:
             self.apart.clear()
         root: dict = {}
@@ -191,16 +202,11 @@ def shipped(docs: DataFrame, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    now, chars = [], 0
-    for t in texts:
-        now.append(t)
-        chars += len(t)
-        if chars >= TRIE_CHARS:
-            yield now
-            now, chars = [], 0
-    if now:
-        yield now
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of a batch of (id, text), some of its rows at a time; a null is an empty text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    for i, j in slices(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), TRIE_CHARS):
+        yield batch.column(0).slice(i, j - i), ["" if t is None else t for t in batch.column(1).slice(i, j - i).to_pylist()]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,11 +221,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(SparkFiles.get(name))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            at = 0
-            for part in _chunks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(bpe.encode(part), pa.string())], ["id", "ids"])
-                at += len(part)
+            for of, part in _parts(batch):
+                yield pa.RecordBatch.from_arrays([of, pa.array(bpe.encode(part), pa.string())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids string").withColumnRenamed("id", id_col)
@@ -255,16 +258,13 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(SparkFiles.get(name))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            at = 0
-            for part in _chunks(texts):
+            for of, part in _parts(batch):
                 own = bpe.encode(part)
                 counts = [ids.count(" ") + 1 if ids else 0 for ids in own]
                 of_ids = [hashlib.sha256(ids.encode()).hexdigest() for ids in own]
                 of_text = [hashlib.sha256(_text(ids, bpe.decimals).encode()).hexdigest() for ids in own]
-                arrays = [batch.column(0).slice(at, len(part)), pa.array(own, pa.string()), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                arrays = [of, pa.array(own, pa.string()), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at += len(part)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
