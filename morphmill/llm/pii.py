@@ -194,8 +194,12 @@ class Tagger:
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.p[k] = (self.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Tag scores (time, tags, batch) of windows x (time, batch), without keeping the states."""
+    def emissions(self, x: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+        """Tag scores (time, tags, batch) of windows x (time, batch), without keeping the states.
+
+        ``live`` (time, batch) is set where some tag may win over tag 0, step by step while the scores are at hand.
+        """
+        gain = self.leaving_gain()[:, None]
         steps, n = x.shape
         h = self.h
         out = np.empty((steps, TAGS, n), np.float32)
@@ -221,6 +225,8 @@ class Tagger:
                 np.tanh(cell, out=state)
                 state *= z[2 * h : 3 * h]
                 out[t] += w @ state
+                if live is not None and d == "b":
+                    np.any(out[t, 1:] > out[t, :1] - gain, axis=0, out=live[t])
         return out
 
     def leaving_gain(self) -> np.ndarray:
@@ -277,7 +283,7 @@ def tagged_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, i
     """
     ids = [symbols(t) for t in texts]
     places = [(k, s) for k, x in enumerate(ids) for s in window_starts(len(x))]
-    gain, edge = model.leaving_gain()[None, :, None], OVERLAP // 2
+    edge = OVERLAP // 2
     base = np.concatenate(([0], np.cumsum([len(x) + 1 for x in ids])))  # a place between texts parts them
     held_at, held = [], []
     for i in range(0, len(places), BATCH):
@@ -290,10 +296,11 @@ def tagged_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, i
             x[r, : len(part)] = part
             # of two windows, a character is farther from the edges in the one whose half of the overlap it is in
             lo[r], hi[r] = (0 if s == 0 else edge), (n - s if s + WINDOW >= n else WINDOW - edge)
-        emit = model.emissions(np.ascontiguousarray(x.T))
-        live = (emit[:, 1:] - emit[:, :1] + gain > 0).any(axis=1)
-        time = np.arange(WINDOW)[:, None]
-        step, row = np.nonzero(live & (time >= lo) & (time < hi))
+        live = np.empty((WINDOW, len(own)), bool)
+        emit = model.emissions(np.ascontiguousarray(x.T), live)
+        step, row = np.nonzero(live)
+        inside = (step >= lo[row]) & (step < hi[row])
+        step, row = step[inside], row[inside]
         starts = np.array([base[k] + s for k, s in own])
         held_at.append(starts[row] + step)
         held.append(emit[step, :, row])
