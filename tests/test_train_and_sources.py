@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -119,6 +120,80 @@ def test_ngram_training(spark):
     assert scores == sorted(scores, reverse=True) and min(scores) >= 1
 
 
+def cuts_at_characters(text: bytes) -> list[list[bytes]]:
+    """All ways to cut a text between its characters."""
+    chars = [c.encode() for c in text.decode()]
+    ways = [[]]
+    for i, c in enumerate(chars):
+        ways = [w + [c] for w in ways] + ([w[:-1] + [w[-1] + c] for w in ways] if i else [])
+    return ways
+
+
+def only_best(ways: list[list[bytes]], score) -> list[bytes]:
+    """The way of the highest score; the fixtures have no near ties, which rounding could turn."""
+    ranked = sorted(((score(w), w) for w in ways), reverse=True)
+    assert len(ranked) == 1 or ranked[0][0] - ranked[1][0] > 1e-7
+    return ranked[0][1]
+
+
+def ngram_pieces_slowly(given: dict[str, int], spec: TrainSpec, slots: int) -> list[tuple[bytes, int]]:
+    """Byte n-gram model, best cuts out of all cuts, pruning until the number of pieces stays the same."""
+    grams: Counter = Counter()
+    for word, n in given.items():
+        own = word.encode()
+        for i in range(len(own)):
+            for j in range(i + 1, min(i + 6, len(own)) + 1):
+                grams[own[i:j]] += n
+    grams = Counter({g: n for g, n in grams.items() if len(g) == 1 or n >= spec.min_count})
+    for b in range(256):
+        grams[bytes([b])] = grams[bytes([b])] or 1
+    total = sum(n for g, n in grams.items() if len(g) == 1)
+
+    def logp(gram: bytes) -> float:
+        return math.log(grams[gram] / (grams[gram[:-1]] if len(gram) > 1 else total)) if grams[gram] else -math.inf
+
+    def under_ngrams(way: list[bytes]) -> float:
+        return sum(logp(piece[max(0, i - 5) : i + 1]) for piece in way for i in range(len(piece)))
+
+    def counted(rows: dict, score) -> Counter:
+        out: Counter = Counter()
+        for text, n in rows.items():
+            for piece in only_best(cuts_at_characters(text), score):
+                out[piece] += n
+        return out
+
+    def again(rows: dict, kept: dict) -> Counter:
+        whole = sum(kept.values())
+
+        def weight(piece: bytes) -> float:
+            entry = math.log(kept[piece] / whole) if piece in kept else -math.inf
+            return max(entry, -10.0) if len(piece.decode()) == 1 else entry
+
+        return counted(rows, lambda way: sum(map(weight, way)))
+
+    counts = counted({w.encode(): n for w, n in given.items()}, under_ngrams)
+    kept = {p: n for p, n in counts.items() if len(p) <= spec.max_piece_size and n >= spec.min_count}
+    rest = {p: n for p, n in counts.items() if p not in kept}
+    kept = Counter(kept) + again(rest, kept)
+    while True:
+        size = len(kept)
+        kept = again(kept, kept)
+        if len(kept) == size:
+            break
+    best = sorted(kept.items(), key=lambda x: (len(x[0]) > 1, -x[1], -len(x[0]), x[0]))[:slots]
+    return sorted(best, key=lambda x: (-x[1], x[0]))
+
+
+@pytest.mark.parametrize("seed,alphabet,least,longest,slots", [(1, "abcdefg", 150_000, 18, 500), (1, "aéb中cü", 1, 4, 500), (1, "abécd", 1, 3, 9)], ids=["rare", "long", "full"])
+def test_ngram_training_as_one_by_one(spark, seed, alphabet, least, longest, slots):
+    rng = random.Random(seed)  # no character twice in a word: runs would be cut in several ways of one score
+    given = {"".join(rng.sample(alphabet, rng.randrange(1, len(alphabet) + 1))): rng.randrange(1, 100_000) for _ in range(40)}
+    spec = TrainSpec(NGRAM, train.stored_size(NGRAM, slots), min_count=least, max_piece_size=longest)
+    learned = [(p.piece, int(p.score)) for p in train.train_ngram(words(spark, given, 3), spec).pieces[259:]]
+    assert learned == ngram_pieces_slowly(given, spec, slots)
+    assert any(len(p.decode()) > 1 for p, _ in learned)
+
+
 def test_sequence_training(spark):
     lines = spark.createDataFrame([(0, "aaaa"), (1, ""), (2, "abab")], "n int, line string")
     model = train.train_sequence(lines, TrainSpec(SEQUENCE, 259), "n")
