@@ -96,8 +96,13 @@ def symbols(text: str) -> np.ndarray:
     return (np.minimum(points, 128) + 1).astype(np.uint8)
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * z) + 0.5
+def _squash(z: np.ndarray) -> np.ndarray:
+    """To -1..1 by softsign, a sixth of the work of a hyperbolic tangent; its slope is (1 - |y|) squared."""
+    return z / (1 + np.abs(z))
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    return (1 - np.abs(y)) ** 2
 
 
 class Tagger:
@@ -121,10 +126,10 @@ class Tagger:
         for t in range(steps):
             z = self.p[f"E{d}"][:, x[t]] + self.p[f"U{d}"] @ out["h"][t]
             a = out["a"][t]
-            a[: 3 * h] = _sigmoid(z[: 3 * h])
-            a[3 * h :] = np.tanh(z[3 * h :])
+            a[:] = _squash(z)
+            a[: 3 * h] = 0.5 * a[: 3 * h] + 0.5
             out["c"][t + 1] = a[h : 2 * h] * out["c"][t] + a[:h] * a[3 * h :]
-            out["h"][t + 1] = a[2 * h : 3 * h] * np.tanh(out["c"][t + 1])
+            out["h"][t + 1] = a[2 * h : 3 * h] * _squash(out["c"][t + 1])
         return out
 
     def _back(self, x: np.ndarray, run: dict, dh: np.ndarray, d: str, grad: dict) -> None:
@@ -133,10 +138,11 @@ class Tagger:
         h, dc, carry = self.h, np.zeros((self.h, n), np.float32), np.zeros((self.h, n), np.float32)
         for t in range(steps - 1, -1, -1):
             i, f, o, g = (run["a"][t][k * h : (k + 1) * h] for k in range(4))
-            tc = np.tanh(run["c"][t + 1])
+            tc = _squash(run["c"][t + 1])
             total = dh[t] + carry
-            dc = dc + total * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * run["c"][t] * f * (1 - f), total * tc * o * (1 - o), dc * i * (1 - g * g)])
+            dc = dc + total * o * _slope(tc)
+            gates = [dc * g * _slope(2 * i - 1), dc * run["c"][t] * _slope(2 * f - 1), total * tc * _slope(2 * o - 1)]
+            dz = np.concatenate([*(0.5 * x for x in gates), dc * i * _slope(g)])
             grad[f"U{d}"] += dz @ run["h"][t].T
             np.add.at(grad[f"E{d}"].T, x[t], dz.T)
             carry = self.p[f"U{d}"].T @ dz
@@ -194,46 +200,69 @@ class Tagger:
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.p[k] = (self.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def emissions(self, x: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+    def emissions(self, x: np.ndarray, gain: np.ndarray | None = None) -> np.ndarray:
         """Tag scores (time, tags, batch) of windows x (time, batch), without keeping the states.
 
-        ``live`` (time, batch) is set where some tag may win over tag 0, step by step while the scores are at hand.
+        ``gain`` (time, batch) gets the best other tag's score over that of tag 0, step by step while they are at hand.
         """
-        gain = self.leaving_gain()[:, None]
         steps, n = x.shape
         h = self.h
         out = np.empty((steps, TAGS, n), np.float32)
         out[:] = self.p["bias"][None, :, None]
-        # sigmoid(z) = tanh(z / 2) / 2 + 1 / 2: halved weights, and one tanh for all gates
-        half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)])[:, None]
         z, cell, state = np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
         more, part = np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
         for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
-            e, u, w = self.p[f"E{d}"] * half, self.p[f"U{d}"] * half, self.p[f"W{d}"]
+            e, u, w = self.p[f"E{d}"], self.p[f"U{d}"], self.p[f"W{d}"]
             cell[:] = state[:] = 0
             for t in order:
                 np.take(e, x[t], axis=1, out=z, mode="clip")
                 np.matmul(u, state, out=more)
                 z += more
-                np.tanh(z, out=z)
+                np.abs(z, out=more)
+                more += 1
+                z /= more
                 gates = z[: 3 * h]
                 gates *= 0.5
                 gates += 0.5
                 cell *= z[h : 2 * h]
                 np.multiply(z[:h], z[3 * h :], out=part)
                 cell += part
-                np.tanh(cell, out=state)
+                np.abs(cell, out=part)
+                part += 1
+                np.divide(cell, part, out=state)
                 state *= z[2 * h : 3 * h]
                 out[t] += w @ state
-                if live is not None and d == "b":
-                    np.any(out[t, 1:] > out[t, :1] - gain, axis=0, out=live[t])
+                if gain is not None and d == "b":
+                    np.maximum(out[t, 1], out[t, 2], out=gain[t])
+                    for k in range(3, TAGS):
+                        np.maximum(gain[t], out[t, k], out=gain[t])
+                    gain[t] -= out[t, 0]
         return out
 
-    def leaving_gain(self) -> np.ndarray:
-        """Per tag but 0, the most that two moves can bring over tag 0 at one character, whatever its neighbours' tags are."""
-        m = self.p["move"]
-        by_way = np.stack([m[:, c][:, None] + m[c][None, :] for c in range(1, TAGS)])
-        return (by_way - (m[:, 0][:, None] + m[0][None, :])[None]).max(axis=(1, 2))
+    def may_leave(self, gain: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Whether a place may have another tag than 0, given every place's gain; texts are from base[k] to base[k + 1] - 1.
+
+        A stretch of other tags on the best path scores no less than tag 0 in its
+        place. The most that a stretch can score is the sum of its gains, of the
+        best moves inside it and of those into and out of it, which a stretch at
+        an end of its text doesn't need. A place that no stretch of such a sum of
+        0 or more goes over has tag 0. All stretches are tried at once by sums from
+        the left: the least before a place and the greatest from it on.
+        """
+        move = self.p["move"].astype(np.float64)
+        inside, enter, leave = (float(m.max() - move[0, 0]) for m in (move[1:, 1:], move[0, 1:], move[1:, 0]))
+        worth = gain.astype(np.float64) + inside
+        starts, ends = base[:-1], base[1:] - 1
+        some = starts < ends
+        worth[starts[some]] -= enter
+        worth[ends[some] - 1] -= leave
+        worth[ends] = -1e6  # places between texts
+        upto = np.cumsum(worth)
+        before = np.minimum.accumulate(upto - worth)
+        after = np.maximum.accumulate(upto[::-1])[::-1]
+        may = after - before - inside + enter + leave >= -1e-2  # room for rounding
+        may[ends] = False
+        return may
 
     def best_tags(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
         """The best tags of runs of characters, given scores (character, tag); runs are at ``first`` and of ``size``.
@@ -277,45 +306,47 @@ def window_starts(n: int) -> list[int]:
 def tagged_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
     """(tag, start, end, margin) of each text's decoded spans; ``margin`` is their score over that of tag 0 in their place.
 
-    Where every other tag loses more by its score than two moves can bring, tag
-    0 is part of the best path for certain. Only the other characters' scores
-    are kept, and the path is worked out for the runs of them.
+    First it is found out where a stretch of other tags can pay at all: most
+    characters have tag 0 on every best path. The others come in short runs, for
+    which the path is worked out.
     """
-    ids = [symbols(t) for t in texts]
-    places = [(k, s) for k, x in enumerate(ids) for s in window_starts(len(x))]
-    edge = OVERLAP // 2
-    base = np.concatenate(([0], np.cumsum([len(x) + 1 for x in ids])))  # a place between texts parts them
-    held_at, held = [], []
-    for i in range(0, len(places), BATCH):
-        own = places[i : i + BATCH]
-        x = np.zeros((len(own), WINDOW), np.uint8)
-        lo, hi = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        for r, (k, s) in enumerate(own):
-            n = len(ids[k])
-            part = ids[k][s : s + WINDOW]
-            x[r, : len(part)] = part
-            # of two windows, a character is farther from the edges in the one whose half of the overlap it is in
-            lo[r], hi[r] = (0 if s == 0 else edge), (n - s if s + WINDOW >= n else WINDOW - edge)
-        live = np.empty((WINDOW, len(own)), bool)
-        emit = model.emissions(np.ascontiguousarray(x.T), live)
-        step, row = np.nonzero(live)
-        inside = (step >= lo[row]) & (step < hi[row])
-        step, row = step[inside], row[inside]
-        starts = np.array([base[k] + s for k, s in own])
-        held_at.append(starts[row] + step)
-        held.append(emit[step, :, row])
-    where = np.concatenate(held_at) if held_at else np.zeros(0, np.int64)
-    order = np.argsort(where, kind="stable")
-    where, emit = where[order], np.concatenate(held)[order] if held else np.zeros((0, TAGS), np.float32)
+    edge, stride = OVERLAP // 2, WINDOW - OVERLAP
+    lengths = np.array([len(t) for t in texts], np.int64)
+    base = np.concatenate(([0], np.cumsum(lengths + 1)))  # a place between texts parts them
+    flat = symbols("\0".join([*texts, ""])) if texts else np.zeros(0, np.uint8)
+    windows = -(-np.maximum(lengths - OVERLAP, 1) // stride)  # as by window_starts
+    before = np.concatenate(([0], np.cumsum(windows)))
+    of = np.repeat(np.arange(len(texts)), windows)
+    offset = (np.arange(len(of)) - before[of]) * stride
+    gain, scores = np.zeros(len(flat), np.float32), []
+    for i in range(0, len(of), BATCH):
+        own, start = of[i : i + BATCH], offset[i : i + BATCH]
+        size = lengths[own] - start
+        step = np.arange(WINDOW)[:, None]
+        place = np.minimum(step + (base[own] + start), len(flat) - 1)
+        x = flat[place]
+        x[step >= size] = 0
+        best = np.empty((WINDOW, len(own)), np.float32)
+        scores.append(model.emissions(x, best))
+        # of two windows, a character is farther from the edges in the one whose half of the overlap it is in
+        held = (step >= np.where(start == 0, 0, edge)) & (step < np.where(size <= WINDOW, size, WINDOW - edge))
+        gain[place[held]] = best[held]
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    where = np.flatnonzero(model.may_leave(gain, base)) if texts else np.zeros(0, np.int64)
     if not len(where):
         return out
+    text = np.searchsorted(base, where, "right") - 1
+    own = where - base[text]
+    window = np.clip((own - edge) // stride, 0, windows[text] - 1)
+    step, row = own - window * stride, before[text] + window
+    parts = np.searchsorted(row, np.arange(len(scores) + 1) * BATCH)
+    emit = np.concatenate([s[step[a:b], :, row[a:b] - k * BATCH] for k, (s, a, b) in enumerate(zip(scores, parts[:-1], parts[1:], strict=True))])
+    del scores
     first = np.flatnonzero(np.diff(where, prepend=where[0] - 2) != 1)
     size = np.diff(np.append(first, len(where)))
-    of = np.searchsorted(base, where, "right") - 1
-    opens = where[first] == base[of[first]]
+    opens = where[first] == base[text[first]]
     last = first + size - 1
-    closes = where[last] == base[of[last] + 1] - 2
+    closes = where[last] == base[text[last] + 1] - 2
     tags = model.best_tags(emit, first, size, opens, closes)
     # of neighbouring places with the same tag the first and last
     turn = np.flatnonzero((np.diff(tags, prepend=0) != 0) | (np.diff(where, prepend=-2) != 1))
@@ -327,7 +358,7 @@ def tagged_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, i
         if tag:
             n = b - a
             moves = (n - 1) * float(move[tag, tag] - move[0, 0]) + float(move[0, tag] + move[tag, 0] - 2 * move[0, 0])
-            k = int(of[a])
+            k = int(text[a])
             start = int(where[a] - base[k])
             out[k].append((tag, start, start + n, float(over[b] - over[a]) + moves))
     return out
