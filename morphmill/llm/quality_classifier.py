@@ -89,21 +89,26 @@ class Evidence:
         return np.concatenate([z, z * z, shares * 4], axis=1).astype(np.float32)
 
     def fit(self, rates: np.ndarray, shares: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int = 300) -> None:
-        """Gradient steps with momentum, at the step size that the curvature's bound allows."""
+        """Gradient steps with momentum, at the step size that the curvature's bound allows.
+
+        The inputs are held once, in single floats; products with them are too, so that no step copies them.
+        """
         self.centre, self.scale = rates.mean(axis=0), rates.std(axis=0) + 1e-9
-        x = np.concatenate([self._inputs(rates, shares), np.ones((len(y), 1), np.float32)], axis=1)
+        x = np.ones((len(y), len(self.w) + 1), np.float32)
+        for i in range(0, len(y), 1024):
+            x[i : i + 1024, :-1] = self._inputs(rates[i : i + 1024], shares[i : i + 1024])
         ridges = np.full(x.shape[1], ridge)
         ridges[-1] = 1e-6
         # the largest curvature, by the power method
-        v = np.ones(x.shape[1])
+        v = np.ones(x.shape[1], np.float32)
         for _ in range(20):
             v = x.T @ (x @ v)
             v /= np.linalg.norm(v) + 1e-12
         rate = 1 / (0.25 * float(np.linalg.norm(x.T @ (x @ v))) + ridge)
         w = ahead = np.zeros(x.shape[1])
         for k in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-            new = ahead - rate * (x.T @ (p - y) + ridges * ahead)
+            p = 1 / (1 + np.exp(-np.clip((x @ ahead.astype(np.float32)).astype(float), -30, 30)))
+            new = ahead - rate * ((p - y).astype(np.float32) @ x + ridges * ahead)
             ahead = new + k / (k + 3) * (new - w)
             w = new
         self.w, self.b = w[:-1], float(w[-1])
@@ -158,7 +163,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     y = np.array([r["y"] for r in sample], float)
     model = Evidence()
     if len(set(y)) == 2:
-        model.fit(*(np.stack([np.frombuffer(r[c], np.float32) for r in sample]) for c in ("rates", "shares")), y)
+        rates, shares = np.empty((len(y), len(RATES)), np.float32), np.empty((len(y), GRAMS), np.float32)
+        for i, r in enumerate(sample):
+            rates[i], shares[i] = np.frombuffer(r["rates"], np.float32), np.frombuffer(r["shares"], np.float32)
+        del sample
+        model.fit(rates, shares, y)
+        del rates, shares
     held = spark.sparkContext.broadcast(model)  # some thousand numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
