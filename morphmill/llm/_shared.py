@@ -71,6 +71,23 @@ def written(spark: SparkSession):
             delete(spark, path)
 
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of a query that is run in the block go when it ends, not when the driver collects its garbage."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
+
+
 class Scratch:
     """Written tables that end with a ``with`` block; kept ones stay as long as their lazy result needs them."""
 
@@ -85,9 +102,10 @@ class Scratch:
             delete(self.spark, path)
 
     def save(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-        """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
+        """Write df as Parquet to the shared folder and read it back, which cuts its lineage; its shuffle files go at once."""
         path = shared_dir(self.spark, name)
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         if keep:
             _keep(self.spark, path)
         else:

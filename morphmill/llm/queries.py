@@ -18,6 +18,7 @@ from morphmill.llm.pii import find_personal_data
 from morphmill.llm.quality_classifier import classify
 from morphmill.llm.quality_rules import quality_rules
 from morphmill.llm.substring_dedup import repeated_spans
+from morphmill.llm.suffix_dedup import repeated_strings
 from morphmill.llm.warc import archive_round_trip
 
 
@@ -78,6 +79,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_strings(_table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -91,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_line_dedup": op10_line_dedup,
         "op11_filter_audit": op11_filter_audit,
+        "op12_suffix_dedup": op12_suffix_dedup,
     }
 
 
@@ -209,6 +217,33 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 FROM counted
 """
 
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), places AS (
+  SELECT r, unnest(range(0, length(x) // 2 - 199)) AS p FROM d WHERE length(x) >= 400
+), strings AS (
+  SELECT places.r, p, md5_number(substring(x, 2 * p + 1, 400)) AS m FROM places JOIN d ON d.r = places.r
+), often AS (
+  SELECT m FROM strings GROUP BY m HAVING count(*) > 1
+), hits AS (
+  SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM strings WHERE m IN (FROM often)
+), runs AS (
+  SELECT r, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS run FROM hits
+), spans AS (
+  SELECT r, run, min(p) AS s, max(p) + 200 AS e FROM runs GROUP BY r, run
+), gaps AS (
+  SELECT r, e AS s, lead(s) OVER (PARTITION BY r ORDER BY s) AS e FROM spans
+  UNION ALL SELECT r, 0, min(s) FROM spans GROUP BY r
+), kept AS (
+  SELECT gaps.r, string_agg(substring(x, 2 * s + 1, 2 * (coalesce(e, length(x) // 2) - s)), '' ORDER BY s) AS k FROM gaps JOIN d ON d.r = gaps.r GROUP BY gaps.r
+), removed AS (
+  SELECT r, sum(e - s) AS n, count(*) AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN removed ON removed.r = d.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -216,4 +251,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": OP7_SQL,
         "op9_warc": OP9_SQL,
         "op11_filter_audit": OP11_SQL,
+        "op12_suffix_dedup": OP12_SQL,
     }
