@@ -76,13 +76,13 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each word."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word; ``gaps`` says which bytes are between words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = _SPACE[data]
+    space = gaps[data]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = space[:-1]

@@ -17,6 +17,7 @@ from morphmill.llm.ngram_join import ngram_join
 from morphmill.llm.pii import find_personal_data
 from morphmill.llm.quality_classifier import classify
 from morphmill.llm.quality_rules import quality_rules
+from morphmill.llm.source_divergence import source_divergence
 from morphmill.llm.substring_dedup import repeated_spans
 from morphmill.llm.suffix_dedup import repeated_strings
 from morphmill.llm.warc import archive_round_trip
@@ -85,6 +86,10 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), least_docs=30, ranks=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_filter_audit": op11_filter_audit,
         "op12_suffix_dedup": op12_suffix_dedup,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -244,6 +250,43 @@ SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, c
 FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN removed ON removed.r = d.r
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), terms AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), counts AS (
+  SELECT t.lang, t.source, t.term, count(*) AS c FROM terms t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term
+), vocabulary AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM groups g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n + 5 * v))::BIGINT AS p
+  FROM sizes s JOIN kept k ON k.lang = s.lang JOIN vocabulary v ON v.lang = s.lang
+  LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), q AS (
+  SELECT k.lang, k.term, (1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v))::BIGINT AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM counts GROUP BY lang, term) k
+  JOIN (SELECT lang, sum(c) AS n FROM counts GROUP BY lang) s ON s.lang = k.lang JOIN vocabulary v ON v.lang = k.lang
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), best AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p - q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM best)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -252,4 +295,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": OP9_SQL,
         "op11_filter_audit": OP11_SQL,
         "op12_suffix_dedup": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
     }

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphmill.llm._shared import Scratch, join_groups
-from morphmill.llm._text import _BYTE_OF_LINE, SLICE_BYTES, _powers, mix, slices, text_bytes
+from morphmill.llm._text import SLICE_BYTES, _powers, mix, slices, text_bytes
 
 #: Bytes of an anchor, of those that a repeated string has.
 GRAM = 64
