@@ -299,7 +299,7 @@ def compare_batches(batches: Iterator[pa.RecordBatch], ranks: int) -> Iterator[p
                 totals = [np.array([x[k] for k in keys.tolist()], np.int64) for x, keys in zip((a, b), tile, strict=True)]
                 state = {
                     "lang": one["lang"], "one": one["ta"] == one["tb"], "a": tile[0], "b": tile[1], "n_a": totals[0], "n_b": totals[1],
-                    "n_lang": np.array(one["n_lang"] + SMOOTH * one["v"]), "sums": np.zeros((len(tile[0]), len(tile[1])), np.int64), "tops": [[] for _ in tile[0]] if one["ta"] == one["tb"] else [], "waiting": [], "rows": 0,
+                    "n_lang": np.array(one["n_lang"] + SMOOTH * one["v"]), "sums": np.zeros((len(tile[0]), len(tile[1])), np.int64), "tops": [[] for _ in tile[0]], "waiting": [], "rows": 0,
                 }
                 lo += 1
             for k in range(lo, hi, TERMS_AT_ONCE):

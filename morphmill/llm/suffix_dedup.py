@@ -56,8 +56,8 @@ def _sliding(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(a[: len(a) - (width - span)], a[width - span :]) if span < width else a
 
 
-def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchors in neighbouring texts, given each byte's text by its ``begin`` and ``end`` (not necessarily in ``data``): place, gram hash, context start, end and hash.
+def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lo: int, hi: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchors from lo to hi in neighbouring texts, given each byte's text by its ``begin`` and ``end`` (not necessarily in ``data``): place, gram hash, context start, end and hash.
 
     Of equal least grams in a window each is an anchor.
     """
@@ -74,6 +74,7 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, g
     least[(at + length > end[: len(least)]) | (at < begin[: len(least)])] = 0
     edge = np.zeros(width - 1, np.uint64)
     pos = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), width, np.maximum) == grams)
+    pos = pos[(pos >= lo) & (pos < hi)]
     back = np.minimum(width - 1, pos - begin[pos])
     start, stop = pos - back, np.minimum(pos + length, end[pos])
     # a window of a text's last bytes begins further left; the first of the windows ends at the latest ``length`` after the anchor
@@ -110,9 +111,7 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
                 else:
                     begin, end = np.repeat(offsets[i:j] - x, sizes), np.repeat(offsets[i + 1 : j + 1] - x, sizes)
                     doc_of = lambda p: np.searchsorted(offsets[i : j + 1] - x, p, "right") - 1
-                pos, h, start, stop, c = anchors(data[x:y], begin, end, length, gram)
-                own = (pos >= a - x) & (pos < b - x)
-                pos, h, start, stop, c = (v[own] for v in (pos, h, start, stop, c))
+                pos, h, start, stop, c = anchors(data[x:y], begin, end, a - x, b - x, length, gram)
                 if not len(pos):
                     continue
                 doc = doc_of(pos)
