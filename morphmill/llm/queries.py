@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from morphmill.llm.bpe import digests
 from morphmill.llm.exact_dedup import exact_copies
 from morphmill.llm.filter_audit import filter_audit
-from morphmill.llm.line_dedup import repeated_passages
+from morphmill.llm.line_dedup import repeated_runs
 from morphmill.llm.mixing import mix_documents
 from morphmill.llm.ngram_join import ngram_join
 from morphmill.llm.pii import find_personal_data
@@ -72,7 +72,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    found = repeated_runs(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_chunks", _span_text("spans"), "removed_lines")
 
 
