@@ -1,11 +1,13 @@
 """How the sources of a language differ in their terms, by mergeable radix tries.
 
-Each task counts the terms of its texts in a byte trie whose leaves have a
-counter for each language and source. Tries are taken apart in the order of
-their bytes, dealt by ranges of (language, term) and merged there, which says
-what terms are in documents enough. The kept ones go once more through each
-range in UTF-8 order: sums over pairs of sources and the first candidates of each
-source leave a range, and are added up or ranked over all of them.
+Each task counts the terms of its texts in a byte trie whose leaves have counters
+for each language and source. A trie is held by its leaves in the order of their
+bytes: each has the depth where its path leaves that of the leaf before, and the
+label from there on. Tries are cut into sub-tries by their first bytes, dealt by
+ranges of (language, prefix) and merged there, which says what terms are in
+documents enough. The kept ones go once more through each range in UTF-8 order:
+sums over pairs of sources and the first candidates of each source leave a range,
+and are added up or ranked over all of them.
 """
 
 from __future__ import annotations
@@ -21,204 +23,243 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphmill.llm._shared import Scratch
-from morphmill.llm._text import _BYTE_OF_LINE, lower, slices, text_bytes, word_bounds, word_hashes
-
-#: Bytes of text whose terms are looked up together; leaves and counters of a trie that is full.
-TEXT_AT_ONCE, MOST_LEAVES, MOST_COUNTERS = 8 << 20, 200_000, 2_000_000
-#: Rows of a batch that leaves a task; terms that are compared at once.
-ROWS, TERMS_AT_ONCE = 20_000, 1024
+from morphmill.llm._text import lower, slices, text_bytes, word_bounds
+
+#: Bytes of text whose terms are counted together; leaves and counters of a trie that is full.
+TEXT_AT_ONCE, MOST_LEAVES, MOST_COUNTERS = 4 << 20, 300_000, 1_000_000
+#: Bytes that all leaves of a sub-trie share, or are.
+PREFIX = 3
+#: Sub-tries and terms of a batch that leaves a task; terms that are compared at once.
+ROWS, TERMS_AT_ONCE = 2000, 1024
 #: Sources of a language that are compared in one table; more are compared by pairs of such tiles.
 TILE = 256
 UNIT, SMOOTH = 1_000_000_000, 5
 
 _GAP = np.ones(256, bool)
 _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
-_TERM_BYTE = np.where(_GAP, 0, np.where(_BYTE_OF_LINE == 0, 1, _BYTE_OF_LINE)).astype(np.uint64)
+#: A sub-trie; of each leaf ``shared`` (0 for the first), its label's bytes, documents and number of counters.
+TRIES = "lang string, prefix binary, shared array<int>, sizes array<int>, labels binary, docs array<long>, counters array<int>, keys array<long>, counts array<long>"
 LEAVES = "lang string, term string, docs long, keys array<long>, counts array<long>"
 
 
+def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of byte strings."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def _byte_strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Neighbouring strings of these sizes."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _inside(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all elements of runs."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def shared_prefixes(terms: pa.Array) -> np.ndarray:
+    """The number of bytes that each string shares with the one before; 0 for the first."""
+    data, offsets = _strings(terms)
+    out = np.zeros(len(terms), np.int64)
+    if len(terms) < 2:
+        return out
+    # eight bytes from any place, the first one the highest
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+    least = np.minimum(np.diff(offsets)[1:], np.diff(offsets)[:-1])
+    active, depth = np.flatnonzero(least > 0), 0
+    while len(active):
+        differ = (words[offsets[active + 1] + depth] ^ words[offsets[active] + depth]).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
+        out[active + 1] = np.minimum(depth + same, least[active])
+        depth += 8
+        active = active[(same == 8) & (least[active] > depth)]
+    return out
+
+
 class SourceTrie:
-    """A radix trie over bytes; each leaf has counters (occurrences, documents) by group, a group is a language and a source."""
+    """Terms with counters (occurrences, documents) by group; a group is a language and a source."""
 
     def __init__(self):
-        # a node: its label, its children by their first byte, the number of its leaf or -1
-        self.root: list = [b"", {}, -1]
-        self.size = 0
         self.langs: dict[str, int] = {}
         self.groups: dict[tuple[int, int], int] = {}
-        self.parts: list[np.ndarray] = []
-        self.held = self.packed = 0
-
-    def leaf(self, term: bytes) -> int:
-        """The number of a term's leaf, a new one if it is new."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = [term[at:], {}, -1]
-                node[1][term[at]] = child
-            elif not term.startswith(child[0], at):
-                label = child[0]
-                k = 1
-                while k < len(label) and at + k < len(term) and label[k] == term[at + k]:
-                    k += 1
-                upper = [label[:k], {label[k]: child}, -1]
-                child[0] = label[k:]
-                node[1][term[at]] = child = upper
-            node = child
-            at += len(child[0])
-        if node[2] < 0:
-            node[2] = self.size
-            self.size += 1
-        return node[2]
-
-    def group_of(self, langs: pa.Array, keys: np.ndarray) -> np.ndarray:
+        # terms, and counters as (leaf, group, occurrences, documents)
+        self.parts: list[tuple[pa.Array, np.ndarray]] = []
+        self.size = self.held = self.packed = 0
+
+    def group_of(self, langs: pa.Array, keys: pa.Array) -> np.ndarray:
         """The group number of each (language, source key)."""
-        coded = langs.dictionary_encode()
-        own = np.array([self.langs.setdefault(x, len(self.langs)) for x in coded.dictionary.to_pylist()], np.int64)
-        pairs, of = np.unique(np.stack((own[coded.indices.to_numpy()], keys), axis=1), axis=0, return_inverse=True)
-        number = np.array([self.groups.setdefault((int(a), int(b)), len(self.groups)) for a, b in pairs], np.int64)
-        return number[of.ravel()]
-
-    def add(self, leaf: np.ndarray, group: np.ndarray, count: np.ndarray, docs: np.ndarray) -> None:
-        self.parts.append(np.stack((leaf, group, count, docs)))
-        self.held += len(leaf)
+        langs, keys = langs.dictionary_encode(), keys.dictionary_encode()
+        own = [self.langs.setdefault(x, len(self.langs)) for x in langs.dictionary.to_pylist()]
+        wide = max(1, len(keys.dictionary))
+        pairs, of = np.unique(langs.indices.to_numpy().astype(np.int64) * wide + keys.indices.to_numpy(), return_inverse=True)
+        named = keys.dictionary.to_pylist()
+        number = [self.groups.setdefault((own[p // wide], named[p % wide]), len(self.groups)) for p in pairs.tolist()]
+        return np.array(number, np.int64)[of]
+
+    def add(self, terms: pa.Array, leaf: np.ndarray, group: np.ndarray, count: np.ndarray, docs: np.ndarray) -> None:
+        """Counters of ``terms``, which leaf numbers; terms may be in the trie already."""
+        table = _summed(np.stack((leaf, group, count, docs)))
+        self.parts.append((terms, table))
+        self.held += table.shape[1] + len(terms)
         if self.held > 2 * self.packed + MOST_COUNTERS // 4:
             self._pack()
 
     def _pack(self) -> None:
-        """Counters of one leaf and group as one."""
-        table = np.concatenate(self.parts, axis=1) if self.parts else np.zeros((4, 0), np.int64)
-        table = table[:, np.lexsort((table[1], table[0]))]
-        first = np.flatnonzero(np.any(np.diff(table[:2], axis=1, prepend=-1) != 0, axis=0))
-        if len(first):
-            table = np.concatenate((table[:2, first], np.add.reduceat(table[2:], first, axis=1)))
-        self.parts, self.held = [table], table.shape[1]
-        self.packed = self.held
+        """Each term once, and each counter once."""
+        if len(self.parts) > 1:
+            coded = pa.concat_arrays([t for t, _ in self.parts]).dictionary_encode()
+            number, at, tables = coded.indices.to_numpy(), 0, []
+            for terms, table in self.parts:
+                table[0] = number[table[0] + at]
+                at += len(terms)
+                tables.append(table)
+            self.parts = [(coded.dictionary, _summed(np.concatenate(tables, axis=1)))]
+        if self.parts:
+            self.size = len(self.parts[0][0])
+            self.held = self.packed = self.parts[0][1].shape[1] + self.size
 
     def full(self) -> bool:
         return self.size > MOST_LEAVES or self.packed > MOST_COUNTERS
 
-    def terms(self) -> Iterator[tuple[bytes, int]]:
-        """Terms and their leaves in the order of their bytes."""
-        stack = [(self.root, b"")]
-        while stack:
-            node, before = stack.pop()
-            word = before + node[0]
-            if node[2] >= 0:
-                yield word, node[2]
-            stack += [(node[1][b], word) for b in sorted(node[1], reverse=True)]
-
-    def rows(self, least: int = 1) -> Iterator[pa.RecordBatch]:
-        """(lang, term, docs, keys, counts) in the order of term within a language; those in ``least`` documents."""
+    def _in_order(self, least: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By language and the bytes of terms: languages, terms, documents, numbers of counters, keys, counts; what is in ``least`` documents."""
         self._pack()
-        leaf, group, count, docs = self.parts[0]
-        if not len(leaf):
-            return
-        found = list(self.terms())
-        rank = np.empty(self.size, np.int64)
-        rank[[x for _, x in found]] = np.arange(self.size)
-        words = pa.array([w for w, _ in found], pa.binary()).cast(pa.string())
-        names = pa.array(list(self.langs), pa.string())
+        terms, (leaf, group, count, docs) = self.parts[0]
+        order = pc.sort_indices(terms)
+        rank = np.empty(len(terms), np.int64)
+        rank[order.to_numpy()] = np.arange(len(terms))
         lang_of, key_of = (np.array([x[i] for x in self.groups], np.int64) for i in (0, 1))
-        leaf, lang, key = rank[leaf], lang_of[group], key_of[group]
-        order = np.lexsort((key, leaf, lang))
-        leaf, lang, key, count, docs = (x[order] for x in (leaf, lang, key, count, docs))
+        leaf, lang = rank[leaf], lang_of[group]
+        by = np.lexsort((leaf, lang))
+        leaf, lang, key, count, docs = (x[by] for x in (leaf, lang, key_of[group], count, docs))
         first = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(leaf, prepend=-1) != 0))
-        sums, ends = np.add.reduceat(docs, first), np.append(first[1:], len(leaf))
-        kept = np.flatnonzero(sums >= least)
-        for k in range(0, len(kept), ROWS):
-            some = kept[k : k + ROWS]
-            sizes = ends[some] - first[some]
-            at = np.repeat(first[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            lists = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            arrays = [pa.ListArray.from_arrays(lists, pa.array(x[at], pa.int64())) for x in (key, count)]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[first[some]])), words.take(pa.array(leaf[first[some]])), pa.array(sums[some]), *arrays], ["lang", "term", "docs", "keys", "counts"])
-
-
-def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
-    """Whether the strings of ``sizes`` at a are all those at b."""
-    ends = np.cumsum(sizes)
-    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-    return bool((data[np.repeat(a, sizes) + inside] == data[np.repeat(b, sizes) + inside]).all())
+        sizes, sums = np.diff(np.append(first, len(leaf))), np.add.reduceat(docs, first)
+        kept = sums >= least
+        wanted = np.repeat(kept, sizes)
+        first, sizes, sums = first[kept], sizes[kept], sums[kept]
+        return lang[first], terms.take(order.take(pa.array(leaf[first]))), sums, sizes, key[wanted], count[wanted]
+
+    def tries(self) -> Iterator[pa.RecordBatch]:
+        """TRIES: the trie, cut where leaves have fewer than PREFIX bytes in common."""
+        if not self.parts:
+            return
+        lang, terms, docs, counters, key, count = self._in_order(1)
+        data, offsets = _strings(terms)
+        shared = shared_prefixes(terms)
+        opens = (shared < PREFIX) | (np.diff(lang, prepend=-1) != 0)
+        shared[opens] = 0
+        sizes = np.diff(offsets) - shared
+        labels = data[_inside(offsets[:-1] + shared, sizes)]
+        names = pa.array(list(self.langs), pa.string())
+        first = np.append(np.flatnonzero(opens), len(shared))
+        label_at, counter_at = (np.concatenate(([0], np.cumsum(x))) for x in (sizes, counters))
+        for k in range(0, len(first) - 1, ROWS):
+            edge = first[k : k + ROWS + 1]
+            a, b = edge[0], edge[-1]
+            ends, held = pa.array(edge - a, pa.int32()), pa.array(counter_at[edge] - counter_at[a], pa.int32())
+            own, of = slice(a, b), slice(counter_at[a], counter_at[b])
+            start = offsets[edge[:-1]]
+            size = np.minimum(PREFIX, offsets[edge[:-1] + 1] - start)
+            columns = [
+                names.take(pa.array(lang[edge[:-1]])), _byte_strings(data[_inside(start, size)], size), *(pa.ListArray.from_arrays(ends, pa.array(x[own], pa.int32())) for x in (shared, sizes)),
+                _byte_strings(labels[label_at[a] : label_at[b]], np.diff(label_at[edge])), pa.ListArray.from_arrays(ends, pa.array(docs[own], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(counters[own], pa.int32())),
+                *(pa.ListArray.from_arrays(held, pa.array(x[of], pa.int64())) for x in (key, count)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in TRIES.split(", ")])
+
+    def leaves(self, least: int) -> Iterator[pa.RecordBatch]:
+        """LEAVES that are in ``least`` documents."""
+        if not self.parts:
+            return
+        lang, terms, docs, counters, key, count = self._in_order(least)
+        names, at = pa.array(list(self.langs), pa.string()), np.concatenate(([0], np.cumsum(counters)))
+        for k in range(0, len(lang), ROWS):
+            own, of = slice(k, k + ROWS), slice(at[k], at[min(k + ROWS, len(lang))])
+            ends = pa.array(at[k : k + ROWS + 1] - at[k], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[of], pa.int64())) for x in (key, count)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[own])), terms[own].cast(pa.string()), pa.array(docs[own]), *lists], ["lang", "term", "docs", "keys", "counts"])
+
+
+def _summed(table: np.ndarray) -> np.ndarray:
+    """Counters of one leaf and group as one."""
+    table = table[:, np.lexsort((table[1], table[0]))]
+    first = np.flatnonzero(np.any(np.diff(table[:2], axis=1, prepend=-1) != 0, axis=0))
+    return np.concatenate((table[:2, first], np.add.reduceat(table[2:], first, axis=1))) if len(first) else table
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, key, text) to LEAVES."""
+    """(lang, key, text) to TRIES."""
     trie = SourceTrie()
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        group = trie.group_of(batch.column("lang"), batch.column("key").to_numpy())
+        group = trie.group_of(batch.column("lang"), batch.column("key"))
         for i, j in slices(offsets, TEXT_AT_ONCE):
-            own, offs = lower(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
-            found = []
-            for a, b in slices(offs):
-                lo, hi = int(offs[a]), int(offs[b])
-                starts, ends, doc = word_bounds(own[lo:hi], offs[a : b + 1] - lo, _GAP)
-                found.append((word_hashes(own[lo:hi], starts, ends, _TERM_BYTE), starts + lo, ends + lo, doc + i + a))
-            hashes, starts, ends, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(hashes):
+            own = lower(data[offsets[i] : offsets[j]])
+            starts, ends, doc = word_bounds(own, offsets[i : j + 1] - offsets[i], _GAP)
+            if not len(starts):
                 continue
-            order = np.argsort(hashes, kind="stable")
-            sizes = (ends - starts)[order]
-            first = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
-            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            same = starts[order[first]][number]
-            if (sizes == sizes[first][number]).all() and _same_bytes(own, starts[order], same, sizes):
-                text = own.tobytes()
-                leaves = np.array([trie.leaf(text[s:e]) for s, e in zip(starts[order[first]].tolist(), ends[order[first]].tolist(), strict=True)], np.int64)[number]
-            else:  # two terms of one hash
-                text = own.tobytes()
-                leaves = np.array([trie.leaf(text[s:e]) for s, e in zip(starts[order].tolist(), ends[order].tolist(), strict=True)], np.int64)
-                again = np.lexsort((doc[order], leaves))
-                order, leaves = order[again], leaves[again]
+            coded = _byte_strings(own[~_GAP[own]], ends - starts).dictionary_encode()
+            leaf = coded.indices.to_numpy()
+            order = np.argsort(leaf, kind="stable")
             # of a term its texts are in order, so what is of one text is together
-            doc = doc[order]
-            opens = np.flatnonzero(np.concatenate(([True], (leaves[1:] != leaves[:-1]) | (doc[1:] != doc[:-1]))))
+            leaf, doc = leaf[order].astype(np.int64), doc[order]
+            opens = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (doc[1:] != doc[:-1]))))
             count = np.diff(np.append(opens, len(doc)))
-            trie.add(leaves[opens], group[doc[opens]], count, np.ones(len(opens), np.int64))
+            trie.add(coded.dictionary, leaf[opens], group[i + doc[opens]], count, np.ones(len(opens), np.int64))
             if trie.full():
-                yield from trie.rows()
+                yield from trie.tries()
                 trie = SourceTrie()
-                group = trie.group_of(batch.column("lang"), batch.column("key").to_numpy())
-    yield from trie.rows()
+                group = trie.group_of(batch.column("lang"), batch.column("key"))
+    yield from trie.tries()
 
 
 def merge_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """LEAVES in order of language and term, merged; those in ``least`` documents, with the range they are of.
+    """TRIES in order of language and prefix to LEAVES in ``least`` documents, with the range they are of.
 
-    A full trie is taken apart where a term ends, so it holds a bounded part of its range.
+    Sub-tries of a prefix are merged as a whole; with a full trie, a new one begins at the next prefix.
     """
     at = TaskContext.get().partitionId() if TaskContext.get() else 0
-    trie = SourceTrie()
+    trie, last = SourceTrie(), None
 
     def add(batch: pa.RecordBatch) -> None:
-        if not len(batch):
-            return
-        keys = batch.column("keys")
-        sizes = np.diff(keys.offsets.to_numpy())
-        row = np.repeat(np.arange(len(batch)), sizes)
-        terms = batch.column("term").dictionary_encode()
-        leaf = np.array([trie.leaf(t.encode()) for t in terms.dictionary.to_pylist()], np.int64)[terms.indices.to_numpy()]
-        group = trie.group_of(batch.column("lang").take(pa.array(row)), keys.flatten().to_numpy())
+        shared, sizes, counters = (batch.column(c).flatten().to_numpy().tolist() for c in ("shared", "sizes", "counters"))
+        data, offsets = _strings(batch.column("labels"))
+        text, a, before, terms = data[offsets[0] : offsets[-1]].tobytes(), 0, b"", []
+        for k, n in zip(shared, sizes, strict=True):
+            before = before[:k] + text[a : a + n]
+            terms.append(before)
+            a += n
+        coded = pa.array(terms, pa.binary()).dictionary_encode()
+        keys, held = batch.column("keys"), np.array(counters, np.int64)
+        row = np.repeat(np.arange(len(batch)), np.diff(keys.offsets.to_numpy()))
+        group = trie.group_of(batch.column("lang").take(pa.array(row)), keys.flatten())
         docs = np.zeros(len(row), np.int64)
-        docs[np.cumsum(sizes) - sizes] = batch.column("docs").to_numpy()
-        trie.add(leaf[row], group, batch.column("counts").flatten().to_numpy(), docs)
+        docs[np.cumsum(held) - held] = batch.column("docs").flatten().to_numpy()
+        trie.add(coded.dictionary, np.repeat(coded.indices.to_numpy(), held).astype(np.int64), group, batch.column("counts").flatten().to_numpy(), docs)
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for out in trie.rows(least):
+        for out in trie.leaves(least):
             yield out.append_column("range", pa.array(np.full(len(out), at, np.int32)))
 
-    for batch in batches:
-        if trie.full() and len(batch):
-            last = [pc.equal(batch.column(c), batch.column(c)[len(batch) - 1]).to_numpy(zero_copy_only=False) for c in ("lang", "term")]
-            cut = int(np.argmax(last[0] & last[1]))
-            if cut:
-                add(batch.slice(0, cut))
-                yield from rows()
-                trie = SourceTrie()
-                batch = batch.slice(cut)
-        add(batch)
+    for whole in batches:
+        for k in range(0, len(whole), ROWS):
+            batch = whole.slice(k, ROWS)
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "prefix")), strict=True))
+            if trie.full():
+                # what is left of the prefix that the trie ends with goes in before it is taken apart
+                cut = next((x for x, name in enumerate(names) if name != last), None)
+                if cut is not None:
+                    if cut:
+                        add(batch.slice(0, cut))
+                    yield from rows()
+                    trie, batch = SourceTrie(), batch.slice(cut)
+            last = names[-1]
+            add(batch)
     yield from rows()
 
 
@@ -340,8 +381,8 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     strings = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
     with Scratch(docs.sparkSession) as scratch:
         own, groups = _keyed(docs.select(*strings), scratch)
-        tries = scratch.save(own.select("lang", "key", "text").mapInArrow(count_batches, LEAVES), "tries")
-        dealt = tries.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
+        tries = scratch.save(own.select("lang", "key", "text").mapInArrow(count_batches, TRIES), "tries")
+        dealt = tries.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
         kept = scratch.save(dealt.mapInArrow(partial(merge_batches, least=least_docs), LEAVES + ", range int"), "kept")
         sizes = kept.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy("lang", F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("n"))
         of_lang = groups.groupBy("lang").agg(F.count("*").alias("sources"))

@@ -251,33 +251,55 @@ def leaves(batches):
     return {(r["lang"], r["term"]): (r["docs"], dict(zip(r["keys"], r["counts"], strict=True))) for b in batches for r in b.to_pylist()}
 
 
+def texts_of(rows):
+    own = [(g or "", len(s or "") * 7 + ord((s or "0")[-1]) % 5, t or "") for t, g, s in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "key", "text"])
+
+
+def merged(parts, least=1, rows=5):
+    """Sub-tries through the order and the batches that a range gets."""
+    table = pa.Table.from_batches(parts)
+    order = sorted(range(len(table)), key=lambda k: (table["lang"][k].as_py(), table["prefix"][k].as_py()))
+    return leaves(source_divergence.merge_batches(iter(table.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=rows)), least))
+
+
 def test_tries_in_small_parts(monkeypatch):
-    """Full tries, colliding hashes and terms that go on in the next batch change no count."""
-    rows = [(g or "", hash(s) % 5, t or "") for t, g, s in said(4)]
-    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "key", "text"])
-    want = leaves(source_divergence.count_batches(iter([batch])))
-    monkeypatch.setattr(source_divergence, "TEXT_AT_ONCE", 300)
-    monkeypatch.setattr(source_divergence, "MOST_LEAVES", 40)
-    parts = [r for b in source_divergence.count_batches(iter([batch.slice(0, 60), batch.slice(60)])) for r in b.to_pylist()]
-    assert len(parts) > len(want)
-    parts.sort(key=lambda r: (r["lang"], r["term"].encode()))
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["lang", "term", "docs", "keys", "counts"]
-    some = [pa.RecordBatch.from_arrays([pa.array([r[n] for r in parts[i : i + 7]], k) for n, k in zip(names, kinds, strict=True)], names) for i in range(0, len(parts), 7)]
-    assert leaves(source_divergence.merge_batches(iter(some), 1)) == want
-    assert leaves(source_divergence.merge_batches(iter(some), 9)) == {k: v for k, v in want.items() if v[0] >= 9}
-    monkeypatch.setattr(source_divergence, "word_hashes", lambda data, starts, ends, table: (ends - starts).astype(np.uint64) % np.uint64(3))
-    monkeypatch.setattr(source_divergence, "MOST_LEAVES", 10**6)
-    monkeypatch.setattr(source_divergence, "TEXT_AT_ONCE", 8 << 20)
-    assert leaves(source_divergence.count_batches(iter([batch]))) == want
-
-
-def test_trie_terms_in_order_of_bytes():
+    """Full tries and sub-tries that go on in the next batch change no count."""
+    batch = texts_of(said(4))
+    counts, docs = defaultdict(Counter), Counter()
+    for lang, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        terms = TERMS.findall(lowered(text))
+        docs.update((lang, t) for t in set(terms))
+        for t in terms:
+            counts[lang, t][key] += 1
+    want = {k: (docs[k], dict(counts[k])) for k in counts}
+    assert merged(list(source_divergence.count_batches(iter([batch])))) == want
+    for name, value in (("TEXT_AT_ONCE", 300), ("MOST_LEAVES", 40), ("MOST_COUNTERS", 60), ("ROWS", 3)):
+        monkeypatch.setattr(source_divergence, name, value)
+    parts = list(source_divergence.count_batches(iter([batch.slice(0, 60), batch.slice(60)])))
+    assert sum(len(b) for b in parts) > len(want) / 2
+    assert merged(parts) == want
+    assert merged(parts, 9) == {k: v for k, v in want.items() if v[0] >= 9}
+
+
+def test_labels_of_a_trie():
+    """A leaf has what it doesn't share with the one before; leaves are in the order of their bytes, sub-tries share three."""
     rng = random.Random(1)
-    words = {"".join(rng.choice("aäbé日") for _ in range(rng.randrange(1, 9))).encode() for _ in range(500)}
+    words = sorted({"".join(rng.choice("aäbé日") for _ in range(rng.choice([1, 2, 3, 9, 30]))).encode() for _ in range(500)})
+    shared = source_divergence.shared_prefixes(pa.array(words, pa.binary())).tolist()
+    assert shared == [0] + [next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:], strict=False)]
     trie = SourceTrie()
-    number = {w: trie.leaf(w) for w in words}
-    assert [w for w, _ in trie.terms()] == sorted(words) and all(trie.leaf(w) == k for w, k in number.items())
+    mixed = rng.sample(words, len(words))
+    trie.add(pa.array(mixed, pa.binary()), np.arange(len(mixed)), trie.group_of(pa.array(["en"] * len(mixed)), pa.array([1] * len(mixed), pa.int64())), np.full(len(mixed), 2), np.ones(len(mixed), np.int64))
+    found = []
+    for row in (r for b in trie.tries() for r in b.to_pylist()):
+        before, at = b"", 0
+        for k, n in zip(row["shared"], row["sizes"], strict=True):
+            before = before[:k] + row["labels"][at : at + n]
+            at += n
+            found.append(before)
+            assert before[:3] == row["prefix"]
+    assert found == words
 
 
 def test_shares_of_large_counts():
