@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +48,14 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Per open ``written`` block, the kept tables of what runs in it.
-_kept: list[list[str]] = []
+#: The kept tables of what runs in the ``written`` block around it; other threads have blocks of their own.
+_kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
 
 
 def keep(spark: SparkSession, path: str) -> None:
     """Leave a folder to a lazy result: it goes with the ``written`` block around it, or with the session's JVM."""
-    if _kept:
-        _kept[-1].append(path)
+    if (block := _kept.get()) is not None:
+        block.append(path)
         return
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -62,12 +63,17 @@ def keep(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def written(spark: SparkSession):
-    """A block in which results are computed and written; the tables they were kept in go at its end."""
-    _kept.append([])
+    """A block in which results are computed and written; the tables they were kept in go at its end.
+
+    That holds for results made inside of the block by its own thread or task. Those of other threads stay.
+    """
+    own: list[str] = []
+    before = _kept.set(own)
     try:
         yield
     finally:
-        for path in _kept.pop():
+        _kept.reset(before)
+        for path in own:
             delete(spark, path)
 
 

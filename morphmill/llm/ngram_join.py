@@ -381,7 +381,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         featured = scratch.save(text.mapInArrow(_features(k, percent), schema), "features")
         rows = scratch.save(featured.select("id", "n", "h1", "h2"), "rows", keep=True)
         usable = featured.where("id is not null and n > 0")
-        sets = usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+        sets = usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.count("*").alias("held"))
         sets = scratch.save(sets, "sets")
         scratch.drop(featured)
         groups = scratch.save(_groups(sets, scratch), "groups")
@@ -389,11 +389,13 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         maybe = _forest(groups.join(slim, "id"), sets.select("id", "bits"), _joined(percent), scratch)
         blocks = components(maybe, scratch).withColumnRenamed("component", "block")
         links = _forest(blocks.join(slim, "id"), text, _joined(percent, k), scratch)
-        comp = scratch.save(components(links, scratch), "components", keep=True)
-    reps = rows.where("id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    out = rows.join(reps, ["n", "h1", "h2"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        # a set's component, once; the rows of a set that very many have stay where they are
+        of_set = sets.select("n", "h1", "h2", "id", "held").join(components(links, scratch), "id", "left")
+        of_set = scratch.save(of_set.select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"), "held"), "components", keep=True)
+        found = join_groups(rows.where("id is not null and n > 0"), of_set, ["n", "h1", "h2"], "held").select("id", "n", "component_id")
+    # what has no words, or no id, meets nothing
+    rest = rows.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
+    return found.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _all(found: list[DataFrame]) -> DataFrame:

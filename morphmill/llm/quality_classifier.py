@@ -147,8 +147,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Per row of docs: its id, ``evidence`` (log odds of the classifier), ``host_rate``, ``path_rate``, ``score`` and ``kept`` (score >= least).
 
     labels: (id, 0 or 1); other labels and null ids count as none; the classifier
-    is fitted on ``train_rows`` of them at most. Without rows
-    of both labels the evidence is 0. Null or empty texts are classified as what
+    is fitted on ``train_rows`` of them at most, and for each on one of the rows
+    that have its id. Without rows of both labels the evidence is 0. Null or empty texts are classified as what
     they are; null hosts and paths are groups of their own. Repeated rows count
     each. Other columns are not returned. An empty table gives an empty result.
     """
@@ -159,7 +159,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     # train_rows numbers at most; a document's features are some KB
     drawn = F.broadcast(known.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows))
-    sample = sorted(rows.select("id", "text").join(drawn, "id").select("id", "y", "text").mapInArrow(feature_batches, "id long, y int, rates binary, shares binary").collect())
+    # of rows that repeat an id one is taken, so that there are no more rows than labels
+    own = rows.select("id", "text").join(drawn, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = sorted(own.mapInArrow(feature_batches, "id long, y int, rates binary, shares binary").collect())
     y = np.array([r["y"] for r in sample], float)
     model = Evidence()
     if len(set(y)) == 2:

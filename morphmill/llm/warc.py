@@ -296,12 +296,12 @@ def _decoded_where_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks put together to their payload's length, and whether they are as their record says."""
+    """Blocks of segments, in order, put together to their payload's length, and whether they are as their record says."""
     for batch in batches:
-        lengths, faults = [], []
-        for block, digest, length, fault in zip(*(batch.column(c).to_pylist() for c in ("block", "digest", "payload_bytes", "fault")), strict=True):
-            if block is not None and not fault:
-                length, _, fault = _payload(block, digest)
+        lengths, faults, blocks = [], [], batch.column("blocks")
+        for k, (digest, length, fault) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("digest", "payload_bytes", "fault")), strict=True)):
+            if blocks[k].is_valid and not fault:
+                length, _, fault = _payload(b"".join(blocks[k].as_py()), digest)
             lengths.append(None if fault else length)
             faults.append(fault)
         columns = [batch.column(c) for c in ("page_id", "record_id", "type", "digest", "refers_to")]
@@ -326,13 +326,14 @@ def reassembled(records: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("segment").isNotNull(), F.col("length"))).alias("length"), F.count("*").alias("n"),
         F.max("segment").alias("last"), F.max("total").alias("total"), F.max(first).alias("first"), F.max("fault").alias("fault"),
     )
-    whole = F.expr("aggregate(parts, cast('' as binary), (whole, x) -> concat(whole, x.block))")
+    # each byte is copied once, when a task joins a record's segments
+    whole = F.transform("parts", lambda x: x["block"])
     segmented = F.size("parts") > 0
     numbered = (F.col("n") == F.col("last")) & F.expr("size(array_distinct(transform(parts, x -> x.segment))) = n") & F.col("length").eqNullSafe(F.col("total"))
     right = F.col("first").isNotNull() & F.when(segmented, numbered).otherwise(F.col("n") == 1)
     many = parts.select(
         F.col("first.page_id").alias("page_id"), F.col("origin").alias("record_id"), F.coalesce("first.type", F.lit("response")).alias("type"), F.col("first.digest").alias("digest"), F.col("first.refers_to").alias("refers_to"),
-        F.when(segmented & right, whole).alias("block"), F.col("first.payload_bytes").alias("payload_bytes"), (F.col("fault") | ~right).alias("fault"),
+        F.when(segmented & right, whole).alias("blocks"), F.col("first.payload_bytes").alias("payload_bytes"), (F.col("fault") | ~right).alias("fault"),
     )
     return many.mapInArrow(_decoded, "page_id long, record_id string, type string, digest string, refers_to long, payload_bytes long, fault boolean")
 
