@@ -36,7 +36,7 @@ GRAM = 64
 #: Suffixes are sorted by multikey quicksort up to so many bytes, in characters of eight.
 SHALLOW = 64
 #: Contexts of one anchor that a task sorts; larger groups are split.
-MOST_CONTEXTS = 20_000
+MOST_CONTEXTS = 4000
 #: Contexts that are sorted at once.
 SORTED_AT_ONCE = 50_000
 
