@@ -6,6 +6,10 @@ import heapq
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 LOWEST = -math.inf
 
 
@@ -38,8 +42,9 @@ class Unigram:
     #: Scores nearer to each other than this may be told apart otherwise in a longer text, by rounding.
     NEAR = 1e-6
 
-    def __init__(self, scores: dict[bytes, float], fallback: float = -10.0):
-        total = sum(scores.values())
+    def __init__(self, scores: dict[bytes, float], fallback: float = -10.0, total: float | None = None):
+        """``total``: the sum of all scores, where ``scores`` are only those that some texts can use."""
+        total = sum(scores.values()) if total is None else total
         self.weights = {k: math.log(v) - math.log(total) for k, v in scores.items() if k and v > 0}
         self.fallback = fallback
         self.tree: dict = {}
@@ -81,51 +86,118 @@ class Unigram:
         return out[::-1], tie
 
 
-def ngram_cuts(text: bytes, table: dict[bytes, float], most: int = 6) -> list[bytes]:
-    """Viterbi cut under byte n-gram log probabilities.
+#: n-grams have up to six bytes, which fit into a number beside their length.
+MOST = 6
+#: Bytes of words that are cut together, as a table of words by places.
+TABLE_BYTES = 1 << 19
+
+
+def ngram_table(grams: pa.Array, logps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, log probabilities) of n-grams, in order of the numbers."""
+    sizes = pc.binary_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    data = np.frombuffer(b"".join(grams.to_pylist()) + bytes(MOST), np.uint8)
+    keys = sizes.copy()
+    for k in range(MOST):
+        inside = k < sizes
+        keys[inside] = (keys[inside] << 8) | data[offsets[:-1][inside] + k]
+    order = np.argsort(keys)
+    return keys[order], logps.to_numpy(zero_copy_only=False)[order]
 
-    A state is a byte's offset in its piece, up to most - 1; from there it stays,
+
+def _cuts(text: np.ndarray, sizes: np.ndarray, keys: np.ndarray, logps: np.ndarray) -> np.ndarray:
+    """Where pieces start, of words as rows of a table, by Viterbi steps over all rows.
+
+    A state is a byte's offset in its piece, up to MOST - 1; from there it stays,
     so pieces can be longer than n-grams. Pieces start at characters. Of equal
     scores the smaller previous state wins.
     """
-    n = len(text)
-    if not n:
-        return []
-    into, k = [], 0
-    for s in char_starts(text):
-        k = 0 if s or not into else k + 1
-        into.append(k)
-    score = [LOWEST] * most
-    score[0] = table.get(text[:1], LOWEST)
-    back: list[list[int]] = []
-    for i in range(1, n):
-        now, prev = [LOWEST] * most, [0] * most
-        for j in range(into[i], most):
-            own = table.get(text[i - j : i + 1]) if j <= i and not (j == 0 and into[i]) else None
-            if own is None:
+    n, wide = text.shape
+    starts = (text & 0xC0) != 0x80
+    starts[:, 0] = True
+    score = np.full((n, MOST), -np.inf)
+    final = np.zeros(n, np.int64)
+    back = np.zeros((wide, n, MOST), np.int8)
+    rows = np.arange(n)
+    # of the n-grams that end here, those of each length, without and with their length
+    bare = [np.zeros(n, np.int64) for _ in range(MOST)]
+    into = np.zeros(n, np.int64)
+    for i in range(wide):
+        byte = text[:, i].astype(np.int64)
+        bare = [byte] + [(b << 8) | byte for b in bare[:-1]]
+        into = np.where(starts[:, i], 0, into + 1)
+        now = np.full((n, MOST), -np.inf)
+        for j in range(min(i + 1, MOST)):
+            key = bare[j] | ((j + 1) << (8 * (j + 1)))
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            own = np.where((keys[at] == key) & (into <= j), logps[at], -np.inf)
+            if i == 0:
+                now[:, 0] = own
                 continue
-            begins = i - j == 0 or into[i - j] == 0
-            froms = range(into[i - 1], most) if j == 0 else ((j - 1, j) if j == most - 1 else (j - 1,))
-            top = LOWEST
-            for p in froms:
-                if p < into[i - 1] or not (begins or p == j == most - 1):
-                    continue
-                if score[p] + own > top:
-                    top, prev[j] = score[p] + own, p
-            now[j] = top
-        back.append(prev)
+            begins = starts[:, i - j]
+            if j == 0:
+                prev = score.argmax(axis=1)
+                top = score[rows, prev]
+            else:
+                prev, top = np.full(n, j - 1), np.where(begins, score[:, j - 1], -np.inf)
+                if j == MOST - 1:
+                    stays = score[:, j] + own > top + own
+                    prev, top = np.where(stays, j, prev), np.where(stays, score[:, j], top)
+            total = top + own
+            now[:, j] = total
+            back[i, :, j] = np.where(total > -np.inf, prev, 0)
         score = now
-    last = [j for j in range(most) if j >= into[-1]]
-    state = max(last, key=lambda j: (score[j], -j), default=0)
-    if score[state] == LOWEST:
-        state = 0
-    cuts = []
-    for i in range(n - 1, 0, -1):
-        if state == 0 and into[i] == 0:
-            cuts.append(i)
-        state = back[i - 1][state]
-    cuts = [0, *reversed(cuts), n]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        ended = sizes == i + 1
+        if ended.any():
+            final[ended] = now[ended].argmax(axis=1)
+    cuts = np.zeros((n, wide), bool)
+    state = np.zeros(n, np.int64)
+    for i in range(wide - 1, 0, -1):
+        state = np.where(sizes == i + 1, final, state)
+        live = i < sizes
+        cuts[:, i] = live & (state == 0) & starts[:, i]
+        state = np.where(live, back[i, rows, state], state)
+    cuts[:, 0] = True
+    return cuts
+
+
+def cut_by_ngrams(words: pa.Array, keys: np.ndarray, logps: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The best pieces of words under byte n-gram log probabilities, and the number of each piece's word.
+
+    Words of about one length go through together, a step for each place.
+    """
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    if not len(words):
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    sizes = np.diff(offsets)
+    opens = np.zeros(len(data), bool)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    k = 0
+    while k < len(order):
+        # rows times the longest of them stay in the table; one word at least
+        last = np.arange(k, len(order))
+        last = last[: max(1, int(np.searchsorted((last - k + 1) * sizes[order[last]], TABLE_BYTES, "right")))][-1] + 1
+        some = order[k:last]
+        wide = int(sizes[some].max())
+        at = offsets[some][:, None] + np.arange(wide)
+        inside = np.arange(wide) < sizes[some][:, None]
+        text = np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+        opens[at[inside]] = _cuts(text, sizes[some], keys, logps)[inside]
+        k = last
+    place = np.flatnonzero(opens)
+    bounds = np.append(place, len(data)).astype(np.int32)
+    pieces = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    return pieces, np.searchsorted(offsets, place, "right") - 1
+
+
+def ngram_cuts(text: bytes, table: dict[bytes, float]) -> list[bytes]:
+    """``cut_by_ngrams`` of one word."""
+    entries = ngram_table(pa.array(list(table), pa.binary()), pa.array(list(table.values()), pa.float64()))
+    return cut_by_ngrams(pa.array([text], pa.binary()), *entries)[0].to_pylist()
 
 
 def merge_ids(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:

@@ -14,17 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphmill.model import BYTE, CHAR_PAIR, NORMAL, SEQUENCE, Model, NormalizerSpec, Piece, TrainSpec, byte_pieces, layout
-from morphmill.operators.segment import Unigram, ngram_cuts
+from morphmill.operators.segment import Unigram, cut_by_ngrams, ngram_table
 from morphmill.operators.stats import bytes_of, byte_ngrams, char_counts, covered_chars, ngram_logprobs, word_counts, words_of
 from morphmill.operators.storage import Rounds
 from morphmill.sources.text import first_lines
 
-#: Candidate pairs that come to the driver per round.
+#: Candidate pairs that a round chooses from.
 CANDIDATES = 1000
+#: The most frequent pairs that the driver knows the counts of; parts that the index of pairs is stored in.
+KNOWN, PARTS = 100_000, 128
+#: Rounds of merges that the index is behind by at most; their words are looked up by the pairs they had.
+BEHIND = 48
 #: A whole-corpus sequence is one array in one task; larger corpora are refused.
 SEQUENCE_BYTES = 16 << 20
-#: n-grams whose table is sent to the executors.
-MOST_NGRAMS = 5_000_000
+#: n-grams or pieces whose table is sent to all executors, some MB; larger tables are joined.
+MOST_SENT = 500_000
+#: Strings of a block, whose part of a joined table a task has.
+BLOCK = 2000
 LONGEST_WORD = 65_535
 
 
@@ -79,20 +85,63 @@ def _weighed(flat: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(freq[word[inside][order]], first) if len(first) else np.zeros(0, np.int64)
 
 
-class _Words:
-    """Words as arrays of symbols, with the merges that their written table doesn't have yet.
+def _pair_keys(flat: np.ndarray) -> np.ndarray:
+    """The number of each pair of neighbours, -1 across the end of a word."""
+    keys = (flat[:-1] << 32) + flat[1:]
+    keys[(flat[:-1] < 0) | (flat[1:] < 0)] = -1
+    return keys
 
-    A round's merges are a few numbers that go with the job; a task applies them
-    to whole batches of words and counts the pairs of each batch before they are
-    added up. Every ``SAVE`` rounds the words are written anew, which bounds both
-    what a task repeats and the lineage.
-    """
 
-    SAVE = 24
+def _differences(batch: pa.RecordBatch, looked: np.ndarray, pending: list, merges: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What merges change in the counts of pairs, over indexed words (pair, t, freq).
+
+    A word is listed under each of its pairs; it counts where its smallest pair
+    of those ``looked`` up leads to it.
+    """
+    flat = _flat(batch.column("t"))
+    keys = np.append(_pair_keys(flat), -1)
+    at = np.minimum(np.searchsorted(looked, keys), len(looked) - 1)
+    own = np.where(looked[at] == keys, keys, np.iinfo(np.int64).max)
+    ends = np.flatnonzero(flat < 0)
+    least = np.minimum.reduceat(own, np.concatenate(([0], ends[:-1] + 1)))
+    kept = least == batch.column("pair").to_numpy()
+    flat = flat[np.repeat(kept, np.diff(ends, prepend=-1))]
+    freq = batch.column("freq").to_numpy()[kept]
+    for old in pending:
+        flat = _merged(flat, *old)
+    before, after = _weighed(flat, freq), _weighed(_merged(flat, *merges), freq)
+    keys, of = np.unique(np.concatenate((before[0], after[0])), return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, of, np.concatenate((-before[1], after[1])))
+    return keys[sums != 0], sums[sums != 0]
+
+
+class PairCounts:
+    """Counts of pairs of symbols over words, kept up to date by what merges change.
+
+    An index, a table in parts by pair, lists each word under each pair it has.
+    A round of merges reads the parts of its pairs, and only there the words that
+    hold one; the signed differences of their pairs' counts come to the driver.
+    These are at most the pairs that the merged symbols have with others: four
+    for each merge and symbol.
+
+    A pair's count is largest when its younger symbol is made, and falls from
+    then on. So the most frequent pairs, known to the driver, stay complete down
+    to the count of the first one that was left out, ``floor``. Below that, or when the index
+    is too far behind, words are written with all merges and indexed anew.
+    """
 
     def __init__(self, words: DataFrame, rounds: Rounds):
-        self.rounds, self.pending = rounds, []
-        self.table = rounds.save(words.where("size(t) > 1"))
+        """Words as (t array<int>, freq long)."""
+        self.rounds, self.spark = rounds, words.sparkSession
+        self.words = rounds.save(words.where("size(t) > 1"))
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        #: The indexed pair that leads to each symbol younger than the index.
+        self.origin: dict[int, int] = {}
+        #: Of each round, the number of pairs whose counts it changed.
+        self.touched: list[int] = []
+        self.known, self.index = KNOWN, None
+        self._index()
 
     def _batches(self, then, schema: str) -> DataFrame:
         pending = list(self.pending)
@@ -104,58 +153,114 @@ class _Words:
                     flat = _merged(flat, keys, new)
                 yield then(flat, batch.column("freq").to_numpy(zero_copy_only=False))
 
-        return self.table.mapInArrow(run, schema)
+        return self.words.mapInArrow(run, schema)
 
-    def pairs(self) -> DataFrame:
-        """(l, r, cnt) of neighbouring symbols, overlaps counted, weighted by freq."""
+    def all_pairs(self) -> DataFrame:
+        """(key, cnt) of all pairs of neighbouring symbols, overlaps counted, weighted by freq."""
 
         def count(flat: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
             keys, sums = _weighed(flat, freq)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums, pa.int64())], ["key", "cnt"])
 
-        sums = self._batches(count, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
-        return sums.select(F.shiftright("key", 32).cast("int").alias("l"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int").alias("r"), "cnt")
+        return self._batches(count, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
+
+    def _index(self) -> None:
+        if self.pending:
+
+            def symbols(flat: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
+                ends = np.flatnonzero(flat < 0)
+                sizes = np.diff(ends, prepend=-1) - 1
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat[flat >= 0], pa.int32()))
+                return pa.RecordBatch.from_arrays([lists, pa.array(freq)], ["t", "freq"])
+
+            self.words = self.rounds.save(self._batches(symbols, "t array<int>, freq long").where("size(t) > 1"))
+        self.pending, self.origin = [], {}
+        pair = F.expr("explode(array_distinct(transform(sequence(0, size(t) - 2), i -> shiftleft(cast(t[i] as bigint), 32) + t[i + 1])))")
+        listed = self.words.select(pair.alias("pair"), "t", "freq").withColumn("part", F.expr(f"cast((shiftright(pair, 32) * 31 + (pair & 4294967295)) % {PARTS} as int)"))
+        # a frequent pair's part is cut by its words, the more the larger the table
+        cuts = 1 + self.words.count() // 500_000
+        dealt = listed.repartition(F.col("part"), F.pmod(F.xxhash64("t"), F.lit(cuts))).sortWithinPartitions("part", "pair")
+        self.index = self.rounds.save_parts(dealt, "part")
+        best = self.all_pairs().orderBy(F.desc("cnt"), "key").limit(self.known + 1).toArrow()
+        keys, counts = (best.column(c).to_numpy() for c in ("key", "cnt"))
+        self.floor = int(counts[-1]) if len(keys) > self.known else 0
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order].copy()
+
+    def best(self, fits, most: int) -> list[tuple[int, int, int]]:
+        """(count, l, r) of the most frequent pairs that ``fits``, ``most`` and those as frequent as the last; of pairs above the floor."""
+        while True:
+            at = np.flatnonzero(self.counts > self.floor)
+            at = at[fits(self.keys[at] >> 32, self.keys[at] & 0xFFFFFFFF)]
+            if not len(at) and self.floor:
+                # with a new index, all of the known pairs are ones that don't fit
+                self.known *= 1 if self.pending else 4
+                self._index()
+                continue
+            if len(at) > most:
+                at = at[self.counts[at] >= np.partition(self.counts[at], len(at) - most)[len(at) - most]]
+            return [(int(self.counts[k]), int(self.keys[k] >> 32), int(self.keys[k] & 0xFFFFFFFF)) for k in at]
 
     def merge(self, pairs: dict[tuple[int, int], int]) -> None:
+        """Pairs that can be merged at once, to their new symbols."""
         keys = np.array([(left << 32) + right for left, right in pairs], np.int64)
         order = np.argsort(keys)
-        self.pending.append((keys[order], np.array(list(pairs.values()), np.int64)[order]))
-        if len(self.pending) < self.SAVE:
-            return
-
-        def symbols(flat: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
-            ends = np.flatnonzero(flat < 0)
-            sizes = np.diff(ends, prepend=-1) - 1
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat[flat >= 0], pa.int32()))
-            return pa.RecordBatch.from_arrays([lists, pa.array(freq)], ["t", "freq"])
+        merges, pending = (keys[order], np.array(list(pairs.values()), np.int64)[order]), list(self.pending)
+        led = []
+        for (left, right), new in pairs.items():
+            self.origin[new] = self.origin.get(left, self.origin.get(right, (left << 32) + right))
+            led.append(self.origin[new])
+        looked = np.unique(np.array(led, np.int64))
+        parts = sorted({((k >> 32) * 31 + (k & 0xFFFFFFFF)) % PARTS for k in looked.tolist()})
 
-        self.table = self.rounds.save(self._batches(symbols, "t array<int>, freq long").where("size(t) > 1"))
-        self.pending = []
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    found, sums = _differences(batch, looked, pending, merges)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], ["key", "cnt"])
+
+        listed = self.index.where(F.col("part").isin(parts) & F.col("pair").isin(looked.tolist())).select("pair", "t", "freq")
+        changes = listed.mapInArrow(run, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0").toArrow()
+        self.pending.append(merges)
+        self.touched.append(changes.num_rows)
+        changed, sums = (changes.column(c).to_numpy() for c in ("key", "cnt"))
+        own = np.minimum(np.searchsorted(self.keys, changed), len(self.keys) - 1)
+        known = self.keys[own] == changed
+        self.counts[own[known]] += sums[known]
+        fresh = ~known & (sums > self.floor)
+        keys, counts = np.concatenate((self.keys, changed[fresh])), np.concatenate((self.counts, sums[fresh]))
+        kept = counts > self.floor
+        keys, counts = keys[kept], counts[kept]
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        if len(self.pending) >= BEHIND or len(self.keys) > 4 * self.known:
+            self._index()
 
 
-def _batch(candidates: list, strict: bool) -> list:
-    """The longest run of best candidates that can be merged at once with the result of merging one by one.
+def _batch(candidates: list, strict: bool, whole: bool = True) -> list:
+    """The longest run of best candidates (count, l, r, ...) that can be merged at once with the result of merging one by one.
 
     No symbol is left in one pair and right in another, so no merge takes an
     occurrence of another pair; a pair of one symbol is alone. A pair that a merge
     makes is no more frequent than some pair left outside: that of the symbol
     before it and its left one, say. Of equal counts older symbols come first,
     unless strict; then none inside may be as frequent as the first outside.
+    ``whole`` says that there are no more candidates.
     """
     left: set[int] = set()
     right: set[int] = set()
     out = []
     for c in candidates:
-        if c["l"] == c["r"] or c["l"] in right or c["r"] in left:
+        if c[1] == c[2] or c[1] in right or c[2] in left:
             break
-        left.add(c["l"])
-        right.add(c["r"])
+        left.add(c[1])
+        right.add(c[2])
         out.append(c)
     if strict and len(out) < len(candidates):
-        while out and out[-1]["cnt"] == candidates[len(out)]["cnt"]:
+        while out and out[-1][0] == candidates[len(out)][0]:
             out.pop()
-    elif strict and len(candidates) == CANDIDATES:
-        while out and out[-1]["cnt"] == candidates[-1]["cnt"]:
+    elif strict and not whole:
+        while out and out[-1][0] == candidates[-1][0]:
             out.pop()
     return out or candidates[:1]
 
@@ -175,54 +280,23 @@ def train_byte_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpe
     parts: list[tuple[bytes, bytes]] = [(b"", b"")] * 256
     with Rounds(words.sparkSession, "byte-pairs") as rounds:
         ids = F.transform(bytes_of(F.col("word")), lambda h: F.conv(h, 16, 10).cast("int"))
-        state = _Words(words.select(ids.alias("t"), F.col("freq").cast("long").alias("freq")), rounds)
+        state = PairCounts(words.select(ids.alias("t"), F.col("freq").cast("long").alias("freq")), rounds)
         while len(symbols) < want:
-            fitting = _fitting(state.pairs(), [len(s) for s in symbols], spec.max_piece_size)
-            best = fitting.orderBy(F.desc("cnt"), F.greatest("l", "r"), "l", "r").limit(CANDIDATES).collect()
+            sizes = np.array([len(s) for s in symbols])
+            best = state.best(lambda left, right: sizes[left] + sizes[right] <= spec.max_piece_size, CANDIDATES)  # noqa: B023
             if not best:
                 break
+            best.sort(key=lambda c: (-c[0], max(c[1:]), c[1:]))
             pairs = {}
-            for c in _batch(best, strict=False)[: want - len(symbols)]:
-                pairs[c["l"], c["r"]] = len(symbols)
-                parts.append((symbols[c["l"]], symbols[c["r"]]))
-                symbols.append(symbols[c["l"]] + symbols[c["r"]])
+            for _, left, right in _batch(best, strict=False)[: want - len(symbols)]:
+                pairs[left, right] = len(symbols)
+                parts.append((symbols[left], symbols[right]))
+                symbols.append(symbols[left] + symbols[right])
             state.merge(pairs)
     learned = [Piece(s, -float(i), NORMAL, *parts[i]) for i, s in enumerate(symbols)]
     return Model(spec, normalizer, layout(meta, learned, spec.vocab_size, spec.extra_tokens, strict))
 
 
-def _fitting(pairs: DataFrame, sizes: list[int], most: int) -> DataFrame:
-    """Pairs of at most ``most`` bytes together; the sizes, a number for each symbol, are broadcast."""
-    held = pairs.sparkSession.sparkContext.broadcast(np.array(sizes, np.int32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("l", "r"))
-            yield batch.filter(pa.array(held.value[own] + held.value[right] <= most))
-
-    return pairs.mapInArrow(run, "l int, r int, cnt long")
-
-
-def _named(pairs: DataFrame, names: list[str], unknown: str, refused: set[tuple[int, int]], most: int) -> DataFrame:
-    """Pairs with the ``piece`` that they make, but for refused ones, those with the unknown symbol and those of more than ``most`` bytes.
-
-    The symbols' names, a string for each piece of the vocabulary, are broadcast.
-    """
-    held = pairs.sparkSession.sparkContext.broadcast((names, refused))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, dropped = held.value
-            rows = []
-            for left, right, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own[left] != unknown and own[right] != unknown and (left, right) not in dropped and len((piece := own[left] + own[right]).encode()) <= most:
-                    rows.append((left, right, n, piece))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["l", "r", "cnt", "piece"])
-
-    return pairs.mapInArrow(run, "l int, r int, cnt long, piece string")
-
-
 def train_char_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpec = NormalizerSpec()) -> Model:
     """Character-level pair merging over (word, freq), with byte pieces for what isn't covered.
 
@@ -242,23 +316,29 @@ def train_char_pair(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpe
     strings, emitted, refused, pieces = list(chars), set(), set(), []
     with Rounds(spark, "char-pairs") as rounds:
         own = _char_ids(words.where(F.octet_length("word") <= LONGEST_WORD), {c: i for i, c in enumerate(chars)}, chars.index(unknown))
-        state = _Words(own, rounds)
+        state, none = PairCounts(own, rounds), chars.index(unknown)
         while len(pieces) < budget:
-            named = _named(state.pairs(), strings, unknown, refused, spec.max_piece_size)
-            best = named.orderBy(F.desc("cnt"), F.char_length("piece"), "piece", "l", "r").limit(CANDIDATES).collect()
+            sizes = np.array([len(s.encode()) for s in strings])
+
+            def fits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+                gone = np.isin((left << 32) + right, list(refused)) if refused else False
+                return (left != none) & (right != none) & (sizes[left] + sizes[right] <= spec.max_piece_size) & ~np.asarray(gone, bool)  # noqa: B023
+
+            best = [(*c, strings[c[1]] + strings[c[2]]) for c in state.best(fits, CANDIDATES)]
             if not best:
                 break
+            best.sort(key=lambda c: (-c[0], len(c[3]), c[3].encode(), c[1:3]))
             new = {}
-            for c in _batch(best, strict=True):
+            for _, left, right, name in _batch(best, strict=True, whole=len(best) < CANDIDATES):
                 if len(pieces) >= budget:
                     break
-                if c["piece"] in emitted:
-                    refused.add((c["l"], c["r"]))
+                if name in emitted:
+                    refused.add((left << 32) + right)
                     continue
-                emitted.add(c["piece"])
-                pieces.append(c["piece"])
-                new[c["l"], c["r"]] = len(strings)
-                strings.append(c["piece"])
+                emitted.add(name)
+                pieces.append(name)
+                new[left, right] = len(strings)
+                strings.append(name)
             if new:
                 state.merge(new)
     learned = [Piece(s.encode(), -float(i)) for i, s in enumerate([*pieces, *required])]
@@ -278,81 +358,121 @@ def _char_ids(words: DataFrame, ids: dict[str, int], unknown: int) -> DataFrame:
     return words.select("word", F.col("freq").cast("long").alias("freq")).mapInArrow(run, "t array<int>, freq long")
 
 
-def _cut_words(table: dict[bytes, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, freqs = [], []
-            for w, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = ngram_cuts(w.encode(), table)
-                words += own
-                freqs += [f] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(freqs, pa.int64())], ["piece", "cnt"])
+def _counted(pieces: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pieces, counts], ["piece", "cnt"])
+
+
+def _cut_under_ngrams(strings: pa.Array, counts: pa.Array, keys: np.ndarray, logps: np.ndarray) -> pa.RecordBatch:
+    pieces, of = cut_by_ngrams(strings.cast(pa.binary()), keys, logps)
+    return _counted(pieces, counts.take(pa.array(of)))
 
-    return run
 
+def _cut_under_pieces(strings: pa.Array, counts: pa.Array, model: Unigram) -> pa.RecordBatch:
+    pieces, cnts = [], []
+    for p, c in zip(strings.to_pylist(), counts.to_pylist(), strict=True):
+        own = model.cut(p)
+        pieces += own
+        cnts += [c] * len(own)
+    return _counted(pa.array(pieces, pa.binary()), pa.array(cnts, pa.int64()))
 
-def ngram_segments(words: DataFrame, min_count: int = 1) -> DataFrame:
-    """(piece, cnt): pieces of distinct words under the byte n-gram model of the same words, weighted by freq."""
-    grams = ngram_logprobs(byte_ngrams(words), min_count)
-    if (n := grams.count()) > MOST_NGRAMS:
-        raise ValueError(f"{n} n-grams; raise min_count")
-    table = words.sparkSession.sparkContext.broadcast({bytes.fromhex(r["gram"]): r["logp"] for r in grams.select("gram", "logp").collect()})
-    run = lambda batches: _cut_words(table.value)(batches)
-    return words.select("word", "freq").mapInArrow(run, "piece binary, cnt long").groupBy("piece").agg(F.sum("cnt").alias("cnt"))
 
+def _cut_by_join(strings: DataFrame, table: DataFrame, cut) -> DataFrame:
+    """(piece, cnt) of strings (s binary, cnt) under a table (entry binary, weight) of any size.
+
+    Strings are dealt to blocks of some thousand. The different substrings of a
+    block, as long as entries can be, are joined with the table, so a task that
+    cuts a block has what its lattices can use, and no more.
+    ``cut`` gets strings, counts, entries and weights of a block as Arrow arrays.
+    """
+    n, longest = strings.count(), table.agg(F.max(F.octet_length("entry"))).first()[0] or 0
+    blocked = strings.withColumn("block", F.pmod(F.xxhash64("s"), F.lit(1 + n // BLOCK)))
+    parts = F.expr(f"flatten(transform(sequence(1, octet_length(s)), i -> transform(sequence(1, least({longest}, octet_length(s) - i + 1)), k -> substring(s, i, k))))")
+    asked = blocked.where("octet_length(s) > 0").select("block", F.explode(F.array_distinct(parts)).alias("entry")).distinct()
+    found = asked.join(table, "entry").select(F.col("block").alias("of"), "entry", "weight")
 
-def _resegmented(kept: dict[bytes, int], counts: DataFrame) -> DataFrame:
-    """Pieces of the strings in ``counts`` under the Unigram model of ``kept``."""
-    held = counts.sparkSession.sparkContext.broadcast(kept)
+    def run(given: pa.Table, own: pa.Table) -> pa.Table:
+        columns = [own.column(c).combine_chunks() for c in ("entry", "weight")]
+        return pa.Table.from_batches([cut(given.column("s").combine_chunks(), given.column("cnt").combine_chunks(), *columns)])
+
+    return blocked.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, "piece binary, cnt long")
+
+
+def _summed(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("piece").agg(F.sum("cnt").alias("cnt"))
+
+
+def ngram_segments(words: DataFrame, min_count: int = 1, most_sent: int | None = None) -> DataFrame:
+    """(piece, cnt): pieces of distinct words under the byte n-gram model of the same words, weighted by freq.
+
+    A model of ``most_sent`` n-grams at most is broadcast; a larger one is joined with
+    the n-grams of words, and no table of it comes to the driver.
+    """
+    spark = words.sparkSession
+    with Rounds(spark, "n-grams") as rounds:
+        table = rounds.save(ngram_logprobs(byte_ngrams(words), min_count).select(F.unhex("gram").alias("entry"), F.col("logp").alias("weight")))
+        strings = words.select(F.encode("word", "UTF-8").alias("s"), F.col("freq").alias("cnt"))
+        if table.count() > (MOST_SENT if most_sent is None else most_sent):
+            cut = _cut_by_join(strings, table, lambda s, n, entries, weights: _cut_under_ngrams(s, n, *ngram_table(entries, weights)))
+        else:
+            rows = table.toArrow()
+            held = spark.sparkContext.broadcast(ngram_table(rows.column("entry").combine_chunks(), rows.column("weight").combine_chunks()))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield _cut_under_ngrams(*batch.columns, *held.value)
+
+            cut = strings.mapInArrow(run, "piece binary, cnt long")
+        out = rounds.save(_summed(cut), "pieces")
+        return rounds.keep(out, "pieces")
+
+
+def _resegmented(kept: DataFrame, counts: DataFrame, most_sent: int | None = None) -> DataFrame:
+    """Pieces of the strings in ``counts`` under the Unigram model of ``kept``, both (piece, cnt) as saved."""
+    n, total = kept.agg(F.count("*"), F.sum("cnt")).first()
+    if n > (MOST_SENT if most_sent is None else most_sent):
+        strings, table = counts.select(F.col("piece").alias("s"), "cnt"), kept.select(F.col("piece").alias("entry"), F.col("cnt").alias("weight"))
+        return _summed(_cut_by_join(strings, table, lambda s, c, entries, weights: _cut_under_pieces(s, c, Unigram(dict(zip(entries.to_pylist(), weights.to_pylist(), strict=True)), total=total))))
+    rows = kept.select("piece", "cnt").toArrow()
+    held = counts.sparkSession.sparkContext.broadcast(dict(zip(rows.column("piece").to_pylist(), rows.column("cnt").to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(held.value)
         for batch in batches:
-            pieces, cnts = [], []
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = model.cut(p)
-                pieces += own
-                cnts += [c] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(cnts, pa.int64())], ["piece", "cnt"])
+            yield _cut_under_pieces(*batch.columns, model)
 
-    return counts.select("piece", "cnt").mapInArrow(run, "piece binary, cnt long").groupBy("piece").agg(F.sum("cnt").alias("cnt"))
+    return _summed(counts.select("piece", "cnt").mapInArrow(run, "piece binary, cnt long"))
 
 
-def prune_pieces(counts: DataFrame, spec: TrainSpec, slots: int) -> list[tuple[bytes, int]]:
+def prune_pieces(counts: DataFrame, spec: TrainSpec, slots: int, most_sent: int | None = None) -> list[tuple[bytes, int]]:
     """Pieces short and frequent enough; the others are cut into those and counted again, until the set stays the same.
 
     Of more than ``slots`` pieces single bytes come first, then count, length and
-    bytes decide. The kept pieces are sent to the executors; their number is checked.
+    bytes decide; these come to the driver. Each step is a saved table. A model of
+    ``most_sent`` pieces at most is broadcast, a larger one joined.
     """
     short = (F.octet_length("piece") <= spec.max_piece_size) & (F.col("cnt") >= spec.min_count)
-
-    def held(df: DataFrame) -> dict[bytes, int]:
-        if df.limit(MOST_NGRAMS + 1).count() > MOST_NGRAMS:
-            raise ValueError("too many pieces; raise min_count")
-        return {bytes(r["piece"]): r["cnt"] for r in df.collect()}
-
     with Rounds(counts.sparkSession, "pieces") as rounds:
-        counts = rounds.save(counts)
-        kept = counts.where(short)
-        again = _resegmented(held(kept), counts.where(~short))
-        kept = rounds.save(kept.unionByName(again).groupBy("piece").agg(F.sum("cnt").alias("cnt")))
+        counts = rounds.save(counts, "counts")
+        kept = rounds.save(counts.where(short), "kept")
+        again = _resegmented(kept, counts.where(~short), most_sent)
+        kept = rounds.save(_summed(kept.unionByName(again)), "kept")
         while True:
             n = kept.count()
-            kept = rounds.save(_resegmented(held(kept), kept))
+            kept = rounds.save(_resegmented(kept, kept, most_sent), "kept")
             if kept.count() == n:
                 break
         order = [F.octet_length("piece") > 1, F.desc("cnt"), F.desc(F.octet_length("piece")), F.col("piece")]
         return [(bytes(r["piece"]), r["cnt"]) for r in kept.orderBy(*order).limit(max(slots, 0)).collect()]
 
 
-def train_ngram(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpec = NormalizerSpec()) -> Model:
+def train_ngram(words: DataFrame, spec: TrainSpec, normalizer: NormalizerSpec = NormalizerSpec(), most_sent: int | None = None) -> Model:
     """Byte n-gram language model, Viterbi pieces, pruning; scores are counts. ``words`` are unfiltered (word, freq)."""
     meta = dict(spec.meta())
     for p in byte_pieces():
         meta[len(meta)] = p
     if len(meta) > spec.vocab_size:
         raise ValueError(f"vocab_size must be {len(meta)} at least")
-    pieces = prune_pieces(ngram_segments(words, spec.min_count), spec, spec.vocab_size - len(meta))
+    pieces = prune_pieces(ngram_segments(words, spec.min_count, most_sent), spec, spec.vocab_size - len(meta), most_sent)
     learned = [Piece(p, float(c)) for p, c in sorted(pieces, key=lambda x: (-x[1], x[0]))]
     own = layout(meta, learned, spec.vocab_size, spec.extra_tokens)
     return Model(replace(spec, vocab_size=len(own)), normalizer, own)

@@ -194,6 +194,52 @@ def test_ngram_training_as_one_by_one(spark, seed, alphabet, least, longest, slo
     assert any(len(p.decode()) > 1 for p, _ in learned)
 
 
+def test_ngram_training_by_joins(spark, small):
+    """Tables too large to be sent are joined by blocks of words, to the same pieces."""
+    counts = stats.word_counts(stats.words_of(src.lines_of(spark.read.parquet(f"{small}/documents.parquet"), "text", "doc_id")))
+    spec = TrainSpec(NGRAM, train.stored_size(NGRAM, 400), min_count=4)
+    sent, joined = (train.train_ngram(counts, spec, most_sent=n) for n in (None, 0))
+    assert sent.pieces == joined.pieces and len(sent.pieces) > 400
+
+
+def test_pieces_of_long_and_empty_words(spark):
+    """Words of all lengths in one table, an empty one among them, in every block."""
+    given = words(spark, {"": 3, "a": 2, "ab" * 5000: 1, "né" * 30: 4, **random_words(3)}, 2)
+    sent, joined = (sorted((bytes(r["piece"]), r["cnt"]) for r in train.ngram_segments(given, 1, n).collect()) for n in (None, 0))
+    assert sent == joined and sum(len(p) * n for p, n in sent) == sum(len(r["word"].encode()) * r["freq"] for r in given.collect())
+
+
+@pytest.mark.parametrize("known,behind", [(40, 48), (100_000, 3), (25, 2)])
+def test_counts_of_pairs_are_kept_up_to_date(spark, monkeypatch, known, behind):
+    """Few known pairs and an index that is made anew often give the merges of one by one."""
+    monkeypatch.setattr(train, "KNOWN", known)
+    monkeypatch.setattr(train, "BEHIND", behind)
+    given = random_words(7, "abcdé") | WORDS
+    spec = TrainSpec(BYTE_PAIR, train.stored_size(BYTE_PAIR, 256 + 40), min_count=1, max_piece_size=7)
+    model = train.train_byte_pair(words(spark, given, 3), spec, strict=False)
+    assert [p.piece for p in model.pieces[3:]] == byte_pairs_slowly(given, 296, 7)
+
+
+def test_rounds_touch_fewer_words(spark, small):
+    """Later merges are of rarer pairs: a round changes fewer counts for each merge."""
+    seen = []
+    original = train.PairCounts.merge
+
+    def merge(self, pairs):
+        original(self, pairs)
+        seen.append((len(pairs), self.touched[-1]))
+
+    train.PairCounts.merge = merge
+    try:
+        counts = stats.word_counts(stats.words_of(src.lines_of(spark.read.parquet(f"{small}/documents.parquet"), "text", "doc_id")), min_count=2)
+        train.train_byte_pair(counts, TrainSpec(BYTE_PAIR, train.stored_size(BYTE_PAIR, 256 + 300)))
+    finally:
+        train.PairCounts.merge = original
+    first, last = seen[:5], seen[-5:]
+    per = lambda rounds: sum(t for _, t in rounds) / sum(n for n, _ in rounds)
+    assert per(last) < per(first)
+
+
 def test_sequence_training(spark):
     lines = spark.createDataFrame([(0, "aaaa"), (1, ""), (2, "abab")], "n int, line string")
     model = train.train_sequence(lines, TrainSpec(SEQUENCE, 259), "n")
