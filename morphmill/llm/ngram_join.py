@@ -309,7 +309,8 @@ def _forest(blocks: DataFrame, payload: DataFrame, run, scratch: Scratch) -> Dat
     sized = scratch.save(join_groups(blocks, total, ["block"], "held").drop("held").withColumn("chunk", chunk), "sized")
 
     def join(members: DataFrame) -> DataFrame:
-        ready = members.join(payload, "id").repartition("group").sortWithinPartitions("group")
+        # dealt by id at every size; a broadcast of a small table's members would only suit small tables
+        ready = members.hint("merge").join(payload, "id").repartition("group").sortWithinPartitions("group")
         return scratch.save(ready.mapInArrow(run, "a long, b long"), "tree")
 
     found = [join(sized.select("id", "n", "h1", F.col("id").alias("comp"), F.xxhash64("block", "chunk").alias("group")))]
