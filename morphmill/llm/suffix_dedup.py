@@ -36,7 +36,7 @@ GRAM = 64
 #: Suffixes are sorted by multikey quicksort up to so many bytes, in characters of eight.
 SHALLOW = 64
 #: Contexts of one anchor that a task sorts; larger groups are split.
-MOST_CONTEXTS = 4000
+MOST_CONTEXTS = 20_000
 #: Contexts that are sorted at once.
 SORTED_AT_ONCE = 50_000
 
@@ -313,27 +313,37 @@ def _split(contexts: DataFrame, scratch: Scratch, length: int, most: int) -> tup
     """Contexts in groups (k1, k2, lo, hi) of ``most`` at most, and spans of windows found repeated on the way.
 
     A group's windows begin lo to hi bytes before the anchor. Halving that range
-    lengthens what all of them share, and what shares a core with nothing goes. A
-    range of one is a window itself: those that are equal are repeated, however many.
+    lengthens the core that all of them share: what shares a core with nothing
+    goes. Those that share all that the half's windows cover are repeated there,
+    and one of them goes on for the others to be compared with. So of each
+    context about one half goes on, that with the end of what it shares. A range
+    of one is a window itself, which its core is all of.
     """
     whole = contexts.withColumns({"k1": F.col("h"), "k2": F.lit(0).cast("long"), "lo": F.lit(0), "hi": F.lit(length - GRAM)}).drop("h")
     small, rest, spans = whole.where(f"held_by <= {most}").drop("held_by"), whole.where(f"held_by > {most}").drop("held_by"), None
+    key, own = ["k1", "k2", "lo", "hi"], ["id", "t", "start", "pos", "n", "held"]
     while rest.limit(1).count():
         middle = "cast(floor((lo + hi) / 2) as int)"
         halves = rest.selectExpr("*", f"inline(array(struct(lo as a, {middle} as b), struct({middle} + 1 as a, hi as b)))")
         # a half that asks for windows which the text hasn't is left out
         halves = halves.where(f"a <= b and a <= pos - start and b >= {length} - (octet_length(held) - (pos - start))").drop("lo", "hi").withColumnsRenamed({"a": "lo", "b": "hi"})
         core = F.expr(f"substring(held, pos - start - lo + 1, {length} - hi + lo)")
-        halves = halves.withColumns({"k1": F.xxhash64("k1", core), "k2": F.xxhash64("k2", "k1", core)})
-        halves = scratch.save(halves, "halves")
-        key = ["k1", "k2", "lo", "hi"]
-        groups = scratch.save(halves.groupBy(*key).agg(F.count("*").alias("held_by")).where("held_by > 1"), "cores")
-        found = scratch.save(join_groups(halves, groups, key, "held_by"), "divided")
+        left, right = F.expr("least(hi, pos - start)"), F.expr(f"least(octet_length(held) - (pos - start), {length} - lo)")
+        covered = F.substring("held", F.col("pos") - F.col("start") - F.col("left") + 1, F.col("left") + F.col("right"))
+        halves = halves.withColumns({"k1": F.xxhash64("k1", core), "k2": F.xxhash64("k2", "k1", core), "left": left, "right": right})
+        halves = scratch.save(halves.withColumns({"f1": F.xxhash64("left", covered), "f2": F.xxhash64(F.lit(1), "right", covered)}), "halves")
+        full = [*key, "f1", "f2"]
+        same = scratch.save(halves.groupBy(*full).agg(F.count("*").alias("held_by"), F.min(F.struct(*own)).alias("of")), "covered")
+        found = join_groups(halves, same.where("held_by > 1").select(*full, "held_by"), full, "held_by").where("n = 1")
+        found = scratch.save(found.selectExpr("id", "t", "pos - left as start", "pos + right as end"), "repeated")
+        spans = found if spans is None else spans.unionByName(found)
+        # one of each; what is known to be repeated needs no answer
+        one = same.where("lo < hi").select(*key, "of.*", F.when(F.col("held_by") > 1, 2).otherwise(F.col("of.n")).cast("int").alias("times")).drop("n").withColumnRenamed("times", "n")
+        groups = scratch.save(one.groupBy(*key).agg(F.count("*").alias("held_by"), F.min("n").alias("least")).where("held_by > 1 and least = 1").drop("least"), "cores")
+        found = scratch.save(join_groups(one, groups, key, "held_by"), "divided")
         scratch.drop(halves)
-        done = found.where("lo = hi and n = 1").selectExpr("id", "t", "pos - lo as start", f"pos - lo + {length} as end")
-        spans = done if spans is None else spans.unionByName(done)
-        small = small.unionByName(found.where(f"lo < hi and held_by <= {most}").drop("held_by"))
-        rest = found.where(f"lo < hi and held_by > {most}").drop("held_by")
+        small = small.unionByName(found.where(f"held_by <= {most}").drop("held_by"))
+        rest = found.where(f"held_by > {most}").drop("held_by")
     return small, spans
 
 
