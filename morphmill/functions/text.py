@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Mapping
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -83,16 +84,68 @@ def unicode_normalize(text: Column, name: str) -> Column:
     return nfkc(text)
 
 
-def map_longest(text: Column, table: dict[str, str]) -> Column:
-    """Rewrite by a table: at each place the longest entry that matches is replaced, the rest stays."""
-    keys = sorted((k for k in table if k), key=lambda k: (-len(k), k))
-    if not keys:
+#: Entries of a rewriting table that is sent to the executors.
+MOST_ENTRIES = 1_000_000
+
+
+class Rewriter:
+    """A table as a tree of characters: at each place the longest entry is replaced, the rest stays.
+
+    Only places where an entry's first character stands are walked, and a walk
+    goes on as long as some entry does: the work grows with the text, whatever
+    the number of entries.
+    """
+
+    def __init__(self, table: Mapping[str, str]):
+        self.tree: dict = {}
+        for key, value in table.items():
+            node = self.tree
+            for c in key:
+                node = node.setdefault(c, {})
+            if key:
+                node[""] = value
+        self.heads = re.compile("[" + "".join(map(re.escape, sorted(self.tree))) + "]") if self.tree else None
+
+    def __call__(self, text: str) -> str:
+        out, done, at, n = [], 0, 0, len(text)
+        while self.heads and (head := self.heads.search(text, at)):
+            start = end = head.start()
+            node, best, new = self.tree, 0, ""
+            while end < n and (node := node.get(text[end])) is not None:
+                end += 1
+                if (value := node.get("")) is not None:
+                    best, new = end, value
+            if best:
+                out += (text[done:start], new)
+                done = at = best
+            else:
+                at = start + 1
+        return "".join((*out, text[done:])) if out else text
+
+
+def map_longest(text: Column, table: Mapping[str, str] | DataFrame) -> Column:
+    """Rewrite by a table: at each place the longest entry that matches is replaced, the rest stays.
+
+    A DataFrame's first two columns are the table; of repeated entries the
+    smallest replacement counts. Its size is checked: it is sent to the executors.
+    """
+    if isinstance(table, DataFrame):
+        key, value = table.columns[:2]
+        own = table.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(value).alias("v"))
+        rows = own.limit(MOST_ENTRIES + 1).collect()
+        if len(rows) > MOST_ENTRIES:
+            raise ValueError(f"a rewriting table has {MOST_ENTRIES} entries at most")
+        table = {r["k"]: r["v"] for r in rows}
+    if not any(table):
         return text
-    pattern = re.compile("|".join(map(re.escape, keys)))
+    held = SparkSession.getActiveSession().sparkContext.broadcast(dict(table))
+    built: list[Rewriter] = []
 
-    @F.pandas_udf("string")
-    def rewrite(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: pattern.sub(lambda m: table[m[0]], t), na_action="ignore")
+    @F.arrow_udf("string")
+    def rewrite(rows: pa.Array) -> pa.Array:
+        if not built:
+            built.append(Rewriter(held.value))
+        return pa.array([None if t is None else built[0](t) for t in rows.to_pylist()], pa.string())
 
     return rewrite(text)
 

@@ -71,6 +71,10 @@ class Model:
     normalizer: NormalizerSpec
     pieces: tuple[Piece, ...] = field(default=())
 
+    @staticmethod
+    def empty() -> Model:
+        return Model(TrainSpec(), NormalizerSpec())
+
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         rows = [(i, bytearray(p.piece), p.score, p.type, bytearray(p.u), bytearray(p.v)) for i, p in enumerate(self.pieces)]
         return spark.createDataFrame(rows, "id int, piece binary, score double, type int, u binary, v binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn(text_col, clean(F.col(text_col))).where(F.col(text_col) != "")
 
 
-def map_phrases(text: Column, table: dict[str, str]) -> Column:
+def map_phrases(text: Column, table: Mapping[str, str] | DataFrame) -> Column:
     """Longest-match phrase conversion, such as between scripts, by a table that the user supplies."""
     return map_longest(text, table)
 

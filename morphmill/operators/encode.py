@@ -13,10 +13,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphmill.functions.text import SPACE, normalize, restore_spaces, unicode_normalize
+from morphmill.functions.text import SPACE, normalize, normalize_with_offsets, restore_spaces, unicode_normalize
 from morphmill.model import BYTE, BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, NORMAL, SEQUENCE, UNKNOWN, Model
 from morphmill.operators.segment import Unigram, cut_before, merge_chars, merge_ids, unspanned
 
@@ -34,6 +34,24 @@ def merge_ranks(model: Model) -> dict[tuple[int, int], int]:
     return ranks
 
 
+def rank_table(vocabulary: DataFrame) -> DataFrame:
+    """(l, r, id), as ``merge_ranks`` of a vocabulary table (id, piece, u, v) of any size.
+
+    Each part is looked up as of its row: the latest piece equal to it so far,
+    the row's own too. Definitions and look-ups of a string stand in one order,
+    and a window carries the last definition on.
+    """
+    defined = vocabulary.select(F.col("piece").alias("name"), F.col("id").alias("at"), F.lit("").alias("side"), F.col("id").alias("own"))
+    both = vocabulary.where("octet_length(u) > 0 and octet_length(v) > 0")
+    asked = [both.select(F.col(c).alias("name"), F.col("id").alias("at"), F.lit(c).alias("side"), F.lit(None).cast("int").alias("own")) for c in ("u", "v")]
+    # of one row, what it defines comes before what it asks for
+    last = F.last("own", ignorenulls=True).over(Window.partitionBy("name").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    found = defined.union(asked[0]).union(asked[1]).withColumn("own", last).where("side <> ''")
+    sides = [F.max(F.when(F.col("side") == c, F.col("own"))).alias(n) for c, n in (("u", "l"), ("v", "r"))]
+    known = found.groupBy("at").agg(*sides).where("l is not null and r is not null")
+    return known.groupBy("l", "r").agg(F.max("at").alias("id"))
+
+
 def piece_ids(pieces: DataFrame, vocabulary: DataFrame, unknown: int | None) -> DataFrame:
     """pieces with ``id``: an exact lookup, the highest id of equal pieces, else ``unknown``."""
     known = vocabulary.groupBy("piece").agg(F.max("id").alias("id"))
@@ -43,8 +61,8 @@ def piece_ids(pieces: DataFrame, vocabulary: DataFrame, unknown: int | None) ->
 class _Lookups:
     """What one model needs in a task, and what it has already encoded there."""
 
-    #: Parts of texts whose encodings are kept; beyond it all are forgotten.
-    KEEP = 200_000
+    #: Parts of texts whose encodings are kept in each of two generations.
+    KEEP = 100_000
 
     def __init__(self, model: Model):
         self.model, self.method = model, model.spec.method
@@ -54,7 +72,9 @@ class _Lookups:
         #: Encoded items by number, as rows of a table, and their numbers.
         self.items: list[tuple[bytes, int]] = []
         self.numbers: dict[tuple[bytes, int], int] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, list[int] | None] = {}
+        #: What was known when ``known`` was last full; what is used of it moves on.
+        self.older: dict[str, list[int] | None] = {}
         if self.method == BYTE_PAIR:
             self.ranks = merge_ranks(model)
             self.bytes = [self.ids.get(bytes([b]), self.unk) for b in range(256)]
@@ -121,10 +141,13 @@ class _Lookups:
         for part in cut_before(text, self.mark):
             own = self.known.get(part, self)
             if own is self:
-                items, tie = self._whole(part, pieces)
+                own = self.older.get(part, self)
+                if own is self:
+                    items, tie = self._whole(part, pieces)
+                    own = None if tie else self._numbered(items)
                 if len(self.known) >= self.KEEP:
-                    self.known.clear()
-                own = self.known[part] = None if tie else self._numbered(items)
+                    self.known, self.older = {}, self.known
+                self.known[part] = own
             if own is None:
                 return self._numbered(self._whole(text, pieces)[0])
             out += own
@@ -139,7 +162,7 @@ def normalized(text: Column, model: Model) -> Column:
     return normalize(unicode_normalize(text, n.name), n.reconstruct, n.space or SPACE)
 
 
-def _per_part(model: Model, kind: str, pieces: bool):
+def segmenter(model: Model, kind: str = ENCODED, pieces: bool = False):
     """An Arrow UDF over rows of parts to their items. A task builds the lookups once."""
     held = SparkSession.getActiveSession().sparkContext.broadcast(model)
     built: list[_Lookups] = []
@@ -167,7 +190,7 @@ def _per_part(model: Model, kind: str, pieces: bool):
 
 def encode(text: Column, model: Model, tokens: Column | None = None) -> Column:
     """``array<struct<piece, id>>`` of a text, or of given ``tokens`` of it, which merges don't cross. A null stays null."""
-    run = _per_part(model, ENCODED, False)
+    run = segmenter(model, ENCODED, False)
     return F.when(text.isNotNull(), run(F.array(normalized(text, model)) if tokens is None else tokens))
 
 
@@ -175,10 +198,42 @@ def tokenize(text: Column, model: Model, tokens: Column | None = None) -> Column
     """Pieces of a text; for the n-gram method those before the fall-back to bytes."""
     if model.spec.method != NGRAM:
         return F.transform(encode(text, model, tokens), lambda x: x["piece"])
-    run = _per_part(model, "array<binary>", True)
+    run = segmenter(model, "array<binary>", True)
     return F.when(text.isNotNull(), run(F.array(normalized(text, model)) if tokens is None else tokens))
 
 
+def token_spans(text: Column, model: Model) -> Column:
+    """``array<struct<piece, id, start, end>>`` of a text: its tokens, and the bytes of the text that each stands for.
+
+    The normaliser's offsets are taken where tokens end. Neighbouring spans
+    touch: spaces that were merged or stripped inside belong to the token
+    before. For models whose pieces cover all bytes. A null stays null.
+    """
+    if model.spec.method == SEQUENCE:
+        plain = F.when(text.isNotNull(), F.struct(text.alias("text"), F.sequence(F.lit(0), F.octet_length(text)).alias("offsets")))
+        ready = F.when(F.octet_length(text) == 0, F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("offsets"))).otherwise(plain)
+    else:
+        n = model.normalizer
+        if n.name:
+            raise ValueError("named Unicode normalisers have no offsets")
+        ready = normalize_with_offsets(text, n.reconstruct, n.space or SPACE)
+    alone = {i for i, p in enumerate(model.pieces) if p.type == BYTE and model.spec.method != SEQUENCE}
+
+    @F.arrow_udf("array<struct<piece: binary, id: int, start: int, end: int>>")
+    def run(tokens: pa.Array, offsets: pa.Array) -> pa.Array:
+        rows = []
+        for own, at in zip(tokens.to_pylist(), offsets.to_pylist(), strict=True):
+            end, out = 0, []
+            for x in own or ():
+                start, end = end, end + (1 if x["id"] in alone else len(x["piece"]))
+                out.append({"piece": x["piece"], "id": x["id"], "start": at[start], "end": at[end]})
+            rows.append(out)
+        return pa.array(rows, pa.list_(pa.struct([("piece", pa.binary()), ("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    encoded = segmenter(model)(F.array(ready["text"]))
+    return F.when(text.isNotNull(), run(encoded, ready["offsets"]))
+
+
 def decoded_pieces(model: Model) -> list[bytes]:
     """What each id decodes to, and at the end what an id decodes to that the model doesn't have."""
     if model.spec.method == SEQUENCE:
@@ -197,6 +252,12 @@ def decoded(ids: Column, model: Model) -> Column:
     for the sequence method; null ids to nothing. Bytes that aren't UTF-8 become
     U+FFFD. A null array is an empty text.
     """
+    text = F.make_valid_utf8(joined_pieces(model)(ids.cast("array<bigint>")).cast("string"))
+    return text if model.spec.method == SEQUENCE else restore_spaces(text, model.normalizer.space or SPACE)
+
+
+def joined_pieces(model: Model):
+    """An Arrow UDF of arrays of ids to the bytes they decode to."""
     held = SparkSession.getActiveSession().sparkContext.broadcast(decoded_pieces(model))
     built: list[pa.Array] = []
 
@@ -213,8 +274,7 @@ def decoded(ids: Column, model: Model) -> Column:
         ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))))
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces), b"")
 
-    text = F.make_valid_utf8(run(ids.cast("array<bigint>")).cast("string"))
-    return text if model.spec.method == SEQUENCE else restore_spaces(text, model.normalizer.space or SPACE)
+    return run
 
 
 def decode(encoded: DataFrame, model: Model, *keys: str, ids: str = "ids") -> DataFrame:

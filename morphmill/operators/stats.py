@@ -48,10 +48,15 @@ def covered_chars(chars: DataFrame, coverage: float = 0.9995) -> DataFrame:
 
 
 def with_unknown(counts: DataFrame, kept: DataFrame, unknown: str = "▅") -> DataFrame:
-    """Words with the characters not in ``kept`` replaced; equal results are not merged. The set of characters is one row."""
-    known = kept.agg(F.collect_set("char").alias("known"))
-    swap = F.transform(characters(F.col("word")), lambda c: F.when(F.array_contains(F.col("known"), c), c).otherwise(F.lit(unknown)))
-    return counts.crossJoin(F.broadcast(known)).select(F.array_join(swap, "").alias("word"), "freq")
+    """Words with the characters not in ``kept`` replaced; equal results are not merged.
+
+    The set of characters is one row: a class of a regular expression, by code points.
+    """
+    point = F.conv(F.hex(F.encode("char", "UTF-32")), 16, 16)
+    known = kept.agg(F.concat(F.lit("[^"), F.array_join(F.collect_set(F.concat(F.lit("\\x{"), point, F.lit("}"))), ""), F.lit("]")).alias("others"))
+    swapped = F.regexp_replace("word", F.col("others"), F.lit(unknown))
+    none = F.regexp_replace("word", "(?s).", unknown)
+    return counts.crossJoin(F.broadcast(known)).select(F.when(F.col("others") == "[^]", none).otherwise(swapped).alias("word"), "freq")
 
 
 def bytes_of(word: Column) -> Column:

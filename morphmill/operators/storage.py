@@ -9,6 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def lasting_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes when the session's JVM ends."""
+    path = Rounds(spark, name).root
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 class Rounds:
     """The state of an iterative job: each save cuts the lineage; the table before is deleted."""
 

@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morphmill.functions import sql
 from morphmill.functions import text as T
 from morphmill.model import BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, NORMAL, SEQUENCE, Model, NormalizerSpec, Piece, TrainSpec, byte_pieces, layout
 from morphmill.operators import corpus, encode, han, stats, train
 from morphmill.plans.examples import HAN_LINES, SPACE_LINES, byte_pair_model, char_pair_model, ngram_model, sequence_model
 from morphmill.plans.oracles import oracle_sql  # noqa: F401
+from morphmill.operators.storage import lasting_folder
+from morphmill.sources import models
 from morphmill.sources import text as src
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return src.spread(table) if name == "documents" else table
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +251,60 @@ def train_sequence(spark, sf_dir):
     return _shown(train.train_sequence(src.lines_of(_table(spark, sf_dir, "benchmark"), "text", "item_id"), _spec(SEQUENCE, 24), "item_id", "line_no").vocabulary(spark))
 
 
+def numbered_lines(spark, sf_dir):
+    """The lines of documents, written to several files in the order of ids, read back with their numbers."""
+    path = lasting_folder(spark, "lines")
+    lines = _lines(spark, sf_dir).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id", "line_no")
+    lines.select("line").write.option("lineSep", "\n").text(path)
+    return src.numbered_lines(spark, [path])
+
+
+def model_source(spark, sf_dir):
+    """A model trained from documents, through a file and its data source."""
+    spec = _spec(BYTE_PAIR, 24, min_count=2)
+    model = train.train_byte_pair(train.training_words(_lines(spark, sf_dir), spec), spec)
+    path = f"{lasting_folder(spark, 'models')}/words.model"
+    models.save_model(spark, model, path)
+    return _shown(models.load_vocabulary(spark, path))
+
+
+def sql_encode(spark, sf_dir):
+    """Encoding and decoding in SQL text."""
+    sql.register(spark, byte_pair_model())
+    shown = "array_join(transform(encode_pieces(line), p -> concat('<', hex(p.piece), '>')), '')"
+    words = "array_join(pretokenize(normalize_line(line), 0), ' ')"
+    return spark.sql(f"SELECT doc_id, cast(line_no AS bigint) AS line_no, {shown} AS pieces, {words} AS tokens, decode_ids(encode_ids(line)) AS text FROM {{lines}}", lines=_lines(spark, sf_dir))
+
+
+def sql_pieces(spark, sf_dir):
+    """The table function beside each line."""
+    sql.register(spark, byte_pair_model())
+    return spark.sql("SELECT hex(p.piece) AS piece, p.id, count(*) AS n, min(p.pos) AS first FROM {lines} AS l, LATERAL pieces_of(l.line) AS p GROUP BY p.piece, p.id", lines=_lines(spark, sf_dir))
+
+
+def merge_rank_table(spark, sf_dir):
+    """Ranks of a vocabulary that has many pieces again and again: the first letters of documents."""
+    part = lambda start, size: F.encode(F.substring(F.col("text"), F.lit(start), size), "UTF-8")
+    docs = _table(spark, sf_dir, "documents")
+    vocabulary = docs.select(F.col("doc_id").cast("int").alias("id"), part(1, F.expr("cast(1 + doc_id % 4 as int)")).alias("piece"), part(1, F.lit(1)).alias("u"), part(2, F.expr("cast(1 + doc_id % 2 as int)")).alias("v"))
+    return encode.rank_table(vocabulary)
+
+
+def rewrite_longest(spark, sf_dir):
+    """The ten thousand most frequent words, rewritten wherever they stand, the longest at each place."""
+    counts = _counts(spark, sf_dir).where(F.length("word") > 2)
+    table = stats.by_frequency(counts).limit(10_000).select("word", F.concat(F.lit("<"), F.reverse("word"), F.lit(">")).alias("new"))
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.map_longest(T.normalize(F.col("line")), table).alias("line"))
+
+
+def token_spans(spark, sf_dir):
+    """Where each token stands in its line, and the line put together of what stands there."""
+    found = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.encode("line", "UTF-8").alias("b"), encode.token_spans(F.col("line"), byte_pair_model()).alias("t"))
+    spans = F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    slices = F.expr("array_join(transform(t, x -> hex(substring(b, x.start + 1, x.end - x.start))), '')")
+    return found.select("doc_id", "line_no", spans.alias("spans"), F.unhex(slices).cast("string").alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_count": raw_count, "raw_count_maxbytes": raw_count_maxbytes, "pretokenize_cut0": _pretokenized(0), "pretokenize_cut1": _pretokenized(1),
@@ -258,5 +316,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "decode_round_trip": _decoded(byte_pair_model), "decode_char_pair": _decoded(char_pair_model), "decode_ngram": _decoded(ngram_model), "decode_sequence": _decoded(sequence_model),
         "unescape": unescape, "repair_utf8": repair_utf8, "offset_map": offset_map, "han_split": han_split, "han_dictionary": han_dictionary, "han_dictionary_split": han_dictionary_split, "unicode_normalize": unicode_normalize,
         "frequency_lines": frequency_lines, "model_round_trip": model_round_trip, "train_byte_pair": train_byte_pair, "train_char_pair": train_char_pair, "train_ngram": train_ngram,
-        "train_sequence": train_sequence,
+        "train_sequence": train_sequence, "numbered_lines": numbered_lines, "model_source": model_source, "sql_encode": sql_encode, "sql_pieces": sql_pieces, "merge_rank_table": merge_rank_table,
+        "rewrite_longest": rewrite_longest, "token_spans": token_spans,
     }

@@ -53,6 +53,26 @@ def _merged_sql(start: str) -> str:
     return start
 
 
+def _source(x: str) -> str:
+    """The byte of a line that byte ``x`` of its normalised hexadecimal ``h`` comes from: its character's, with sentinels as spaces."""
+    back = " ".join(f"WHEN substr(h, 2 * ({x}) + {1 - 2 * k}, 2) NOT BETWEEN '80' AND 'BF' THEN {x} - {k}" for k in range(3))
+    char = f"(CASE {back} ELSE {x} - 3 END)"
+    prefix = f"substr(h, 1, 2 * {char})"
+    return f"({char} - (length({prefix}) - length(replace({prefix}, 'E29681', ''))) // 3)"
+
+
+#: Pieces of the small byte-pair model, one a row, and its ids.
+PIECES = (
+    LINES + ", joined AS (SELECT doc_id, line_no, " + _merged_sql(f"regexp_replace(hex({_norm('line')}), '(..)', '<\\1>', 'g')") + " AS p FROM lines), "
+    "pieces AS (SELECT doc_id, line_no, unnest(l) AS piece, (generate_subscripts(l, 1) - 1)::INT AS pos FROM (SELECT doc_id, line_no, regexp_extract_all(p, '[0-9A-F]+') AS l FROM joined))"
+)
+VOCABULARY = (
+    "vocabulary AS (SELECT CAST(i + 3 AS INTEGER) AS id, printf('%02X', i) AS piece FROM range(256) AS t(i) UNION ALL SELECT id, piece FROM (VALUES "
+    + ", ".join(f"({259 + i}, '{(u + v).encode().hex().upper()}')" for i, (u, v) in enumerate(MERGES))
+    + ") AS v(id, piece))"
+)
+
+
 def _hex(text: str) -> str:
     return text.encode().hex().upper()
 
@@ -200,5 +220,16 @@ c AS (SELECT doc_id, trim(regexp_replace({heading}, '\\s+', ' ', 'g')) AS text F
         "unescape": "SELECT doc_id, text || '\\' || chr(9) || chr(13) AS text FROM documents",
         "repair_utf8": "SELECT * FROM (VALUES (0, 'ab'), (1, 'é'), (2, 'a�b'), (3, '���'), (4, '��x'), (5, '���'), (6, '')) AS v(n, text)",
         "offset_map": "SELECT * FROM (VALUES (0, 'a▁b', '0,1,1,1,2,3'), (1, 'a▁b', '2,3,3,3,5,6'), (2, 'é▁x', '0,0,2,2,2,3,4'), (3, '', ''), (4, '', '')) AS v(n, text, offsets)",
+        "numbered_lines": f"WITH {LINES} SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS number, line FROM lines WHERE line <> ''",
+        "model_source": _train_byte_pair_sql(),
+        "sql_encode": f"WITH {LINES} SELECT doc_id, line_no, {_merged_sql(wrapped.format(x=_norm('line')))} AS pieces, array_to_string({_split(_norm('line'))}, ' ') AS tokens, replace({_norm('line')}, '▁', ' ') AS text FROM lines",
+        "sql_pieces": f"WITH {PIECES}, {VOCABULARY} SELECT p.piece, id, count(*) AS n, min(pos) AS first FROM pieces p JOIN vocabulary v ON v.piece = p.piece GROUP BY p.piece, id",
+        "merge_rank_table": """WITH d AS (SELECT doc_id::INT AS id, substring(text, 1, 1 + doc_id % 4) AS piece, substring(text, 1, 1) AS u, substring(text, 2, 1 + doc_id % 2) AS v FROM documents),
+l AS (SELECT d.id, x.id AS l FROM d ASOF JOIN d x ON x.piece = d.u AND d.id >= x.id WHERE d.u <> '' AND d.v <> ''), r AS (SELECT d.id, x.id AS r FROM d ASOF JOIN d x ON x.piece = d.v AND d.id >= x.id WHERE d.u <> '' AND d.v <> '')
+SELECT l, r, max(l.id) AS id FROM l JOIN r ON r.id = l.id GROUP BY l, r""",
+        "token_spans": f"""WITH {PIECES}, ends AS (SELECT doc_id, line_no, pos, sum(length(piece) // 2) OVER (PARTITION BY doc_id, line_no ORDER BY pos)::BIGINT AS e, length(piece) // 2 AS n FROM pieces),
+placed AS (SELECT ends.doc_id, ends.line_no, pos, e, e - n AS s, hex({_norm('line')}) AS h FROM ends JOIN lines ON lines.doc_id = ends.doc_id AND lines.line_no = ends.line_no),
+told AS (SELECT doc_id, line_no, string_agg({_source('s')} || ':' || {_source('e')}, ',' ORDER BY pos) AS spans FROM placed GROUP BY doc_id, line_no)
+SELECT lines.doc_id, lines.line_no, coalesce(spans, '') AS spans, line AS text FROM lines LEFT JOIN told ON told.doc_id = lines.doc_id AND told.line_no = lines.line_no""",
         "frequency_lines": f"WITH {COUNTS} SELECT word || chr(9) || freq AS value FROM counts WHERE freq >= 2",
     }

@@ -14,6 +14,45 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt to all cores if most of them would get no row of it.
+
+    A file of one row group is one task. How many tasks get rows is counted
+    without reading a column; with enough of them nothing is shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    filled = table.select(F.spark_partition_id().alias("task")).distinct().count()
+    return table.repartition(cores) if 0 < filled <= cores // 2 else table
+
+
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(number, line) of the lines that aren't empty, from 0 in the order of paths, files and lines, without a sort.
+
+    A split's lines come in order. One pass counts them by split, a running sum
+    over the table of splits says where each begins, and the second pass adds
+    that to a line's place in its split. Files of a folder are in the order of
+    their names.
+    """
+    parts = []
+    for k, path in enumerate(paths):
+        own = spark.read.option("lineSep", "\n").text(path)
+        where = [F.lit(k).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        parts.append(own.select(F.col("value").alias("line"), *where).where("line <> ''"))
+    lines = parts[0]
+    for more in parts[1:]:
+        lines = lines.union(more)
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    split = ["path", "file", "block"]
+    counts = lines.groupBy(*split).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # a row for each split: within a file, and over the files' sums
+    of_file = counts.groupBy("path", "file").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("path", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("path", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("inside", inside).join(of_file.select("path", "file", before.alias("before")), ["path", "file"])
+    starts = starts.select(*split, (F.col("inside") + F.col("before") - F.col("first")).alias("start"))
+    return lines.join(starts, split).select((F.col("at") + F.col("start")).alias("number"), "line")
+
+
 def lines_of(table: DataFrame, text_col: str, *keys: str) -> DataFrame:
     """Keys, line_no and line of each ``\\n``-separated line of a text column. A null text has no lines."""
     return table.select(*keys, F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
@@ -25,10 +64,19 @@ def first_lines(lines: DataFrame, n: int, *order: str) -> DataFrame:
     return some.orderBy(*order).limit(n) if n else some
 
 
-def read_articles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Texts of JSON lines; blank lines and missing or empty texts are left out."""
+def read_articles(spark: SparkSession, paths: str | list[str], bad: str = "fail") -> DataFrame:
+    """Texts of JSON lines; blank lines and missing or empty texts are left out.
+
+    A line that isn't JSON is an error when it is read; with ``bad="keep"`` it is
+    a row with a null text and the line as ``bad_line``.
+    """
     rows = spark.read.text(paths).where(F.trim("value") != "")
-    return rows.select(F.get_json_object("value", "$.text").alias("text")).where("text is not null and text <> ''")
+    parsed = F.try_parse_json("value")
+    if bad == "keep":
+        found = rows.select(F.get_json_object("value", "$.text").alias("text"), F.when(parsed.isNull(), F.col("value")).alias("bad_line"))
+        return found.where("bad_line is not null or (text is not null and text <> '')").withColumn("text", F.when(F.col("bad_line").isNull(), F.col("text")))
+    text = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.left("value", F.lit(200)))).cast("string")).otherwise(F.get_json_object("value", "$.text"))
+    return rows.select(text.alias("text")).where("text is not null and text <> ''")
 
 
 def parse_dictionary(lines: DataFrame, order: str = "line_no") -> DataFrame:
