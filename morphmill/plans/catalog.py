@@ -11,7 +11,7 @@ from morphmill.functions import sql
 from morphmill.functions import text as T
 from morphmill.model import BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, NORMAL, SEQUENCE, Model, NormalizerSpec, Piece, TrainSpec, byte_pieces, layout
 from morphmill.operators import corpus, encode, han, stats, train
-from morphmill.plans.examples import HAN_LINES, SPACE_LINES, byte_pair_model, char_pair_model, ngram_model, sequence_model
+from morphmill.plans.examples import HAN_VOWELS, byte_pair_model, char_pair_model, ngram_model, sequence_model
 from morphmill.plans.oracles import oracle_sql  # noqa: F401
 from morphmill.operators.storage import lasting_folder
 from morphmill.sources import models
@@ -31,10 +31,6 @@ def _counts(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return stats.word_counts(stats.words_of(_lines(spark, sf_dir)), **how)
 
 
-def _literal(spark: SparkSession, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
-
-
 # ---- queries --------------------------------------------------------------------------------------
 
 
@@ -63,9 +59,14 @@ def restore_spaces(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.restore_spaces(T.normalize(F.col("text"))).alias("text"))
 
 
+def _spaced(line):
+    """Lines with spaces at their ends, in runs, and with tabs and sentinels, which the tables don't have."""
+    return F.concat(F.lit("  "), F.replace(F.replace(line, F.lit(" "), F.lit("   ")), F.lit(","), F.lit("\t ▁")), F.lit(" ▁ "))
+
+
 def space_runs(spark, sf_dir):
-    rows = _literal(spark, SPACE_LINES)
-    return rows.select("n", T.normalize(F.col("line")).alias("merged"), T.normalize(F.col("line"), True).alias("kept"), src.token_line(T.pretokenize(T.normalize(F.col("line")))).alias("tokens"))
+    rows = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), _spaced(F.col("line")).alias("line"))
+    return rows.select("doc_id", "line_no", T.normalize(F.col("line")).alias("merged"), T.normalize(F.col("line"), True).alias("kept"), src.token_line(T.pretokenize(T.normalize(F.col("line")))).alias("tokens"))
 
 
 def word_min_count(spark, sf_dir):
@@ -126,8 +127,10 @@ def ascii_words(spark, sf_dir):
 
 
 def byte_piece_table(spark, sf_dir):
-    pieces = spark.range(256).select(F.col("id").alias("byte"), T.byte_to_piece(F.col("id")).alias("piece"))
-    return pieces.select("byte", "piece", T.piece_to_byte(F.col("piece")).cast("long").alias("back"))
+    """The bytes of all words, their pieces and back."""
+    bytes_ = _counts(spark, sf_dir).select(F.explode(stats.bytes_of(F.col("word"))).alias("h"), "freq").groupBy("h").agg(F.sum("freq").alias("cnt"))
+    pieces = bytes_.select(F.conv("h", 16, 10).cast("long").alias("byte"), "cnt").select("byte", T.byte_to_piece(F.col("byte")).alias("piece"), "cnt")
+    return pieces.select("byte", "piece", T.piece_to_byte(F.col("piece")).cast("long").alias("back"), "cnt")
 
 
 def _shown(vocabulary: DataFrame) -> DataFrame:
@@ -135,13 +138,19 @@ def _shown(vocabulary: DataFrame) -> DataFrame:
 
 
 def vocab_layout(spark, sf_dir):
-    spec = TrainSpec(CHAR_PAIR, 259)
-    own = layout(spec.meta() | {3 + i: p for i, p in enumerate(byte_pieces())}, [], 259)
+    """Special pieces, byte pieces, and the characters that cover documents."""
+    chars = stats.covered_chars(stats.char_counts(_counts(spark, sf_dir))).orderBy(F.desc("cnt"), "char").collect()
+    spec = TrainSpec(CHAR_PAIR, 259 + len(chars))
+    own = layout(spec.meta() | {3 + i: p for i, p in enumerate(byte_pieces())}, [Piece(r["char"].encode(), -float(i)) for i, r in enumerate(chars)], spec.vocab_size)
     return Model(spec, NormalizerSpec(), own).vocabulary(spark).select("id", F.col("piece").cast("string").alias("piece"), "type")
 
 
 def extra_tokens(spark, sf_dir):
-    more = byte_pair_model().with_control_tokens(["<pad>", "<user>", "<system>"])
+    """A trained model with a padding token and one for each language of documents."""
+    spec = _spec(BYTE_PAIR, 4, min_count=2)
+    model = train.train_byte_pair(train.training_words(_lines(spark, sf_dir), spec), spec)
+    langs = sorted(r[0] for r in _table(spark, sf_dir, "documents").select("lang").where("lang is not null").distinct().collect())
+    more = model.with_control_tokens(["<pad>", *(f"<{x}>" for x in langs)])
     return more.vocabulary(spark).where(F.col("type") == CONTROL).select("id", F.col("piece").cast("string").alias("piece"), F.lit(more.spec.vocab_size).alias("vocab_size"), F.lit(more.spec.pad_id).alias("pad_id"))
 
 
@@ -172,10 +181,11 @@ def _decoded(make: Callable[[], Model]):
 
 
 def char_classes(spark, sf_dir):
+    """Code points all over the range, numbered by the ids and sizes of documents, and their classes."""
+    point = F.expr("(doc_id * 7919 + n_chars * 104729) % 1114111 + 1")
     char = F.when(F.col("id") < 65536, F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")).otherwise(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
-    chars = spark.range(1, 0x110000).where("id not between 55296 and 57343").select("id", char.alias("c"))
+    chars = _table(spark, sf_dir, "documents").select(point.alias("id")).where("id not between 55296 and 57343").select("id", char.alias("c"))
     classes = [f(F.col("c")).alias(n) for n, f in (("han", T.is_han), ("word", T.is_word_char), ("digit", T.is_digit), ("punctuation", T.is_punctuation))]
-    # every code point, as numbers and sums by block and class
     return chars.select("id", F.expr("id div 256").alias("block"), *classes).groupBy("block", "han", "word", "digit", "punctuation").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
@@ -184,15 +194,15 @@ def unescape(spark, sf_dir):
 
 
 def repair_utf8(spark, sf_dir):
-    given = [b"ab", b"\xc3\xa9", b"a\xffb", b"\xe4\xbd\xed", b"\xc0\x80x", b"\xed\xa0\x80", b""]
-    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(given)], "n int, data binary")
-    return rows.select("n", T.repair_utf8(F.col("data")).alias("text"))
+    """Lines with bytes between and after them that are no UTF-8."""
+    data = F.concat(F.encode("line", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.substring("line", 1, 5), "UTF-8"), F.unhex(F.lit("E4BD")))
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.repair_utf8(data).alias("text"))
 
 
 def offset_map(spark, sf_dir):
-    rows = _literal(spark, ["a b", "  a  b", "é x ", "   ", ""])
-    found = rows.select("n", T.normalize_with_offsets(F.col("line")).alias("f"))
-    return found.select("n", "f.text", F.array_join(F.col("f.offsets").cast("array<string>"), ",").alias("offsets"))
+    spaced = F.concat(F.lit("  "), F.replace(F.col("line"), F.lit(" "), F.lit("   ")))
+    found = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.normalize_with_offsets(spaced).alias("f"))
+    return found.select("doc_id", "line_no", "f.text", F.array_join(F.col("f.offsets").cast("array<string>"), ",").alias("offsets"))
 
 
 def escaped(spark, sf_dir):
@@ -200,18 +210,23 @@ def escaped(spark, sf_dir):
 
 
 def han_split(spark, sf_dir):
-    rows = han.split_lines(_literal(spark, HAN_LINES), None)
-    return rows.select("n", F.array_join("tokens", " ").alias("tokens"))
+    """Lines whose vowels are Han characters, which the tables don't have."""
+    lines = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.translate(T.normalize(F.col("line")), "aeiou", HAN_VOWELS).alias("line"))
+    return han.split_lines(lines, None).select("doc_id", "line_no", F.array_join("tokens", " ").alias("tokens"))
 
 
 def han_dictionary(spark, sf_dir):
-    lines = ["英国\t5", "英国\t9", "bad", "\t3", "人\t", "零\t0", "国人\t2.5x", "", "他\t-1", "是\t1e1"]
-    return src.parse_dictionary(_literal(spark, lines).withColumnRenamed("n", "line_no"))
+    """Dictionary lines of documents: a third of them without a tab, a number or a frequency above 0."""
+    line = F.expr("CASE doc_id % 6 WHEN 0 THEN concat(substring(text, 1, 3), n_chars) WHEN 1 THEN concat(substring(text, 1, 3), '\t-', n_chars) WHEN 2 THEN concat(substring(text, 1, 3), '\t', n_chars, '.5x') ELSE concat(substring(text, 1, 3), '\t', n_chars) END")
+    return src.parse_dictionary(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), line.alias("line")))
 
 
 def han_dictionary_split(spark, sf_dir):
-    words = {w.encode(): f for w, f in (("英国", 5.0), ("国人", 2.5), ("他", 1.0), ("是", 10.0), ("汉字", 3.0))}
-    return han.split_lines(_literal(spark, HAN_LINES), words).select("n", F.array_join("tokens", " ").alias("tokens"))
+    """Han runs of one or two characters by a dictionary; a mark is put behind each second one."""
+    words = {w.encode(): f for w, f in (("他", 1.0), ("是", 10.0), ("英国", 5.0), ("国人", 2.5), ("人是", 4.0))}
+    runs = F.regexp_replace(F.translate(T.normalize(F.col("line")), "aeiou", HAN_VOWELS), f"([{HAN_VOWELS}]{{2}})", "$1-")
+    lines = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), runs.alias("line"))
+    return han.split_lines(lines, words).select("doc_id", "line_no", F.array_join("tokens", " ").alias("tokens"))
 
 
 def unicode_normalize(spark, sf_dir):
@@ -224,7 +239,9 @@ def frequency_lines(spark, sf_dir):
 
 
 def model_round_trip(spark, sf_dir):
-    return _shown(Model.from_text(byte_pair_model().to_text()).vocabulary(spark))
+    spec = _spec(BYTE_PAIR, 24, min_count=2)
+    model = train.train_byte_pair(train.training_words(_lines(spark, sf_dir), spec), spec)
+    return _shown(Model.from_text(model.to_text()).vocabulary(spark))
 
 
 def _spec(method: str, merges: int, **how) -> TrainSpec:

@@ -35,5 +35,5 @@ def sequence_model() -> Model:
     return Model(TrainSpec(SEQUENCE, len(learned)), NormalizerSpec(space=""), tuple(learned))
 
 
-HAN_LINES = ["Tom▁他是英国人Bat", "他是英国人", "汉字とかな", "a▁汉b字", "々〇漢字１２", ""]
-SPACE_LINES = ["  a  b ", "a\tb", " ", "", "▁a▁ ", "x   y z", "　w  "]
+#: Han characters that stand for the vowels of lines.
+HAN_VOWELS = "他是英国人"

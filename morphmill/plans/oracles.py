@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from morphmill.plans.examples import HAN_LINES, MERGES, SPACE_LINES
+from morphmill.plans.examples import HAN_VOWELS, MERGES
 
 #: The pre-tokenizer's classes of letters, Han characters and digits, as the inside of a regex class.
 LETTERS = (
@@ -18,10 +18,6 @@ MARKS = f"[^▁{LETTERS}{DIGITS}{HAN}]"
 CUT = (f"(?:▁|{MARKS})?[{LETTERS}]+|[{DIGITS}]+|[{HAN}]+|▁?{MARKS}+|▁", f"[{LETTERS}]+(?:''[{LETTERS}]+)*|[{DIGITS}]+|[{HAN}]+|{MARKS}|▁")
 
 
-def _values(lines: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(lines)) + ") AS v(n, line)"
-
-
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
 
 
@@ -153,15 +149,6 @@ learned AS (SELECT name, n FROM made UNION ALL SELECT char, {budget} + row_numbe
 SELECT id, piece, 0.0::DOUBLE AS score, type, '' AS u, '' AS v FROM ({META} UNION ALL {BYTE_PIECES}) UNION ALL SELECT CAST(259 + n AS INTEGER), hex(name), CAST(-n AS DOUBLE), 1, '', '' FROM learned"""
 
 
-def _model_sql() -> str:
-    merges = ", ".join(f"({259 + i}, '{_hex(u + v)}', {-256 - i}.0, '{_hex(u)}', '{_hex(v)}')" for i, (u, v) in enumerate(MERGES))
-    return f"SELECT id, piece, 0.0::DOUBLE AS score, type, '' AS u, '' AS v FROM ({META}) UNION ALL SELECT CAST(i + 3 AS INTEGER), printf('%02X', i), CAST(-i AS DOUBLE), 1, '', '' FROM range(256) AS t(i) UNION ALL SELECT id, piece, CAST(score AS DOUBLE), 1, u, v FROM (VALUES {merges}) AS m(id, piece, score, u, v)"
-
-
-#: What the small dictionary makes of HAN_LINES.
-HAN_WORDS = ["Tom ▁ 他 是 英国 人 Bat", "他 是 英国 人", "汉字 とかな", "a ▁ 汉 b 字", "々〇 漢 字 １２", ""]
-
-
 def oracle_sql() -> dict[str, str]:
     tokens = "SELECT doc_id, line_no, array_to_string({split}, ' ') AS tokens FROM lines"
     wrapped = "regexp_replace(hex({x}), '(..)', '<\\1>', 'g')"
@@ -176,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "pretokenize_reconstruct": f"WITH {LINES} " + tokens.format(split=_split("replace(line, ' ', '▁')")),
         "normalize": f"WITH {LINES} SELECT doc_id, line_no, {_norm(spaced)} AS line FROM lines",
         "restore_spaces": f"SELECT conv_id, turn, replace({_norm('text')}, '▁', ' ') AS text FROM conversations",
-        "space_runs": f"SELECT n, {_norm('line')} AS merged, replace(line, ' ', '▁') AS kept, array_to_string({_split(_norm('line'))}, ' ') AS tokens FROM {_values(SPACE_LINES)}",
+        "space_runs": f"WITH {LINES}, spaced AS (SELECT doc_id, line_no, '  ' || replace(replace(line, ' ', '   '), ',', chr(9) || ' ▁') || ' ▁ ' AS line FROM lines) SELECT doc_id, line_no, {_norm('line')} AS merged, replace(line, ' ', '▁') AS kept, array_to_string({_split(_norm('line'))}, ' ') AS tokens FROM spaced",
         "word_min_count": f"WITH {COUNTS} SELECT word, freq FROM counts WHERE freq >= 32",
         "first_n_lines": f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE line <> '' ORDER BY doc_id, line_no LIMIT 100",
         "char_freq": f"WITH {COUNTS}, {CHARS.format(source='counts')} SELECT char, cnt FROM chars",
@@ -195,31 +182,37 @@ SELECT doc_id, generate_subscripts(p, 1) - 1 AS n, unnest(p) AS sentence FROM pa
 c AS (SELECT doc_id, trim(regexp_replace({heading}, '\\s+', ' ', 'g')) AS text FROM d) SELECT doc_id, text FROM c WHERE text <> ''""",
         "strip_headings": f"WITH d AS (SELECT doc_id, '#' || chr(10) || 'first' || chr(10) || text || chr(10) || '### last' AS text FROM documents) SELECT doc_id, {heading} AS text FROM d",
         "ascii_words": f"WITH {COUNTS} SELECT word, freq FROM counts WHERE regexp_matches(word, '^[A-Za-z][A-Za-z]+$')",
-        "byte_pieces": "SELECT i AS byte, '<0x' || printf('%02X', i) || '>' AS piece, i AS back FROM range(256) AS t(i)",
-        "vocab_layout": "SELECT 0 AS id, '<unk>' AS piece, 2 AS type UNION ALL SELECT 1, '<s>', 3 UNION ALL SELECT 2, '</s>', 3 UNION ALL SELECT CAST(i + 3 AS INTEGER), '<0x' || printf('%02X', i) || '>', 6 FROM range(256) AS t(i)",
-        "extra_tokens": f"SELECT id, piece, {3 + 256 + len(MERGES) + 3} AS vocab_size, {3 + 256 + len(MERGES)} AS pad_id FROM (VALUES (1, '<s>'), (2, '</s>'), ({3 + 256 + len(MERGES)}, '<pad>'), ({4 + 256 + len(MERGES)}, '<user>'), ({5 + 256 + len(MERGES)}, '<system>')) AS v(id, piece)",
+        "byte_pieces": f"WITH {COUNTS}, b AS (SELECT unnest(regexp_extract_all(hex(word), '..')) AS h, freq FROM counts) SELECT ('0x' || h)::BIGINT AS byte, '<0x' || h || '>' AS piece, ('0x' || h)::BIGINT AS back, sum(freq)::BIGINT AS cnt FROM b GROUP BY h",
+        "vocab_layout": f"WITH {COUNTS}, {CHARS.format(source='counts')}, {COVERED.format(coverage=0.9995)} SELECT 0 AS id, '<unk>' AS piece, 2 AS type UNION ALL SELECT 1, '<s>', 3 UNION ALL SELECT 2, '</s>', 3 UNION ALL SELECT CAST(i + 3 AS INTEGER), '<0x' || printf('%02X', i) || '>', 6 FROM range(256) AS t(i) UNION ALL SELECT CAST(258 + row_number() OVER (ORDER BY cnt DESC, char) AS INTEGER), char, 1 FROM covered",
+        "extra_tokens": """WITH l AS (SELECT '<' || lang || '>' AS piece, row_number() OVER (ORDER BY lang) AS n FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))
+SELECT id, piece, 264 + (SELECT count(*) FROM l)::INT AS vocab_size, 263 AS pad_id FROM (VALUES (1, '<s>'), (2, '</s>'), (263, '<pad>')) AS v(id, piece) UNION ALL SELECT (263 + n)::INT, piece, 264 + (SELECT count(*) FROM l)::INT, 263 FROM l""",
         "piece_to_id": f"WITH {COUNTS}, vocabulary AS (SELECT CAST(i + 3 AS INTEGER) AS id, printf('%02X', i) AS piece FROM range(256) AS t(i) UNION ALL SELECT id, piece FROM (VALUES " + ", ".join(f"({259 + i}, '{(u + v).encode().hex().upper()}')" for i, (u, v) in enumerate(MERGES)) + ") AS v(id, piece)), best AS (SELECT piece, max(id) AS id FROM vocabulary GROUP BY piece) SELECT hex(word) AS piece, freq, coalesce(id, 0) AS id FROM counts LEFT JOIN best ON best.piece = hex(word)",
-        "char_classes": f"SELECT id // 256 AS block, han, word, digit, punctuation, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, regexp_matches(c, '^[{HAN}]$') AS han, regexp_matches(c, '^[{LETTERS}{HAN}{DIGITS}]$') AS word, {digits} AS digit, regexp_matches(c, '^[^{LETTERS}{HAN}{DIGITS}{BLANKS}]$') AS punctuation FROM (SELECT i AS id, chr(CAST(i AS INTEGER)) AS c FROM range(1, 1114112) AS t(i) WHERE i NOT BETWEEN 55296 AND 57343)) GROUP BY ALL",
+        "char_classes": f"SELECT id // 256 AS block, han, word, digit, punctuation, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, regexp_matches(c, '^[{HAN}]$') AS han, regexp_matches(c, '^[{LETTERS}{HAN}{DIGITS}]$') AS word, {digits} AS digit, regexp_matches(c, '^[^{LETTERS}{HAN}{DIGITS}{BLANKS}]$') AS punctuation FROM (SELECT i AS id, chr(CAST(i AS INTEGER)) AS c FROM (SELECT (doc_id * 7919 + n_chars * 104729) % 1114111 + 1 AS i FROM documents) WHERE i NOT BETWEEN 55296 AND 57343)) GROUP BY ALL",
         "escape": "SELECT doc_id, replace(replace(replace(replace(text || '\\' || chr(9) || chr(13), '\\', '\\x5C'), chr(9), '\\x09'), chr(10), '\\x0A'), chr(13), '\\x0D') AS text FROM documents",
         "encode_byte_pair": f"WITH {LINES} SELECT doc_id, line_no, " + _merged_sql(wrapped.format(x=_norm("line"))) + " AS pieces FROM lines",
         "encode_sequence": f"WITH {LINES} SELECT doc_id, line_no, " + _merged_sql(wrapped.format(x="line")) + " AS pieces FROM lines",
         "decode_round_trip": f"SELECT conv_id, turn, replace({_norm('text')}, '▁', ' ') AS text FROM conversations",
-        "han_split": f"SELECT n, array_to_string(list_filter(regexp_extract_all(array_to_string({_split('line')}, ' '), '[{HAN}]| |[^ {HAN}]+'), lambda x: x <> ' '), ' ') AS tokens FROM {_values(HAN_LINES)}",
-        "han_dictionary": "SELECT word, freq FROM (VALUES ('英国', 5.0::DOUBLE), ('国人', 2.5::DOUBLE), ('是', 10.0::DOUBLE)) AS v(word, freq)",
+        "han_split": f"WITH {LINES}, h AS (SELECT doc_id, line_no, translate({_norm('line')}, 'aeiou', '{HAN_VOWELS}') AS line FROM lines) SELECT doc_id, line_no, array_to_string(flatten(list_transform({_split('line')}, lambda t: CASE WHEN regexp_matches(t, '^[{HAN}]') THEN string_split(t, '') ELSE [t] END)), ' ') AS tokens FROM h",
+        "han_dictionary": """WITH d AS (SELECT doc_id, substring(text, 1, 3) AS word, CASE doc_id % 6 WHEN 1 THEN -n_chars WHEN 2 THEN n_chars + 0.5 ELSE n_chars END::DOUBLE AS freq FROM documents WHERE doc_id % 6 <> 0 AND text <> '')
+SELECT word, arg_min(freq, doc_id) AS freq FROM d WHERE freq > 0 GROUP BY word""",
         "encode_char_pair": _char_pair_sql(),
         "encode_ngram": _ngram_sql(),
         "decode_char_pair": f"SELECT conv_id, turn, replace({_norm('text')}, '▁', ' ') AS text FROM conversations",
         "decode_ngram": f"SELECT conv_id, turn, replace({_norm('text')}, '▁', ' ') AS text FROM conversations",
         "decode_sequence": "SELECT conv_id, turn, text FROM conversations",
-        "han_dictionary_split": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(HAN_WORDS)) + ") AS v(n, tokens)",
+        "han_dictionary_split": f"""WITH {LINES}, h AS (SELECT doc_id, line_no, regexp_replace(translate({_norm('line')}, 'aeiou', '{HAN_VOWELS}'), '([{HAN_VOWELS}]{{2}})', '\\1-', 'g') AS line FROM lines)
+SELECT doc_id, line_no, array_to_string(flatten(list_transform({_split('line')}, lambda t: CASE WHEN regexp_matches(t, '^[{HAN}]') AND t NOT IN ('英国', '国人', '人是') THEN string_split(t, '') ELSE [t] END)), ' ') AS tokens FROM h""",
         "unicode_normalize": "SELECT doc_id, replace(lower(text), 'ß', 'ss') AS text FROM documents",
-        "model_round_trip": _model_sql(),
+        "model_round_trip": _train_byte_pair_sql(),
         "train_byte_pair": _train_byte_pair_sql(),
         "train_char_pair": _train_char_pair_sql(),
         "train_sequence": _train_sequence_sql(),
         "unescape": "SELECT doc_id, text || '\\' || chr(9) || chr(13) AS text FROM documents",
-        "repair_utf8": "SELECT * FROM (VALUES (0, 'ab'), (1, 'é'), (2, 'a�b'), (3, '���'), (4, '��x'), (5, '���'), (6, '')) AS v(n, text)",
-        "offset_map": "SELECT * FROM (VALUES (0, 'a▁b', '0,1,1,1,2,3'), (1, 'a▁b', '2,3,3,3,5,6'), (2, 'é▁x', '0,0,2,2,2,3,4'), (3, '', ''), (4, '', '')) AS v(n, text, offsets)",
+        "repair_utf8": f"WITH {LINES} SELECT doc_id, line_no, line || '\ufffd' || substring(line, 1, 5) || '\ufffd\ufffd' AS text FROM lines",
+        "offset_map": f"""WITH {LINES}, chars AS (SELECT doc_id, line_no, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) AS i FROM lines WHERE line <> ''),
+sized AS (SELECT *, CASE WHEN c = ' ' THEN 3 ELSE strlen(c) END AS n FROM chars), placed AS (SELECT *, 2 + sum(n) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS e FROM sized),
+told AS (SELECT doc_id, line_no, string_agg(rtrim(repeat((e - n)::BIGINT || ',', n), ','), ',' ORDER BY i) || ',' || max(e)::BIGINT AS offsets FROM placed GROUP BY doc_id, line_no)
+SELECT lines.doc_id, lines.line_no, {_norm('line')} AS text, coalesce(offsets, '') AS offsets FROM lines LEFT JOIN told ON told.doc_id = lines.doc_id AND told.line_no = lines.line_no""",
         "numbered_lines": f"WITH {LINES} SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS number, line FROM lines WHERE line <> ''",
         "model_source": _train_byte_pair_sql(),
         "sql_encode": f"WITH {LINES} SELECT doc_id, line_no, {_merged_sql(wrapped.format(x=_norm('line')))} AS pieces, array_to_string({_split(_norm('line'))}, ' ') AS tokens, replace({_norm('line')}, '▁', ' ') AS text FROM lines",

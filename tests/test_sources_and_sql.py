@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from morphmill.functions import sql
 from morphmill.functions import text as T
 from morphmill.model import BYTE_PAIR, CONTROL, Model, NormalizerSpec, Piece, TrainSpec
-from morphmill.operators import encode
+from morphmill.operators import encode, han
 from morphmill.plans import catalog
 from morphmill.plans.examples import byte_pair_model, char_pair_model, ngram_model, sequence_model
 from morphmill.sources import models
@@ -172,3 +172,26 @@ def test_lines_that_are_no_json(spark, tmp_path):
         src.read_articles(spark, f"{tmp_path}/a").collect()
     got = [tuple(r) for r in src.read_articles(spark, f"{tmp_path}/a", bad="keep").collect()]
     assert sorted(got, key=str) == sorted([("one", None), (None, '{"text": "two"'), ("three", None)], key=str)
+
+
+def test_odd_lines_of_spaces_and_han(spark):
+    """What the tables have none of: tabs, wide spaces, kana, rare Han, letters between."""
+    given = ["  a  b ", "a\tb", " ", "", "▁a▁ ", "x   y z", "　w  "]
+    got = spark.createDataFrame(list(enumerate(given)), "n int, line string").select("n", T.normalize(F.col("line")).alias("a"), T.normalize(F.col("line"), True).alias("b")).orderBy("n").collect()
+    assert [r["a"] for r in got] == [re.sub(" +", "▁", x.lstrip(" ")).rstrip("▁") for x in given]
+    assert [r["b"] for r in got] == [x.replace(" ", "▁") for x in given]
+    lines = spark.createDataFrame(list(enumerate(["Tom▁他是英国人Bat", "他是英国人", "汉字とかな", "a▁汉b字", "々〇漢字１２", ""])), "n int, line string")
+    words = {w.encode(): f for w, f in (("英国", 5.0), ("国人", 2.5), ("他", 1.0), ("是", 10.0), ("汉字", 3.0))}
+    cut = [" ".join(r["tokens"]) for r in han.split_lines(lines, words).orderBy("n").collect()]
+    assert cut == ["Tom ▁ 他 是 英国 人 Bat", "他 是 英国 人", "汉字 とかな", "a ▁ 汉 b 字", "々〇 漢 字 １２", ""]
+    alone = [" ".join(r["tokens"]) for r in han.split_lines(lines, None).orderBy("n").collect()]
+    assert alone == ["Tom ▁ 他 是 英 国 人 Bat", "他 是 英 国 人", "汉 字 とかな", "a ▁ 汉 b 字", "々〇 漢 字 １２", ""]
+
+
+def test_offsets_and_repairs_of_odd_lines(spark):
+    lines = spark.createDataFrame(list(enumerate(["a b", "  a  b", "é x ", "   ", ""])), "n int, line string")
+    found = lines.select("n", T.normalize_with_offsets(F.col("line")).alias("f")).orderBy("n").collect()
+    assert [(r["f"]["text"], r["f"]["offsets"]) for r in found] == [("a▁b", [0, 1, 1, 1, 2, 3]), ("a▁b", [2, 3, 3, 3, 5, 6]), ("é▁x", [0, 0, 2, 2, 2, 3, 4]), ("", []), ("", [])]
+    given = [b"ab", b"\xc3\xa9", b"a\xffb", b"\xe4\xbd\xed", b"\xc0\x80x", b"\xed\xa0\x80", b""]
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(given)], "n int, data binary")
+    assert [r[0] for r in rows.orderBy("n").select(T.repair_utf8(F.col("data"))).collect()] == ["ab", "é", "a\ufffdb", "\ufffd" * 3, "\ufffd" * 2 + "x", "\ufffd" * 3, ""]
