@@ -285,6 +285,12 @@ def model_source(spark, sf_dir):
     return _shown(models.load_vocabulary(spark, path))
 
 
+def tokenize_lines(spark, sf_dir):
+    """Pieces of each line, bytes that are no text alone escaped, as they go to a file."""
+    rows = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), encode.tokenize(F.col("line"), byte_pair_model()).alias("pieces"))
+    return src.piece_lines(rows, "doc_id", "line_no")
+
+
 def sql_encode(spark, sf_dir):
     """Encoding and decoding in SQL text."""
     sql.register(spark, byte_pair_model())
@@ -333,6 +339,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "decode_round_trip": _decoded(byte_pair_model), "decode_char_pair": _decoded(char_pair_model), "decode_ngram": _decoded(ngram_model), "decode_sequence": _decoded(sequence_model),
         "unescape": unescape, "repair_utf8": repair_utf8, "offset_map": offset_map, "han_split": han_split, "han_dictionary": han_dictionary, "han_dictionary_split": han_dictionary_split, "unicode_normalize": unicode_normalize,
         "frequency_lines": frequency_lines, "model_round_trip": model_round_trip, "train_byte_pair": train_byte_pair, "train_char_pair": train_char_pair, "train_ngram": train_ngram,
-        "train_sequence": train_sequence, "numbered_lines": numbered_lines, "model_source": model_source, "sql_encode": sql_encode, "sql_pieces": sql_pieces, "merge_rank_table": merge_rank_table,
+        "train_sequence": train_sequence, "tokenize_lines": tokenize_lines, "numbered_lines": numbered_lines, "model_source": model_source, "sql_encode": sql_encode, "sql_pieces": sql_pieces, "merge_rank_table": merge_rank_table,
         "rewrite_longest": rewrite_longest, "token_spans": token_spans,
     }

@@ -213,6 +213,7 @@ SELECT doc_id, line_no, array_to_string(flatten(list_transform({_split('line')},
 sized AS (SELECT *, CASE WHEN c = ' ' THEN 3 ELSE strlen(c) END AS n FROM chars), placed AS (SELECT *, 2 + sum(n) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS e FROM sized),
 told AS (SELECT doc_id, line_no, string_agg(rtrim(repeat((e - n)::BIGINT || ',', n), ','), ',' ORDER BY i) || ',' || max(e)::BIGINT AS offsets FROM placed GROUP BY doc_id, line_no)
 SELECT lines.doc_id, lines.line_no, {_norm('line')} AS text, coalesce(offsets, '') AS offsets FROM lines LEFT JOIN told ON told.doc_id = lines.doc_id AND told.line_no = lines.line_no""",
+        "tokenize_lines": f"WITH {PIECES}, told AS (SELECT doc_id, line_no, string_agg(CASE WHEN piece >= '80' OR piece IN ('09', '0A', '0D', '5C') THEN '\\x' || piece ELSE decode(unhex(piece)) END, ' ' ORDER BY pos) AS value FROM pieces GROUP BY doc_id, line_no) SELECT lines.doc_id, lines.line_no, coalesce(value, '') AS value FROM lines LEFT JOIN told ON told.doc_id = lines.doc_id AND told.line_no = lines.line_no",
         "numbered_lines": f"WITH {LINES} SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS number, line FROM lines WHERE line <> ''",
         "model_source": _train_byte_pair_sql(),
         "sql_encode": f"WITH {LINES} SELECT doc_id, line_no, {_merged_sql(wrapped.format(x=_norm('line')))} AS pieces, array_to_string({_split(_norm('line'))}, ' ') AS tokens, replace({_norm('line')}, '▁', ' ') AS text FROM lines",
