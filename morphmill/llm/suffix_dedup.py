@@ -29,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphmill.llm._shared import Scratch, join_groups
-from morphmill.llm._text import SLICE_BYTES, _powers, mix, slices, text_bytes
+from morphmill.llm._text import _powers, mix, slices, text_bytes
 
 #: Bytes of an anchor, of those that a repeated string has.
 GRAM = 64
 #: Suffixes are sorted by multikey quicksort up to so many bytes, in characters of eight.
 SHALLOW = 64
+#: Bytes of text that are hashed at once, and texts that are cut at once: what bounds a task's memory.
+HASHED_AT_ONCE, TEXTS_AT_ONCE = 1 << 19, 500
 #: Contexts of one anchor that a task sorts; larger groups are split.
 MOST_CONTEXTS = 20_000
 #: Contexts that are sorted at once.
-SORTED_AT_ONCE = 50_000
+SORTED_AT_ONCE = 30_000
 
 _rng = np.random.Generator(np.random.PCG64(77003))
 _GRAM_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,12 +100,12 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         ids, keys = batch.column("id"), batch.column("t")
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, HASHED_AT_ONCE):
             lo, hi = int(offsets[i]), int(offsets[j])
             sizes = np.diff(offsets[i : j + 1])
             # a longer text is read in parts; a part sees the windows of all of its anchors
-            for a in range(lo, hi, SLICE_BYTES) if j == i + 1 else (lo,):
-                b = min(a + SLICE_BYTES, hi) if j == i + 1 else hi
+            for a in range(lo, hi, HASHED_AT_ONCE) if j == i + 1 else (lo,):
+                b = min(a + HASHED_AT_ONCE, hi) if j == i + 1 else hi
                 x, y = max(lo, a - length), min(hi, b + length)
                 if j == i + 1:
                     begin, end = np.full(y - x, lo - x), np.full(y - x, hi - x)
@@ -349,7 +351,7 @@ def _split(contexts: DataFrame, scratch: Scratch, length: int, most: int) -> tup
 
 def kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, spans) to the whole result; spans may overlap."""
-    for batch in batches:
+    for batch in (whole.slice(k, TEXTS_AT_ONCE) for whole in batches for k in range(0, len(whole), TEXTS_AT_ONCE)):
         ids, sizes, digests, merged, kept = batch.column("id"), [], [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data, runs = text.encode(), []
