@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -299,9 +300,14 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of segments, in order, put together to their payload's length, and whether they are as their record says."""
     for batch in batches:
         lengths, faults, blocks = [], [], batch.column("blocks")
-        for k, (digest, length, fault) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("digest", "payload_bytes", "fault")), strict=True)):
-            if blocks[k].is_valid and not fault:
-                length, _, fault = _payload(b"".join(blocks[k].as_py()), digest)
+        # a record's segments lie next to each other in the batch: together they are its block
+        own, data = blocks.offsets.to_numpy(), blocks.values.buffers()[2]
+        ends = np.frombuffer(blocks.values.buffers()[1], np.int32)[blocks.values.offset :] if len(blocks.values) else np.zeros(1, np.int32)
+        places = ends[own].tolist()
+        whole = zip(blocks.is_valid().to_pylist(), places[:-1], places[1:], strict=True)
+        for (there, a, b), digest, length, fault in zip(whole, *(batch.column(c).to_pylist() for c in ("digest", "payload_bytes", "fault")), strict=True):
+            if there and not fault:
+                length, _, fault = _payload(data[a:b].to_pybytes() if b > a else b"", digest)
             lengths.append(None if fault else length)
             faults.append(fault)
         columns = [batch.column(c) for c in ("page_id", "record_id", "type", "digest", "refers_to")]
