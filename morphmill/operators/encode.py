@@ -202,6 +202,12 @@ def tokenize(text: Column, model: Model, tokens: Column | None = None) -> Column
     return F.when(text.isNotNull(), run(F.array(normalized(text, model)) if tokens is None else tokens))
 
 
+def _lengths(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists, a null's is 0, and where each starts, and the last ends, in all their items."""
+    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lengths, np.concatenate(([0], np.cumsum(lengths)))
+
+
 def token_spans(text: Column, model: Model) -> Column:
     """``array<struct<piece, id, start, end>>`` of a text: its tokens, and the bytes of the text that each stands for.
 
@@ -217,18 +223,19 @@ def token_spans(text: Column, model: Model) -> Column:
         if n.name:
             raise ValueError("named Unicode normalisers have no offsets")
         ready = normalize_with_offsets(text, n.reconstruct, n.space or SPACE)
-    alone = {i for i, p in enumerate(model.pieces) if p.type == BYTE and model.spec.method != SEQUENCE}
+    alone = [i for i, p in enumerate(model.pieces) if p.type == BYTE and model.spec.method != SEQUENCE]
 
     @F.arrow_udf("array<struct<piece: binary, id: int, start: int, end: int>>")
     def run(tokens: pa.Array, offsets: pa.Array) -> pa.Array:
-        rows = []
-        for own, at in zip(tokens.to_pylist(), offsets.to_pylist(), strict=True):
-            end, out = 0, []
-            for x in own or ():
-                start, end = end, end + (1 if x["id"] in alone else len(x["piece"]))
-                out.append({"piece": x["piece"], "id": x["id"], "start": at[start], "end": at[end]})
-            rows.append(out)
-        return pa.array(rows, pa.list_(pa.struct([("piece", pa.binary()), ("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
+        # all tokens of the batch at once: where each ends in its own text, then what that text's offsets say there
+        pieces, ids = tokens.flatten().flatten()
+        counts, first = _lengths(tokens)
+        sizes = np.where(np.isin(ids.to_numpy(zero_copy_only=False), alone), 1, pc.binary_length(pieces).to_numpy(zero_copy_only=False))
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        at = np.repeat(_lengths(offsets)[1][:-1] - ends[first[:-1]], counts)
+        marks = offsets.flatten()
+        bounds = [marks.take(pa.array(at + x)) for x in (ends[:-1], ends[1:])]
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pieces, ids, *bounds], ["piece", "id", "start", "end"]))
 
     encoded = segmenter(model)(F.array(ready["text"]))
     return F.when(text.isNotNull(), run(encoded, ready["offsets"]))
@@ -271,8 +278,7 @@ def joined_pieces(model: Model):
         at = flat.fill_null(n + 1).to_numpy(zero_copy_only=False)
         known = (at >= 0) & (at < n) | (flat.is_null().to_numpy(zero_copy_only=False))
         pieces = table.take(pa.array(np.where(known, at, n)))
-        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces), b"")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(_lengths(rows)[1], pa.int32()), pieces), b"")
 
     return run
 
