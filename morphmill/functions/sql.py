@@ -27,10 +27,13 @@ def register(spark: SparkSession, model: Model | None = None) -> list[str]:
     """
     names = ["normalize_line", "pretokenize"]
     space = _literal(SPACE)
-    merged = f"trim(TRAILING {space} FROM regexp_replace(trim(LEADING ' ' FROM x), ' +', {space}))"
+
+    def merged(x: str, space: str = space) -> str:
+        return f"trim(TRAILING {space} FROM regexp_replace(trim(LEADING ' ' FROM {x}), ' +', {space}))"
+
     cuts = " ".join(f"WHEN {k} THEN regexp_extract_all(x, {_literal(pretokenizer_pattern(k))}, 0)" for k in (0, 1))
     statements = [
-        f"normalize_line(x STRING) RETURNS STRING RETURN {merged}",
+        f"normalize_line(x STRING) RETURNS STRING RETURN {merged('x')}",
         f"pretokenize(x STRING, cut INT) RETURNS ARRAY<STRING> RETURN CASE cut {cuts} END",
     ]
     if model is not None:
@@ -38,16 +41,21 @@ def register(spark: SparkSession, model: Model | None = None) -> list[str]:
         if n.name:
             raise ValueError("a model with a named Unicode normaliser is for the Column functions")
         mark = _literal(n.space or SPACE)
-        text = "x" if model.spec.method == SEQUENCE else f"replace(x, ' ', {mark})" if n.reconstruct else merged.replace(space, mark)
+
+        def encoded(x: str) -> str:
+            text = x if model.spec.method == SEQUENCE else f"replace({x}, ' ', {mark})" if n.reconstruct else merged(x, mark)
+            return f"CASE WHEN {x} IS NOT NULL THEN _segmented(array({text})) END"
+
         spark.udf.register("_segmented", segmenter(model, ENCODED))
         spark.udf.register("_joined", joined_pieces(model))
         back = "make_valid_utf8(CAST(_joined(CAST(ids AS ARRAY<BIGINT>)) AS STRING))"
         back = back if model.spec.method == SEQUENCE else f"replace({back}, {mark}, ' ')"
         statements += [
-            f"encode_pieces(x STRING) RETURNS ARRAY<STRUCT<piece: BINARY, id: INT>> RETURN CASE WHEN x IS NOT NULL THEN _segmented(array({text})) END",
+            f"encode_pieces(x STRING) RETURNS ARRAY<STRUCT<piece: BINARY, id: INT>> RETURN {encoded('x')}",
             "encode_ids(x STRING) RETURNS ARRAY<INT> RETURN transform(encode_pieces(x), p -> p.id)",
             f"decode_ids(ids ARRAY<INT>) RETURNS STRING RETURN {back}",
-            "pieces_of(x STRING) RETURNS TABLE(pos INT, piece BINARY, id INT) RETURN SELECT t.pos, t.p.piece, t.p.id FROM (SELECT encode_pieces(pieces_of.x) AS e) AS s, LATERAL posexplode(s.e) AS t(pos, p)",
+            # a generator over the argument alone, which Spark turns into one beside the rows; over a sub-query it would join with all different texts
+            f"pieces_of(x STRING) RETURNS TABLE(pos INT, piece BINARY, id INT) RETURN SELECT t.pos, t.p.piece, t.p.id FROM posexplode({encoded('pieces_of.x')}) AS t(pos, p)",
         ]
         names += ["encode_pieces", "encode_ids", "decode_ids", "pieces_of"]
     for s in statements:

@@ -83,6 +83,11 @@ def test_sql_functions_as_columns(spark, small, make):
     assert sorted(map(repr, rows.collect())) == sorted(map(repr, flat.collect()))
 
 
+def test_the_table_function_needs_no_join(spark, small):
+    plan = catalog.queries()["sql_pieces"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_ranks_as_of_their_rows(spark):
     rng = random.Random(9)
     for _ in range(3):
