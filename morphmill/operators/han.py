@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphmill.functions.text import H, pretokenize, split_han
+from morphmill.functions.batches import lengths
+from morphmill.functions.text import HAN_RANGES, pretokenize
 from morphmill.operators.segment import Unigram
 
 #: Entries that a dictionary sent to the executors may have.
@@ -29,40 +31,29 @@ def fingerprint(words: DataFrame) -> str:
 
 
 def _cut_runs(tokens: Column, dictionary: dict[bytes, float]) -> Column:
-    """The words of each Han token; other tokens have no entry."""
+    """Tokens with the Han ones cut into words. A batch cuts each different token once."""
     total = sum(dictionary.values())
     held = SparkSession.getActiveSession().sparkContext.broadcast(dictionary)
     fallback = math.log(1 / total) if total > 0 else -10.0
-    han = f"^[{H}]"
+    han = re.compile("[" + "".join("-".join(chr(int(end, 16)) for end in r.split("-")) for r in HAN_RANGES.split()) + "]")
 
     built: list[Unigram] = []
 
-    @F.pandas_udf("array<array<string>>")
-    def run(batch: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
         if not built:
             built.append(Unigram(held.value, fallback))
-        model = built[0]
-        return batch.map(lambda ts: None if ts is None else [[w.decode() for w in model.cut(t.encode())] for t in ts])
+        coded = rows.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        cuts = pa.array([[w.decode() for w in built[0].cut(t.encode())] if han.match(t) else [t] for t in names], pa.list_(pa.string()))
+        taken = cuts.take(coded.indices)
+        return pa.ListArray.from_arrays(taken.offsets.take(pa.array(lengths(rows)[1])), taken.flatten())
 
-    return run(F.filter(tokens, lambda t: t.rlike(han)))
-
-
-def _put_back(tokens: Column, cuts: Column) -> Column:
-    """Tokens with the n-th Han token replaced by the n-th of ``cuts``."""
-    start = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(done: Column, token: Column) -> Column:
-        han = token.rlike(f"^[{H}]")
-        n = F.when(han, done["n"] + 1).otherwise(done["n"])
-        return F.struct(n.alias("n"), F.concat(done["out"], F.when(han, F.get(cuts, done["n"])).otherwise(F.array(token))).alias("out"))
-
-    return F.aggregate(tokens, start, step, lambda done: done["out"])
+    return F.when(tokens.isNotNull(), run(tokens))
 
 
 def split_lines(lines: DataFrame, dictionary: dict[bytes, float] | None, cut: int = 0, col: str = "line") -> DataFrame:
     """lines with ``tokens`` of the normalised column, Han runs cut."""
-    tokens = pretokenize(F.col(col), cut)
     if dictionary is None:
-        return lines.withColumn("tokens", split_han(tokens))
-    cut_rows = lines.withColumn("_tokens", tokens).withColumn("_cut", _cut_runs(F.col("_tokens"), dictionary))
-    return cut_rows.withColumn("tokens", _put_back(F.col("_tokens"), F.col("_cut"))).drop("_tokens", "_cut")
+        return lines.withColumn("tokens", pretokenize(F.col(col), cut, han_apart=True))
+    return lines.withColumn("tokens", _cut_runs(pretokenize(F.col(col), cut), dictionary))

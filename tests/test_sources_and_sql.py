@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,22 @@ def test_offsets_and_repairs_of_odd_lines(spark):
     given = [b"ab", b"\xc3\xa9", b"a\xffb", b"\xe4\xbd\xed", b"\xc0\x80x", b"\xed\xa0\x80", b""]
     rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(given)], "n int, data binary")
     assert [r[0] for r in rows.orderBy("n").select(T.repair_utf8(F.col("data"))).collect()] == ["ab", "é", "a\ufffdb", "\ufffd" * 3, "\ufffd" * 2 + "x", "\ufffd" * 3, ""]
+
+
+def test_han_words_of_long_lines_keep_pace(spark):
+    """A line of many tokens: putting words back one by one took the square of them. Nulls and other tokens stay."""
+    line = "他是▁abc-" * 20_000
+    rows = spark.createDataFrame([(0, line), (1, None), (2, ""), (3, "ab▁他英国x")], "n int, line string")
+    began = time.perf_counter()
+    got = {r["n"]: r["tokens"] for r in han.split_lines(rows, {"英国".encode(): 5.0, "他".encode(): 1.0}).collect()}
+    assert time.perf_counter() - began < 20
+    assert got[0] == ["他", "是", "▁abc", "-"] * 20_000
+    assert got[1] is None and got[2] == [] and got[3] == ["ab", "▁", "他", "英国", "x"]
+
+
+@pytest.mark.parametrize("cut", [0, 1])
+def test_han_apart_is_split_han(spark, cut):
+    texts = ["他是▁英国a人b", "▁他,是", "", "ab▁12他他", None, "﨑𠀀𠀁x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select(T.split_han(T.pretokenize(F.col("t"), cut)).alias("a"), T.pretokenize(F.col("t"), cut, han_apart=True).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
