@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from morphmill.functions.text import SPACE, pretokenizer_pattern
 from morphmill.model import SEQUENCE, Model
-from morphmill.operators.encode import ENCODED, joined_pieces, segmenter
+from morphmill.operators.encode import ENCODED, IDS, in_hex, joined_pieces, segmenter
 
 
 def _literal(text: str) -> str:
@@ -22,7 +22,7 @@ def register(spark: SparkSession, model: Model | None = None) -> list[str]:
 
     ``normalize_line(text)``, ``pretokenize(text, cut)``; with a model, of its own
     normaliser: ``encode_pieces(text)`` (array of piece and id), ``encode_ids(text)``,
-    ``decode_ids(ids)``, and the table function ``pieces_of(text)`` (pos, piece, id).
+    ``encode_hex(text)`` (a string of pieces, ``<hexadecimal>`` each), ``decode_ids(ids)``, and the table function ``pieces_of(text)`` (pos, piece, id).
     Nulls give nulls, and no rows.
     """
     names = ["normalize_line", "pretokenize"]
@@ -42,22 +42,25 @@ def register(spark: SparkSession, model: Model | None = None) -> list[str]:
             raise ValueError("a model with a named Unicode normaliser is for the Column functions")
         mark = _literal(n.space or SPACE)
 
-        def encoded(x: str) -> str:
+        def encoded(x: str, by: str = "_segmented") -> str:
             text = x if model.spec.method == SEQUENCE else f"replace({x}, ' ', {mark})" if n.reconstruct else merged(x, mark)
-            return f"CASE WHEN {x} IS NOT NULL THEN _segmented(array({text})) END"
+            return f"CASE WHEN {x} IS NOT NULL THEN {by}(array({text})) END"
 
         spark.udf.register("_segmented", segmenter(model, ENCODED))
+        spark.udf.register("_ids", segmenter(model, IDS))
+        spark.udf.register("_hex", segmenter(model, "string", False, in_hex))
         spark.udf.register("_joined", joined_pieces(model))
-        back = "make_valid_utf8(CAST(_joined(CAST(ids AS ARRAY<BIGINT>)) AS STRING))"
+        back = "make_valid_utf8(CAST(_joined(ids) AS STRING))"
         back = back if model.spec.method == SEQUENCE else f"replace({back}, {mark}, ' ')"
         statements += [
             f"encode_pieces(x STRING) RETURNS ARRAY<STRUCT<piece: BINARY, id: INT>> RETURN {encoded('x')}",
-            "encode_ids(x STRING) RETURNS ARRAY<INT> RETURN transform(encode_pieces(x), p -> p.id)",
+            f"encode_ids(x STRING) RETURNS ARRAY<INT> RETURN {encoded('x', '_ids')}",
+            f"encode_hex(x STRING) RETURNS STRING RETURN {encoded('x', '_hex')}",
             f"decode_ids(ids ARRAY<INT>) RETURNS STRING RETURN {back}",
             # a generator over the argument alone, which Spark turns into one beside the rows; over a sub-query it would join with all different texts
             f"pieces_of(x STRING) RETURNS TABLE(pos INT, piece BINARY, id INT) RETURN SELECT t.pos, t.p.piece, t.p.id FROM posexplode({encoded('pieces_of.x')}) AS t(pos, p)",
         ]
-        names += ["encode_pieces", "encode_ids", "decode_ids", "pieces_of"]
+        names += ["encode_pieces", "encode_ids", "encode_hex", "decode_ids", "pieces_of"]
     for s in statements:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {s}")
     return names

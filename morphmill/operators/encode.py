@@ -9,6 +9,7 @@ each different part once.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphmill.functions.text import SPACE, normalize, normalize_with_offsets, restore_spaces, unicode_normalize
+from morphmill.functions.batches import in_slices, lengths
+from morphmill.functions.text import SPACE, escape_bytes, normalize, offsets_of, restore_spaces, unicode_normalize
 from morphmill.model import BYTE, BYTE_PAIR, CHAR_PAIR, CONTROL, NGRAM, NORMAL, SEQUENCE, UNKNOWN, Model
 from morphmill.operators.segment import Unigram, cut_before, merge_chars, merge_ids, unspanned
 
-ENCODED = "array<struct<piece: binary, id: int>>"
+ENCODED, IDS = "array<struct<piece: binary, id: int>>", "array<int>"
 
 
 def merge_ranks(model: Model) -> dict[tuple[int, int], int]:
@@ -128,30 +130,61 @@ class _Lookups:
             out.append(k)
         return out
 
+    def _part(self, part: str, pieces: bool) -> list[int] | None:
+        """Numbers of a part's items; a part is encoded once. None if another cut was nearly as good."""
+        own = self.known.get(part, self)
+        if own is self:
+            own = self.older.get(part, self)
+            if own is self:
+                items, tie = self._whole(part, pieces)
+                own = None if tie else self._numbered(items)
+            if len(self.known) >= self.KEEP:
+                self.known, self.older = {}, self.known
+            self.known[part] = own
+        return own
+
     def encode(self, text: str, pieces: bool = False) -> list[int]:
         """Numbers of a text's items; with ``pieces`` those before the fall-back to bytes.
 
-        A part is encoded once. A sum of weights over a whole text is rounded
-        otherwise than over a part, so texts with parts of nearly equal cuts
-        are encoded as a whole.
+        A sum of weights over a whole text is rounded otherwise than over a
+        part, so texts with parts of nearly equal cuts are encoded as a whole.
         """
+        if self.cuts:
+            own = [self._part(part, pieces) for part in cut_before(text, self.mark)]
+            if all(x is not None for x in own):
+                return [k for x in own for k in x]
+        return self._numbered(self._whole(text, pieces)[0])
+
+    def encode_all(self, texts: pa.Array, pieces: bool = False) -> pa.ListArray:
+        """``encode`` of each text of a batch: its different parts are looked up, and all of them take what was found. A null has no items."""
         if not self.cuts:
-            return self._numbered(self._whole(text, pieces)[0])
-        out: list[int] = []
-        for part in cut_before(text, self.mark):
-            own = self.known.get(part, self)
-            if own is self:
-                own = self.older.get(part, self)
-                if own is self:
-                    items, tie = self._whole(part, pieces)
-                    own = None if tie else self._numbered(items)
-                if len(self.known) >= self.KEEP:
-                    self.known, self.older = {}, self.known
-                self.known[part] = own
-            if own is None:
-                return self._numbered(self._whole(text, pieces)[0])
-            out += own
-        return out
+            return pa.array([[] if t is None else self.encode(t, pieces) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        cut = pc.split_pattern(texts, self.mark)
+        counts, first = lengths(cut)
+        coded = cut.flatten().dictionary_encode()
+        # a text's first part has no mark before it
+        codes = coded.indices.to_numpy() * 2
+        codes[first[:-1][counts > 0]] += 1
+        used = np.bincount(codes, minlength=2 * len(coded.dictionary)) > 0
+        names = coded.dictionary.to_pylist()
+
+        def of(code: int) -> list[int] | None:
+            part = names[code >> 1] if code & 1 else self.mark + names[code >> 1]
+            return self._part(part, pieces) if part else []
+
+        found = [of(c) for c in np.flatnonzero(used).tolist()]
+        own = pa.array([x or [] for x in found], pa.list_(pa.int32()))
+        ranks = (np.cumsum(used) - 1)[codes]
+        taken = own.take(pa.array(ranks))
+        out = pa.ListArray.from_arrays(taken.offsets.take(pa.array(first)), taken.flatten())
+        ties = np.array([x is None for x in found], bool)
+        if not ties.any():
+            return out
+        rows = np.unique(np.searchsorted(first, np.flatnonzero(ties[ranks]), "right") - 1)
+        whole = [self._numbered(self._whole(texts[i].as_py(), pieces)[0]) for i in rows.tolist()]
+        at = np.arange(len(texts))
+        at[rows] = len(texts) + np.arange(len(rows))
+        return pa.concat_arrays([out, pa.array(whole, pa.list_(pa.int32()))]).take(pa.array(at))
 
 
 def normalized(text: Column, model: Model) -> Column:
@@ -162,50 +195,102 @@ def normalized(text: Column, model: Model) -> Column:
     return normalize(unicode_normalize(text, n.name), n.reconstruct, n.space or SPACE)
 
 
-def segmenter(model: Model, kind: str = ENCODED, pieces: bool = False):
-    """An Arrow UDF over rows of parts to their items. A task builds the lookups once."""
+def segmenter(model: Model, kind: str = ENCODED, pieces: bool = False, show: Callable[[bytes], str] | None = None, separator: str = ""):
+    """An Arrow UDF over rows of parts to their items. A task builds the lookups once.
+
+    ``kind`` is what a row gives: items, ids or pieces; with ``show`` a string of
+    its pieces as shown, ``separator`` between them.
+    """
     held = SparkSession.getActiveSession().sparkContext.broadcast(model)
     built: list[_Lookups] = []
 
-    @F.arrow_udf(kind)
+    def of_slice(rows: pa.Array) -> pa.Array:
+        own = built[0]
+        found = own.encode_all(rows.flatten(), pieces)
+        # items are looked up by number, a table of the different ones
+        at, ends = found.flatten(), found.offsets.take(pa.array(lengths(rows)[1]))
+        if show:
+            return pc.binary_join(pa.ListArray.from_arrays(ends, pa.array([show(p) for p, _ in own.items], pa.string()).take(at)), separator)
+        names = None if kind == IDS else pa.array([p for p, _ in own.items], pa.binary()).take(at)
+        ids = None if pieces else pa.array([i for _, i in own.items], pa.int32()).take(at)
+        return pa.ListArray.from_arrays(ends, ids if names is None else names if ids is None else pa.StructArray.from_arrays([names, ids], ["piece", "id"]))
+
+    @F.arrow_udf("string" if show else kind)
     def run(rows: pa.Array) -> pa.Array:
         if not built:
             built.append(_Lookups(held.value))
-        own, numbers, ends = built[0], [], [0]
-        for parts in rows.to_pylist():
-            for t in parts or ():
-                if t is not None:
-                    numbers += own.encode(t, pieces)
-            ends.append(len(numbers))
-        # items are looked up by number, a table of the different ones
-        at = pa.array(numbers, pa.int32())
-        names = pa.array([p for p, _ in own.items], pa.binary()).take(at)
-        if pieces:
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names)
-        ids = pa.array([i for _, i in own.items], pa.int32()).take(at)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, ids], ["piece", "id"]))
+        return in_slices(rows, of_slice)
 
     return run
 
 
+def _segmented(text: Column, model: Model, tokens: Column | None, *how) -> Column:
+    return F.when(text.isNotNull(), segmenter(model, *how)(F.array(normalized(text, model)) if tokens is None else tokens))
+
+
 def encode(text: Column, model: Model, tokens: Column | None = None) -> Column:
     """``array<struct<piece, id>>`` of a text, or of given ``tokens`` of it, which merges don't cross. A null stays null."""
-    run = segmenter(model, ENCODED, False)
-    return F.when(text.isNotNull(), run(F.array(normalized(text, model)) if tokens is None else tokens))
+    return _segmented(text, model, tokens)
+
+
+def encode_ids(text: Column, model: Model, tokens: Column | None = None) -> Column:
+    """The ids of ``encode`` alone."""
+    return _segmented(text, model, tokens, IDS)
 
 
 def tokenize(text: Column, model: Model, tokens: Column | None = None) -> Column:
     """Pieces of a text; for the n-gram method those before the fall-back to bytes."""
-    if model.spec.method != NGRAM:
-        return F.transform(encode(text, model, tokens), lambda x: x["piece"])
-    run = segmenter(model, "array<binary>", True)
-    return F.when(text.isNotNull(), run(F.array(normalized(text, model)) if tokens is None else tokens))
+    return _segmented(text, model, tokens, "array<binary>", True)
+
+
+def token_line(text: Column, model: Model, show: Callable[[bytes], str] = escape_bytes, separator: str = " ", fallen: bool = False, tokens: Column | None = None) -> Column:
+    """The pieces of ``tokenize`` as one string: each as shown, escaped by default, and a separator between. ``fallen``: those of ``encode``."""
+    return _segmented(text, model, tokens, "string", not fallen, show, separator)
+
+
+def in_hex(piece: bytes) -> str:
+    """A piece's bytes in hexadecimal, with its ends marked."""
+    return f"<{piece.hex().upper()}>"
+
+
+def _spans(texts: pa.Array, own: _Lookups, alone: list[int]) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Of all tokens of a batch: where each text's begin, pieces, ids, and the places of the text's bytes where each begins and ends."""
+    n = own.model.normalizer
+    if own.method == SEQUENCE:
+        sizes = lengths(texts)[0]
+        ready, counts = texts, sizes + (sizes > 0)
+        first_mark = np.concatenate(([0], np.cumsum(counts)))
+        marks = np.arange(first_mark[-1]) - np.repeat(first_mark[:-1], counts)
+    else:
+        ready, offsets = offsets_of(texts, n.reconstruct, n.space or SPACE)
+        first_mark, marks = lengths(offsets)[1], offsets.flatten().to_numpy()
+    found = own.encode_all(ready)
+    counts, first = lengths(found)
+    at = found.flatten()
+    pieces = pa.array([p for p, _ in own.items], pa.binary()).take(at)
+    ids = pa.array([i for _, i in own.items], pa.int32()).take(at)
+    # all tokens at once: where each ends in its own text, then what that text's offsets say there
+    sizes = np.where(np.isin(ids.to_numpy(), alone), 1, lengths(pieces)[0])
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    shift = np.repeat(first_mark[:-1] - ends[first[:-1]], counts)
+    return first, pieces, ids, marks[ends[:-1] + shift], marks[ends[1:] + shift]
+
+
+def _span_udf(model: Model, kind: str, then: Callable[..., pa.Array]):
+    """An Arrow UDF of texts: ``then`` of a slice of them and its spans."""
+    if model.spec.method != SEQUENCE and model.normalizer.name:
+        raise ValueError("named Unicode normalisers have no offsets")
+    held = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    alone = [i for i, p in enumerate(model.pieces) if p.type == BYTE and model.spec.method != SEQUENCE]
+    built: list[_Lookups] = []
 
+    @F.arrow_udf(kind)
+    def run(rows: pa.Array) -> pa.Array:
+        if not built:
+            built.append(_Lookups(held.value))
+        return in_slices(rows, lambda some: then(some, *_spans(some, built[0], alone)))
 
-def _lengths(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of lists, a null's is 0, and where each starts, and the last ends, in all their items."""
-    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lengths, np.concatenate(([0], np.cumsum(lengths)))
+    return run
 
 
 def token_spans(text: Column, model: Model) -> Column:
@@ -215,30 +300,28 @@ def token_spans(text: Column, model: Model) -> Column:
     touch: spaces that were merged or stripped inside belong to the token
     before. For models whose pieces cover all bytes. A null stays null.
     """
-    if model.spec.method == SEQUENCE:
-        plain = F.when(text.isNotNull(), F.struct(text.alias("text"), F.sequence(F.lit(0), F.octet_length(text)).alias("offsets")))
-        ready = F.when(F.octet_length(text) == 0, F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("offsets"))).otherwise(plain)
-    else:
-        n = model.normalizer
-        if n.name:
-            raise ValueError("named Unicode normalisers have no offsets")
-        ready = normalize_with_offsets(text, n.reconstruct, n.space or SPACE)
-    alone = [i for i, p in enumerate(model.pieces) if p.type == BYTE and model.spec.method != SEQUENCE]
 
-    @F.arrow_udf("array<struct<piece: binary, id: int, start: int, end: int>>")
-    def run(tokens: pa.Array, offsets: pa.Array) -> pa.Array:
-        # all tokens of the batch at once: where each ends in its own text, then what that text's offsets say there
-        pieces, ids = tokens.flatten().flatten()
-        counts, first = _lengths(tokens)
-        sizes = np.where(np.isin(ids.to_numpy(zero_copy_only=False), alone), 1, pc.binary_length(pieces).to_numpy(zero_copy_only=False))
-        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        at = np.repeat(_lengths(offsets)[1][:-1] - ends[first[:-1]], counts)
-        marks = offsets.flatten()
-        bounds = [marks.take(pa.array(at + x)) for x in (ends[:-1], ends[1:])]
+    def listed(_, first, pieces, ids, starts, ends):
+        bounds = [pa.array(x, pa.int32()) for x in (starts, ends)]
         return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pieces, ids, *bounds], ["piece", "id", "start", "end"]))
 
-    encoded = segmenter(model)(F.array(ready["text"]))
-    return F.when(text.isNotNull(), run(encoded, ready["offsets"]))
+    return F.when(text.isNotNull(), _span_udf(model, "array<struct<piece: binary, id: int, start: int, end: int>>", listed)(text))
+
+
+def span_line(text: Column, model: Model) -> Column:
+    """``struct<spans: string, text: binary>``: the spans of ``token_spans`` as ``start:end``, commas between, and what stands at them, put together."""
+
+    def shown(texts, first, pieces, ids, starts, ends):
+        pairs = pc.binary_join_element_wise(pa.array(starts).cast(pa.string()), pa.array(ends).cast(pa.string()), ":")
+        data = np.frombuffer(b"".join(texts.drop_null().cast(pa.binary()).to_pylist()), np.uint8)
+        sizes = ends.astype(np.int64) - starts
+        done = np.concatenate(([0], np.cumsum(sizes)))
+        row_start = np.repeat(lengths(texts)[1][:-1], np.diff(first))
+        slices = data[np.repeat(row_start + starts - done[:-1], sizes) + np.arange(done[-1])]
+        joined = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(done[first].astype(np.int32)), pa.py_buffer(slices)])
+        return pa.StructArray.from_arrays([pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pairs), ","), joined], ["spans", "text"])
+
+    return F.when(text.isNotNull(), _span_udf(model, "struct<spans: string, text: binary>", shown)(text))
 
 
 def decoded_pieces(model: Model) -> list[bytes]:
@@ -259,7 +342,7 @@ def decoded(ids: Column, model: Model) -> Column:
     for the sequence method; null ids to nothing. Bytes that aren't UTF-8 become
     U+FFFD. A null array is an empty text.
     """
-    text = F.make_valid_utf8(joined_pieces(model)(ids.cast("array<bigint>")).cast("string"))
+    text = F.make_valid_utf8(joined_pieces(model)(ids).cast("string"))
     return text if model.spec.method == SEQUENCE else restore_spaces(text, model.normalizer.space or SPACE)
 
 
@@ -268,17 +351,19 @@ def joined_pieces(model: Model):
     held = SparkSession.getActiveSession().sparkContext.broadcast(decoded_pieces(model))
     built: list[pa.Array] = []
 
-    @F.arrow_udf("binary")
-    def run(rows: pa.Array) -> pa.Array:
-        if not built:
-            built.append(pa.array([*held.value, b""], pa.binary()))
-        table, rows = built[0], rows.cast(pa.list_(pa.int64()))
+    def of_slice(rows: pa.Array) -> pa.Array:
+        table, flat = built[0], rows.flatten().cast(pa.int64())
         n = len(table) - 2
-        flat = rows.flatten()
         at = flat.fill_null(n + 1).to_numpy(zero_copy_only=False)
         known = (at >= 0) & (at < n) | (flat.is_null().to_numpy(zero_copy_only=False))
         pieces = table.take(pa.array(np.where(known, at, n)))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(_lengths(rows)[1], pa.int32()), pieces), b"")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(lengths(rows)[1], pa.int32()), pieces), b"")
+
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        if not built:
+            built.append(pa.array([*held.value, b""], pa.binary()))
+        return in_slices(rows, of_slice)
 
     return run
 

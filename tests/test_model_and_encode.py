@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from morphmill.api import Tokenizer
+from morphmill.functions.batches import in_slices
+from morphmill.functions.text import escape_bytes
 from morphmill.model import BYTE_PAIR, CHAR_PAIR, NGRAM, SEQUENCE, Model, NormalizerSpec, Piece, TrainSpec, byte_pieces, layout
-from morphmill.operators import encode
+from morphmill.operators import encode, segment
 from morphmill.operators.han import dictionary_of, fingerprint, split_lines
 from morphmill.operators.segment import Unigram, merge_chars, merge_ids, ngram_cuts, unspanned
 from morphmill.plans.catalog import byte_pair_model, char_pair_model, ngram_model, sequence_model
@@ -229,3 +232,50 @@ def test_decoding_keeps_rows_and_needs_no_shuffle(spark):
     out = encode.decode(rows, model, "i")
     assert [r["text"] for r in out.collect()] == ["A", "B", "C"]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("make", [byte_pair_model, char_pair_model, ngram_model, sequence_model])
+def test_batches_of_many_slices_are_encoded_as_texts_alone(make):
+    """Parts taken together, slices and nulls give what each text gives alone, in bounded slices."""
+    rng, sizes = random.Random(5), []
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(["the", "lll", "and", "▁", " ", "ä", "他", "x", "ing", "🙂"]) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", "▁", "▁▁the", "the" * 4000]
+    own, alone = encode._Lookups(make()), encode._Lookups(make())
+
+    def some(rows):
+        sizes.append(len(rows))
+        return own.encode_all(rows)
+
+    got = in_slices(pa.array(texts, pa.string()), some, 500).to_pylist()
+    assert len(sizes) > 10
+    assert [[own.items[k] for k in x] for x in got] == [[alone.items[k] for k in alone.encode(t)] if t else [] for t in texts]
+
+
+def test_short_texts_merge_as_long_ones(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(300)]
+    scores = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 5))): float(rng.randrange(4)) for _ in range(30)}
+    ranks = {(rng.randrange(12), rng.randrange(12)): i for i in range(3, 12) for _ in range(2)}
+    ids = [[rng.randrange(3) for _ in range(rng.randrange(40))] for _ in range(300)]
+    short = [merge_chars(t, scores) for t in texts], [merge_ids(x, ranks) for x in ids]
+    monkeypatch.setattr(segment, "SHORT", -1)
+    assert short == ([merge_chars(t, scores) for t in texts], [merge_ids(x, ranks) for x in ids])
+
+
+def test_lines_of_tokens_are_those_of_arrays(spark):
+    texts = ["the other\\ land\t", "", None, " ", "ä他 singing"]
+    for make in (byte_pair_model, char_pair_model, ngram_model):
+        model = make()
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+            encode.encode(F.col("t"), model).alias("e"), encode.encode_ids(F.col("t"), model).alias("i"), encode.tokenize(F.col("t"), model).alias("p"),
+            encode.token_line(F.col("t"), model).alias("l"), encode.token_line(F.col("t"), model, encode.in_hex, "", fallen=True).alias("h"),
+            encode.token_spans(F.col("t"), model).alias("s"), encode.span_line(F.col("t"), model).alias("sl"),
+        ).collect()
+        for t, r in zip(texts, rows):
+            if t is None:
+                assert all(x is None for x in r)
+                continue
+            assert r["i"] == [x["id"] for x in r["e"]]
+            assert r["l"] == " ".join(escape_bytes(bytes(p)) for p in r["p"])
+            assert r["h"] == "".join(f"<{bytes(x['piece']).hex().upper()}>" for x in r["e"])
+            assert r["sl"]["spans"] == ",".join(f"{x['start']}:{x['end']}" for x in r["s"])
+            assert bytes(r["sl"]["text"]) == b"".join(t.encode()[x["start"] : x["end"]] for x in r["s"])

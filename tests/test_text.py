@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,34 @@ def test_pretokenizer_api(spark):
     df = column(spark, ["  Hello  world ", "a b"])
     assert values(df, PreTokenizer().tokenize(F.col("x"))) == [["Hello", "▁world"], ["a", "▁b"]]
     assert values(df, PreTokenizer(cut=1, reconstruct=True).tokenize(F.col("x"))) == [["▁", "▁", "Hello", "▁", "▁", "world", "▁"], ["a", "▁", "b"]]
+
+
+def offsets_slowly(text, reconstruct, space):
+    """Character by character: what offsets_of gives, one text at a time."""
+    size, at, out, marks = len(space.encode()), 0, [], []
+    for c in text:
+        if c != " ":
+            out.append(c)
+            marks += [at] * len(c.encode())
+        elif reconstruct or (out and out[-1] != " "):
+            out.append(" ")
+            marks += [at] * size
+        at += len(c.encode())
+    end = at
+    while not reconstruct and out and out[-1] in (" ", space):
+        out.pop()
+        del marks[len(marks) - size + 1 :]
+        end = marks.pop()
+    return "".join(space if c == " " else c for c in out), [*marks, end] if out or (reconstruct and text) else []
+
+
+@pytest.mark.parametrize("reconstruct", [False, True])
+@pytest.mark.parametrize("space", ["▁", "_", "🙂"])
+def test_offsets_of_a_batch_are_those_of_each_text(reconstruct, space):
+    rng = random.Random(7)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(["a", " ", "  ", "ä", "▁", "_", "他", "🙂", "\t"]) for _ in range(rng.randrange(12))) for _ in range(2000)] + ["", " ", "▁ ▁"]
+    for rows in (pa.array(texts, pa.string()), pa.array(texts, pa.string()).slice(7, 900), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        got = [x.to_pylist() for x in T.offsets_of(rows, reconstruct, space)]
+        want = [("", []) if t is None else offsets_slowly(t, reconstruct, space) for t in rows.to_pylist()]
+        assert got[1] == [w[1] for w in want]
+        assert [x or "" for x in got[0]] == [w[0] for w in want]
