@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,33 @@ def test_streams(spark, tmp_path):
     finally:
         query.stop()
         tokens.stop()
+
+
+def test_texts_are_counted_once_for_all_uses(spark, tmp_path):
+    """What a trainer, or n-grams' probabilities, use several times comes from whole texts: it is computed once."""
+    lines = spark.createDataFrame([("the other thing and the end",)] * 40, "line string").repartition(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def used(then):
+        before = seen.value
+        then(lines.mapInArrow(told, lines.schema))
+        return seen.value - before
+
+    assert used(lambda x: train.train_char_pair(stats.word_counts(stats.words_of(x)), TrainSpec(CHAR_PAIR, 259 + 20, min_count=1))) == 40
+    assert used(lambda x: train.train_ngram(stats.word_counts(stats.words_of(x)), TrainSpec(NGRAM, 300, min_count=1))) == 40
+    assert used(lambda x: stats.ngram_logprobs(stats.byte_ngrams(stats.word_counts(stats.words_of(x))), 2).collect()) == 40
+
+
+def test_index_lists_each_word_once_under_each_pair(monkeypatch):
+    monkeypatch.setattr(train, "SLICE", 7)
+    words = [[1, 1, 1, 2], [3, 1], [5], [1, 2, 1, 2, 1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), pa.array([4, 5, 6, 7], pa.int64())], ["t", "freq"])
+    got = [r for b in train._listed(iter([batch])) for r in b.to_pylist()]
+    want = [((a << 32) + b, w, f) for w, f in zip(words, (4, 5, 6, 7)) for a, b in sorted(set(zip(w, w[1:])))]
+    assert [(r["pair"], r["t"], r["freq"]) for r in got] == want
+    assert all(r["part"] == ((r["pair"] >> 32) * 31 + (r["pair"] & 0xFFFFFFFF)) % train.PARTS for r in got)
