@@ -187,7 +187,7 @@ c AS (SELECT doc_id, trim(regexp_replace({heading}, '\\s+', ' ', 'g')) AS text F
         "extra_tokens": """WITH l AS (SELECT '<' || lang || '>' AS piece, row_number() OVER (ORDER BY lang) AS n FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))
 SELECT id, piece, 264 + (SELECT count(*) FROM l)::INT AS vocab_size, 263 AS pad_id FROM (VALUES (1, '<s>'), (2, '</s>'), (263, '<pad>')) AS v(id, piece) UNION ALL SELECT (263 + n)::INT, piece, 264 + (SELECT count(*) FROM l)::INT, 263 FROM l""",
         "piece_to_id": f"WITH {COUNTS}, vocabulary AS (SELECT CAST(i + 3 AS INTEGER) AS id, printf('%02X', i) AS piece FROM range(256) AS t(i) UNION ALL SELECT id, piece FROM (VALUES " + ", ".join(f"({259 + i}, '{(u + v).encode().hex().upper()}')" for i, (u, v) in enumerate(MERGES)) + ") AS v(id, piece)), best AS (SELECT piece, max(id) AS id FROM vocabulary GROUP BY piece) SELECT hex(word) AS piece, freq, coalesce(id, 0) AS id FROM counts LEFT JOIN best ON best.piece = hex(word)",
-        "char_classes": f"SELECT id // 256 AS block, han, word, digit, punctuation, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, regexp_matches(c, '^[{HAN}]$') AS han, regexp_matches(c, '^[{LETTERS}{HAN}{DIGITS}]$') AS word, {digits} AS digit, regexp_matches(c, '^[^{LETTERS}{HAN}{DIGITS}{BLANKS}]$') AS punctuation FROM (SELECT i AS id, chr(CAST(i AS INTEGER)) AS c FROM (SELECT (doc_id * 7919 + n_chars * 104729) % 1114111 + 1 AS i FROM documents) WHERE i NOT BETWEEN 55296 AND 57343)) GROUP BY ALL",
+        "char_classes": f"SELECT id // 256 AS block, han, word, digit, punctuation, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(hits) AS BIGINT) AS docs, CAST(sum(id * hits) AS BIGINT) AS doc_ids FROM (SELECT id, hits, regexp_matches(c, '^[{HAN}]$') AS han, regexp_matches(c, '^[{LETTERS}{HAN}{DIGITS}]$') AS word, {digits} AS digit, regexp_matches(c, '^[^{LETTERS}{HAN}{DIGITS}{BLANKS}]$') AS punctuation FROM (SELECT i AS id, coalesce(hits, 0) AS hits, chr(CAST(i AS INTEGER)) AS c FROM range(1, 1114112) AS t(i) LEFT JOIN (SELECT (doc_id * 7919 + n_chars * 104729) % 1114111 + 1 AS p, count(*) AS hits FROM documents GROUP BY p) ON p = i WHERE i NOT BETWEEN 55296 AND 57343)) GROUP BY ALL",
         "escape": "SELECT doc_id, replace(replace(replace(replace(text || '\\' || chr(9) || chr(13), '\\', '\\x5C'), chr(9), '\\x09'), chr(10), '\\x0A'), chr(13), '\\x0D') AS text FROM documents",
         "encode_byte_pair": f"WITH {LINES} SELECT doc_id, line_no, " + _merged_sql(wrapped.format(x=_norm("line"))) + " AS pieces FROM lines",
         "encode_sequence": f"WITH {LINES} SELECT doc_id, line_no, " + _merged_sql(wrapped.format(x="line")) + " AS pieces FROM lines",

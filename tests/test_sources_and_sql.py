@@ -220,3 +220,11 @@ def test_han_apart_is_split_han(spark, cut):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     both = rows.select(T.split_han(T.pretokenize(F.col("t"), cut)).alias("a"), T.pretokenize(F.col("t"), cut, han_apart=True).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in both)
+
+
+def test_char_classes_cover_all_code_points(spark, small):
+    rows = catalog.char_classes(spark, small).collect()
+    assert sum(r["n"] for r in rows) == 0x10FFFF - 2048
+    points = spark.read.parquet(f"{small}/documents.parquet").selectExpr("(doc_id * 7919 + n_chars * 104729) % 1114111 + 1 as id").where("id not between 55296 and 57343")
+    assert sum(r["docs"] for r in rows) == points.count()
+    assert sum(r["doc_ids"] for r in rows) == points.selectExpr("sum(id)").first()[0]
