@@ -6,12 +6,16 @@ import math
 import random
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from morphmill.model import BYTE_PAIR, CHAR_PAIR, NGRAM, SEQUENCE, TrainSpec
 from morphmill.operators import corpus, stats, train
+from morphmill.operators.storage import Rounds
+from morphmill.plans import catalog, oracles
 from morphmill.sources import text as src
 from morphmill.streaming.words import stream_lines, stream_tokens, stream_word_counts
 
@@ -112,6 +116,99 @@ def test_char_pairs_as_one_by_one(spark):
     assert set(learned[8:]) == {c for w in WORDS for c in w}
 
 
+def char_pairs_in_order(given: dict[str, int], budget: int, most: int, made: tuple[str, ...] = ()) -> list[str]:
+    """Merges one by one over symbols by number, the last thing that decides; strings in ``made`` are passed over."""
+    chars = sorted({c for w in given for c in w} | {"▅"})
+    names, own = list(chars), {w: [chars.index(c) for c in w] for w in given}
+    out, passed = [], set()
+    while len(out) < budget:
+        counts = Counter()
+        for w, ids in own.items():
+            for p in zip(ids, ids[1:], strict=False):
+                counts[p] += given[w]
+        fit = [(-c, len(names[p[0]] + names[p[1]]), (names[p[0]] + names[p[1]]).encode(), p) for p, c in counts.items() if p not in passed]
+        fit = [x for x in fit if len(x[2]) <= most]
+        if not fit:
+            break
+        _, _, name, pair = min(fit)
+        if name.decode() in {*made, *out}:
+            passed.add(pair)
+            continue
+        out.append(name.decode())
+        names.append(out[-1])
+        own = {w: merged(ids, pair, len(names) - 1) for w, ids in own.items()}
+    return out
+
+
+def runs(seed: int) -> dict[str, int]:
+    """Words of two characters, with runs of one, and many pairs that are as frequent as others."""
+    rng = random.Random(seed)
+    return {"".join(rng.choice("aab") for _ in range(rng.randrange(2, 16))): rng.randrange(2, 30) for _ in range(25)}
+
+
+@pytest.mark.parametrize("stretches,links,budget", [(50_000, 50, 1000), (20, 8, 1000), (3, 50, 13), (50_000, 1, 13)])
+@pytest.mark.parametrize("given", [runs(1), random_words(11, "abcdé") | WORDS | {"abcaa" * 300 + "née" * 200: 2}], ids=["runs", "plain"])
+def test_char_pairs_over_stretches(spark, monkeypatch, given, stretches, links, budget):
+    """However many pairs and stretches a round has, merges are those of one by one, to the last pair."""
+    monkeypatch.setattr(train, "STRETCHES", stretches)
+    monkeypatch.setattr(train, "LINKS", links)
+    required = len({c for w in given for c in w})
+    spec = TrainSpec(CHAR_PAIR, train.stored_size(CHAR_PAIR, required + budget), min_count=1, character_coverage=1.0, max_piece_size=9)
+    learned = [p.piece.decode() for p in train.train_char_pair(words(spark, given, 3), spec).pieces[259:]]
+    assert learned[:-required] == char_pairs_in_order(given, budget, 9)
+
+
+def test_strings_made_before_are_passed_over(spark):
+    """Merging left to right makes each string in one way only, so those made before are given here."""
+    given, made = random_words(11, "abcdé") | WORDS, ("es", "ab", "low")
+    chars = sorted({c for w in given for c in w} | {"▅"})
+    with Rounds(spark, "test") as rounds:
+        own = train._char_ids(words(spark, given, 2), {c: i for i, c in enumerate(chars)}, chars.index("▅"))
+        state = train.CharMerges(own, rounds, chars, chars.index("▅"), 9)
+        state.made, state.links = set(made), 8
+        while len(state.pieces) < 60 and state.round(60):
+            pass
+    assert state.pieces == char_pairs_in_order(given, 60, 9, made) and len(state.refused) >= 2
+
+
+def test_char_pairs_of_few_known_counts(spark, monkeypatch):
+    """Pairs that can't be merged take all of the known places: more are asked for."""
+    monkeypatch.setattr(train, "KNOWN", 3)
+    given = {"abcabcabc": 90, "xyxyxyxyx": 80, **random_words(4)}
+    required = len({c for w in given for c in w})
+    spec = TrainSpec(CHAR_PAIR, train.stored_size(CHAR_PAIR, required + 300), min_count=1, character_coverage=1.0, max_piece_size=4)
+    learned = [p.piece.decode() for p in train.train_char_pair(words(spark, given, 2), spec).pieces[259:]]
+    assert learned[:-required] == char_pairs_in_order(given, 300, 4)
+
+
+def test_stretches_are_of_linked_neighbours():
+    flat = np.array([1, 2, 3, -1, 4, -1, 3, 3, 3, 9, 1, 2, -1], np.int64)
+    links = np.array(sorted((a << 32) + b for a, b in ((1, 2), (2, 3), (3, 3))), np.int64)
+    got = train._stretches(flat, np.array([5, 6, 7]), links)
+    assert [(np.frombuffer(r["s"], np.int32).tolist(), r["freq"]) for r in got.to_pylist()] == [([1, 2, 3], 5), ([3, 3, 3], 7), ([1, 2], 7)]
+
+
+def test_char_pair_sql_as_one_by_one():
+    """The SQL's merges, several a step, are those of one by one."""
+    for given in (runs(1), runs(2), random_words(11) | {w: 2 * f for w, f in WORDS.items()}):
+        given = {w: f for w, f in given.items() if f > 1}
+        con = duckdb.connect()
+        con.execute("create table documents (doc_id bigint, text varchar)")
+        con.executemany("insert into documents values (?, ?)", [[i, "\n".join([w] * f)] for i, (w, f) in enumerate(given.items())])
+        rows = sorted(con.execute(oracles._train_char_pair_sql(1000)).fetchall())
+        required = len({c for w in given for c in w})
+        assert [bytes.fromhex(r[1]).decode() for r in rows[259:-required]] == char_pairs_in_order(given, 1000, 18)
+
+
+def test_char_pair_query_trains_all_entries(spark, small, monkeypatch):
+    """The 8,000 entries of a model that isn't told otherwise, beside special and byte pieces, in few rounds."""
+    made, original = [], train.CharMerges.round
+    monkeypatch.setattr(train.CharMerges, "round", lambda self, budget: made.append(0) or original(self, budget))
+    got = catalog.queries()["train_char_pair"](spark, small).collect()
+    assert 0 < len(made) < 12
+    assert sorted(r["id"] for r in got) == list(range(8259)) and len({r["piece"] for r in got}) == 8259
+
+
 def test_ngram_training(spark):
     spec = TrainSpec(NGRAM, train.stored_size(NGRAM, 50), min_count=2)
     one = train.train_ngram(words(spark, parts=1), spec)
